@@ -1,0 +1,57 @@
+"""Compare registered queries with their oracle SQL."""
+
+from __future__ import annotations
+
+import datetime
+import decimal
+import math
+
+import duckdb
+
+from lecturespark.plans.registry import TABLES
+
+
+def duck(folder: str):
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return con
+
+
+def plain(value):
+    if isinstance(value, decimal.Decimal):
+        return float(value)
+    if isinstance(value, float):
+        return None if math.isnan(value) else round(value, 6)
+    if isinstance(value, (datetime.date, datetime.datetime)):
+        return str(value)
+    if isinstance(value, (list, tuple)):
+        return tuple(plain(v) for v in value)
+    return value
+
+
+def rows_of(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return [columns[i] for i in order], sorted(
+        (tuple(plain(r[i]) for i in order) for r in rows), key=lambda r: tuple((v is None, str(type(v)), str(v)) for v in r))
+
+
+def spark_rows(df):
+    return rows_of(df.columns, [tuple(r) for r in df.collect()])
+
+
+def duck_rows(con, sql):
+    cursor = con.execute(sql)
+    return rows_of([d[0] for d in cursor.description], cursor.fetchall())
+
+
+def difference(got, want) -> str:
+    if got[0] != want[0]:
+        return f"columns {got[0]} != {want[0]}"
+    if len(got[1]) != len(want[1]):
+        extra = [r for r in got[1] if r not in want[1]][:2] if len(got[1]) < 20000 else ""
+        return f"rows {len(got[1])} != {len(want[1])} {extra}"
+    for a, b in zip(got[1], want[1]):
+        if a != b:
+            return f"{str(a)[:600]}\n  != {str(b)[:600]}"
+    return ""
