@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import inputs, q_segments  # noqa: F401
+from . import inputs, q_segments, q_align, q_slides  # noqa: F401, I001
 from .registry import ORACLES, QUERIES  # noqa: F401

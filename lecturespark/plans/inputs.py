@@ -84,9 +84,9 @@ SELECT page_id,
        CASE page_id % 7 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'Video/mp4'
             WHEN 2 THEN 'application/problem+json' WHEN 3 THEN '' WHEN 4 THEN NULL
             WHEN 5 THEN 'application/json ;v=1' ELSE 'image/png' END AS content_type,
-       CASE page_id % 5 WHEN 0 THEN 'abcdftypisom0000' WHEN 1 THEN '  {{"error":1}}' WHEN 2 THEN 'zz'
+       CASE page_id % 5 WHEN 0 THEN 'abcdftypisom0000' WHEN 1 THEN '  {"error":1}' WHEN 2 THEN 'zz'
             WHEN 3 THEN 'abcdftyp' ELSE substr(html, 1, 64) END AS prefix
-FROM {pages}""".replace("{{", "{").replace("}}", "}"))
+FROM {pages}""")
 
 define_input("urls", """
 SELECT page_id, CASE page_id % 11 WHEN 0 THEN concat('https://u:p@h.example.com/', CAST(page_id AS STRING))

@@ -54,6 +54,9 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     fixed = {k: v for k, v in SPARK_DIALECT.items() if k != "b64"}
     for key, value in fixed.items():
         sql = sql.replace("{" + key + "}", value)
+    sql = sql.replace("{", "{{").replace("}", "}}")  # braces of JSON literals
+    for t in used:
+        sql = sql.replace("{{" + t + "}}", "{" + t + "}")
     return spark.sql(sql, **used)
 
 
