@@ -39,7 +39,7 @@ def int_div(value, by: int) -> Column:
     return ((value - F.pmod(value, F.lit(by).cast("bigint"))) / by).cast("bigint")
 
 
-def _digits(value: Column, width: int) -> Column:
+def digits(value: Column, width: int) -> Column:
     text = value.cast("string")
     return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
 
@@ -49,8 +49,8 @@ def clock(ms, separator: str) -> Column:
     value = F.greatest(col(ms).cast("bigint"), F.lit(0).cast("bigint"))
     seconds, minutes = int_div(value, 1000), int_div(value, 60_000)
     return F.concat(
-        _digits(int_div(value, 3_600_000), 2), F.lit(":"),
-        _digits(F.pmod(minutes, F.lit(60)), 2), F.lit(":"),
-        _digits(F.pmod(seconds, F.lit(60)), 2), F.lit(separator),
-        _digits(F.pmod(value, F.lit(1000)), 3),
+        digits(int_div(value, 3_600_000), 2), F.lit(":"),
+        digits(F.pmod(minutes, F.lit(60)), 2), F.lit(":"),
+        digits(F.pmod(seconds, F.lit(60)), 2), F.lit(separator),
+        digits(F.pmod(value, F.lit(1000)), 3),
     )
