@@ -115,6 +115,7 @@ def pipeline_metrics(chunks: DataFrame, segments: DataFrame, pages: DataFrame, k
 def expiring_soon(snapshots: DataFrame, now_us: Column, prefix: str, days: int = 3) -> DataFrame:
     """Unexpired results that expire within the next days; unreadable times are left out."""
     zoned = F.regexp_replace("expires_at", r"Z\z", "+00:00")
-    expiry = F.unix_micros(F.try_to_timestamp(F.when(zoned.rlike(r"[+-]\d\d:\d\d\z"), zoned)))
+    zoned = F.when(zoned.rlike(r"[+-]\d\d:\d\d\z"), zoned).otherwise(F.concat(zoned, F.lit("+00:00")))
+    expiry = F.unix_micros(F.try_to_timestamp(zoned))
     return snapshots.where(F.startswith("name", F.lit(prefix)) & ~F.coalesce("expired", F.lit(False))).withColumn(
         "expires_us", expiry).where((F.col("expires_us") > now_us) & (F.col("expires_us") <= now_us + F.lit(days * DAY_US)))

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import inputs, q_segments, q_align, q_slides, q_catalog, q_admission  # noqa: F401, I001
+from . import inputs, q_segments, q_align, q_slides, q_catalog, q_admission, q_messages, q_policy  # noqa: F401, I001
 from .registry import ORACLES, QUERIES  # noqa: F401

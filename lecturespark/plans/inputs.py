@@ -98,7 +98,7 @@ FROM {pages}""")
 # Redirect chains inside runs of 20 pages, some longer than the hop limit, some closed.
 define_input("hops", """
 SELECT concat('https://', CASE WHEN page_id % 7 < 4 THEN 'a' ELSE 'b' END, '.example.com/p',
-              CAST(page_id AS STRING)) AS url,
+              CAST(page_id AS STRING)) AS url, page_id AS ord,
        CASE WHEN page_id % 20 IN (2, 5, 19) THEN (CASE WHEN page_id % 3 = 0 THEN 404 ELSE 200 END)
             ELSE 302 END AS status,
        CASE WHEN page_id % 20 = 9 THEN NULL

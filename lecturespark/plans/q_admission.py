@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import admission, courses, health
+from . import inputs  # noqa: F401
 from .registry import define_input, query
 
 define_input("snapshots", """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align
 from .q_segments import duck_normalised
+from . import inputs  # noqa: F401
 from .registry import define_input, query
 
 # Responses of a model: fenced or plain, cut short, of a wrong shape, with odd items.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import courses
 from ..sources import catalog
+from . import inputs  # noqa: F401
 from .registry import define_input, query
 
 define_input("catalog_json", """

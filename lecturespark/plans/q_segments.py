@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_asr_text, clean_text, clock
 from ..operators import captions, segments
+from . import inputs  # noqa: F401
 from .registry import query
 
 # The white space the cleaning step collapses, as an RE2 class for the oracle.

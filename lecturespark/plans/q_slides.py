@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align, grounding, segments, slides
 from .q_segments import duck_clean, duck_normalised
+from . import inputs  # noqa: F401
 from .registry import define_input, query
 
 define_input("slide_content", """

@@ -91,7 +91,7 @@ def month_grid(anchors: DataFrame, column: str = "anchor") -> DataFrame:
     """The months a catalogue run asks for, around its anchor date."""
     first = F.trunc(column, "MM")
     months = F.sequence(F.add_months(first, -MONTHS_BACK), F.add_months(first, MONTHS_AHEAD), F.expr("INTERVAL 1 MONTH"))
-    return anchors.withColumn("month", F.date_format(F.explode(months), "yyyy-MM"))
+    return anchors.withColumn("month", F.explode(months)).withColumn("month", F.date_format("month", "yyyy-MM"))
 
 
 def _is_mp4(url):
