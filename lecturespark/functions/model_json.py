@@ -18,10 +18,8 @@ def strip(value) -> Column:
 
 def unfence(value) -> Column:
     """The content between a leading ``` line and the last ``` of the text."""
-    text = strip(F.coalesce(col(value), F.lit("")))
-    body = F.when(F.instr(text, "\n") > 0, F.regexp_replace(text, r"\A[^\n]*\n", "")).otherwise(text)
-    inner = F.when(F.instr(body, "```") > 0, F.regexp_extract(body, r"(?s)\A(.*)```", 1)).otherwise(body)
-    return F.when(F.startswith(text, F.lit("```")), inner).otherwise(text)
+    fenced = r"(?s)\A```[^\n]*\n(?:(.*)```.*|(.*))\z"
+    return F.regexp_replace(strip(F.coalesce(col(value), F.lit(""))), fenced, "$1$2")
 
 
 def json_value(text) -> Column:
@@ -31,15 +29,19 @@ def json_value(text) -> Column:
     two array items; only then does anything left over show up as a wrong size.
     """
     both = F.try_parse_json(F.concat(F.lit("["), col(text), F.lit(f',"{_END}"]')))
-    items = F.try_variant_get(both, "$", "array<variant>")
-    return F.when((F.size(items) == 2) & (F.try_variant_get(both, "$[1]", "string") == _END), F.get(items, F.lit(0)))
+    items = F.array(F.try_variant_get(both, "$", "array<variant>"))
+
+    def first(pair: Column) -> Column:
+        whole = (F.size(pair) == 2) & (F.try_variant_get(F.get(pair, F.lit(1)), "$", "string") == _END)
+        return F.when(whole, F.get(pair, F.lit(0)))
+
+    # A lambda names the parsed items, so that the text is parsed once.
+    return F.get(F.transform(items, first), F.lit(0))
 
 
 def shape_of(value: Column) -> Column:
-    """``array``, ``object``, ``scalar`` or ``invalid``."""
-    schema = F.schema_of_variant(value)
-    return (F.when(value.isNull(), "invalid").when(schema.startswith("ARRAY"), "array")
-            .when(schema.startswith("OBJECT"), "object").otherwise("scalar"))
+    """``array``, ``object``, a scalar's type name, or ``invalid``."""
+    return F.lower(F.substring_index(F.coalesce(F.schema_of_variant(value), F.lit("INVALID")), "<", 1))
 
 
 def field(value: Column, name: str, kind: str) -> Column:

@@ -52,11 +52,18 @@ class Running:
 
 
 class OrderedRows:
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], *,
-                 rows_per_task: int | None = None, blocked: bool | None = None):
+    """Rows with running values.
+
+    ``sized_by`` may name a cheaper table with the same keys and at least as many
+    rows per key to measure instead of ``df``; ``blocked`` settles the plan outright.
+    """
+
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], *, rows_per_task: int | None = None,
+                 blocked: bool | None = None, sized_by: DataFrame | None = None):
         self.keys, self.order = list(keys), list(order)
         if blocked is None:
-            blocked = largest_group(df, self.keys) > (rows_per_task or ROWS_PER_TASK)
+            measured = df if sized_by is None else sized_by
+            blocked = largest_group(measured, self.keys) > (rows_per_task or ROWS_PER_TASK)
         self.blocked = blocked
         self.df = range_blocks(df, self.keys, self.order) if blocked else df
 

@@ -47,10 +47,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    # A pattern, because a stream reads a single file only by one.
+    return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parquet*")
+
+
+def load(spark: SparkSession, folder: str, name: str, read=table) -> DataFrame:
     """An input table as a DataFrame; scans stay prunable."""
     sql = _b64(INPUTS[name], SPARK_DIALECT["b64"])
-    used = {t: table(spark, folder, t) for t in TABLES if "{" + t + "}" in sql}
+    used = {t: read(spark, folder, t) for t in TABLES if "{" + t + "}" in sql}
     fixed = {k: v for k, v in SPARK_DIALECT.items() if k != "b64"}
     for key, value in fixed.items():
         sql = sql.replace("{" + key + "}", value)
@@ -82,7 +87,12 @@ def query(name: str, oracle: str | None = None):
             def read(source: str) -> DataFrame:
                 return load(spark, folder, source) if source in INPUTS else table(spark, folder, source)
 
-            read.spark, read.folder = spark, folder
+            def stream(source: str) -> DataFrame:
+                if source in INPUTS:
+                    return load(spark, folder, source, stream_table)
+                return stream_table(spark, folder, source)
+
+            read.spark, read.folder, read.stream = spark, folder, stream
             return build(read)
 
         run.__wrapped_module__ = build.__module__

@@ -1,0 +1,41 @@
+"""Circuit state as attempts arrive."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.health import AI_FAILURES_TO_OPEN, DAY_US, RECENT, RETRY_US
+from .control import _in_order
+
+
+def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    failures = list(state.get[0]) if state.exists else []
+    out = []
+    for event_id, at, outcome in _in_order(frames, ["at_us", "event_id"])[["event_id", "at_us", "outcome"]].itertuples(index=False):
+        retry = 0
+        if outcome == "ok":
+            failures, circuit = [], "closed"
+        elif outcome == "auth_failed":
+            failures, circuit = [at], "open"
+        else:
+            failures = [f for f in failures if at - f < DAY_US] + [at]
+            circuit = "open" if len(failures) >= AI_FAILURES_TO_OPEN else "degraded"
+            retry = at + RETRY_US if circuit == "open" else 0
+            failures = failures[-RECENT:]
+        out.append((key[0], event_id, circuit, len(failures), retry))
+    state.update(([int(f) for f in failures],))
+    yield pd.DataFrame(out, columns=["key_id", "event_id", "state", "failures", "retry_after_us"])
+
+
+def watch_circuit(attempts: DataFrame) -> DataFrame:
+    """State of a key's circuit after each attempt; keeps its last five failure times."""
+    relevant = attempts.where(F.col("outcome").isin("ok", "transient", "auth_failed")).select(
+        "key_id", "event_id", "at_us", "outcome")
+    return relevant.groupBy("key_id").applyInPandasWithState(
+        _fold, "key_id BIGINT, event_id BIGINT, state STRING, failures BIGINT, retry_after_us BIGINT",
+        "failures ARRAY<BIGINT>", "append", GroupStateTimeout.NoTimeout)
