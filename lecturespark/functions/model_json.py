@@ -56,7 +56,9 @@ def is_array(value: Column, name: str) -> Column:
     return F.coalesce(F.schema_of_variant(field(value, name, "variant")).startswith("ARRAY"), F.lit(False))
 
 
-def truthy(value: Column, name: str) -> Column:
-    """Whether a field counts as set: not missing, null, false, zero or empty."""
-    text = F.to_json(field(value, name, "variant"))
-    return F.coalesce(~text.isin("null", "false", "0", "0.0", '""', "[]", "{}"), F.lit(False))
+def truthy(value: Column) -> Column:
+    """Whether a value counts as set: not missing, null, false, zero or empty."""
+    text = F.coalesce(F.try_variant_get(value, "$", "string"), F.lit(""))
+    # A text "0" is set, a number 0 is not; only such cases look at the type.
+    unclear = text.isin("", "0", "0.0", "false", "[]", "{}")
+    return F.when(unclear, (text != "") & (F.schema_of_variant(value) == "STRING")).otherwise(True)

@@ -96,7 +96,7 @@ def parse_answers(responses: DataFrame, keys: list[str], column: str = "response
     return shaped.select(
         *keys, "status", "answer",
         F.transform("citations", lambda c: F.try_variant_get(c, "$", "string")).alias("citations"),
-        truthy(F.col("_v"), "grounded").alias("grounded"))
+        truthy(field(F.col("_v"), "grounded", "variant")).alias("grounded"))
 
 
 def chapter_rows(summaries: DataFrame, keys: list[str]) -> DataFrame:

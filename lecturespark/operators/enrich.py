@@ -14,7 +14,9 @@ def enrich_windows(requests: DataFrame, make_model: Callable[[], Callable[[str],
 
     ``make_model`` runs once per partition and returns the function that answers a
     request. ``calls_at_once`` bounds how many partitions, and so calls, there are.
-    A failed request keeps its row with the error's type, never its text.
+    A failed request keeps its row with the error's type, never its text. Store the
+    result (a table or ``materialise``) before using it twice, or the model is asked
+    twice.
     """
     spread = requests.repartition(calls_at_once) if calls_at_once else requests
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .admission import AI_AUTH_FAILED, AI_TRANSIENT
@@ -36,7 +36,7 @@ def ai_circuit(attempts: DataFrame, keys: list[str], **options) -> DataFrame:
     so that large keys need no range frame in one task.
     """
     relevant = attempts.where(F.col("outcome").isin("ok", "transient", "auth_failed"))
-    rows = OrderedRows(relevant, keys, ["at_us", "event_id"], **options)
+    rows = OrderedRows(relevant, keys, ["at_us", "event_id"], **{"sized_by": attempts, **options})
     one = lambda outcome: F.when(F.col("outcome") == outcome, 1).otherwise(0).cast("bigint")
     rows = rows.running(_successes=Running("sum", one("ok"), exclusive=True),
                         _restarts=Running("sum", one("auth_failed")))
@@ -69,7 +69,7 @@ def auth_circuit(attempts: DataFrame, keys: list[str], **options) -> DataFrame:
     Three sign-in failures open the circuit; platform failures only degrade it.
     """
     relevant = attempts.where(F.col("outcome").isin("ok", "transient", "auth_failed"))
-    rows = OrderedRows(relevant, keys, ["at_us", "event_id"], **options)
+    rows = OrderedRows(relevant, keys, ["at_us", "event_id"], **{"sized_by": attempts, **options})
     one = lambda outcome: F.when(F.col("outcome") == outcome, 1).otherwise(0).cast("bigint")
     rows = rows.running(_auth=Running("sum", one("auth_failed")), _platform=Running("sum", one("transient")))
     at_success = lambda name: F.when(F.col("outcome") == "ok", F.col(name))
@@ -87,8 +87,6 @@ def auth_circuit(attempts: DataFrame, keys: list[str], **options) -> DataFrame:
 
 def recent_failures(attempts: DataFrame, keys: list[str], limit: int = RECENT) -> DataFrame:
     """The last failures of each key; Spark keeps only ``limit`` per task before the shuffle."""
-    from pyspark.sql import Window
-
     latest = Window.partitionBy(*keys).orderBy(F.desc("at_us"), F.desc("event_id"))
     failures = attempts.where(F.col("outcome").isin("transient", "auth_failed"))
     return failures.withColumn("nth", F.row_number().over(latest)).where(F.col("nth") <= limit)

@@ -89,7 +89,7 @@ def sequence_guard(messages: DataFrame, expected: DataFrame, keys: list[str], **
     genuine = F.coalesce(F.col("input_hash") == F.col("expected_hash"), F.lit(False))
     known = F.col("control_kind").isin(*CONTROL_KINDS)
     checked = checked.withColumn("_valid", genuine & known)
-    rows = OrderedRows(checked, keys, ["arrival"], **options)
+    rows = OrderedRows(checked, keys, ["arrival"], **{"sized_by": messages, **options})
     rows = rows.running(_highest=Running("max", F.when(F.col("_valid"), F.col("sequence")), exclusive=True))
     status = (F.when(~genuine, "tampered").when(~known, "unknown_kind")
               .when(F.col("_highest").isNotNull() & (F.col("sequence") <= F.col("_highest")), "out_of_sequence")
@@ -138,7 +138,7 @@ def progress_throttle(messages: DataFrame, keys: list[str], **options) -> DataFr
     not the tasks, are spread over the cluster; within a run one pass keeps two
     numbers in memory.
     """
-    rows = OrderedRows(sanitise_progress(messages), keys, ["at_us", "arrival"], **options)
+    rows = OrderedRows(sanitise_progress(messages), keys, ["at_us", "arrival"], **{"sized_by": messages, **options})
     here = F.struct("at_us", "arrival", "stage", "status")
     rows = rows.running(_prev=Running("max", here, exclusive=True))
     prev = F.col("_prev")

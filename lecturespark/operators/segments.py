@@ -35,7 +35,8 @@ def normalise_segments(df: DataFrame, keys: list[str] | None = None, **options)
     rows = clean_segments(df.select(*keys, "ord", "start_ms", "end_ms", "text")).select(
         *keys, "ord", "text", start.cast("bigint").alias("_s"),
         shortest.alias("_d"), alone.cast("bigint").alias("_c"))
-    rows = OrderedRows(rows, keys, ["_s", "ord"], **options)
+    # Measured before cleaning, so that the count reads the keys and no text.
+    rows = OrderedRows(rows, keys, ["_s", "ord"], **{"sized_by": df, **options})
     rows = rows.running(_length=Running("sum", F.col("_d")),
                         _n=Running("sum", F.lit(1).cast("bigint"), exclusive=True))
     rows = rows.derive(_lift=F.col("_c") - F.col("_length"))

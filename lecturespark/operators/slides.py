@@ -22,7 +22,7 @@ def slide_rows(df: DataFrame, keys: list[str] | None = None, **options) -> DataF
     image = F.from_json(F.coalesce("content", F.lit("{}")), "pptimgurl STRING")["pptimgurl"]
     kept = df.select(*keys, "ord", first_present("created_sec").cast("bigint").alias("created_sec"),
                      image.alias("source")).where(present("source", "").isNotNull())
-    return list_positions(kept, keys, ["ord"], **options).select(
+    return list_positions(kept, keys, ["ord"], **{"sized_by": df, **options}).select(
         *keys, (F.col("idx") + 1).alias("page_num"), "created_sec", "source")
 
 
@@ -66,7 +66,7 @@ def page_text(lines: DataFrame, keys: list[str], **options) -> DataFrame:
     Parts as in ``document_parts``. A page without lines has an empty part 0.
     """
     kept = lines.select(*keys, "ord", strip(F.coalesce("line", F.lit(""))).alias("line")).where("line <> ''")
-    numbered = list_positions(kept, keys, ["ord"], **options)
+    numbered = list_positions(kept, keys, ["ord"], **{"sized_by": lines, **options})
     pieces = numbered.select(*keys, F.col("idx").alias("ord"),
                              F.concat(F.when(F.col("idx") > 0, "\n").otherwise(""), "line").alias("piece"))
     pages = lines.select(*keys).distinct().select(

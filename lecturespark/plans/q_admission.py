@@ -66,8 +66,14 @@ def candidates(load):
         "ai_circuit_open": F.col("sub_id") % 10 == 3})
 
 
+def lecture_keys(load):
+    """The run of every lecture, new or not: a cheap upper bound of a run's size."""
+    return load("lectures").select((F.col("course_id") % 25).alias("account_id"), F.year("lecture_date").alias("run"))
+
+
 def decisions(load):
-    return admission.budget_admission(candidates(load), ["account_id", "run"], max_lectures=20, max_tokens=0)
+    return admission.budget_admission(candidates(load), ["account_id", "run"], max_lectures=20, max_tokens=0,
+                                      sized_by=lecture_keys(load))
 
 
 @query("apply_rules", f"""
@@ -108,7 +114,7 @@ WITH {RULED}
 SELECT account_id, run, sub_id, row_number() OVER (PARTITION BY account_id, run
   ORDER BY priority DESC, lecture_date, CAST(sub_id AS VARCHAR), course_id) - 1 AS position FROM cand""")
 def _(load):
-    return admission.candidate_order(candidates(load), ["account_id", "run"]).select(
+    return admission.candidate_order(candidates(load), ["account_id", "run"], sized_by=lecture_keys(load)).select(
         "account_id", "run", "sub_id", "position")
 
 

@@ -61,6 +61,11 @@ def pairs(load):
     return align.align_recognisers(load("segments_a"), load("segments_b"))
 
 
+def pair_keys(load):
+    """At least as many rows per lecture as there are pairs, from the keys alone."""
+    return load("segments_a").select("lecture_id").unionAll(load("segments_b").select("lecture_id"))
+
+
 @query("align_recognisers", f"WITH {PAIRS} SELECT * FROM pairs")
 def _(load):
     return pairs(load)
@@ -80,7 +85,7 @@ def _(load):
 WITH RECURSIVE {CORRECTED}, {duck_normalised('merged')}
 SELECT lecture_id, n - 1 AS ord, start_ms, end_ms, text FROM norm""")
 def _(load):
-    return align.corrected_segments(pairs(load), corrections(load))
+    return align.corrected_segments(pairs(load), corrections(load), sized_by=pair_keys(load))
 
 
 @query("select_mode", f"""
@@ -98,7 +103,7 @@ def _(load):
     modes = load("segments_a").select("lecture_id").distinct().withColumn(
         "mode", F.expr("CASE lecture_id % 4 WHEN 0 THEN 'fast' WHEN 1 THEN 'no-proofread' WHEN 2 THEN '' ELSE 'odd' END"))
     corrected = align.apply_corrections(pairs(load), corrections(load))
-    return align.select_mode(modes, load("segments_a"), load("segments_b"), corrected)
+    return align.select_mode(modes, load("segments_a"), load("segments_b"), corrected, sized_by=pair_keys(load))
 
 
 # What each of the made responses means, without any JSON reading.

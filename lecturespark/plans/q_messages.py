@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.digests import envelope_status, row_digest
-from ..operators import enrich, grids, jobs, messages
-from ..session import shared_dir
+from ..operators import align, enrich, grids, jobs, messages
+from ..session import materialise, shared_dir
 from ..sources import jobs as job_records
-from . import inputs  # noqa: F401
+from . import inputs, q_align  # noqa: F401
 from .registry import define_input, query
 
 NOW = 1700002000
@@ -310,12 +310,16 @@ def _stub_model():
     return answer
 
 
-# Requests through a stub model and back: even positions are corrected.
-@query("enrich_windows", None)
+# Requests through a stub model and back: even positions are corrected. The
+# responses are stored before they are used, so every request is asked once.
+@query("enrich_windows", f"""
+WITH RECURSIVE {q_align.PAIRS},
+merged AS (SELECT lecture_id, idx AS ord, start_ms, end_ms, CASE WHEN idx % 2 = 0 THEN 'fixed ' || CAST(idx AS VARCHAR)
+           ELSE coalesce(nullif(text_b, ''), text_a) END AS text FROM pairs),
+{q_align.duck_normalised('merged')}
+SELECT lecture_id, n - 1 AS ord, start_ms, end_ms, text FROM norm""")
 def _(load):
-    from ..operators import align
-
-    pairs = align.align_recognisers(load("segments_a"), load("segments_b"))
-    responses = enrich.enrich_windows(align.pack_requests(pairs), _stub_model, calls_at_once=4)
+    pairs = q_align.pairs(load)
+    responses = materialise(enrich.enrich_windows(align.pack_requests(pairs), _stub_model, calls_at_once=4))
     corrections = align.parse_corrections(responses).where("status = 'ok'")
-    return align.corrected_segments(pairs, corrections)
+    return align.corrected_segments(pairs, corrections, sized_by=q_align.pair_keys(load))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.model_json import field, json_value, shape_of, truthy
+from ..functions.model_json import field, shape_of, truthy
 from ..functions.text import col, digits, first_present, present
 
 # Limits of one catalogue.
@@ -22,68 +22,64 @@ def flatten_catalog(courses: DataFrame, keys: list[str] | None = None, column: s
     a row, so the whole job is one narrow stage.
     """
     keys = keys or ["course_id"]
-    tree = F.from_json(column, "sub_list MAP<STRING, MAP<STRING, MAP<STRING, ARRAY<STRING>>>>")["sub_list"]
+    tree = F.from_json(column, "sub_list MAP<STRING, MAP<STRING, MAP<STRING, ARRAY<VARIANT>>>>")["sub_list"]
     years = courses.select(*keys, F.explode(tree).alias("y", "_months"))
     months = years.select(*keys, "y", F.explode("_months").alias("m", "_days"))
     days = months.select(*keys, "y", "m", F.explode("_days").alias("d", "_items"))
-    items = days.select(*keys, "y", "m", "d", F.explode("_items").alias("_text"))
-    rows = items.select("*", json_value("_text").alias("_v")).where(
-        (shape_of(F.col("_v")) == "object") & truthy(F.col("_v"), "id"))
-
-    def value(name: str, kind: str = "string"):
-        return field(F.col("_v"), name, kind)
-
-    def text(name: str):
-        return F.coalesce(value(name), F.lit(""))
-
-    number = [F.col(c).cast("int") for c in ("y", "m", "d")]
+    # One reading of each item gives all its fields; other values than objects become null.
+    item = ("STRUCT<id: VARIANT, sub_title: STRING, lecturer_name: STRING, playback_status: STRING, "
+            "duration: BIGINT, duration_sec: BIGINT>")
+    objects = F.transform("_items", lambda v: F.try_variant_get(v, "$", item))
+    lectures = F.filter(objects, lambda r: r.isNotNull() & truthy(r["id"]))
+    rows = days.select(*keys, "y", "m", "d", F.explode(lectures).alias("_r"))
+    text = lambda name: F.coalesce(F.col(f"_r.{name}"), F.lit(""))
+    date = [digits(F.col(c).cast("int"), w) for c, w in (("y", 4), ("m", 2), ("d", 2))]
     return rows.select(
-        *keys, text("id").alias("sub_id"), text("sub_title").alias("sub_title"),
-        text("lecturer_name").alias("lecturer_name"),
-        F.concat_ws("-", *[digits(n, w) for n, w in zip(number, (4, 2, 2))]).alias("date"),
+        *keys, F.try_variant_get("_r.id", "$", "string").alias("sub_id"), text("sub_title").alias("sub_title"),
+        text("lecturer_name").alias("lecturer_name"), F.concat_ws("-", *date).alias("date"),
         (text("playback_status") == "1").alias("has_playback"),
-        F.greatest(F.lit(0), first_present(value("duration", "bigint"), value("duration_sec", "bigint"))
-                   ).cast("bigint").alias("duration_seconds"),
+        F.greatest(F.lit(0), first_present("_r.duration", "_r.duration_sec")).cast("bigint").alias("duration_seconds"),
     )
 
 
-def _month(schedules: DataFrame, column: str) -> DataFrame:
-    """Adds the course rows of a month document and the verdict on its size."""
-    parsed = F.from_json(column, "list ARRAY<STRING>")["list"]
-    days = F.coalesce(parsed, F.array().cast("array<string>"))
-    courses = F.transform(days, lambda d: F.from_json(d, "course ARRAY<STRING>")["course"])
+def _days(column: str) -> Column:
+    """The days of a month document."""
+    return F.coalesce(F.from_json(column, "list ARRAY<VARIANT>")["list"], F.array().cast("array<variant>"))
+
+
+def _course_rows(days: Column) -> Column:
+    """The course objects of all days, in order."""
+    courses = F.transform(days, lambda d: F.try_variant_get(d, "$.course", "array<variant>"))
     rows = F.flatten(F.filter(courses, lambda c: c.isNotNull()))
-    objects = F.filter(rows, lambda r: F.startswith(F.ltrim(r), F.lit("{")))
-    return (
-        schedules.withColumn("_days", F.size(days)).withColumn("_rows", objects)
-        .withColumn("month_status", F.when(F.col("_days") > MAX_DAYS_PER_MONTH, "too_many_days")
-                    .when(F.size("_rows") > MAX_ROWS_PER_MONTH, "too_many_rows").otherwise("ok"))
-    )
+    return F.filter(rows, lambda r: shape_of(r) == "object")
 
 
 def schedule_status(schedules: DataFrame, keys: list[str], column: str = "doc") -> DataFrame:
     """Size verdict of every month document."""
-    return _month(schedules, column).select(*keys, F.size("_rows").cast("bigint").alias("rows"), "month_status")
+    sized = schedules.select(*keys, _days(column).alias("_d")).select(
+        *keys, F.size("_d").alias("_days"), F.size(_course_rows(F.col("_d"))).cast("bigint").alias("rows"))
+    status = (F.when(F.col("_days") > MAX_DAYS_PER_MONTH, "too_many_days")
+              .when(F.col("rows") > MAX_ROWS_PER_MONTH, "too_many_rows").otherwise("ok"))
+    return sized.select(*keys, "rows", status.alias("month_status"))
 
 
 def flatten_schedule(schedules: DataFrame, keys: list[str], column: str = "doc") -> DataFrame:
     """Course rows of accepted month documents, with their position in the month."""
-    rows = _month(schedules, column).where("month_status = 'ok'").select(
-        *keys, F.posexplode("_rows").alias("pos", "_text"))
-    names = ("id", "course_id", "title", "realname", "lecturer_name", "kkxy_name", "school_name", "dept_name",
-             "kkxy", "term_name", "term", "sub_id", "sub_duration")
-    raw = rows.withColumn("_r", F.from_json("_text", ", ".join(f"{n} STRING" for n in names)))
+    # A list of none or one month, so that each step names the parsed value once.
+    month = F.filter(F.array(_days(column)), lambda days: F.size(days) <= MAX_DAYS_PER_MONTH)
+    month = F.filter(F.transform(month, _course_rows), lambda rows: F.size(rows) <= MAX_ROWS_PER_MONTH)
+    rows = schedules.select(*keys, F.posexplode(F.flatten(month)).alias("pos", "_r"))
 
     def pick(*options: str):
-        return first_present(*[F.col(f"_r.{o}") for o in options], missing="")
+        return first_present(*[field(F.col("_r"), o, "string") for o in options], missing="")
 
-    return raw.select(
+    return rows.select(
         *keys, F.col("pos").cast("bigint").alias("pos"),
         F.trim(pick("id", "course_id")).alias("course_id"),
         pick("title").alias("title"), pick("realname", "lecturer_name").alias("teacher"),
         pick("kkxy_name", "school_name", "dept_name", "kkxy").alias("department"),
         pick("term_name", "term").alias("term"), F.trim(pick("sub_id")).alias("sub_id"),
-        F.greatest(F.lit(0.0), F.coalesce(F.col("_r.sub_duration").try_cast("double"), F.lit(0.0))).alias("duration"),
+        F.greatest(F.lit(0.0), F.coalesce(pick("sub_duration").try_cast("double"), F.lit(0.0))).alias("duration"),
     ).where("course_id <> ''")
 
 
