@@ -43,8 +43,10 @@ def write_captions(parts: DataFrame, path: str, keys: list[str] | None = None) -
     """Write caption parts as text files, one folder per lecture, parts in order.
 
     Large lectures spread over several files: rows are ranged by (lecture, part),
-    and file order within a folder is part order.
+    and file order within a folder is part order. The writer ends every row with the
+    line break each part ends with; a text of no cues has no file.
     """
     keys = keys or ["lecture_id"]
-    (parts.repartitionByRange(*keys, "part").sortWithinPartitions(*keys, "part")
-     .select(*keys, "text").write.mode("overwrite").partitionBy(*keys).option("lineSep", "").text(path))
+    lines = parts.where("text <> ''").withColumn("text", F.expr("left(text, length(text) - 1)"))
+    (lines.repartitionByRange(*keys, "part").sortWithinPartitions(*keys, "part")
+     .select(*keys, "text").write.mode("overwrite").partitionBy(*keys).text(path))
