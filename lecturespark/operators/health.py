@@ -26,7 +26,7 @@ def ai_failure_kind(message: str | Column) -> Column:
     return F.when(found, AI_AUTH_FAILED).otherwise(AI_TRANSIENT)
 
 
-def ai_circuit(attempts: DataFrame, keys: list[str], **options) -> DataFrame:
+def ai_circuit(attempts: DataFrame, keys: list[str], extra: tuple[str, ...] = (), **options) -> DataFrame:
     """Circuit state after each model attempt (ok, transient or auth_failed).
 
     Failures count for less than 24 hours and until the next success; five open
@@ -55,7 +55,7 @@ def ai_circuit(attempts: DataFrame, keys: list[str], **options) -> DataFrame:
     auth, recent = F.col("outcome") == "auth_failed", F.col("_recent")
     opened = failed & (auth | (recent >= AI_FAILURES_TO_OPEN))
     return counted.select(
-        *keys, "event_id", "at_us", "outcome",
+        *keys, *extra, "event_id", "at_us", "outcome",
         F.when(~failed, "closed").when(opened, "open").otherwise("degraded").alias("state"),
         F.when(failed, F.least(recent, F.lit(RECENT))).otherwise(0).cast("bigint").alias("failures"),
         F.when(opened & ~auth, F.col("at_us") + F.lit(RETRY_US)).otherwise(0).cast("bigint").alias("retry_after_us"),
@@ -89,7 +89,7 @@ def recent_failures(attempts: DataFrame, keys: list[str], limit: int = RECENT) -
     """The last failures of each key; Spark keeps only ``limit`` per task before the shuffle."""
     latest = Window.partitionBy(*keys).orderBy(F.desc("at_us"), F.desc("event_id"))
     failures = attempts.where(F.col("outcome").isin("transient", "auth_failed"))
-    return failures.withColumn("nth", F.row_number().over(latest)).where(F.col("nth") <= limit)
+    return failures.withColumn("nth", F.row_number().over(latest).cast("bigint")).where(F.col("nth") <= limit)
 
 
 def token_usage(usage: DataFrame, keys: list[str], columns: tuple[str, ...]) -> DataFrame:

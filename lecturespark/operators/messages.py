@@ -79,7 +79,8 @@ def complete_parts(messages: DataFrame, keys: list[str]) -> DataFrame:
     return parts.join(done, keys, "left_semi").select(*keys, "part", "piece")
 
 
-def sequence_guard(messages: DataFrame, expected: DataFrame, keys: list[str], **options) -> DataFrame:
+def sequence_guard(messages: DataFrame, expected: DataFrame, keys: list[str], order: tuple[str, ...] = ("arrival",),
+                   **options) -> DataFrame:
     """Accept control messages only in strictly rising sequence.
 
     ``expected`` has the right ``expected_hash`` of each task. A message of another
@@ -89,7 +90,7 @@ def sequence_guard(messages: DataFrame, expected: DataFrame, keys: list[str], **
     genuine = F.coalesce(F.col("input_hash") == F.col("expected_hash"), F.lit(False))
     known = F.col("control_kind").isin(*CONTROL_KINDS)
     checked = checked.withColumn("_valid", genuine & known)
-    rows = OrderedRows(checked, keys, ["arrival"], **{"sized_by": messages, **options})
+    rows = OrderedRows(checked, keys, list(order), **{"sized_by": messages, **options})
     rows = rows.running(_highest=Running("max", F.when(F.col("_valid"), F.col("sequence")), exclusive=True))
     status = (F.when(~genuine, "tampered").when(~known, "unknown_kind")
               .when(F.col("_highest").isNotNull() & (F.col("sequence") <= F.col("_highest")), "out_of_sequence")
@@ -107,7 +108,7 @@ def sanitise_progress(messages: DataFrame) -> DataFrame:
     })
 
 
-def _send_step() -> Column:
+def send_step() -> Column:
     """Progress that is worth a message; null where the total is unknown."""
     share = F.floor(F.col("total") * F.lit(SEND_SHARE)).cast("bigint")
     return F.when(F.coalesce("total", F.lit(0)) > 0, F.greatest(F.lit(1).cast("bigint"), share))
@@ -147,6 +148,6 @@ def progress_throttle(messages: DataFrame, keys: list[str], **options) -> DataFr
     rows = rows.derive(_first=first)
     rows = rows.running(_run=Running("sum", F.col("_first").cast("bigint")))
     ready = rows.result().drop("_prev").withColumns({
-        "_step": _send_step(), "_done": F.coalesce("completed", F.lit(0)).cast("bigint")})
+        "_step": send_step(), "_done": F.coalesce("completed", F.lit(0)).cast("bigint")})
     ready = ready.repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", "at_us", "arrival")
     return ready.mapInPandas(_fold_runs, ready.schema).drop("_first", "_run", "_step", "_done")

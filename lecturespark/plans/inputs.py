@@ -73,7 +73,7 @@ SELECT user_id AS task_id, event_id AS arrival, {ts_us} AS at_us,
        CASE WHEN event_id % 10 < 7 THEN 'asr' ELSE 'ocr' END AS stage,
        CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'odd' ELSE 'running' END AS status,
        CASE WHEN event_type = 'view' THEN NULL ELSE CAST(floor(value) AS BIGINT) - 20 END AS completed,
-       CASE WHEN event_id % 17 = 0 THEN NULL ELSE 5000 END AS total,
+       CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(5000 AS BIGINT) END AS total,
        concat('code ', repeat('x', CAST(event_id % 100 AS INT))) AS error_code
 FROM {events}""")
 

@@ -60,7 +60,7 @@ def ruled(load):
 
 def candidates(load):
     return courses.discover_new(ruled(load), load("seen")).withColumns({
-        "account_id": F.col("course_id") % 25, "run": F.year("lecture_date"),
+        "account_id": F.col("course_id") % 25, "run": F.year("lecture_date").cast("bigint"),
         "outcome": F.when(F.col("sub_id") % 9 == 0, "failed").otherwise("ok"),
         "cost_ms": F.col("duration_seconds") * 300, "tokens": F.col("duration_seconds") * 2,
         "ai_circuit_open": F.col("sub_id") % 10 == 3})
@@ -68,7 +68,7 @@ def candidates(load):
 
 def lecture_keys(load):
     """The run of every lecture, new or not: a cheap upper bound of a run's size."""
-    return load("lectures").select((F.col("course_id") % 25).alias("account_id"), F.year("lecture_date").alias("run"))
+    return load("lectures").select((F.col("course_id") % 25).alias("account_id"), F.year("lecture_date").cast("bigint").alias("run"))
 
 
 def decisions(load):

@@ -110,7 +110,7 @@ def _(load):
 @query("parse_model_json", """
 WITH r AS (SELECT CAST(floor(conv_id / 25) AS BIGINT) AS lecture_id, conv_id * 10 + turn AS window_id,
                   conv_id, turn, turn % 8 AS k, length(text) AS chars FROM conversations)
-SELECT lecture_id, window_id, 'ok' AS status, 0 AS ord, turn AS idx, 'one' AS text FROM r WHERE k = 0
+SELECT lecture_id, window_id, 'ok' AS status, CAST(0 AS BIGINT) AS ord, turn AS idx, 'one' AS text FROM r WHERE k = 0
 UNION ALL SELECT lecture_id, window_id, 'ok', 1, 7, '' FROM r WHERE k = 0
 UNION ALL SELECT lecture_id, window_id, 'ok', 0, conv_id, CAST(chars AS VARCHAR) || ' chars' FROM r WHERE k = 1
 UNION ALL SELECT lecture_id, window_id, 'not_array', NULL, NULL, '' FROM r WHERE k = 2
@@ -123,7 +123,7 @@ def _(load):
 @query("parse_summary_json", """
 SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN 'not_json' WHEN doc_id % 6 < 2 THEN 'ok' ELSE 'bad_shape' END AS status,
        CASE doc_id % 6 WHEN 0 THEN 'note ' || CAST(doc_id AS VARCHAR) WHEN 1 THEN source END AS markdown,
-       CASE doc_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 0 END AS chapters
+       CAST(CASE doc_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 0 END AS BIGINT) AS chapters
 FROM documents""")
 def _(load):
     return align.parse_summaries(load("summary_json"), ["doc_id"]).select(

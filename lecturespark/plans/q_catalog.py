@@ -54,7 +54,7 @@ FROM {customer} WHERE c_custkey % 50 < 30 GROUP BY c_nationkey, c_custkey % 50""
 
 # Accepted schedule rows, stated from the base columns.
 DUCK_SCHEDULE = """sched AS (
-  SELECT c_nationkey AS account_id, c_custkey AS month_id, 0 AS pos, CAST(c_custkey % 50 AS VARCHAR) AS course_id,
+  SELECT c_nationkey AS account_id, c_custkey AS month_id, CAST(0 AS BIGINT) AS pos, CAST(c_custkey % 50 AS VARCHAR) AS course_id,
          'T' || CAST(c_custkey AS VARCHAR) AS title, CASE WHEN c_custkey % 3 = 0 THEN 'L' ELSE c_mktsegment END AS teacher,
          'D' || CAST(c_nationkey AS VARCHAR) AS department, '2024' AS term,
          's' || CAST(c_custkey % 7 AS VARCHAR) AS sub_id,
@@ -91,7 +91,7 @@ def _(load):
 
 @query("schedule_guard", """
 SELECT c_nationkey AS account_id, c_custkey AS month_id,
-       CASE WHEN c_custkey % 17 = 0 THEN 1003 ELSE 3 END AS rows,
+       CAST(CASE WHEN c_custkey % 17 = 0 THEN 1003 ELSE 3 END AS BIGINT) AS rows,
        CASE WHEN c_custkey % 13 = 0 THEN 'too_many_days' WHEN c_custkey % 17 = 0 THEN 'too_many_rows' ELSE 'ok' END AS month_status
 FROM customer""")
 def _(load):

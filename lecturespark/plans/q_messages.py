@@ -170,7 +170,7 @@ def _(load):
 
 @query("job_source", """
 SELECT md5(CAST(o_orderkey AS VARCHAR)) AS task_id, CAST(o_orderkey AS DOUBLE) + 0.5 AS created_at,
-       'T' || CAST(o_custkey AS VARCHAR) AS title, 5.0 AS start_seconds, CAST(NULL AS DOUBLE) AS duration_seconds,
+       'T' || CAST(o_custkey AS VARCHAR) AS title, CAST(5 AS DOUBLE) AS start_seconds, CAST(NULL AS DOUBLE) AS duration_seconds,
        CAST(o_custkey AS VARCHAR) AS course_id, CAST(NULL AS BOOLEAN) AS wants_slides, 'subtitle,ocr' AS outputs,
        'v' || CAST(o_orderkey % 3 AS VARCHAR) AS version FROM orders""")
 def _(load):
@@ -209,7 +209,7 @@ def _(load):
 
 
 @query("resume_windows", """
-SELECT l_orderkey AS job_id, l_linenumber AS window_id,
+SELECT l_orderkey AS job_id, CAST(l_linenumber AS BIGINT) AS window_id,
        CASE WHEN l_orderkey % 5 = 0 AND l_orderkey % 15 <> 0 THEN 'checkpoint_mode_mismatch' ELSE 'todo' END AS status
 FROM lineitem WHERE NOT (l_orderkey % 3 = 0 AND l_linenumber < 3)""")
 def _(load):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import circuit, control, intake, sinks
+from ..streaming import carried, control, intake, sinks
 from . import inputs, q_admission, q_messages  # noqa: F401
 from .registry import ORACLES, define_input, query
 
@@ -17,8 +17,8 @@ FROM {events}""")
 @query("stream_control", ORACLES["sequence_guard"])
 def _(load):
     expected = load("control").select("task_id", F.concat(F.lit("h"), F.col("task_id").cast("string")).alias("expected_hash")).distinct()
-    guarded = control.guard_control(load.stream("control"), expected)
-    return sinks.drain_to_parquet(guarded, sinks.new_folder(load.spark, "control"))
+    guarded = carried.guard_control(load.stream("control"), expected, sinks.new_folder(load.spark, "control"))
+    return guarded.select("arrival", "task_id", "sequence", "status")
 
 
 @query("stream_latest_status", """
@@ -34,13 +34,14 @@ def _(load):
 
 @query("stream_throttle", ORACLES["progress_throttle"])
 def _(load):
-    sent = control.throttle_progress(load.stream("progress"))
-    return sinks.drain_to_parquet(sent, sinks.new_folder(load.spark, "progress")).select("task_id", "arrival")
+    sent = carried.throttle_progress(load.stream("progress"), sinks.new_folder(load.spark, "progress"))
+    return sent.select("task_id", "arrival")
 
 
 @query("stream_circuit", "SELECT key_id, event_id, state, failures, retry_after_us FROM (" + ORACLES["ai_circuit"] + ")")
 def _(load):
-    return sinks.drain_to_parquet(circuit.watch_circuit(load.stream("attempts")), sinks.new_folder(load.spark, "circuit"))
+    watched = carried.watch_circuit(load.stream("attempts"), sinks.new_folder(load.spark, "circuit"))
+    return watched.select("key_id", "event_id", "state", "failures", "retry_after_us")
 
 
 @query("stream_discovery", """

@@ -1,4 +1,4 @@
-"""Control messages and progress as they arrive."""
+"""Live status and progress as messages arrive."""
 
 from __future__ import annotations
 
@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.messages import CONTROL_KINDS, SEND_EVERY_US, _send_step, sanitise_progress
-
-JOB_LIFETIME_MS = 30 * 60 * 1000
+from ..operators.messages import SEND_EVERY_US, sanitise_progress, send_step
 
 
 def _in_order(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
@@ -19,40 +17,6 @@ def _in_order(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(order, ignore_index=True)
 
 
-def _guard(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = _in_order(frames, ["arrival"])
-    highest = state.get[0] if state.exists else -1
-    valid = rows["genuine"] & rows["known"]
-    before = rows["sequence"].where(valid).cummax().shift().ffill().fillna(highest).clip(lower=highest)
-    status = pd.Series("accepted", index=rows.index)
-    status[rows["sequence"] <= before] = "out_of_sequence"
-    status[~rows["known"]] = "unknown_kind"
-    status[~rows["genuine"]] = "tampered"
-    if valid.any():
-        highest = max(highest, int(rows["sequence"][valid].max()))
-    state.update((highest,))
-    state.setTimeoutDuration(JOB_LIFETIME_MS)
-    yield rows.assign(status=status)[["task_id", "arrival", "sequence", "status"]]
-
-
-def guard_control(messages: DataFrame, expected: DataFrame) -> DataFrame:
-    """Accept control messages in strictly rising sequence per task.
-
-    Keeps one number per task and forgets it once no job could still be alive.
-    Sequences count from 1 upwards or 0 upwards, never below.
-    """
-    checked = messages.join(expected, "task_id", "left").select(
-        "task_id", "arrival", "sequence",
-        F.coalesce(F.col("input_hash") == F.col("expected_hash"), F.lit(False)).alias("genuine"),
-        F.coalesce(F.col("control_kind").isin(*CONTROL_KINDS), F.lit(False)).alias("known"))
-    return checked.groupBy("task_id").applyInPandasWithState(
-        _guard, "task_id BIGINT, arrival BIGINT, sequence BIGINT, status STRING", "highest BIGINT",
-        "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def latest_status(messages: DataFrame, columns: list[str]) -> DataFrame:
     """The one live status of each task: the payload of its highest sequence (update mode)."""
     newest = messages.groupBy("task_id").agg(
@@ -91,9 +55,13 @@ def _throttle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
     yield rows[keep][_SENT]
 
 
-def throttle_progress(messages: DataFrame) -> DataFrame:
-    """Send on progress that matters, and the latest message again after 15 s of silence."""
-    rows = sanitise_progress(messages).withColumn("step", _send_step()).select(*_SENT, "step")
+def throttle_live(messages: DataFrame) -> DataFrame:
+    """Send on progress that matters, and the latest message again after 15 s of silence.
+
+    For live streams, where the timer matters and the source's trigger limit keeps
+    micro-batches small; ``carried.throttle_progress`` takes batches of any size.
+    """
+    rows = sanitise_progress(messages).withColumn("step", send_step()).select(*_SENT, "step")
     fields = ("task_id BIGINT, arrival BIGINT, at_us BIGINT, stage STRING, status STRING, completed BIGINT, "
               "total BIGINT, error_code STRING")
     state = ("sent_stage STRING, sent_status STRING, sent_at BIGINT, sent_done BIGINT, arrival BIGINT, at_us BIGINT, "

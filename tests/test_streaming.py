@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lecturespark import session
 from lecturespark.operators import admission, health, messages
 from lecturespark.plans.catalogue import load
-from lecturespark.streaming import circuit, control, intake, sinks
+from lecturespark.streaming import carried, control, intake, sinks
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -25,28 +25,53 @@ def in_batches(spark, df, order, path, batches=4):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_control_over_batches(spark, tmp_path):
+PLANS = [{"blocked": False}, {"rows_per_task": 1}]
+
+
+@pytest.mark.parametrize("plan", PLANS)
+def test_control_over_batches(spark, tmp_path, plan):
     rows = load(spark, FOLDER, "control")
     expected = rows.select("task_id", F.concat(F.lit("h"), F.col("task_id").cast("string")).alias("expected_hash")).distinct()
     stream = in_batches(spark, rows, "arrival", str(tmp_path / "in"))
-    got = sinks.drain_to_parquet(control.guard_control(stream, expected), str(tmp_path / "out"))
-    want = messages.sequence_guard(rows, expected, ["task_id"]).select("task_id", "arrival", "sequence", "status")
-    assert values(got) == values(want)
+    got = carried.guard_control(stream, expected, str(tmp_path / "out"), **plan)
+    want = messages.sequence_guard(rows, expected, ["task_id"])
+    assert values(got.select("arrival", "status")) == values(want.select("arrival", "status"))
+
+
+def test_control_forgets_ended_jobs(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 1, 9, "h", "progress", 0), (1, 2, 1, "h", "progress", 100), (2, 1, 5, "h", "progress", 100)],
+                                 "arrival INT, task_id INT, sequence INT, input_hash STRING, control_kind STRING, at_us BIGINT")
+    expected = spark.createDataFrame([(1, "h"), (2, "h")], "task_id INT, expected_hash STRING")
+    for forget, status in ((None, "out_of_sequence"), (50, "accepted")):
+        stream = in_batches(spark, rows, "arrival", str(tmp_path / f"in{forget}"), batches=3)
+        got = carried.guard_control(stream, expected, str(tmp_path / f"out{forget}"), forget)
+        assert [r["status"] for r in got.orderBy("arrival").collect()] == ["accepted", "accepted", status]
+
+
+@pytest.mark.parametrize("plan", PLANS)
+def test_throttle_over_batches(spark, tmp_path, plan):
+    rows = load(spark, FOLDER, "progress")
+    stream = in_batches(spark, rows, "arrival", str(tmp_path / "in"))
+    got = carried.throttle_progress(stream, str(tmp_path / "out"), **plan)
+    want = messages.progress_throttle(rows, ["task_id"])
+    assert values(got.select("arrival")) == values(want.select("arrival"))
 
 
-def test_throttle_over_batches(spark, tmp_path):
+def test_live_throttle_over_batches(spark, tmp_path):
     rows = load(spark, FOLDER, "progress")
     stream = in_batches(spark, rows, "arrival", str(tmp_path / "in"))
-    got = sinks.drain_to_parquet(control.throttle_progress(stream), str(tmp_path / "out"))
+    got = sinks.drain_to_parquet(control.throttle_live(stream), str(tmp_path / "out"))
     assert values(got.select("arrival")) == values(messages.progress_throttle(rows, ["task_id"]).select("arrival"))
 
 
-def test_circuit_over_batches(spark, tmp_path):
-    rows = load(spark, FOLDER, "attempts")
+@pytest.mark.parametrize("plan", PLANS)
+def test_circuit_over_batches(spark, tmp_path, plan):
+    # Half a minute between attempts instead of hours, so that failures pile up over batches.
+    rows = load(spark, FOLDER, "attempts").withColumn("at_us", F.col("event_id") * 30_000_000).withColumn("key_id", F.col("key_id") % 5)
     stream = in_batches(spark, rows, "event_id", str(tmp_path / "in"))
-    got = sinks.drain_to_parquet(circuit.watch_circuit(stream), str(tmp_path / "out"))
-    want = health.ai_circuit(rows, ["key_id"]).select("key_id", "event_id", "state", "failures", "retry_after_us")
-    assert values(got) == values(want)
+    got = carried.watch_circuit(stream, str(tmp_path / "out"), **plan)
+    columns = ["key_id", "event_id", "state", "failures", "retry_after_us"]
+    assert values(got.select(columns)) == values(health.ai_circuit(rows, ["key_id"]).select(columns))
 
 
 def test_ledger_over_batches(spark, tmp_path):
@@ -115,13 +140,6 @@ def test_silence_sends_the_latest_again():
     assert list(beat["arrival"]) == [1] and state.timeout == 15_000
 
 
-def test_guard_forgets_dead_jobs():
-    state = FakeState()
-    state.update((7,))
-    state.hasTimedOut = True
-    assert list(control._guard((1,), iter([]), state)) == [] and not state.exists
-
-
 def test_a_cluster_must_name_its_folder(monkeypatch):
     class Conf:
         def get(self, key, default=None):
