@@ -66,7 +66,7 @@ def apply_rules(courses: DataFrame, rules: DataFrame) -> DataFrame:
 def discover_new(lectures: DataFrame, seen: DataFrame) -> DataFrame:
     """Playable lectures with an id that no earlier run has seen."""
     playable = lectures.where(F.col("has_playback") & present(F.col("sub_id").cast("string"), "").isNotNull())
-    return playable.join(seen.select("course_id", "sub_id"), ["course_id", "sub_id"], "left_anti")
+    return playable.join(seen_state(seen), ["course_id", "sub_id"], "left_anti")
 
 
 def seen_state(seen: DataFrame) -> DataFrame:

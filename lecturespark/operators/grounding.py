@@ -42,7 +42,7 @@ def ground_citations(answers: DataFrame, evidence: DataFrame, limit: int = MAX_C
     citation, becomes the fixed refusal. Only an answer's own citations are ever
     grouped; the evidence of a query is joined, not collected.
     """
-    allowed = usable_evidence(evidence).select("query_id", F.col("citation_id").alias("cited"))
+    allowed = usable_evidence(evidence).select("query_id", F.col("citation_id").alias("cited")).distinct()
     named = answers.select("answer_id", "query_id", F.posexplode("citations").alias("pos", "cited"))
     kept = (
         named.join(allowed, ["query_id", "cited"], "left_semi")

@@ -103,7 +103,7 @@ def route_outputs(jobs: DataFrame, keys: list[str]) -> DataFrame:
 
 def resume_windows(windows: DataFrame, done: DataFrame, checkpoints: DataFrame, keys: list[str]) -> DataFrame:
     """Windows still to do; a checkpoint of another mode stops the job instead."""
-    left = windows.join(done, [*keys, "window_id"], "left_anti")
+    left = windows.join(done.select(*keys, "window_id").distinct(), [*keys, "window_id"], "left_anti")
     checked = left.join(checkpoints, keys, "left")
     differs = F.col("checkpoint_mode").isNotNull() & (F.col("checkpoint_mode") != F.col("mode"))
     return checked.withColumn("status", F.when(differs, "checkpoint_mode_mismatch").otherwise("todo")).drop("checkpoint_mode")
@@ -123,7 +123,7 @@ def reconcile_results(jobs: DataFrame, results: DataFrame) -> DataFrame:
         .when(~F.coalesce(F.col("job_kind").isin(*KINDS), F.lit(False)), "job_kind_invalid")
         .when(F.col("job_kind") != F.col("expected_kind"), "job_kind_mismatch").otherwise("ok"))
     seen = joined.select("task_id", "result_id", status.alias("status"))
-    missing = jobs.join(results, "task_id", "left_anti").select(
+    missing = jobs.join(results.select("task_id").distinct(), "task_id", "left_anti").select(
         "task_id", F.lit(None).cast(results.schema["result_id"].dataType).alias("result_id"), F.lit("missing").alias("status"))
     return seen.unionByName(missing)
 
@@ -131,8 +131,8 @@ def reconcile_results(jobs: DataFrame, results: DataFrame) -> DataFrame:
 def materialise_sources(jobs: DataFrame, media: DataFrame, slides: DataFrame, on: list[str]) -> DataFrame:
     """Jobs with the media they asked for and how many slides wait for them.
 
-    The slides themselves stay rows (``job_slides``); a lecture's list is never put
-    into one value.
+    The slides themselves stay rows (``requested_slides``); a lecture's list is never
+    put into one value.
     """
     counts = slides.groupBy(*on).agg(F.count(F.lit(1)).alias("_slides"))
     joined = jobs.join(media, on, "left").join(counts, on, "left")
@@ -142,6 +142,9 @@ def materialise_sources(jobs: DataFrame, media: DataFrame, slides: DataFrame, on
     }).drop("_slides", "account", "password")
 
 
-def job_slides(jobs: DataFrame, slides: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
-    """The slide rows of the jobs that asked for them."""
-    return jobs.where("wants_slides").select(*keys, *on).join(slides, on)
+def requested_slides(jobs: DataFrame, slides: DataFrame, on: list[str]) -> DataFrame:
+    """The slides that any job asked for, once per lecture whatever the number of jobs.
+
+    A job finds its slides by lecture; pairs of jobs and slides are never written out.
+    """
+    return slides.join(jobs.where("wants_slides").select(*on).distinct(), on, "left_semi")

@@ -103,11 +103,17 @@ def slides_to_windows(slides: DataFrame, windows: DataFrame, keys: list[str] | N
 
 def slides_untimed_windows(lectures: DataFrame, slides: DataFrame, keys: list[str] | None = None,
                            size: int = SLIDES_PER_WINDOW, **options) -> DataFrame:
-    """Without a transcript: ``size`` slides to a window, at least one window each."""
+    """Without a transcript: ``size`` slides to a window, at least one window each.
+
+    Slides of the lectures, and the lectures without slides with one empty window: a
+    left join would send all slides of a lecture to one task.
+    """
     keys = keys or ["lecture_id"]
-    numbered = list_positions(slides, keys, ["ord"], **options)
-    return lectures.select(*keys).distinct().join(numbered, keys, "left").withColumn(
-        "window_id", F.coalesce(window_of("idx", size), F.lit(0).cast("bigint")))
+    known = lectures.select(*keys).distinct()
+    numbered = list_positions(slides, keys, ["ord"], **options).withColumn("window_id", window_of("idx", size))
+    empty = known.join(slides.select(*keys).distinct(), keys, "left_anti").withColumn(
+        "window_id", F.lit(0).cast("bigint"))
+    return numbered.join(known, keys, "left_semi").unionByName(empty, allowMissingColumns=True)
 
 
 def merge_request(titles: DataFrame, notes: DataFrame, keys: list[str] | None = None,

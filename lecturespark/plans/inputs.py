@@ -2,7 +2,8 @@
 
 from .registry import define_input
 
-# A lecture is 25 conversations long, so windows of 20 and 120 rows are filled.
+# A lecture is 25 conversations long, so windows of 20 and 120 rows are filled. The
+# second recogniser's lectures begin one conversation earlier, so list lengths differ.
 define_input("segments_a", """
 SELECT CAST(floor(conv_id / 25) AS BIGINT) AS lecture_id, conv_id * 100 + turn AS ord,
        (conv_id % 25) * 24000 + turn * 3000 - (length(text) % 5) * 700 AS start_ms,
@@ -13,17 +14,17 @@ SELECT CAST(floor(conv_id / 25) AS BIGINT) AS lecture_id, conv_id * 100 + turn A
 FROM {conversations}""")
 
 define_input("segments_b", """
-SELECT CAST(floor(conv_id / 25) AS BIGINT) AS lecture_id, conv_id * 100 + turn AS ord,
+SELECT CAST(floor((conv_id + 1) / 25) AS BIGINT) AS lecture_id, conv_id * 100 + turn AS ord,
        (conv_id % 25) * 24000 + turn * 3000 AS start_ms,
        (conv_id % 25) * 24000 + turn * 3000 + 2500 AS end_ms,
-       CASE WHEN turn % 4 = 2 THEN '' ELSE concat('B: ', substr(text, 1, 40)) END AS text
-FROM {conversations} WHERE turn % 3 <> 1""")
+       CASE WHEN turn % 4 = 2 THEN '' ELSE concat('B: ', text) END AS text
+FROM {conversations}""")
 
 define_input("corrections", """
 SELECT CAST(floor(conv_id / 25) AS BIGINT) AS lecture_id, (conv_id % 25) * 5 + turn AS idx,
        conv_id * 100 + turn AS ord,
-       CASE WHEN turn % 4 = 0 THEN '' ELSE concat('fixed ', CAST(conv_id AS STRING)) END AS text
-FROM {conversations} WHERE turn % 2 = 0""")
+       CASE WHEN turn % 4 < 2 THEN '' ELSE concat('fixed ', CAST(conv_id AS STRING)) END AS text
+FROM {conversations}""")
 
 define_input("slides", """
 SELECT page_id % 8 AS lecture_id, page_id AS ord,
@@ -38,19 +39,20 @@ SELECT o_custkey AS course_id, o_orderkey AS sub_id, CAST(o_orderdate AS DATE) A
        CAST(floor(o_totalprice) AS BIGINT) % 20000 AS duration_seconds
 FROM {orders}""")
 
+# A quarter of the rules belong to no course, and as many courses have no rule.
 define_input("rules", """
-SELECT c_custkey AS course_id, c_custkey AS ord, c_custkey % 3 = 0 AS discovery_only,
+SELECT CASE WHEN c_custkey % 4 = 3 THEN -c_custkey ELSE c_custkey END AS course_id, c_custkey AS ord, c_custkey % 3 = 0 AS discovery_only,
        c_custkey % 5 AS priority,
        CASE c_mktsegment WHEN 'BUILDING' THEN 'standard' WHEN 'MACHINERY' THEN 'no-proofread'
             WHEN 'HOUSEHOLD' THEN NULL ELSE 'fast' END AS subtitle_mode,
        c_custkey % 2 = 0 AS ocr, c_custkey % 7 = 0 AS summary, c_custkey % 11 = 0 AS chapters,
        60 * (1 + c_custkey % 4) AS max_lecture_minutes
-FROM {customer} WHERE c_custkey % 4 <> 3""")
+FROM {customer}""")
 
 define_input("seen", """
-SELECT o_custkey AS course_id, o_orderkey AS sub_id FROM {orders} WHERE o_orderkey % 5 = 0
+SELECT o_custkey AS course_id, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey ELSE -o_orderkey END AS sub_id FROM {orders}
 UNION ALL
-SELECT o_custkey AS course_id, o_orderkey AS sub_id FROM {orders} WHERE o_orderkey % 15 = 0""")
+SELECT o_custkey AS course_id, CASE WHEN o_orderkey % 15 = 0 THEN o_orderkey ELSE -o_orderkey END AS sub_id FROM {orders}""")
 
 define_input("attempts", """
 SELECT event_id, user_id AS key_id, {ts_us} AS at_us,
@@ -85,7 +87,7 @@ SELECT page_id,
             WHEN 2 THEN 'application/problem+json' WHEN 3 THEN '' WHEN 4 THEN NULL
             WHEN 5 THEN 'application/json ;v=1' ELSE 'image/png' END AS content_type,
        CASE page_id % 5 WHEN 0 THEN 'abcdftypisom0000' WHEN 1 THEN '  {"error":1}' WHEN 2 THEN 'zz'
-            WHEN 3 THEN 'abcdftyp' ELSE substr(html, 1, 64) END AS prefix
+            WHEN 3 THEN 'abcdftyp' ELSE html END AS prefix
 FROM {pages}""")
 
 define_input("urls", """
@@ -130,5 +132,5 @@ FROM {orders}""")
 
 define_input("evidence", """
 SELECT doc_id % 50 AS query_id, CAST(doc_id AS STRING) AS citation_id,
-       CASE WHEN doc_id % 13 = 0 OR doc_id % 50 = 7 THEN '' ELSE substr(text, 1, 200) END AS text
+       CASE WHEN doc_id % 13 = 0 OR doc_id % 50 = 7 THEN '' ELSE text END AS text
 FROM {documents}""")

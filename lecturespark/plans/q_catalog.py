@@ -47,10 +47,10 @@ SELECT page_id,
 FROM {pages}""")
 
 define_input("course_details", """
-SELECT c_nationkey AS account_id, CAST(c_custkey % 50 AS STRING) AS course_id,
+SELECT c_nationkey AS account_id, concat(CASE WHEN c_custkey % 50 < 30 THEN '' ELSE 'x' END, CAST(c_custkey % 50 AS STRING)) AS course_id,
        CASE WHEN c_nationkey % 4 = 0 THEN 500 WHEN max(c_custkey) % 3 = 0 THEN 403 ELSE 0 END AS code,
        concat('detail ', min(c_name)) AS title
-FROM {customer} WHERE c_custkey % 50 < 30 GROUP BY c_nationkey, c_custkey % 50""")
+FROM {customer} GROUP BY c_nationkey, c_custkey % 50""")
 
 # Accepted schedule rows, stated from the base columns.
 DUCK_SCHEDULE = """sched AS (

@@ -21,7 +21,7 @@ SELECT doc_id % 200 AS task_id, doc_id AS ord,
             ELSE concat(CASE WHEN doc_id % 2 = 0 THEN 'job ' ELSE ' ' END, 'part ',
                         CAST(CAST(floor(doc_id / 200) AS BIGINT) % 4 + 1 AS STRING), '/',
                         CASE WHEN doc_id % 200 = 11 AND doc_id > 600 THEN '5' WHEN doc_id % 200 = 12 THEN '0' ELSE '4' END, {nl},
-                        replace(replace({b64:substr(text, 1, 90)}, {nl}, ''), '=', 'A'), {nl}) END AS body
+                        replace(replace({b64:text}, {nl}, ''), '=', 'A'), {nl}) END AS body
 FROM {documents}""")
 
 define_input("job_json", """
@@ -215,10 +215,11 @@ FROM lineitem WHERE NOT (l_orderkey % 3 = 0 AND l_linenumber < 3)""")
 def _(load):
     windows = load("lineitem").select(F.col("l_orderkey").alias("job_id"), F.lit("proofread").alias("stage"),
                                       F.col("l_linenumber").cast("bigint").alias("window_id"), F.lit("standard").alias("mode"))
-    done = windows.where("job_id % 3 = 0 AND window_id < 3").select("job_id", "stage", "window_id")
-    saved = load("orders").where("o_orderkey % 5 = 0").select(
+    finished = (F.col("job_id") % 3 == 0) & (F.col("window_id") < 3)
+    done = windows.select("job_id", "stage", F.when(finished, F.col("window_id")).otherwise(-1).alias("window_id"))
+    saved = load("orders").select(
         F.col("o_orderkey").alias("job_id"), F.lit("proofread").alias("stage"),
-        F.when(F.col("o_orderkey") % 15 == 0, "standard").otherwise("fast").alias("checkpoint_mode"))
+        F.expr("CASE WHEN o_orderkey % 15 = 0 THEN 'standard' WHEN o_orderkey % 5 = 0 THEN 'fast' END").alias("checkpoint_mode"))
     return jobs.resume_windows(windows, done, saved, ["job_id", "stage"]).select("job_id", "window_id", "status")
 
 
@@ -256,12 +257,12 @@ def _(load):
     return jobs.materialise_sources(asked, media, pages, ["lecture_id"]).select("job_id", "media_url", "slides")
 
 
-@query("job_slides", """
-SELECT o_orderkey AS job_id, doc_id AS slide_id FROM orders JOIN documents ON doc_id % 300 = o_orderkey % 300
-WHERE o_orderkey % 8 <> 0""")
+@query("requested_slides", """
+SELECT doc_id % 300 AS lecture_id, doc_id AS slide_id FROM documents
+WHERE doc_id % 300 IN (SELECT o_orderkey % 300 FROM orders WHERE o_orderkey % 8 <> 0)""")
 def _(load):
     asked, _, pages = _sources(load)
-    return jobs.job_slides(asked, pages, ["lecture_id"], ["job_id"]).select("job_id", "slide_id")
+    return jobs.requested_slides(asked, pages, ["lecture_id"])
 
 
 @query("result_sink", """

@@ -23,7 +23,7 @@ FROM {pages}""")
 define_input("stderr", """
 SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'x Server returned 404 Not Found' WHEN 1 THEN 'HTTP error 429, moov atom'
     WHEN 2 THEN 'requested URL returned error: 401' WHEN 3 THEN 'server returned 5XX' WHEN 4 THEN 'MOOV ATOM not found; Invalid data'
-    WHEN 5 THEN 'Invalid data found' WHEN 6 THEN NULL WHEN 7 THEN 'http error 403 after http error 401' ELSE substr(html, 1, 500) END AS stderr
+    WHEN 5 THEN 'Invalid data found' WHEN 6 THEN NULL WHEN 7 THEN 'http error 403 after http error 401' ELSE html END AS stderr
 FROM {pages}""")
 
 define_input("addresses", """
@@ -60,13 +60,14 @@ SELECT l_suppkey AS release_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_p
 FROM {lineitem}""")
 
 define_input("expected_files", """
-SELECT p_partkey % 20 AS release_id, concat('f', CAST(p_partkey AS STRING)) AS path, p_partkey * 3 AS size,
-       {sha256}(CAST(p_partkey AS STRING){sha_arg}) AS sha256 FROM {part} WHERE p_partkey % 7 <> 0""")
+SELECT p_partkey % 20 AS release_id, concat(CASE WHEN p_partkey % 7 = 0 THEN 'e' ELSE 'f' END, CAST(p_partkey AS STRING)) AS path,
+       p_partkey * 3 AS size,
+       {sha256}(CAST(p_partkey AS STRING){sha_arg}) AS sha256 FROM {part}""")
 define_input("actual_files", """
-SELECT p_partkey % 20 AS release_id, concat('f', CAST(p_partkey AS STRING)) AS path,
+SELECT p_partkey % 20 AS release_id, concat(CASE WHEN p_partkey % 5 = 0 THEN 'a' ELSE 'f' END, CAST(p_partkey AS STRING)) AS path,
        p_partkey * 3 + CASE WHEN p_partkey % 13 = 0 THEN 1 ELSE 0 END AS size,
        {sha256}(CAST(p_partkey + CASE WHEN p_partkey % 17 = 0 THEN 1 ELSE 0 END AS STRING){sha_arg}) AS sha256
-FROM {part} WHERE p_partkey % 5 <> 0""")
+FROM {part}""")
 
 define_input("sessions", """
 SELECT page_id % 40 AS session_id, page_id AS seq,
@@ -321,9 +322,11 @@ SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 4 THEN 'worker_manifest_invalid'
 def _(load):
     manifests = load("supplier").select("s_suppkey", (F.col("s_nationkey")).alias("key_id"),
                                         F.sha2(F.col("s_suppkey").cast("string"), 256).alias("digest"))
-    keys = load("nation").where("n_nationkey % 5 <> 4").select(
-        F.col("n_nationkey").alias("key_id"), F.expr("element_at(array('active', 'retired', 'active', 'revoked'), CAST(n_nationkey % 5 + 1 AS INT))").alias("status"))
-    revoked = load("supplier").where("s_suppkey % 7 = 0").select(F.upper(F.sha2(F.col("s_suppkey").cast("string"), 256)).alias("digest"))
+    keys = load("nation").select(
+        F.expr("CASE WHEN n_nationkey % 5 = 4 THEN -n_nationkey ELSE n_nationkey END").alias("key_id"),
+        F.expr("element_at(array('active', 'retired', 'active', 'revoked', 'active'), CAST(n_nationkey % 5 + 1 AS INT))").alias("status"))
+    listed = F.when(F.col("s_suppkey") % 7 == 0, F.col("s_suppkey")).otherwise(-F.col("s_suppkey"))
+    revoked = load("supplier").select(F.upper(F.sha2(listed.cast("string"), 256)).alias("digest"))
     return integrity.revocation_check(manifests, keys, revoked).select("s_suppkey", "status")
 
 

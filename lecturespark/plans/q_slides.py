@@ -17,7 +17,7 @@ SELECT page_id % 8 AS lecture_id, page_id AS ord,
 FROM {pages}""")
 
 define_input("slides_only", """
-SELECT page_id % 12 AS lecture_id, page_id AS ord FROM {pages} WHERE page_id % 12 < 8""")
+SELECT page_id % 8 AS lecture_id, page_id AS ord FROM {pages}""")
 
 define_input("page_lines", """
 SELECT doc_id, text, CAST(floor(n_chars) AS BIGINT) AS n_chars FROM {documents}""")
