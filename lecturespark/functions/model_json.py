@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import BLANKS, col
+from .text import SPACES, col
 
 _END = "end of text"
 
 
 def strip(value) -> Column:
-    """Trim Unicode white space on both sides."""
-    blanks = BLANKS.removeprefix("(?U)")
-    return F.regexp_replace(col(value), rf"(?U)\A{blanks}|{blanks}\z", "")
+    """Trim Unicode white space on both sides; only the ends of the text are looked at."""
+    return F.btrim(col(value), F.lit(SPACES))
 
 
 def unfence(value) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Unicode white space; the separators U+001C to U+001F are not in Java's \s.
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
+# The same characters one by one.
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def col(value) -> Column:

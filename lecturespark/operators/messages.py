@@ -15,8 +15,9 @@ PART_CHARS = 48 * 1024
 SMALLEST_PART = 1024
 # Payloads up to this many characters are joined into one value.
 WHOLE_CHARS = 96 * 1024 * 1024
-# Fixed value: form of a message part.
-PART = r"\A(?:job )?part (\d+)/(\d+)\n([A-Za-z0-9+/=]+)\z"
+# Form of a message part, its first line and its second.
+PART_HEAD = r"\A(?:job )?part (\d+)/(\d+)\z"
+PART_PIECE = r"\A[A-Za-z0-9+/=]+\z"
 # Kinds of control messages and states of progress.
 CONTROL_KINDS = ("progress", "checkpoint", "refresh_request", "cancel_ack")
 PROGRESS_STATES = ("running", "waiting", "failed", "completed")
@@ -37,13 +38,18 @@ def split_parts(payloads: DataFrame, keys: list[str], column: str = "payload", s
 
 
 def part_rows(messages: DataFrame, keys: list[str]) -> DataFrame:
-    """Messages that are parts; the last message of a part number wins."""
-    body = strip(F.coalesce("body", F.lit("")))
-    groups = [F.regexp_extract(body, PART, g).alias(n) for g, n in ((1, "part"), (2, "total"), (3, "piece"))]
-    parsed = messages.where(body.rlike(PART)).select(*keys, "ord", *groups)
-    parsed = parsed.withColumns({"part": F.col("part").try_cast("bigint"), "total": F.col("total").try_cast("bigint")})
-    return parsed.groupBy(*keys, "part").agg(
-        F.max_by("piece", "ord").alias("piece"), F.min("total").alias("low"), F.max("total").alias("high"))
+    """Messages that are parts; the last message of a part number wins.
+
+    The short first line is matched by itself, so that long texts are read once.
+    """
+    body = messages.select(*keys, "ord", strip(F.coalesce("body", F.lit(""))).alias("_body"))
+    cut = F.instr("_body", "\n")
+    lines = body.select(*keys, "ord", F.when(cut > 0, F.substring("_body", F.lit(1), cut - 1)).alias("_head"),
+                        F.expr("substring(_body, instr(_body, char(10)) + 1)").alias("piece"))
+    parts = lines.where(F.col("_head").rlike(PART_HEAD) & F.col("piece").rlike(PART_PIECE))
+    number = lambda g: F.regexp_extract("_head", PART_HEAD, g).try_cast("bigint")
+    return parts.groupBy(*keys, number(1).alias("part")).agg(
+        F.max_by("piece", "ord").alias("piece"), F.min(number(2)).alias("low"), F.max(number(2)).alias("high"))
 
 
 def part_status(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,7 +73,9 @@ def reassemble_parts(messages: DataFrame, keys: list[str]) -> DataFrame:
     status = part_status(parts, keys)
     whole = status.where((F.col("status") == "complete") & (F.col("chars") <= WHOLE_CHARS)).select(*keys)
     ordered = F.array_sort(F.collect_list(F.struct("part", "piece")))
-    payload = parts.join(whole, keys, "left_semi").groupBy(*keys).agg(
+    # Complete parts agree on their number; asking for it keeps both uses of ``parts`` one scan.
+    agreed = parts.where("low = high").join(whole, keys, "left_semi")
+    payload = agreed.groupBy(*keys).agg(
         F.concat_ws("", F.transform(ordered, lambda x: x["piece"])).alias("payload"))
     return status.join(payload, keys, "left")
 

@@ -23,7 +23,7 @@ SPARK_DIALECT = {
     "ts_us": "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)",
     "sha256": "sha2",
     "sha_arg": ", 256",
-    "b64": r"regexp_replace(base64(encode(%s, 'UTF-8')), '[\\r\\n]', '')",
+    "b64": "replace(base64(encode(%s, 'UTF-8')), concat(char(13), char(10)), '')",
     "nl": "char(10)",
 }
 DUCK_DIALECT = {
