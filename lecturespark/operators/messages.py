@@ -84,7 +84,7 @@ def complete_parts(messages: DataFrame, keys: list[str]) -> DataFrame:
     """The ordered pieces of every complete task, of any size."""
     parts = part_rows(messages, keys)
     done = part_status(parts, keys).where("status = 'complete'").select(*keys)
-    return parts.join(done, keys, "left_semi").select(*keys, "part", "piece")
+    return parts.where("low = high").join(done, keys, "left_semi").select(*keys, "part", "piece")
 
 
 def sequence_guard(messages: DataFrame, expected: DataFrame, keys: list[str], order: tuple[str, ...] = ("arrival",),

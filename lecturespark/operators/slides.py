@@ -49,29 +49,31 @@ def dhash_bits(grid: Column) -> Column:
 
     Bit by bit from the top left: set where the right neighbour is brighter.
     """
-    steps = F.sequence(F.lit(0), F.lit(63))
-
-    def bit(i: Column) -> Column:
-        at = i + F.floor(i / 8).cast("int")
-        return (F.get(grid, at + 1) > F.get(grid, at)).cast("bigint")
-
-    folded = F.aggregate(steps, F.lit(0).cast("bigint"),
-                         lambda value, i: F.shiftleft(value, 1).bitwiseOR(bit(i)))
-    return F.lower(F.lpad(F.hex(folded), 16, "0"))
-
-
-def page_text(lines: DataFrame, keys: list[str], **options) -> DataFrame:
+    # Written out bit by bit, so that it compiles to plain comparisons.
+    value = F.lit(0).cast("bigint")
+    for row in range(8):
+        for column in range(8):
+            at = row * 9 + column
+            weight = 1 << (63 - row * 8 - column)
+            signed = weight - (1 << 64) if weight >> 63 else weight
+            value = value.bitwiseOR(F.when(F.get(grid, F.lit(at + 1)) > F.get(grid, F.lit(at)), signed).otherwise(0))
+    return F.lower(F.lpad(F.hex(value), 16, "0"))
+
+
+def page_text(lines: DataFrame, keys: list[str], pages: DataFrame | None = None, **options) -> DataFrame:
     """Recognised lines to page text: trimmed, blanks dropped, joined by line breaks.
 
-    Parts as in ``document_parts``. A page without lines has an empty part 0.
+    Parts as in ``document_parts``. A page without lines has an empty part 0; ``pages``
+    may list the pages where that is cheaper than taking them from the lines.
     """
     kept = lines.select(*keys, "ord", strip(F.coalesce("line", F.lit(""))).alias("line")).where("line <> ''")
     numbered = list_positions(kept, keys, ["ord"], **{"sized_by": lines, **options})
     pieces = numbered.select(*keys, F.col("idx").alias("ord"),
                              F.concat(F.when(F.col("idx") > 0, "\n").otherwise(""), "line").alias("piece"))
-    pages = lines.select(*keys).distinct().select(
+    known = lines if pages is None else pages
+    heads = known.select(*keys).distinct().select(
         *keys, F.lit(-1).cast("bigint").alias("ord"), F.lit("").alias("piece"))
-    return document_parts(pieces.unionByName(pages), keys, "ord", "piece", LINES_PER_PART)
+    return document_parts(pieces.unionByName(heads), keys, "ord", "piece", LINES_PER_PART)
 
 
 def assign_windows(segments: DataFrame, keys: list[str] | None = None, size: int = SEGMENTS_PER_WINDOW) -> DataFrame:

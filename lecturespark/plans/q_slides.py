@@ -87,7 +87,8 @@ SELECT d.doc_id, CAST(0 AS BIGINT) AS part, coalesce(t.text, '') AS text FROM do
   WHERE s <> '' GROUP BY doc_id) t USING (doc_id)""")
 def _(load):
     lines = load("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
-    return slides.page_text(lines, ["doc_id"])
+    # The lines of a page come from one row here, which bounds them without a count.
+    return slides.page_text(lines, ["doc_id"], load("documents"), blocked=False)
 
 
 @query("assign_windows", f"""
