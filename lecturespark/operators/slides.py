@@ -148,3 +148,24 @@ def pack_transcript(segments: DataFrame, keys: list[str] | None = None, size: in
         .groupBy(*keys, "window_id")
         .agg(F.count(F.lit(1)).alias("items"), F.to_json(ordered).alias("transcript"))
     )
+
+
+def window_requests(packed: DataFrame, members: DataFrame, keys: list[str] | None = None,
+                    per_part: int = 1000, **options) -> DataFrame:
+    """The summary request of each window: its transcript and its slides in order.
+
+    ``packed`` comes from ``pack_transcript``; ``members`` has the slides of each window
+    with ``page_num``, ``created_sec`` and ``text``. A window with very many slides takes
+    several parts.
+    """
+    keys = [*(keys or ["lecture_id"]), "window_id"]
+    numbered = list_positions(members, keys, ["ord"], **options)
+    page = F.to_json(F.struct("page_num", "created_sec", "text"))
+    pieces = numbered.select(*keys, F.col("idx").alias("ord"),
+                             F.concat(F.when(F.col("idx") > 0, ",").otherwise(""), page).alias("piece"))
+    head = packed.select(*keys, F.lit(-1).cast("bigint").alias("ord"),
+                         F.concat(F.lit('{"transcript":'), "transcript", F.lit(',"ppt_pages":[')).alias("piece"))
+    counts = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    foot = packed.select(*keys).join(counts, keys, "left").select(
+        *keys, F.coalesce("n", F.lit(0)).cast("bigint").alias("ord"), F.lit("]}").alias("piece"))
+    return document_parts(pieces.unionByName(head).unionByName(foot), keys, "ord", "piece", per_part, "request")

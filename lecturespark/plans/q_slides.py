@@ -205,3 +205,22 @@ def _(load):
     cited = F.split(F.replace("cites", F.lit('"'), F.lit("")), ",")
     return load("answers").select("answer_id", F.size(cited).cast("bigint").alias("given"),
                                   F.concat_ws(",", F.slice(cited, 1, grounding.MAX_CITATIONS)).alias("kept"))
+
+
+@query("window_requests", f"""
+WITH RECURSIVE {duck_normalised()}, {WINDOWS},
+t AS (SELECT lecture_id, (n - 1) // 120 AS window_id,
+             '[' || string_agg(to_json({{'start_ms': start_ms, 'end_ms': end_ms, 'text': text}})::VARCHAR, ',' ORDER BY n) || ']' AS transcript
+      FROM norm GROUP BY ALL),
+p AS (SELECT w.lecture_id, w.window_id, string_agg(to_json({{'page_num': s.page_num, 'created_sec': s.created_sec,
+             'text': s.dhash}})::VARCHAR, ',' ORDER BY s.ord) AS pages
+      FROM windows w JOIN $slides s ON s.lecture_id = w.lecture_id AND s.created_sec * 1000 BETWEEN w.lower_ms AND w.upper_ms
+      GROUP BY ALL)
+SELECT t.lecture_id, t.window_id, CAST(0 AS BIGINT) AS part,
+       '{{"transcript":' || transcript || ',"ppt_pages":[' || coalesce(pages, '') || ']}}' AS request
+FROM t LEFT JOIN p ON p.lecture_id = t.lecture_id AND p.window_id = t.window_id""")
+def _(load):
+    clean = segments.normalise_segments(load("segments_a"))
+    shown = load("slides").withColumnRenamed("dhash", "text")
+    members = slides.slides_to_windows(shown, slides.assign_windows(clean))
+    return slides.window_requests(slides.pack_transcript(clean), members)
