@@ -50,7 +50,7 @@ def ai_circuit(attempts: DataFrame, keys: list[str], extra: tuple[str, ...] = ()
     events = rows.result().withColumn("_epoch", F.col("_successes") + F.col("_restarts")).withColumn(
         "_e", F.explode(F.when(failed, F.array(enter, leave)).otherwise(F.array(enter))))
     events = events.select("*", "_e.*").drop("_e", "_successes", "_restarts")
-    counted = OrderedRows(events, [*keys, "_epoch"], ["t", "kind", "event_id"], blocked=rows.blocked)
+    counted = OrderedRows(events, [*keys, "_epoch"], ["t", "kind", "event_id"], like=rows)
     counted = counted.running(_recent=Running("sum", F.col("weight"))).result().where("kind = 1")
     auth, recent = F.col("outcome") == "auth_failed", F.col("_recent")
     opened = failed & (auth | (recent >= AI_FAILURES_TO_OPEN))

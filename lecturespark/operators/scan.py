@@ -2,16 +2,16 @@
 
 A plain window over one key sends the whole key to one task. That is the best
 plan while every key is small, and it fails when one key holds a third of the
-table. ``OrderedRows`` measures the largest key first (one column-pruned count)
-and picks between
+table. ``OrderedRows`` measures the keys first (a column-pruned count) and treats
 
-* direct: one shuffle on the key, windows over the key;
-* blocked: rows are range-partitioned by (key, order), so a large key is cut
-  into many blocks of about equal size; windows run inside a block, and the
-  totals of the earlier blocks of the same key are added from a carry table.
-  Every range boundary cuts at most one key, so the carry table has at most two
-  rows per partition and its broadcast is bounded by the partition count, not
-  by the data.
+* small keys directly: one shuffle on the key, windows over the key;
+* large keys in blocks: their rows alone are range-partitioned by (key, order),
+  so a large key is cut into many blocks of about equal size; windows run inside
+  a block, and the totals of the earlier blocks of the same key are added from a
+  carry table. Every range boundary cuts at most one key, so the carry table has
+  at most two rows per partition and its broadcast is bounded by the partition
+  count, not by the data. The list of large keys is bounded too: there are at most
+  rows / ``ROWS_PER_TASK`` of them.
 
 Sums and maxima are associative, so both plans give the same values.
 """
@@ -35,6 +35,12 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return int(top["n"] or 0)
 
 
+def large_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The keys with more than ``limit`` rows, stored: they are few and used often."""
+    counted = df.groupBy(*keys).count()
+    return materialise(counted.where(F.col("count") > limit).select(*[F.col(k).alias(f"_large_{k}") for k in keys]))
+
+
 def range_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Cut the rows, ordered by (key, order), into blocks of about equal size."""
     count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -42,6 +48,12 @@ def range_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return materialise(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
 
+def _of_keys(df: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+    """Rows whose key is listed (left_semi) or not (left_anti); null keys count as keys."""
+    on = [F.col(c.removeprefix("_large_")).eqNullSafe(F.col(c)) for c in listed.columns]
+    return df.join(F.broadcast(listed), on, how)
+
+
 @dataclass(frozen=True)
 class Running:
     """One running value: ``kind`` is sum or max; exclusive leaves the row itself out."""
@@ -55,27 +67,39 @@ class OrderedRows:
     """Rows with running values.
 
     ``sized_by`` may name a cheaper table with the same keys and at least as many
-    rows per key to measure instead of ``df``; ``blocked`` settles the plan outright.
+    rows per key to measure instead of ``df``. ``blocked=False`` says that all keys are
+    small, and ``like`` takes the large keys of rows measured before.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], *, rows_per_task: int | None = None,
-                 blocked: bool | None = None, sized_by: DataFrame | None = None):
+                 blocked: bool | None = None, sized_by: DataFrame | None = None, like: OrderedRows | None = None):
         self.keys, self.order = list(keys), list(order)
-        if blocked is None:
+        self.large: DataFrame | None = None
+        if like is not None:
+            self.large = like.large
+        elif blocked is not False:
+            limit = rows_per_task or ROWS_PER_TASK
             measured = df if sized_by is None else sized_by
-            blocked = largest_group(measured, self.keys) > (rows_per_task or ROWS_PER_TASK)
-        self.blocked = blocked
-        self.df = range_blocks(df, self.keys, self.order) if blocked else df
-
-    def _with(self, df: DataFrame) -> "OrderedRows":
+            if largest_group(measured, self.keys) > limit:
+                self.large = large_keys(measured, self.keys, limit)
+        self.df = df
+        if self.large is not None:
+            small = _of_keys(df, self.large, "left_anti").withColumn(BLOCK, F.lit(-1))
+            self.df = small.unionByName(range_blocks(_of_keys(df, self.large, "left_semi"), self.keys, self.order))
+
+    @property
+    def blocked(self) -> bool:
+        return self.large is not None
+
+    def _with(self, df: DataFrame) -> OrderedRows:
         clone = object.__new__(OrderedRows)
-        clone.keys, clone.order, clone.blocked, clone.df = self.keys, self.order, self.blocked, df
+        clone.keys, clone.order, clone.large, clone.df = self.keys, self.order, self.large, df
         return clone
 
-    def derive(self, **columns: Column) -> "OrderedRows":
+    def derive(self, **columns: Column) -> OrderedRows:
         return self._with(self.df.withColumns(columns))
 
-    def running(self, **outputs: Running) -> "OrderedRows":
+    def running(self, **outputs: Running) -> OrderedRows:
         combine = {"sum": F.sum, "max": F.max}
         group = self.keys + ([BLOCK] if self.blocked else [])
         window = Window.partitionBy(*group).orderBy(*self.order)
@@ -90,7 +114,8 @@ class OrderedRows:
         return self._with(local.withColumns(zero) if zero else local)
 
     def _add_carry(self, local: DataFrame, combine: dict, outputs: dict[str, Running]) -> DataFrame:
-        totals = self.df.groupBy(*self.keys, BLOCK).agg(
+        # Small keys have block -1; the condition leaves their rows out of this pass.
+        totals = self.df.where(F.col(BLOCK) >= 0).groupBy(*self.keys, BLOCK).agg(
             *[combine[spec.kind](spec.value).alias(f"_t_{name}") for name, spec in outputs.items()])
         earlier = Window.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
         carry = (

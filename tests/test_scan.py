@@ -88,6 +88,8 @@ def test_carry_stays_small(spark):
         spark.range(5000).select(F.col("id") + 1, F.lit(0)))
     rows = scan.OrderedRows(df, ["k"], ["o"], rows_per_task=10)
     assert rows.blocked
+    assert rows.df.where(f"k = 0 AND {scan.BLOCK} < 0").count() == 0
+    assert rows.df.where(f"k <> 0 AND {scan.BLOCK} >= 0").count() == 0
     blocks = rows.df.groupBy("k", scan.BLOCK).count()
     cut = blocks.groupBy("k").agg(F.count("*").alias("n"), F.max("count").alias("most")).where("n > 1")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
