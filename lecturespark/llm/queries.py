@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from . import line_dedup, mixing, url_filter  # noqa: F401
+from . import decontaminate, line_dedup, mixing, tokens, url_filter  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
