@@ -69,19 +69,31 @@ class Matcher:
         for item_id, text in items:
             k = int(len(text) * rate)
             bounds = [len(text) * i // (k + 1) for i in range(k + 2)]
-            for a, b in zip(bounds, bounds[1:]):
-                pieces[text[a:b]].append((len(self.items), b))
+            for leaf, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                pieces[text[a:b]].append((len(self.items), b, _ancestors(bounds, leaf)))
             self.items.append((item_id, text, k))
         self.pieces = ahocorasick.Automaton()
         for piece, uses in pieces.items():
             self.pieces.add_word(piece, uses)
         self.pieces.make_automaton()
 
+    def holds(self, item: int, text: str, start: int, nodes: list[tuple]) -> bool:
+        """Whether every node above a hit occurs around it; ``start``: where the item would start."""
+        for a, b, budget in nodes:
+            key = item, a, b
+            if key not in self.bits:
+                self.bits[key] = positions(self.items[item][1][a:b])
+            if distances(self.bits[key], b - a, text[max(0, start + a - budget):max(0, start + b + budget)], budget)[1] < 0:
+                return False
+        return True
+
     def find(self, text: str) -> Iterator[tuple]:
         """(item id, distance, start, end) of the best occurrence of each item that occurs."""
         windows: dict[int, list[list[int]]] = {}
         for end, uses in self.pieces.iter(text) if self.items else ():
-            for item, offset in uses:
+            for item, offset, above in uses:
+                if not self.holds(item, text, end + 1 - offset, above):
+                    continue
                 _, own, k = self.items[item]
                 start = end + 1 - offset - k
                 found = windows.setdefault(item, [])
@@ -97,11 +109,11 @@ class Matcher:
                 yield item_id, 0, at, at + len(own)
                 continue
             if item not in self.bits:
-                self.bits[item] = positions(own), positions(own[::-1])
+                self.bits[item] = positions(own)
             best = (k + 1, -1)
             for a, b in spans:
                 a = max(0, a)
-                near, end = distances(self.bits[item][0], len(own), text[a:b], min(k, best[0] - 1))
+                near, end = distances(self.bits[item], len(own), text[a:b], min(k, best[0] - 1))
                 if end >= 0 and near < best[0]:
                     best = near, a + end
             if best[1] >= 0:
@@ -110,6 +122,16 @@ class Matcher:
                 yield item_id, best[0], best[1] - start_back(own[::-1], back, best[0]), best[1]
 
 
+def _ancestors(bounds: list[int], leaf: int) -> list[tuple]:
+    """(start, end, budget) of the nodes above a leaf, without the leaf and the root, from below."""
+    a, b, nodes = 0, len(bounds) - 1, []
+    while b - a > 1:
+        middle = (a + b) // 2
+        a, b = (a, middle) if leaf < middle else (middle, b)
+        nodes.append((bounds[a], bounds[b], b - a - 1))
+    return nodes[-2::-1]
+
+
 def start_back(pattern: str, text: str, distance: int) -> int:
     """The least n with edit distance ``distance`` between the pattern and the first n characters of ``text``."""
     row = list(range(len(pattern) + 1))
