@@ -194,6 +194,19 @@ def _steps(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator[
         yield from slices(whole, 1, SLICE_SCORES // max(4, len(model.languages)))
 
 
+def _predictions(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The language of most letters of each text, and its share; ``und`` and 0 without letters or languages."""
+    rows, n_lang = len(texts), len(model.languages)
+    if n_lang == 0:
+        return ["und"] * rows, np.zeros(rows)
+    offsets, states, letters = _labelled(model, texts)
+    row_of = np.repeat(np.arange(rows), np.diff(offsets))
+    sums = np.bincount(row_of * n_lang + states, letters, rows * n_lang).reshape(-1, n_lang)
+    total, best = sums.sum(axis=1), sums.argmax(axis=1)
+    return ([model.languages[b] if t > 0 else "und" for b, t in zip(best, total)],
+            np.where(total > 0, sums.max(axis=1, initial=0) / np.maximum(total, 1), 0.0))
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) per row: the language of most letters, and its share of the letters.
 
@@ -204,23 +217,33 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def labelled(batches):
-        model = shared.value
-        for batch in _steps(batches, model):
-            n_lang = max(1, len(model.languages))
-            names, share = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            if model.languages:
-                offsets, states, letters = _labelled(model, batch.column(1))
-                row_of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-                sums = np.bincount(row_of * n_lang + states, letters, batch.num_rows * n_lang).reshape(-1, n_lang)
-                total, best = sums.sum(axis=1), sums.argmax(axis=1)
-                share = np.where(total > 0, sums.max(axis=1) / np.maximum(total, 1), 0)
-                names = [model.languages[b] if t > 0 else "und" for b, t in zip(best, total)]
+        for batch in _steps(batches, shared.value):
+            names, share = _predictions(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(share, pa.float64())], [id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(labelled, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang", min_share: float = 0.0) -> DataFrame:
+    """The documents with letters whose main language has ``min_share`` of them; a null language becomes the main one.
+
+    No shuffle; all columns stay.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def kept(batches):
+        for whole in batches:
+            for batch in slices(whole, text_at, SLICE_SCORES // max(4, len(shared.value.languages))):
+                names, share = _predictions(shared.value, batch.column(text_at))
+                filled = pc.coalesce(batch.column(lang_at), pa.array(names, batch.column(lang_at).type))
+                good = [n != "und" and s >= min_share for n, s in zip(names, share)]
+                yield batch.set_column(lang_at, batch.schema.field(lang_at).name, filled).filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def language_spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, first_word, last_word, lang): maximal runs of words of one language; none for texts without words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

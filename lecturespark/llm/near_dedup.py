@@ -216,6 +216,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """The kept documents with all their columns; rows that share an id and a text are one."""
+    kept = near_duplicates(docs, id_col, text_col, similar).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
+    found = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    return found.dropDuplicates([id_col, text_col])
+
+
 @query("op5_near_dedup")
 def near_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
