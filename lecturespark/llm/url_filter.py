@@ -62,14 +62,15 @@ def path_of(url: Column) -> Column:
 
 
 def _gram_bins(part: Column, name: str) -> Column:
-    chars = F.split(F.concat(F.lit("^"), part, F.lit("$")), "")
+    marked = F.split(F.concat(F.lit("^"), part, F.lit("$")), "")
 
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(chars) - (n - 1))
-        joined = F.transform(starts, lambda i: F.concat(*[F.get(chars, i + (j - 1)) for j in range(n)]))
+    def grams(chars: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.size(chars) - n)
+        joined = F.transform(starts, lambda i: F.concat(*[F.get(chars, i + j) for j in range(n)]))
         return F.when(F.size(chars) >= n, joined).otherwise(F.array().cast("array<string>"))
 
-    every = F.concat(*[grams(n) for n in GRAMS])
+    # An array of one element binds the letters, which are then split once per text and not once per n-gram.
+    every = F.flatten(F.transform(F.array(marked), lambda chars: F.concat(*[grams(chars, n) for n in GRAMS])))
     return F.transform(every, lambda g: F.pmod(F.xxhash64(F.lit(name), g), F.lit(BINS)).cast("int"))
 
 
