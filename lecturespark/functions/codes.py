@@ -129,11 +129,11 @@ def response_content(content_type) -> Column:
 
 
 def response_magic(prefix) -> Column:
-    """Kind of a body by its first 64 bytes (text or binary column)."""
-    first = F.substring(F.coalesce(F.to_binary(F.hex(col(prefix)), F.lit("hex")), F.lit(b"")), 1, 64)
+    """Kind of a body (text or binary column) by how it starts, after any number of blanks."""
+    whole = F.coalesce(F.to_binary(F.hex(col(prefix)), F.lit("hex")), F.lit(b""))
     # One character per byte, so that positions are byte positions.
-    text = F.decode(first, "ISO-8859-1")
-    start = F.lower(F.regexp_replace(text, r"\A[ \t\n\r\x0b\x0c]+", ""))
+    text = F.decode(whole, "ISO-8859-1")
+    start = F.lower(F.substring(F.ltrim(text, F.lit(" \t\n\r\x0b\x0c")), 1, 16))
     html = F.lit(False)
     for tag in ("<!doctype html", "<html", "<head", "<body"):
         html = html | F.startswith(start, F.lit(tag))

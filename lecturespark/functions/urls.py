@@ -63,8 +63,13 @@ def _title(name: Column) -> Column:
 
 
 def safe_headers(headers) -> Column:
-    """The allowed headers under their usual names; null if a value has a line break."""
-    clean = F.transform_keys(col(headers), lambda k, v: F.lower(strip(k)))
-    kept = F.map_filter(clean, lambda k, v: k.isin(*ALLOWED_HEADERS))
-    broken = F.exists(F.map_values(kept), lambda v: v.rlike(r"[\r\n]"))
-    return F.when(~broken, F.transform_keys(kept, lambda k, v: _title(k)))
+    """The allowed headers under their usual names; null if a value has a line break.
+
+    Of names that differ in case or blanks only, the last one counts.
+    """
+    named = F.transform(F.map_entries(col(headers)), lambda e: F.struct(_title(F.lower(strip(e["key"]))).alias("key"), e["value"].alias("value")))
+    allowed = F.filter(named, lambda e: F.lower(e["key"]).isin(*ALLOWED_HEADERS))
+    kept = F.aggregate(allowed, F.array().cast("array<struct<key:string,value:string>>"),
+                       lambda done, e: F.concat(F.filter(done, lambda d: d["key"] != e["key"]), F.array(e)))
+    broken = F.exists(kept, lambda e: e["value"].rlike(r"[\r\n]"))
+    return F.when(~broken, F.map_from_entries(kept))

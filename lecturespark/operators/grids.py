@@ -19,22 +19,18 @@ def recording_error(start: str = "start_seconds", duration: str = "duration_seco
 
 
 def chunk_grid(recordings: DataFrame, keys: list[str]) -> DataFrame:
-    """Ten-minute chunks of valid recordings.
-
-    The count is whole seconds rounded up, so a fraction of a second past a full
-    chunk gets no chunk of its own.
-    """
-    valid = recordings.where(recording_error().isNull()).select(
-        *keys, first_present("start_seconds").cast("double").alias("_start"), F.col("duration_seconds").cast("double").alias("_d"))
-    last = F.greatest(F.floor((F.col("_d") + CHUNK_SECONDS - 1) / CHUNK_SECONDS), F.lit(1)).cast("bigint") - 1
-    chunks = valid.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk_id"))
+    """Ten-minute chunks that cover a recording whole; a refused one is a row with its ``recording_error``."""
+    read = recordings.select(*keys, first_present("start_seconds").cast("double").alias("_start"),
+                             F.col("duration_seconds").cast("double").alias("_d"), recording_error().alias("recording_error"))
+    last = F.when(F.col("recording_error").isNull(), F.ceil(F.col("_d") / CHUNK_SECONDS).cast("bigint") - 1)
+    chunks = read.select("*", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk_id"))
     offset = F.col("chunk_id") * CHUNK_SECONDS
-    return chunks.select(*keys, "chunk_id", (F.col("_start") + offset).alias("offset_seconds"),
-                         F.least(F.lit(float(CHUNK_SECONDS)), F.col("_d") - offset).alias("duration_seconds"))
+    rest = F.when(offset.isNotNull(), F.least(F.lit(float(CHUNK_SECONDS)), F.col("_d") - offset))
+    return chunks.select(*keys, "chunk_id", (F.col("_start") + offset).alias("offset_seconds"), rest.alias("duration_seconds"), "recording_error")
 
 
 def window_grid(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Thirty-second windows of a chunk's samples; a rest under half a second is dropped."""
+    """Thirty-second windows of a chunk's samples; ``short`` marks a rest under half a second."""
     size = SAMPLE_RATE * WINDOW_SECONDS
     last = F.floor((F.col("samples") - 1) / size).cast("bigint")
     starts = chunks.where("samples > 0").withColumn("window_id", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
@@ -42,5 +38,4 @@ def window_grid(chunks: DataFrame, keys: list[str]) -> DataFrame:
     end = F.least(F.col("samples").cast("bigint"), first + size)
     base = F.floor(F.col("offset_seconds") * 1000).cast("bigint")
     ms = lambda s: base + F.floor(s * 1000 / SAMPLE_RATE).cast("bigint")
-    return starts.where(end - first >= SAMPLE_RATE // 2).select(
-        *keys, "window_id", ms(first).alias("start_ms"), ms(end).alias("end_ms"))
+    return starts.select(*keys, "window_id", ms(first).alias("start_ms"), ms(end).alias("end_ms"), (end - first < SAMPLE_RATE // 2).alias("short"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.model_json import strip
 from ..functions.text import first_present, present
 
-MAX_CITATIONS = 8
 # Fixed value: the answer given when no evidence supports one.
 REFUSAL = "资料不足，无法根据当前课程资料回答。"
 
@@ -34,8 +33,10 @@ def usable_evidence(evidence: DataFrame) -> DataFrame:
     return evidence.where(present("citation_id", "").isNotNull() & present("text", "").isNotNull())
 
 
-def ground_citations(answers: DataFrame, evidence: DataFrame, limit: int = MAX_CITATIONS) -> DataFrame:
-    """Keep citations that name usable evidence of the query, in order, repeats included.
+def ground_citations(answers: DataFrame, evidence: DataFrame, limit: int | None = None) -> DataFrame:
+    """Keep all citations that name usable evidence of the query, in order, repeats included.
+
+    ``limit`` keeps the first few only.
 
     ``answers`` has one row per ``answer_id`` with ``query_id``, ``answer``,
     ``grounded`` and ``citations``. An answer that claims no grounding, or keeps no
@@ -51,7 +52,9 @@ def ground_citations(answers: DataFrame, evidence: DataFrame, limit: int = MAX_C
     )
     joined = answers.join(kept, "answer_id", "left")
     grounded = F.coalesce(F.col("grounded"), F.lit(False)) & F.col("_kept").isNotNull()
-    cited = F.slice(F.transform("_kept", lambda x: x["cited"]), 1, limit)
+    cited = F.transform("_kept", lambda x: x["cited"])
+    if limit is not None:
+        cited = F.slice(cited, 1, limit)
     return joined.select(
         "answer_id", "query_id",
         F.when(grounded, strip("answer")).otherwise(REFUSAL).alias("answer"),

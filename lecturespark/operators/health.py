@@ -57,7 +57,7 @@ def ai_circuit(attempts: DataFrame, keys: list[str], extra: tuple[str, ...] = ()
     return counted.select(
         *keys, *extra, "event_id", "at_us", "outcome",
         F.when(~failed, "closed").when(opened, "open").otherwise("degraded").alias("state"),
-        F.when(failed, F.least(recent, F.lit(RECENT))).otherwise(0).cast("bigint").alias("failures"),
+        F.when(failed, recent).otherwise(0).cast("bigint").alias("failures"),
         F.when(opened & ~auth, F.col("at_us") + F.lit(RETRY_US)).otherwise(0).cast("bigint").alias("retry_after_us"),
         F.when(~failed, "").when(auth, AI_AUTH_FAILED).otherwise(AI_TRANSIENT).alias("last_error_code"),
     )

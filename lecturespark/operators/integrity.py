@@ -42,11 +42,12 @@ def manifest_order(entries: DataFrame, keys: list[str], **options) -> DataFrame:
 
 
 def manifest_diff(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
-    """Every path: ok, unknown, digest_mismatch or missing."""
-    a = actual.select(*keys, "path", F.col("size").alias("_size"), F.col("sha256").alias("_sha"))
-    both = expected.select(*keys, "path", "size", "sha256").join(a, [*keys, "path"], "full")
-    status = (F.when(F.col("sha256").isNull(), "unknown").when(F.col("_sha").isNull(), "missing")
-              .when((F.col("size") != F.col("_size")) | (F.col("sha256") != F.col("_sha")), "digest_mismatch").otherwise("ok"))
+    """Every path: ok, unknown, digest_mismatch or missing; a null size or digest equals only a null."""
+    a = actual.select(*keys, "path", F.col("size").alias("_size"), F.col("sha256").alias("_sha"), F.lit(True).alias("_there"))
+    both = expected.select(*keys, "path", "size", "sha256", F.lit(True).alias("_listed")).join(a, [*keys, "path"], "full")
+    same = F.col("size").eqNullSafe(F.col("_size")) & F.col("sha256").eqNullSafe(F.col("_sha"))
+    status = (F.when(F.col("_listed").isNull(), "unknown").when(F.col("_there").isNull(), "missing")
+              .when(~same, "digest_mismatch").otherwise("ok"))
     return both.select(*keys, "path", status.alias("status"))
 
 

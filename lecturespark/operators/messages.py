@@ -21,6 +21,7 @@ PART_PIECE = r"\A[A-Za-z0-9+/=]+\z"
 # Kinds of control messages and states of progress.
 CONTROL_KINDS = ("progress", "checkpoint", "refresh_request", "cancel_ack")
 PROGRESS_STATES = ("running", "waiting", "failed", "completed")
+SHORT_CHARS = 80
 SEND_EVERY_US = 15 * 1_000_000
 SEND_SHARE = 0.02
 
@@ -107,10 +108,11 @@ def sequence_guard(messages: DataFrame, expected: DataFrame, keys: list[str], or
 
 
 def sanitise_progress(messages: DataFrame) -> DataFrame:
-    """Bounded progress fields: short texts, known states, counts not below zero."""
+    """Progress fields: known states, counts not below zero, whole texts and short forms beside them."""
     count = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(0))).cast("bigint")
     return messages.withColumns({
-        "stage": F.substring("stage", 1, 80), "error_code": F.substring(F.coalesce("error_code", F.lit("")), 1, 80),
+        "error_code": F.coalesce("error_code", F.lit("")),
+        "stage_short": F.substring("stage", 1, SHORT_CHARS), "error_code_short": F.substring(F.coalesce("error_code", F.lit("")), 1, SHORT_CHARS),
         "status": F.when(F.col("status").isin(*PROGRESS_STATES), F.col("status")).otherwise("running"),
         "completed": count("completed"), "total": count("total"),
     })

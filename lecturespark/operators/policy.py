@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,12 @@ RESERVED_IPV4 = (
     ("192.168.0.0", "192.168.255.255"), ("198.18.0.0", "198.19.255.255"), ("198.51.100.0", "198.51.100.255"),
     ("203.0.113.0", "203.0.113.255"), ("240.0.0.0", "255.255.255.255"),
 )
+# IPv6 networks that are not public, those inside them that are, and the prefix of mapped IPv4 addresses.
+RESERVED_IPV6 = (
+    "::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10",
+)
+PUBLIC_IPV6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
+MAPPED_IPV4 = "00000000000000000000ffff"
 
 
 def suffix(path: str) -> Column:
@@ -131,10 +139,10 @@ def dangling_links(docs: DataFrame, paths: DataFrame, path: str = "path", text:
     outside = F.col("resolved").rlike(r"\A\.\.(?:/|\z)")
     names = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.concat_ws("/", F.slice(names, 1, n)))
-    existing = paths.select(F.explode(above).alias("resolved")).distinct()
-    missing = links.where(~outside & (F.col("resolved") != "")).join(existing, "resolved", "left_anti")
-    return links.where(outside).select(path, "target", F.lit("escapes").alias("problem")).unionByName(
-        missing.select(path, "target", F.lit("missing").alias("problem")))
+    existing = paths.select(F.explode(above).alias("resolved")).distinct().withColumn("_found", F.lit(True))
+    found = links.join(existing, "resolved", "left")
+    problem = F.when(outside, "escapes").when((F.col("resolved") != "") & F.col("_found").isNull(), "missing")
+    return found.select(path, "target", problem.alias("problem")).where("problem IS NOT NULL")
 
 
 def ipv4_number(address: str | Column) -> Column:
@@ -153,23 +161,53 @@ def _quad(text: str) -> int:
     return value
 
 
+def ipv6_digits(address: str | Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address, or null; the last four bytes may be a dotted quad."""
+    text = F.lower(F.col(address) if isinstance(address, str) else address)
+    quad = F.regexp_extract(text, r":(\d+(?:\.\d+){3})\z", 1)
+    number = ipv4_number(quad)
+    tail = F.concat(F.hex(F.shiftright(number, 16)), F.lit(":"), F.hex(number.bitwiseAND(F.lit(65535))))
+    plain = F.when(quad == "", text).otherwise(F.lower(F.concat(F.regexp_extract(text, r"\A(.*:)[^:]*\z", 1), tail)))
+    halves = F.split(plain, "::")
+    groups = lambda half: F.filter(F.split(F.coalesce(half, F.lit("")), ":"), lambda g: (half != ""))
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+    missing = 8 - F.size(left) - F.coalesce(F.size(right), F.lit(0))
+    full = F.when((F.size(halves) == 1) & (missing == 0), left).when(
+        (F.size(halves) == 2) & (missing > 0), F.concat(left, F.array_repeat(F.lit("0"), missing), right))
+    good = F.forall(full, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z"))
+    return F.when(good, F.concat_ws("", F.transform(full, lambda g: F.lpad(g, 4, "0"))))
+
+
+def _any_between(value: Column, ranges) -> Column:
+    found = F.lit(False)
+    for low, high in ranges:
+        found = found | value.between(low, high)
+    return found
+
+
+def _digit_ranges(networks: tuple[str, ...]) -> list[tuple[str, str]]:
+    nets = [ipaddress.IPv6Network(n) for n in networks]
+    return [(f"{int(n.network_address):032x}", f"{int(n.broadcast_address):032x}") for n in nets]
+
+
 def address_status(address: str) -> Column:
-    """``public``, ``non_public`` or ``not_ipv4``."""
-    number = ipv4_number(address)
-    reserved = F.lit(False)
-    for low, high in RESERVED_IPV4:
-        reserved = reserved | number.between(_quad(low), _quad(high))
-    return F.when(number.isNull(), "not_ipv4").when(reserved, "non_public").otherwise("public")
+    """``public``, ``non_public`` or ``unreadable``; an IPv4 address inside an IPv6 one counts as itself."""
+    digits = ipv6_digits(address)
+    inner = F.when(digits.startswith(MAPPED_IPV4), F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint"))
+    number = F.coalesce(ipv4_number(address), inner)
+    reserved4 = _any_between(number, [(_quad(low), _quad(high)) for low, high in RESERVED_IPV4])
+    reserved6 = _any_between(digits, _digit_ranges(RESERVED_IPV6)) & ~_any_between(digits, _digit_ranges(PUBLIC_IPV6))
+    return (F.when(number.isNotNull(), F.when(reserved4, "non_public").otherwise("public"))
+            .when(digits.isNull(), "unreadable").when(reserved6, "non_public").otherwise("public"))
 
 
 def host_addresses(addresses: DataFrame, keys: list[str]) -> DataFrame:
-    """A host is refused if any of its addresses is not public; else the preferred one is named.
+    """A host is refused unless all its addresses are public; else the preferred one is named.
 
-    Preferred is the first IPv4 address, else the first of all.
+    Preferred is the first IPv4 address, else the first of all. An unreadable or null address refuses its host.
     """
-    status = address_status("ip")
-    rank = F.struct(status.eqNullSafe("not_ipv4"), F.col("ord"))
+    rank = F.struct(ipv4_number("ip").isNull(), F.col("ord"))
     hosts = addresses.groupBy(*keys).agg(
-        F.bool_or(status == "non_public").alias("_bad"), F.min_by("ip", rank).alias("preferred"))
+        F.bool_or(address_status("ip") != "public").alias("_bad"), F.min_by("ip", rank).alias("preferred"))
     return hosts.select(*keys, F.when(F.col("_bad"), "non_public_address").otherwise("ok").alias("status"),
                         F.when(~F.col("_bad"), F.col("preferred")).alias("preferred"))

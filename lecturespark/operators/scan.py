@@ -29,10 +29,10 @@ ROWS_PER_TASK = 1_000_000
 BLOCK = "_block"
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest key; counts combine before the shuffle."""
-    top = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return int(top["n"] or 0)
+def rows_of_large_keys(df: DataFrame, keys: list[str], limit: int) -> int:
+    """Rows of the keys with more than ``limit`` rows; counts combine before the shuffle."""
+    large = df.groupBy(*keys).count().agg(F.sum(F.when(F.col("count") > limit, F.col("count"))).alias("n")).first()
+    return int(large["n"] or 0)
 
 
 def large_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -41,10 +41,9 @@ def large_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return materialise(counted.where(F.col("count") > limit).select(*[F.col(k).alias(f"_large_{k}") for k in keys]))
 
 
-def range_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Cut the rows, ordered by (key, order), into blocks of about equal size."""
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(count, *keys, *order)
+def range_blocks(df: DataFrame, keys: list[str], order: list[str], rows: int, rows_per_task: int) -> DataFrame:
+    """Cut ``rows`` rows, ordered by (key, order), into blocks of about ``rows_per_task`` rows."""
+    ranged = df.repartitionByRange(max(1, -(-rows // rows_per_task)), *keys, *order)
     return materialise(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
 
@@ -75,17 +74,19 @@ class OrderedRows:
                  blocked: bool | None = None, sized_by: DataFrame | None = None, like: OrderedRows | None = None):
         self.keys, self.order = list(keys), list(order)
         self.large: DataFrame | None = None
+        limit, rows = rows_per_task or ROWS_PER_TASK, 0
         if like is not None:
-            self.large = like.large
+            self.large, limit, rows = like.large, like.limit, like.rows
         elif blocked is not False:
-            limit = rows_per_task or ROWS_PER_TASK
             measured = df if sized_by is None else sized_by
-            if largest_group(measured, self.keys) > limit:
+            rows = rows_of_large_keys(measured, self.keys, limit)
+            if rows:
                 self.large = large_keys(measured, self.keys, limit)
-        self.df = df
+        self.df, self.limit, self.rows = df, limit, rows
         if self.large is not None:
             small = _of_keys(df, self.large, "left_anti").withColumn(BLOCK, F.lit(-1))
-            self.df = small.unionByName(range_blocks(_of_keys(df, self.large, "left_semi"), self.keys, self.order))
+            self.df = small.unionByName(range_blocks(
+                _of_keys(df, self.large, "left_semi"), self.keys, self.order, rows, limit))
 
     @property
     def blocked(self) -> bool:
@@ -94,6 +95,7 @@ class OrderedRows:
     def _with(self, df: DataFrame) -> OrderedRows:
         clone = object.__new__(OrderedRows)
         clone.keys, clone.order, clone.large, clone.df = self.keys, self.order, self.large, df
+        clone.limit, clone.rows = self.limit, self.rows
         return clone
 
     def derive(self, **columns: Column) -> OrderedRows:

@@ -87,7 +87,7 @@ SELECT page_id,
             WHEN 2 THEN 'application/problem+json' WHEN 3 THEN '' WHEN 4 THEN NULL
             WHEN 5 THEN 'application/json ;v=1' ELSE 'image/png' END AS content_type,
        CASE page_id % 5 WHEN 0 THEN 'abcdftypisom0000' WHEN 1 THEN '  {"error":1}' WHEN 2 THEN 'zz'
-            WHEN 3 THEN 'abcdftyp' ELSE html END AS prefix
+            WHEN 3 THEN 'abcdftyp' ELSE (CASE WHEN page_id % 3 = 0 THEN concat(repeat(' ', 90), html) ELSE html END) END AS prefix
 FROM {pages}""")
 
 define_input("urls", """

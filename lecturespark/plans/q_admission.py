@@ -188,7 +188,7 @@ c AS (SELECT x.key_id, x.event_id, x.at_us, x.outcome,
       GROUP BY ALL)
 SELECT key_id, event_id, at_us, outcome,
   CASE WHEN outcome = 'ok' THEN 'closed' WHEN outcome = 'auth_failed' OR recent >= 5 THEN 'open' ELSE 'degraded' END AS state,
-  CASE WHEN outcome = 'ok' THEN 0 ELSE least(recent, 5) END AS failures,
+  CASE WHEN outcome = 'ok' THEN 0 ELSE recent END AS failures,
   CASE WHEN outcome = 'transient' AND recent >= 5 THEN at_us + 21600000000 ELSE 0 END AS retry_after_us,
   CASE outcome WHEN 'ok' THEN '' WHEN 'auth_failed' THEN 'deepseek_auth_failed' ELSE 'deepseek_transient' END AS last_error_code
 FROM c""")

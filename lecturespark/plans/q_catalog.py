@@ -17,20 +17,22 @@ SELECT o_orderkey AS course_id,
               CASE WHEN o_orderstatus = 'P' THEN '"0"' WHEN o_orderstatus = 'O' THEN '1' ELSE '"1"' END,
               ',"duration":', CASE WHEN o_orderkey % 3 = 0 THEN '0' ELSE '-5' END,
               ',"duration_sec":', CAST(o_custkey AS STRING), '},5,null,{"id":""},{"sub_title":"no id"},{"id":0},',
-              '{"id":"x', CAST(o_custkey AS STRING), '","duration":"77"}],"9":[]},"2":{}},"7":null}}') AS detail
+              '{"id":"x', CAST(o_custkey AS STRING), '","duration":"77"}],"39":[]',
+              CASE WHEN o_orderkey % 7 = 0 THEN ',"40":"text"},"43":[1],"42":{}},"yy":{"1":{"2":[{"id":"bad"}]}},"8":"no","7":null}}' ELSE '},"42":{}},"7":null}}' END) AS detail
 FROM {orders}""")
 
 # A month document per customer and half of its rows: some too long, some with odd items.
 define_input("schedule_json", """
 SELECT c_nationkey AS account_id, c_custkey AS month_id,
-       concat('{"list":[7,{"course":null},', CASE WHEN c_custkey % 13 = 0 THEN repeat('{"course":[]},', 30) ELSE '' END,
+       CASE WHEN c_custkey % 31 = 0 THEN 'garbage' WHEN c_custkey % 37 = 0 THEN '{"code":200,"list":"x"}' ELSE
+       concat('{"code":', CASE WHEN c_custkey % 29 = 0 THEN '500' ELSE '0' END, ',"list":[7,{"course":null},', CASE WHEN c_custkey % 13 = 0 THEN repeat('{"course":[]},', 30) ELSE '' END,
               '{"course":[', CASE WHEN c_custkey % 17 = 0 THEN repeat('{"id":1},', 1000) ELSE '' END,
               '{"id":', CAST(c_custkey % 50 AS STRING), ',"title":"T', CAST(c_custkey AS STRING),
               '","realname":"', CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END,
               '","lecturer_name":"L", "kkxy_name":"", "dept_name":"D', CAST(c_nationkey AS STRING),
               '","term":"2024","sub_id":"s', CAST(c_custkey % 7 AS STRING), '","sub_duration":"',
               CASE WHEN c_custkey % 5 = 0 THEN 'bad' ELSE CAST(c_custkey AS STRING) END,
-              '"}]},{"course":[{"course_id":"c', CAST(c_custkey % 9 AS STRING), '","title":null},{"title":"none"},3]}]}') AS doc
+              '"}]},{"course":[{"course_id":"c', CAST(c_custkey % 9 AS STRING), '","title":null},{"title":"none"},3]}]}') END AS doc
 FROM {customer}""")
 
 define_input("media_json", """
@@ -53,22 +55,34 @@ SELECT c_nationkey AS account_id, concat(CASE WHEN c_custkey % 50 < 30 THEN '' E
 FROM {customer} GROUP BY c_nationkey, c_custkey % 50""")
 
 # Accepted schedule rows, stated from the base columns.
-DUCK_SCHEDULE = """sched AS (
-  SELECT c_nationkey AS account_id, c_custkey AS month_id, CAST(0 AS BIGINT) AS pos, CAST(c_custkey % 50 AS VARCHAR) AS course_id,
+DUCK_SCHEDULE = """months AS (
+  SELECT *, CASE WHEN c_custkey % 31 = 0 THEN 'not_json' WHEN c_custkey % 37 = 0 THEN 'bad_list' WHEN c_custkey % 29 = 0 THEN 'bad_code'
+                 WHEN c_custkey % 13 = 0 THEN 'too_many_days' WHEN c_custkey % 17 = 0 THEN 'too_many_rows' ELSE 'ok' END AS month_status,
+         CAST(CASE WHEN c_custkey % 17 = 0 THEN 1000 ELSE 0 END AS BIGINT) AS more FROM customer),
+listed AS (SELECT * FROM months WHERE month_status NOT IN ('not_json', 'bad_list')),
+sched_all AS (
+  SELECT c_nationkey AS account_id, c_custkey AS month_id, more AS pos, CAST(c_custkey % 50 AS VARCHAR) AS course_id,
          'T' || CAST(c_custkey AS VARCHAR) AS title, CASE WHEN c_custkey % 3 = 0 THEN 'L' ELSE c_mktsegment END AS teacher,
          'D' || CAST(c_nationkey AS VARCHAR) AS department, '2024' AS term,
          's' || CAST(c_custkey % 7 AS VARCHAR) AS sub_id,
-         CASE WHEN c_custkey % 5 = 0 THEN 0.0 ELSE CAST(c_custkey AS DOUBLE) END AS duration
-  FROM customer WHERE c_custkey % 13 <> 0 AND c_custkey % 17 <> 0
+         CASE WHEN c_custkey % 5 = 0 THEN 0.0 ELSE CAST(c_custkey AS DOUBLE) END AS duration, month_status
+  FROM listed
   UNION ALL
-  SELECT c_nationkey, c_custkey, 1, 'c' || CAST(c_custkey % 9 AS VARCHAR), '', '', '', '', '', 0.0
-  FROM customer WHERE c_custkey % 13 <> 0 AND c_custkey % 17 <> 0)"""
+  SELECT c_nationkey, c_custkey, more + 1, 'c' || CAST(c_custkey % 9 AS VARCHAR), '', '', '', '', '', 0.0, month_status FROM listed
+  UNION ALL
+  SELECT c_nationkey, c_custkey, unnest(range(0, 1000)), '1', '', '', '', '', '', 0.0, month_status FROM listed WHERE more > 0),
+sched AS (SELECT * EXCLUDE (month_status) FROM sched_all WHERE month_status = 'ok')"""
 
 
-def schedule(load):
+def all_rows(load):
     return catalog.flatten_schedule(load("schedule_json"), ["account_id", "month_id"])
 
 
+def schedule(load):
+    """The rows of accepted months."""
+    return all_rows(load).where("month_status = 'ok'").drop("month_status")
+
+
 def candidates(load):
     return courses.course_first_seen(schedule(load), ["account_id"], ["month_id", "pos"])
 
@@ -76,24 +90,29 @@ def candidates(load):
 @query("catalog_flatten", """
 SELECT o_orderkey AS course_id, CAST(o_orderkey AS VARCHAR) AS sub_id, 'part ' || CAST(o_custkey AS VARCHAR) AS sub_title,
        '' AS lecturer_name, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderstatus <> 'P' AS has_playback,
-       CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE 0 END AS duration_seconds
+       CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE 0 END AS duration_seconds, NULL AS problem
 FROM orders WHERE o_orderkey <> 0
 UNION ALL
-SELECT o_orderkey, 'x' || CAST(o_custkey AS VARCHAR), '', '', strftime(o_orderdate, '%Y-%m-%d'), false, 77 FROM orders""")
+SELECT o_orderkey, 'x' || CAST(o_custkey AS VARCHAR), '', '', strftime(o_orderdate, '%Y-%m-%d'), false, 77, NULL FROM orders
+UNION ALL
+SELECT o_orderkey, 'bad', '', '', NULL, false, 0, 'bad_date' FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL
+SELECT o_orderkey, NULL, NULL, NULL, CASE p WHEN 'bad_items' THEN strftime(o_orderdate, '%Y-%m-40') END, NULL, NULL, p
+FROM orders, (VALUES ('bad_items'), ('bad_days'), ('bad_months')) AS t(p) WHERE o_orderkey % 7 = 0""")
 def _(load):
     return catalog.flatten_catalog(load("catalog_json"))
 
 
-@query("schedule_flatten", f"WITH {DUCK_SCHEDULE} SELECT * FROM sched")
+@query("schedule_flatten", f"WITH {DUCK_SCHEDULE} SELECT * FROM sched_all")
 def _(load):
-    return schedule(load)
+    return all_rows(load)
 
 
-@query("schedule_guard", """
+@query("schedule_guard", f"""
+WITH {DUCK_SCHEDULE}
 SELECT c_nationkey AS account_id, c_custkey AS month_id,
-       CAST(CASE WHEN c_custkey % 17 = 0 THEN 1003 ELSE 3 END AS BIGINT) AS rows,
-       CASE WHEN c_custkey % 13 = 0 THEN 'too_many_days' WHEN c_custkey % 17 = 0 THEN 'too_many_rows' ELSE 'ok' END AS month_status
-FROM customer""")
+       CASE WHEN month_status IN ('not_json', 'bad_list') THEN 0 ELSE more + 3 END AS rows, month_status
+FROM months""")
 def _(load):
     return catalog.schedule_status(load("schedule_json"), ["account_id", "month_id"])
 

@@ -90,10 +90,10 @@ def _(load):
     return messages.sequence_guard(load("control"), expected, ["task_id"]).select("arrival", "task_id", "sequence", "status")
 
 
-SANITISED = """clean AS (SELECT task_id, arrival, at_us, substr(stage, 1, 80) AS stage,
+SANITISED = """clean AS (SELECT task_id, arrival, at_us, stage, substr(stage, 1, 80) AS stage_short,
     CASE WHEN status IN ('running', 'waiting', 'failed', 'completed') THEN status ELSE 'running' END AS status,
     CASE WHEN completed IS NOT NULL THEN greatest(completed, 0) END AS completed,
-    CASE WHEN total IS NOT NULL THEN greatest(total, 0) END AS total, substr(error_code, 1, 80) AS error_code FROM $progress)"""
+    CASE WHEN total IS NOT NULL THEN greatest(total, 0) END AS total, error_code, substr(error_code, 1, 80) AS error_code_short FROM $progress)"""
 
 
 @query("progress_sanitise", f"WITH {SANITISED} SELECT * FROM clean")
@@ -280,9 +280,10 @@ def _(load):
 
 @query("chunk_grid", """
 WITH r AS (SELECT o_orderkey, o_orderkey % 50 - 2 AS s, o_totalprice / 7 AS d FROM orders),
-c AS (SELECT *, unnest(range(0, greatest(1, CAST(floor((d + 599) / 600) AS BIGINT)))) AS chunk_id FROM r WHERE s >= 0 AND d > 0 AND d <= 43200)
+e AS (SELECT *, CASE WHEN s < 0 THEN 'invalid_start' WHEN NOT (d > 0 AND d <= 43200) THEN 'invalid_duration' END AS recording_error FROM r),
+c AS (SELECT *, unnest(CASE WHEN recording_error IS NULL THEN range(0, CAST(ceil(d / 600) AS BIGINT)) ELSE [NULL] END) AS chunk_id FROM e)
 SELECT o_orderkey, chunk_id, CAST(s + chunk_id * 600 AS DOUBLE) AS offset_seconds,
-       least(600, d - chunk_id * 600) AS duration_seconds FROM c""")
+       CASE WHEN chunk_id IS NOT NULL THEN least(600, d - chunk_id * 600) END AS duration_seconds, recording_error FROM c""")
 def _(load):
     recordings = load("orders").select("o_orderkey", (F.col("o_orderkey") % 50 - 2).alias("start_seconds"),
                                        (F.col("o_totalprice") / 7).alias("duration_seconds"))
@@ -293,8 +294,8 @@ def _(load):
 WITH c AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * 17 AS samples, o_orderkey * 0.5 AS offset_s FROM orders),
 w AS (SELECT *, unnest(range(0, (samples + 479999) // 480000)) AS window_id FROM c)
 SELECT o_orderkey, window_id, CAST(floor(offset_s * 1000) AS BIGINT) + window_id * 480000 // 16 AS start_ms,
-       CAST(floor(offset_s * 1000) AS BIGINT) + least(samples, window_id * 480000 + 480000) // 16 AS end_ms
-FROM w WHERE least(samples, window_id * 480000 + 480000) - window_id * 480000 >= 8000""")
+       CAST(floor(offset_s * 1000) AS BIGINT) + least(samples, window_id * 480000 + 480000) // 16 AS end_ms,
+       least(samples, window_id * 480000 + 480000) - window_id * 480000 < 8000 AS short FROM w""")
 def _(load):
     chunks = load("orders").select("o_orderkey", (F.floor("o_totalprice").cast("bigint") * 17).alias("samples"),
                                    (F.col("o_orderkey") * 0.5).alias("offset_seconds"))

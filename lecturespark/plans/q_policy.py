@@ -28,7 +28,10 @@ FROM {pages}""")
 
 define_input("addresses", """
 SELECT page_id % 60 AS host_id, page_id AS ord,
-       CASE WHEN page_id % 9 = 0 THEN '2606:4700::1' WHEN page_id % 31 = 0 THEN '93.184.216.034'
+       CASE WHEN page_id % 9 = 0 AND page_id % 60 >= 20 THEN '2606:4700::1'
+            WHEN page_id % 9 = 0 THEN (CASE page_id % 8 WHEN 0 THEN '::1' WHEN 1 THEN 'fd00::5' WHEN 2 THEN 'FE80::1' WHEN 3 THEN '::ffff:10.0.0.1'
+                 WHEN 4 THEN 'junk' WHEN 5 THEN '::ffff:93.184.216.34' WHEN 6 THEN '2a00:1450:4001:80e::200e' ELSE '1::2::3' END)
+            WHEN page_id % 31 = 0 THEN '93.184.216.034'
             ELSE concat(CASE page_id % 10 WHEN 0 THEN '10' WHEN 1 THEN '127' WHEN 2 THEN '172' WHEN 3 THEN '100' ELSE '93' END, '.',
                         CAST((page_id * 7) % 256 AS STRING), '.', CAST((page_id * 13) % 256 AS STRING), '.',
                         CAST(page_id % 256 AS STRING)) END AS ip
@@ -61,8 +64,8 @@ FROM {lineitem}""")
 
 define_input("expected_files", """
 SELECT p_partkey % 20 AS release_id, concat(CASE WHEN p_partkey % 7 = 0 THEN 'e' ELSE 'f' END, CAST(p_partkey AS STRING)) AS path,
-       p_partkey * 3 AS size,
-       {sha256}(CAST(p_partkey AS STRING){sha_arg}) AS sha256 FROM {part}""")
+       CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE p_partkey * 3 END AS size,
+       CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE {sha256}(CAST(p_partkey AS STRING){sha_arg}) END AS sha256 FROM {part}""")
 define_input("actual_files", """
 SELECT p_partkey % 20 AS release_id, concat(CASE WHEN p_partkey % 5 = 0 THEN 'a' ELSE 'f' END, CAST(p_partkey AS STRING)) AS path,
        p_partkey * 3 + CASE WHEN p_partkey % 13 = 0 THEN 1 ELSE 0 END AS size,
@@ -150,11 +153,11 @@ def _(load):
 
 @query("header_allowlist", """
 SELECT page_id, CASE WHEN page_id % 6 = 0 THEN NULL
-  ELSE 'Accept-Language=' || CAST(page_id AS VARCHAR) || ',Cookie=c;User-Agent' END AS headers FROM pages""")
+  ELSE 'Accept-Language=' || CAST(page_id AS VARCHAR) || ',Cookie=' || CASE WHEN page_id % 4 = 0 THEN 'last' ELSE 'c;User-Agent' END END AS headers FROM pages""")
 def _(load):
     value = F.when(F.col("page_id") % 6 == 0, F.lit("a\r\nb")).otherwise(F.col("page_id").cast("string"))
     raw = F.create_map(F.lit(" ACCEPT-language"), value, F.lit("Host"), F.lit("a\nb"), F.lit("Range"), F.lit("r"),
-                       F.lit("cookie"), F.lit("c;User-Agent"))
+                       F.lit("cookie"), F.lit("c;User-Agent"), F.when(F.col("page_id") % 4 == 0, "Cookie ").otherwise("X-Other"), F.lit("last"))
     kept = urls.safe_headers(raw)
     shown = F.concat_ws(",", F.array_sort(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"]))))
     return load("pages").select("page_id", F.when(kept.isNotNull(), shown).alias("headers"))
@@ -198,7 +201,8 @@ def _(load):
 
 IPV4 = """ips AS (SELECT *, regexp_full_match(ip, '(0|[1-9][0-9]{0,2})([.](0|[1-9][0-9]{0,2})){3}') AS v4,
     [TRY_CAST(x AS BIGINT) FOR x IN string_split(ip, '.')] AS q FROM $addresses),
-st AS (SELECT *, CASE WHEN NOT v4 THEN 'not_ipv4' WHEN q[1] IN (10, 127) OR q[1] = 172 AND q[2] BETWEEN 16 AND 31
+st AS (SELECT *, CASE WHEN ip LIKE '::ffff:93.%' THEN 'public' WHEN ip LIKE '::ffff:10.%' OR lower(ip) LIKE 'fe80:%' OR ip LIKE 'fd%' OR ip = '::1' THEN 'non_public'
+       WHEN ip LIKE '2%:%' THEN 'public' WHEN NOT v4 THEN 'unreadable' WHEN q[1] IN (10, 127) OR q[1] = 172 AND q[2] BETWEEN 16 AND 31
        OR q[1] = 100 AND q[2] BETWEEN 64 AND 127 THEN 'non_public' ELSE 'public' END AS status FROM ips)"""
 
 
@@ -209,8 +213,8 @@ def _(load):
 
 @query("preferred_address", f"""
 WITH {IPV4}
-SELECT host_id, CASE WHEN bool_or(status = 'non_public') THEN 'non_public_address' ELSE 'ok' END AS status,
-  CASE WHEN NOT bool_or(status = 'non_public') THEN coalesce(arg_min(ip, ord) FILTER (v4), arg_min(ip, ord)) END AS preferred
+SELECT host_id, CASE WHEN bool_or(status <> 'public') THEN 'non_public_address' ELSE 'ok' END AS status,
+  CASE WHEN NOT bool_or(status <> 'public') THEN coalesce(arg_min(ip, ord) FILTER (v4), arg_min(ip, ord)) END AS preferred
 FROM st GROUP BY host_id""")
 def _(load):
     return policy.host_addresses(load("addresses"), ["host_id"])
@@ -304,7 +308,7 @@ def _(load):
 @query("manifest_diff", """
 SELECT coalesce(e.release_id, a.release_id) AS release_id, coalesce(e.path, a.path) AS path,
        CASE WHEN e.path IS NULL THEN 'unknown' WHEN a.path IS NULL THEN 'missing'
-            WHEN e.size <> a.size OR e.sha256 <> a.sha256 THEN 'digest_mismatch' ELSE 'ok' END AS status
+            WHEN e.size IS DISTINCT FROM a.size OR e.sha256 IS DISTINCT FROM a.sha256 THEN 'digest_mismatch' ELSE 'ok' END AS status
 FROM $expected_files e FULL JOIN $actual_files a ON a.release_id = e.release_id AND a.path = e.path""")
 def _(load):
     return integrity.manifest_diff(load("expected_files"), load("actual_files"), ["release_id"])

@@ -184,7 +184,7 @@ kept AS (
   SELECT answer_id, string_agg(cid, ',' ORDER BY pos) AS citations FROM (
     SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY pos) AS r FROM cited c
     WHERE EXISTS (SELECT 1 FROM $evidence e WHERE e.query_id = c.query_id AND e.citation_id = c.cid AND e.text <> ''))
-  WHERE r <= 8 GROUP BY answer_id)
+  GROUP BY answer_id)
 SELECT a.answer_id, a.query_id, claims AND citations IS NOT NULL AS grounded,
        CASE WHEN claims AND citations IS NOT NULL THEN trim(answer) ELSE '{grounding.REFUSAL}' END AS answer,
        CASE WHEN claims AND citations IS NOT NULL THEN citations ELSE '' END AS citations
@@ -197,14 +197,25 @@ def _(load):
     return grounded.withColumn("citations", F.concat_ws(",", "citations"))
 
 
-@query("citation_cap", """
-SELECT answer_id, len(string_split(cites, ',')) AS given,
-       array_to_string(list_slice(string_split(replace(cites, '"', ''), ','), 1, 8), ',') AS kept
-FROM $answers""")
+# Fixed value: citations that a short answer shows.
+SHOWN_CITATIONS = 8
+
+
+@query("citation_cap", f"""
+WITH cited AS (
+  SELECT answer_id, query_id, unnest(string_split(replace(cites, '"', ''), ',')) AS cid,
+         unnest(range(0, len(string_split(cites, ',')))) AS pos FROM $answers),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY pos) AS r FROM cited c
+  WHERE EXISTS (SELECT 1 FROM $evidence e WHERE e.query_id = c.query_id AND e.citation_id = c.cid AND e.text <> ''))
+SELECT a.answer_id, len(string_split(a.cites, ',')) AS given,
+       CASE WHEN a.claims THEN coalesce(string_agg(r.cid, ',' ORDER BY r.pos) FILTER (r.r <= {SHOWN_CITATIONS}), '') ELSE '' END AS kept
+FROM $answers a LEFT JOIN ranked r ON r.answer_id = a.answer_id GROUP BY a.answer_id, a.cites, a.claims""")
 def _(load):
-    cited = F.split(F.replace("cites", F.lit('"'), F.lit("")), ",")
-    return load("answers").select("answer_id", F.size(cited).cast("bigint").alias("given"),
-                                  F.concat_ws(",", F.slice(cited, 1, grounding.MAX_CITATIONS)).alias("kept"))
+    answers = load("answers").withColumns({"grounded": F.col("claims"), "citations": F.split(F.replace("cites", F.lit('"'), F.lit("")), ",")})
+    shown = grounding.ground_citations(answers, load("evidence"), limit=SHOWN_CITATIONS)
+    given = answers.select("answer_id", F.size("citations").cast("bigint").alias("given"))
+    return shown.join(given, "answer_id").select("answer_id", "given", F.concat_ws(",", "citations").alias("kept"))
 
 
 @query("window_requests", f"""

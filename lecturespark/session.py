@@ -30,17 +30,17 @@ def get_spark(app: str = "lecturespark", cores: str = "*", shuffle_partitions: i
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables, visible to every executor.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session, whose
-    executors share the driver's disk, may fall back to a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session that runs in the
+    driver's own process may fall back to a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="lecturespark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lecturespark-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -15,36 +15,57 @@ MAX_COURSES = 100
 MONTHS_BACK, MONTHS_AHEAD = 12, 1
 
 
+def _children(node: Column) -> Column:
+    """The entries of an object; null for anything else."""
+    return F.try_variant_get(node, "$", "map<string,variant>")
+
+
+def _bad(node: Column, read: Column, name: str) -> Column:
+    return F.when(read.isNull() & truthy(node), name)
+
+
 def flatten_catalog(courses: DataFrame, keys: list[str] | None = None, column: str = "detail") -> DataFrame:
     """Lectures of course documents nested by year, month and day.
 
-    Items that are no object or have no id are left out. All explodes stay inside
-    a row, so the whole job is one narrow stage.
+    Items that are no object or have no id are left out. A node that is set but of the wrong
+    kind gives one row that names the ``problem``, a lecture under a year, month or day that
+    is no number has the problem ``bad_date``, and everything beside them stays. A document
+    that is no JSON object, or names one key twice, is one row with ``not_json``; null and
+    empty ones give none. All explodes stay inside a row: the whole job is one narrow stage.
     """
     keys = keys or ["course_id"]
-    tree = F.from_json(column, "sub_list MAP<STRING, MAP<STRING, MAP<STRING, ARRAY<VARIANT>>>>")["sub_list"]
-    years = courses.select(*keys, F.explode(tree).alias("y", "_months"))
-    months = years.select(*keys, "y", F.explode("_months").alias("m", "_days"))
-    days = months.select(*keys, "y", "m", F.explode("_days").alias("d", "_items"))
+    read = courses.select(*keys, F.col(column).alias("_text"), F.try_parse_json(column).alias("_root"))
+    listed = field(F.col("_root"), "sub_list", "variant")
+    broken = F.when((F.col("_text") != "") & (F.coalesce(shape_of(F.col("_root")), F.lit("invalid")) != "object"), "not_json")
+    years = read.select(*keys, F.explode_outer(_children(listed)).alias("y", "_v"), F.coalesce(broken, _bad(listed, _children(listed), "bad_years")).alias("_p"))
+    months = years.select(*keys, "y", F.explode_outer(_children(F.col("_v"))).alias("m", "_w"),
+                          F.coalesce("_p", _bad(F.col("_v"), _children(F.col("_v")), "bad_months")).alias("_p"))
+    days = months.select(*keys, "y", "m", F.explode_outer(_children(F.col("_w"))).alias("d", "_x"),
+                         F.coalesce("_p", _bad(F.col("_w"), _children(F.col("_w")), "bad_days")).alias("_p"))
     # One reading of each item gives all its fields; other values than objects become null.
     item = ("STRUCT<id: VARIANT, sub_title: STRING, lecturer_name: STRING, playback_status: STRING, "
             "duration: BIGINT, duration_sec: BIGINT>")
-    objects = F.transform("_items", lambda v: F.try_variant_get(v, "$", item))
+    items = F.try_variant_get("_x", "$", "array<variant>")
+    objects = F.transform(items, lambda v: F.try_variant_get(v, "$", item))
     lectures = F.filter(objects, lambda r: r.isNotNull() & truthy(r["id"]))
-    rows = days.select(*keys, "y", "m", "d", F.explode(lectures).alias("_r"))
-    text = lambda name: F.coalesce(F.col(f"_r.{name}"), F.lit(""))
-    date = [digits(F.col(c).cast("int"), w) for c, w in (("y", 4), ("m", 2), ("d", 2))]
+    rows = days.select(*keys, "y", "m", "d", F.explode_outer(lectures).alias("_r"), F.coalesce("_p", _bad(F.col("_x"), items, "bad_items")).alias("_p"))
+    rows = rows.where(F.col("_r").isNotNull() | F.col("_p").isNotNull())
+    found = F.col("_r").isNotNull()
+    text = lambda name: F.when(found, F.coalesce(F.col(f"_r.{name}"), F.lit("")))
+    date = [digits(F.col(c).try_cast("int"), w) for c, w in (("y", 4), ("m", 2), ("d", 2))]
+    dated = F.col("y").try_cast("int").isNotNull() & F.col("m").try_cast("int").isNotNull() & F.col("d").try_cast("int").isNotNull()
     return rows.select(
         *keys, F.try_variant_get("_r.id", "$", "string").alias("sub_id"), text("sub_title").alias("sub_title"),
-        text("lecturer_name").alias("lecturer_name"), F.concat_ws("-", *date).alias("date"),
-        (text("playback_status") == "1").alias("has_playback"),
-        F.greatest(F.lit(0), first_present("_r.duration", "_r.duration_sec")).cast("bigint").alias("duration_seconds"),
+        text("lecturer_name").alias("lecturer_name"), F.when(dated, F.concat_ws("-", *date)).alias("date"),
+        F.when(found, text("playback_status") == "1").alias("has_playback"),
+        F.when(found, F.greatest(F.lit(0), first_present("_r.duration", "_r.duration_sec")).cast("bigint")).alias("duration_seconds"),
+        F.coalesce("_p", F.when(~dated, "bad_date")).alias("problem"),
     )
 
 
-def _days(column: str) -> Column:
-    """The days of a month document."""
-    return F.coalesce(F.from_json(column, "list ARRAY<VARIANT>")["list"], F.array().cast("array<variant>"))
+def _days(document: Column) -> Column:
+    """The days of a month document, none if there is no list."""
+    return F.coalesce(F.try_variant_get(document, "$.list", "array<variant>"), F.array().cast("array<variant>"))
 
 
 def _course_rows(days: Column) -> Column:
@@ -54,21 +75,31 @@ def _course_rows(days: Column) -> Column:
     return F.filter(rows, lambda r: shape_of(r) == "object")
 
 
+def _read_months(schedules: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Every month document with its days, course rows and ``month_status``."""
+    parsed = schedules.select(*keys, F.try_parse_json(column).alias("_v"))
+    read = parsed.select(*keys, "_v", _days(F.col("_v")).alias("_d")).select(*keys, "_v", "_d", _course_rows(F.col("_d")).alias("_rows"))
+    listed = field(F.col("_v"), "list", "variant")
+    code = field(F.col("_v"), "code", "double")
+    status = (F.when(F.coalesce(shape_of(F.col("_v")), F.lit("invalid")) != "object", "not_json")
+              .when(~F.coalesce(code.isin(0.0, 200.0), F.lit(False)), "bad_code")
+              .when(truthy(listed) & (shape_of(listed) != "array"), "bad_list")
+              .when(F.size("_d") > MAX_DAYS_PER_MONTH, "too_many_days")
+              .when(F.size("_rows") > MAX_ROWS_PER_MONTH, "too_many_rows").otherwise("ok"))
+    return read.select(*keys, "_rows", status.alias("month_status"))
+
+
 def schedule_status(schedules: DataFrame, keys: list[str], column: str = "doc") -> DataFrame:
-    """Size verdict of every month document."""
-    sized = schedules.select(*keys, _days(column).alias("_d")).select(
-        *keys, F.size("_d").alias("_days"), F.size(_course_rows(F.col("_d"))).cast("bigint").alias("rows"))
-    status = (F.when(F.col("_days") > MAX_DAYS_PER_MONTH, "too_many_days")
-              .when(F.col("rows") > MAX_ROWS_PER_MONTH, "too_many_rows").otherwise("ok"))
-    return sized.select(*keys, "rows", status.alias("month_status"))
+    """Verdict of every month document, with the number of its course rows."""
+    return _read_months(schedules, keys, column).select(*keys, F.size("_rows").cast("bigint").alias("rows"), "month_status")
 
 
 def flatten_schedule(schedules: DataFrame, keys: list[str], column: str = "doc") -> DataFrame:
-    """Course rows of accepted month documents, with their position in the month."""
-    # A list of none or one month, so that each step names the parsed value once.
-    month = F.filter(F.array(_days(column)), lambda days: F.size(days) <= MAX_DAYS_PER_MONTH)
-    month = F.filter(F.transform(month, _course_rows), lambda rows: F.size(rows) <= MAX_ROWS_PER_MONTH)
-    rows = schedules.select(*keys, F.posexplode(F.flatten(month)).alias("pos", "_r"))
+    """Course rows of all month documents, with their position in the month and its ``month_status``.
+
+    No row is left out for the verdict on its month; the caller chooses.
+    """
+    rows = _read_months(schedules, keys, column).select(*keys, "month_status", F.posexplode("_rows").alias("pos", "_r"))
 
     def pick(*options: str):
         return first_present(*[field(F.col("_r"), o, "string") for o in options], missing="")
@@ -79,7 +110,7 @@ def flatten_schedule(schedules: DataFrame, keys: list[str], column: str = "doc")
         pick("title").alias("title"), pick("realname", "lecturer_name").alias("teacher"),
         pick("kkxy_name", "school_name", "dept_name", "kkxy").alias("department"),
         pick("term_name", "term").alias("term"), F.trim(pick("sub_id")).alias("sub_id"),
-        F.greatest(F.lit(0.0), F.coalesce(pick("sub_duration").try_cast("double"), F.lit(0.0))).alias("duration"),
+        F.greatest(F.lit(0.0), F.coalesce(pick("sub_duration").try_cast("double"), F.lit(0.0))).alias("duration"), "month_status",
     ).where("course_id <> ''")
 
 

@@ -119,7 +119,9 @@ def test_answers_need_evidence(spark):
     assert got[1]["answer"] == "yes" and got[1]["citations"] == ["real", "real"] and got[1]["grounded"]
     for refused in (2, 3, 4):
         assert got[refused]["answer"] == grounding.REFUSAL and got[refused]["citations"] == [] and not got[refused]["grounded"]
-    assert len(got[5]["citations"]) == 8
+    assert len(got[5]["citations"]) == 12
+    short = grounding.ground_citations(answers, evidence, limit=8).where("answer_id = 5").first()
+    assert len(short["citations"]) == 8
 
 
 def test_month_grid_and_catalogue(spark):
@@ -127,9 +129,14 @@ def test_month_grid_and_catalogue(spark):
     months = [r["month"] for r in catalog.month_grid(anchor).orderBy("month").collect()]
     assert months[0] == "2023-01" and months[-1] == "2024-02" and len(months) == 14
     detail = spark.createDataFrame([(1, '{"sub_list":{"2024":{"5":{"3":[{"id":"0","duration":"x","playback_status":1},{"id":0},7]}}}}'),
-                                    (2, "{}"), (3, "no")], "course_id INT, detail STRING")
-    assert values(catalog.flatten_catalog(detail).select("course_id", "sub_id", "date", "has_playback", "duration_seconds")) == [
-        (1, "0", "2024-05-03", True, 0)]
+                                    (2, "{}"), (3, "no"), (4, None), (5, '{"sub_list":[1]}'),
+                                    (6, '{"sub_list":{"2024":{"5":{"3":"day","4":[{"id":"k"}]},"6":[7]},"2025":"x","y":{"1":{"2":[{"id":"z"}]}}}}')],
+                                   "course_id INT, detail STRING")
+    flat = catalog.flatten_catalog(detail)
+    assert values(flat.where("problem IS NULL").select("course_id", "sub_id", "date", "has_playback", "duration_seconds")) == [
+        (1, "0", "2024-05-03", True, 0), (6, "k", "2024-05-04", False, 0)]
+    assert values(flat.where("problem IS NOT NULL").select("course_id", "problem", "sub_id")) == [
+        (3, "not_json", None), (5, "bad_years", None), (6, "bad_date", "z"), (6, "bad_days", None), (6, "bad_items", None), (6, "bad_months", None)]
 
 
 def test_chunks_and_windows(spark):
@@ -137,10 +144,12 @@ def test_chunks_and_windows(spark):
                                         (6, 0.0, 43201.0), (7, 0.0, 0.2)], "r INT, start_seconds DOUBLE, duration_seconds DOUBLE")
     got = grids.chunk_grid(recordings, ["r"])
     assert values(got.where("r < 3").select("r", "offset_seconds", "duration_seconds")) == [
-        (1, 0.0, 600.0), (1, 1200.0, 50.0), (1, 600.0, 600.0), (2, 5.0, 600.0)]
-    assert values(got.where("r > 2").groupBy("r").count()) == [(5, 72), (7, 1)]
+        (1, 0.0, 600.0), (1, 1200.0, 50.0), (1, 600.0, 600.0), (2, 5.0, 600.0), (2, 605.0, 0.5)]
+    assert values(got.where("r > 2").groupBy("r", "recording_error").count()) == [
+        (3, "invalid_duration", 1), (4, "invalid_start", 1), (5, None, 72), (6, "invalid_duration", 1), (7, None, 1)]
     chunks = spark.createDataFrame([(1, 0.0, 480_000 + 7999), (2, 600.0, 480_000 + 8000), (3, 0.0, 0)], "c INT, offset_seconds DOUBLE, samples BIGINT")
-    assert values(grids.window_grid(chunks, ["c"])) == [(1, 0, 0, 30_000), (2, 0, 600_000, 630_000), (2, 1, 630_000, 630_500)]
+    assert values(grids.window_grid(chunks, ["c"])) == [
+        (1, 0, 0, 30_000, False), (1, 1, 30_000, 30_499, True), (2, 0, 600_000, 630_000, False), (2, 1, 630_000, 630_500, False)]
 
 
 def test_responses(spark):
@@ -166,6 +175,8 @@ def test_errors_never_echo(spark):
 def test_headers(spark):
     df = spark.createDataFrame([({"COOKIE": "a", "Host": "x\n", "Range": "r", "user-agent": "u"},), ({"cookie": "a\r\nb"},), ({},)],
                                "h MAP<STRING, STRING>")
+    twice = spark.sql("SELECT map('Cookie', 'a', 'cookie', 'b', 'Host', 'x', 'HOST ', 'y') AS h").select(urls.safe_headers("h")).first()[0]
+    assert twice == {"Cookie": "b"}
     assert [r[0] for r in df.select(urls.safe_headers("h")).collect()] == [{"Cookie": "a", "User-Agent": "u"}, None, {}]
 
 
@@ -178,14 +189,29 @@ def test_urls(spark):
 
 
 def test_addresses(spark):
-    cases = {"127.0.0.1": "non_public", "10.0.0.1": "non_public", "93.184.216.34": "public", "not-an-ip": "not_ipv4",
+    cases = {"127.0.0.1": "non_public", "10.0.0.1": "non_public", "93.184.216.34": "public", "not-an-ip": "unreadable",
              "100.64.0.1": "non_public", "100.128.0.1": "public", "192.0.0.9": "public", "192.0.0.8": "non_public",
-             "255.255.255.255": "non_public", "224.0.0.1": "public", "1.2.3": "not_ipv4", "1.2.3.256": "not_ipv4",
-             "01.2.3.4": "not_ipv4", "::1": "not_ipv4"}
+             "255.255.255.255": "non_public", "224.0.0.1": "public", "1.2.3": "unreadable", "1.2.3.256": "unreadable",
+             "01.2.3.4": "unreadable", "::1": "non_public", "::": "non_public", "fd00::5": "non_public", "FE80::1": "non_public",
+             "::ffff:10.0.0.1": "non_public", "::ffff:8.8.8.8": "public", "::ffff:a00:1": "non_public", "2606:4700::1": "public",
+             "2606:4700:0:0:0:0:0:1": "public", "2001:db8::1": "non_public", "2001:4:112::1": "public", "2002::1": "non_public",
+             "1::2::3": "unreadable", "1:2:3:4:5:6:7": "unreadable", "1:2:3:4:5:6:7:8": "public", "1:2:3:4:5:6:7::8": "unreadable", ":1::2": "unreadable",
+             "::12345": "unreadable", "fe80::1%eth0": "unreadable", "64:ff9b:1::8.8.8.8": "non_public", "::1.2.3.256": "unreadable", "": "unreadable"}
     assert one(spark, "ip STRING", list(cases), policy.address_status("ip")) == list(cases.values())
-    rows = [(1, 0, "::1"), (1, 1, "8.8.8.8"), (2, 0, "8.8.8.8"), (2, 1, "10.0.0.1")]
+    rows = [(1, 0, "2606:4700::1"), (1, 1, "8.8.8.8"), (2, 0, "8.8.8.8"), (2, 1, "10.0.0.1"), (3, 0, "8.8.8.8"), (3, 1, "::1"),
+            (4, 0, "8.8.8.8"), (4, 1, "junk"), (5, 0, "8.8.8.8"), (5, 1, None), (6, 0, "2606:4700::1")]
     df = spark.createDataFrame(rows, "h INT, ord INT, ip STRING")
-    assert values(policy.host_addresses(df, ["h"])) == [(1, "ok", "8.8.8.8"), (2, "non_public_address", None)]
+    refused = "non_public_address"
+    assert values(policy.host_addresses(df, ["h"])) == [(1, "ok", "8.8.8.8"), (2, refused, None), (3, refused, None), (4, refused, None),
+                                                        (5, refused, None), (6, "ok", "2606:4700::1")]
+
+
+def test_manifest_diff_with_nulls(spark):
+    schema = "k INT, path STRING, size BIGINT, sha256 STRING"
+    listed = spark.createDataFrame([(1, "a", None, "x"), (1, "b", 3, None), (1, "c", None, None), (1, "d", 1, "x"), (1, "e", 1, "x")], schema)
+    there = spark.createDataFrame([(1, "a", 9, "x"), (1, "b", 3, "y"), (1, "c", None, None), (1, "d", 1, "x"), (1, "f", None, None)], schema)
+    assert values(integrity.manifest_diff(listed, there, ["k"])) == [
+        (1, "a", "digest_mismatch"), (1, "b", "digest_mismatch"), (1, "c", "ok"), (1, "d", "ok"), (1, "e", "missing"), (1, "f", "unknown")]
 
 
 def test_redirects(spark):
