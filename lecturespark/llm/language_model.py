@@ -2,7 +2,7 @@
 
 The probability of a word is that of its class times that of the word in its class, both
 softmaxes over hashed features of the words before: the last one, the one before it
-(a skip) and the pair. Frequent words have slots in classes; all others share one
+(a skip) and, for the class, the pair. Frequent words have slots in classes; all others share one
 class, inside which counts with an absolute discount decide. Every task improves the
 weights by gradient updates over its documents, and rows of weights are averaged by
 the number of updates they saw.
@@ -29,7 +29,7 @@ CLASS_ROWS, SLOT_ROWS = 1 << 14, 1 << 15
 RATE, BATCH = 0.25, 4096
 DISCOUNT = 0.5
 FREQUENT = 1 << 16  # words whose counts every task holds; the others are joined
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 4_000_000
 END = ""  # no word is empty
 END_HASH, START_HASH = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 
@@ -148,12 +148,12 @@ class Model:
 
     def chances(self, group: np.ndarray, slot: np.ndarray, features: np.ndarray):
         """Probabilities of all classes, and of all slots for the tokens that have one."""
-        rows = (features % np.uint64(CLASS_ROWS)).astype(np.int64)
+        rows = (features & np.uint64(CLASS_ROWS - 1)).astype(np.int64)
         classes = self.class_bias + self.class_rows[rows[0]]
         for r in rows[1:]:
             classes += self.class_rows[r]
         some = np.flatnonzero(group)
-        inner = (mixed(features[:, some] + group[some].astype(np.uint64)) % np.uint64(SLOT_ROWS)).astype(np.int64)
+        inner = (mixed(features[:2, some] + group[some].astype(np.uint64)) & np.uint64(SLOT_ROWS - 1)).astype(np.int64)
         slots = self.slot_bias[group[some]] + self.slot_rows[inner[0]]
         for r in inner[1:]:
             slots += self.slot_rows[r]
@@ -181,14 +181,21 @@ class Model:
         """Adaptive steps: a row moves by its summed slope over the root of its squares so far."""
         if len(slope) == 0:
             return
-        flat = rows.reshape(-1)
+        flat = rows.reshape(-1).astype(np.uint16)  # sorts in linear time
         order = np.argsort(flat, kind="stable")
-        flat = flat[order]
+        flat, order = flat[order], order % len(slope)
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        sums = np.add.reduceat(slope[order % len(slope)], first, axis=0)
-        touched = flat[first]
+        times = np.diff(first, append=len(flat))
+        sums = slope[order[first]]
+        # Most pairs of words are alone in their batch; only rows that are not need a sum.
+        many = np.flatnonzero(times > 1)
+        if len(many):
+            inner = np.repeat(times > 1, times)
+            starts = np.concatenate([[0], np.cumsum(times[many])[:-1]])
+            sums[many] = np.add.reduceat(slope[order[inner]], starts, axis=0)
+        touched = flat[first].astype(np.int64)
         self.squares[which][touched] += np.einsum("ij,ij->i", sums, sums)
-        self.seen[which][touched] += np.diff(np.concatenate([first, [len(flat)]]))
+        self.seen[which][touched] += times
         weights[touched] -= (RATE / np.sqrt(self.squares[which][touched])).astype(np.float32)[:, None] * sums
 
 
@@ -272,7 +279,7 @@ def score_texts(docs: DataFrame, vocabulary: DataFrame, counts: Counts, weights:
                 known = held[codes]
                 size = batch.num_rows
                 total = np.bincount(row_of[known], base[codes[known]], size)
-                score += np.bincount(row_of[known], inner[codes[known]], size)
+                score = score + np.bincount(row_of[known], inner[codes[known]], size)
                 n_known = np.bincount(row_of[known], minlength=size)
                 if held[-1]:
                     total, score, n_known = total + base[-1], score + inner[-1], n_known + 1
@@ -287,7 +294,7 @@ def score_texts(docs: DataFrame, vocabulary: DataFrame, counts: Counts, weights:
                 row += size
                 none = pa.nulls(size, pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), batch.column(0), none, pa.array(np.diff(offsets) + 1), pa.array(n_known), pa.array(total), pa.array(score)], names)
+                    [pa.array(ids), batch.column(0), none, pa.array(np.diff(offsets) + 1), pa.array(n_known), pa.array(total, pa.float64()), pa.array(score, pa.float64())], names)
                 blank = pa.nulls(len(pairs), pa.float64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[pairs // (len(words) + 1)]), pa.nulls(len(pairs), batch.column(0).type), texts, pa.array(times), pa.nulls(len(pairs), pa.int64()), blank, blank], names)
