@@ -24,7 +24,7 @@ from .words import runs
 
 COSINE, BLOCK, PIVOTS, CHUNK = 0.98, 2048, 64, 4096
 LEAF = 48
-SLACK = 1e-9
+SLACK = 1e-6  # above the rounding of distances near 0
 
 
 @dataclass
