@@ -65,9 +65,13 @@ def candidate_order(candidates: DataFrame, keys: list[str], **options) -> DataFr
 
 
 def budget_admission(candidates: DataFrame, keys: list[str], *, max_lectures: int | None = None,
-                     max_runner_minutes: float | None = None, max_tokens: int | None = None, **options) -> DataFrame:
+                     max_runner_minutes: float | None = None, max_tokens: int | None = None,
+                     opening: DataFrame | None = None, **options) -> DataFrame:
     """Decide which candidates a run takes before its budget is used up.
 
+    ``opening`` (keys, ``lectures``, ``cost_ms``, ``tokens``) is what earlier runs of the same
+    day have used; several rows of a key add up, and keys without one start at zero.
+
     Costs are recorded or estimated per candidate: ``outcome`` (ok or failed),
     ``cost_ms`` and ``tokens``. A candidate is deferred once the earlier ones have
     used up a limit, so the last one taken may overshoot. Use never goes down;
@@ -92,18 +96,35 @@ def budget_admission(candidates: DataFrame, keys: list[str], *, max_lectures: in
         _ms=Running("sum", F.when(F.col("_fate").isin("processed", "failed"), F.col("cost_ms")).otherwise(zero), True),
         _tokens=Running("sum", F.when(F.col("_fate") == "processed", F.col("tokens")).otherwise(zero), True),
     )
-    used_up = (F.col("_lectures") >= lecture_limit) | (F.col("_ms") >= stop_ms) | (F.col("_tokens") >= token_limit)
-    decided = rows.result().withColumn("decision", F.when(used_up, "deferred_budget").otherwise(F.col("_fate")))
-    return decided.drop("_fate", "_lectures", "_ms", "_tokens", "_rank_priority", "_rank_id")
-
-
-def run_counts(decisions: DataFrame, keys: list[str]) -> DataFrame:
-    """Discovered, processed, failed and deferred candidates of each run."""
+    counted = rows.result()
+    before = {c: zero for c in ("lectures", "cost_ms", "tokens")}
+    if opening is not None:
+        # One row per key: the join leaves a large key to adaptive execution on the side that can be split.
+        used = opening.groupBy(*keys).agg(*[F.sum(c).alias(f"_open_{c}") for c in before])
+        counted = counted.join(used, keys, "left")
+        before = {c: F.coalesce(f"_open_{c}", zero) for c in before}
+    used_up = ((F.col("_lectures") + before["lectures"] >= lecture_limit) | (F.col("_ms") + before["cost_ms"] >= stop_ms)
+               | (F.col("_tokens") + before["tokens"] >= token_limit))
+    decided = counted.withColumn("decision", F.when(used_up, "deferred_budget").otherwise(F.col("_fate")))
+    return decided.drop("_fate", "_lectures", "_ms", "_tokens", "_rank_priority", "_rank_id", *[f"_open_{c}" for c in before])
+
+
+def run_counts(decisions: DataFrame, keys: list[str], expiring: DataFrame | None = None, account: list[str] | None = None) -> DataFrame:
+    """Discovered, processed, failed and deferred candidates of each run.
+
+    ``expiring`` has a row per result that expires soon; those of the run's ``account``
+    columns (all of ``keys`` unless named) are counted as ``expiring_results``.
+    """
     decision = F.col("decision")
-    return decisions.groupBy(*keys).agg(
+    counts = decisions.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("discovered"), F.count_if(decision == "processed").alias("processed"),
         F.count_if(decision == "failed").alias("failed"),
         F.count_if(decision.startswith("deferred")).alias("deferred"))
+    if expiring is None:
+        return counts
+    account = account or keys
+    soon = expiring.groupBy(*account).agg(F.count(F.lit(1)).alias("expiring_results"))
+    return counts.join(soon, account, "left").fillna(0, ["expiring_results"])
 
 
 def decision_code(error_code: str = "error_code") -> Column:

@@ -131,8 +131,12 @@ def select_mode(modes: DataFrame, a: DataFrame, b: DataFrame, corrected: DataFra
     """Final segments by the lecture's subtitle mode (missing means standard)."""
     keys = keys or ["lecture_id"]
     columns = [*keys, "ord", "start_ms", "end_ms", "text"]
-    tagged = [df.select(*columns, F.lit(mode).alias("mode")) for mode, df in zip(MODES, (a, b, corrected))]
-    rows = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
-    wanted = modes.select(*keys, F.coalesce(present("mode", ""), F.lit("standard")).alias("mode"))
-    chosen = rows.join(wanted, [*keys, "mode"], "left_semi")
-    return normalise_segments(chosen, keys, **options)
+    chosen = [of_mode(df, modes, mode, keys).select(*columns) for mode, df in zip(MODES, (a, b, corrected))]
+    return normalise_segments(chosen[0].unionByName(chosen[1]).unionByName(chosen[2]), keys, **options)
+
+
+def of_mode(rows: DataFrame, modes: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """The rows of lectures with a mode; apply it to the inputs of a costly branch, before its joins."""
+    keys = keys or ["lecture_id"]
+    wanted = modes.where(F.coalesce(present("mode", ""), F.lit("standard")) == mode).select(*keys)
+    return rows.join(wanted, keys, "left_semi")

@@ -17,6 +17,12 @@ SELECT event_id, user_id AS account_id,
             ELSE concat(substr(replace(CAST(ts AS STRING), ' ', 'T'), 1, 19), 'Z') END AS expires_at
 FROM {events}""")
 
+# What an earlier run of the same day has used, for some of the runs, in two rows.
+define_input("opening_usage", """
+SELECT o_custkey % 25 AS account_id, year(CAST(o_orderdate AS DATE)) AS run, max(o_orderkey) % 9 AS lectures,
+       max(o_orderkey) % 5 * 1000000 AS cost_ms, max(o_orderkey) % 7 * 4000 AS tokens
+FROM {orders} WHERE o_custkey % 3 <> 0 GROUP BY o_custkey % 25, year(CAST(o_orderdate AS DATE)), o_custkey % 2""")
+
 RULED = """last_rule AS (SELECT * FROM $rules),
 ruled AS (
   SELECT l.*, r.course_id IS NOT NULL AS has_rule, coalesce(r.discovery_only, true) AS discovery_only,
@@ -42,8 +48,10 @@ ranked AS (
          WHEN duration_seconds > coalesce(max_lecture_minutes, 240) * 60 THEN 'deferred_duration'
          WHEN outcome = 'ok' THEN 'processed' ELSE 'failed' END AS fate FROM cand),
 run_rows AS (
-  SELECT account_id, run, 0 AS n, 0 AS lectures, 0 AS ms, 0 AS tok, CAST(NULL AS BIGINT) AS sub_id,
-         CAST(NULL AS VARCHAR) AS decision FROM (SELECT DISTINCT account_id, run FROM ranked)
+  SELECT account_id, run, 0 AS n, CAST(coalesce(o.lectures, 0) AS BIGINT) AS lectures, CAST(coalesce(o.ms, 0) AS BIGINT) AS ms,
+         CAST(coalesce(o.tok, 0) AS BIGINT) AS tok, CAST(NULL AS BIGINT) AS sub_id, CAST(NULL AS VARCHAR) AS decision
+  FROM (SELECT DISTINCT account_id, run FROM ranked) LEFT JOIN (
+    SELECT account_id, run, sum(lectures) AS lectures, sum(cost_ms) AS ms, sum(tokens) AS tok FROM $opening_usage GROUP BY ALL) o USING (account_id, run)
   UNION ALL
   SELECT p.account_id, p.run, r.n,
          p.lectures + CASE WHEN NOT full_up AND fate IN ('discovered', 'processed') THEN 1 ELSE 0 END,
@@ -73,7 +81,7 @@ def lecture_keys(load):
 
 def decisions(load):
     return admission.budget_admission(candidates(load), ["account_id", "run"], max_lectures=20, max_tokens=0,
-                                      sized_by=lecture_keys(load))
+                                      opening=load("opening_usage"), sized_by=lecture_keys(load))
 
 
 @query("apply_rules", f"""
@@ -125,12 +133,18 @@ def _(load):
 
 
 @query("run_counts", f"""
-WITH RECURSIVE {ADMITTED}
-SELECT account_id, run, count(*) AS discovered, count(*) FILTER (decision = 'processed') AS processed,
+WITH RECURSIVE {ADMITTED},
+soon AS (
+  SELECT account_id, count(*) AS n FROM (
+    SELECT account_id, name, expired, CASE WHEN event_id % 11 = 2 THEN at_us // 1000000 * 1000000 - 28800000000
+                                           WHEN event_id % 11 > 2 THEN at_us // 1000000 * 1000000 END AS expires_us FROM $snapshots)
+  WHERE name LIKE 'result-%' AND NOT expired AND expires_us > 1705000000000000 AND expires_us <= 1705000000000000 + 259200000000 GROUP BY 1)
+SELECT account_id, run, coalesce((SELECT n FROM soon WHERE soon.account_id = run_rows.account_id), 0) AS expiring_results, count(*) AS discovered, count(*) FILTER (decision = 'processed') AS processed,
        count(*) FILTER (decision = 'failed') AS failed, count(*) FILTER (decision LIKE 'deferred%') AS deferred
 FROM run_rows WHERE n > 0 GROUP BY ALL""")
 def _(load):
-    return admission.run_counts(decisions(load), ["account_id", "run"])
+    soon = health.expiring_soon(load("snapshots"), F.lit(1705000000000000), "result-")
+    return admission.run_counts(decisions(load), ["account_id", "run"], soon, ["account_id"])
 
 
 @query("run_code", f"""

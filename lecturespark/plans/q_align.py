@@ -102,7 +102,8 @@ SELECT lecture_id, n - 1 AS ord, start_ms, end_ms, text FROM norm""")
 def _(load):
     modes = load("segments_a").select("lecture_id").distinct().withColumn(
         "mode", F.expr("CASE lecture_id % 4 WHEN 0 THEN 'fast' WHEN 1 THEN 'no-proofread' WHEN 2 THEN '' ELSE 'odd' END"))
-    corrected = align.apply_corrections(pairs(load), corrections(load))
+    standard = [align.of_mode(load(name), modes, "standard") for name in ("segments_a", "segments_b")]
+    corrected = align.apply_corrections(align.align_recognisers(*standard), corrections(load))
     return align.select_mode(modes, load("segments_a"), load("segments_b"), corrected, sized_by=pair_keys(load))
 
 
