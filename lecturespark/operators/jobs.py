@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digests import strict_base64
-from ..functions.model_json import strip
+from ..functions.model_json import field, shape_of, strip, truthy
 from ..functions.text import first_present
 
 # Versions, kinds and limits of a job.
@@ -21,8 +21,24 @@ ACCOUNT_CHARS, PASSWORD_CHARS = 64, 512
 SLIDE_OUTPUTS = ("ocr", "summary", "chapters")
 
 
-def job_error(now: Column) -> Column:
-    """The first rule a job breaks, or null.
+def _shape_rules(document: str) -> list[tuple[Column, str]]:
+    """What the parts of a job document must be; missing and empty parts are fine, a text that is no JSON is not."""
+    root = F.try_parse_json(document)
+    part = lambda of, name: field(of, name, "variant")
+    payload, outputs = part(root, "payload"), part(root, "requested_outputs")
+    media = part(payload, "media")
+    items = F.try_variant_get(outputs, "$", "array<variant>")
+    texts = F.forall(items, lambda v: F.schema_of_variant(v) == "STRING")
+    media_set = media.isNotNull() & (shape_of(media) != "void")
+    return [
+        (root.isNull() | (truthy(payload) & (shape_of(payload) != "object")), "job payload must be an object"),
+        (truthy(outputs) & ~F.coalesce(texts, F.lit(False)), "requested_outputs must be a string list"),
+        (media_set & (shape_of(media) != "object"), "media must be an object"),
+    ]
+
+
+def job_error(now: Column, document: str | None = None) -> Column:
+    """The first rule a job breaks, or null; ``document`` names the column of the job's JSON text, whose shape is checked too.
 
     Columns: schema, task_id, protocol_version, job_kind, created_at, expires_at,
     result_public_key, start_seconds, duration_seconds, provider, course_id, sub_id,
@@ -44,6 +60,7 @@ def job_error(now: Column) -> Column:
         (expires < now - SKEW_SECONDS, "job has expired"),
         (key.isNull(), "result_public_key is not valid base64"),
         (F.length(key) != KEY_BYTES, "result_public_key has the wrong length"),
+        *(_shape_rules(document) if document else []),
         (first_present("start_seconds") < 0, "media.start_seconds cannot be negative"),
         (F.coalesce(c("duration_seconds") <= 0, F.lit(False)), "media.duration_seconds must be positive"),
         (session & (c("provider") != PROVIDER), "source_session provider is unsupported"),
@@ -61,9 +78,9 @@ def job_error(now: Column) -> Column:
     return error
 
 
-def validate_jobs(jobs: DataFrame, now: Column) -> DataFrame:
+def validate_jobs(jobs: DataFrame, now: Column, document: str | None = None) -> DataFrame:
     """Add ``error``; the credentials end here."""
-    return jobs.withColumn("error", job_error(now)).drop("account", "password", "expected_hash")
+    return jobs.withColumn("error", job_error(now, document)).drop("account", "password", "expected_hash")
 
 
 def accepted(validated: DataFrame) -> DataFrame:

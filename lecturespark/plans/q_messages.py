@@ -154,6 +154,9 @@ SELECT task_id, sub_id, CASE
   WHEN created_at > {NOW} + 120 THEN 'job was created in the future'
   WHEN expires_at < {NOW} - 120 THEN 'job has expired'
   WHEN result_public_key = 'YWJj' THEN 'result_public_key has the wrong length'
+  WHEN CAST(sub_id AS BIGINT) % 61 = 0 THEN 'job payload must be an object'
+  WHEN CAST(sub_id AS BIGINT) % 67 IN (0, 1) THEN 'requested_outputs must be a string list'
+  WHEN CAST(sub_id AS BIGINT) % 71 IN (0, 1) AND CAST(sub_id AS BIGINT) % 73 <> 0 THEN 'media must be an object'
   WHEN start_seconds < 0 THEN 'media.start_seconds cannot be negative'
   WHEN duration_seconds <= 0 THEN 'media.duration_seconds must be positive'
   WHEN provider = 'old-session' THEN 'source_session provider is unsupported'
@@ -165,7 +168,11 @@ def _(load):
     parts = ["task_id", "job_kind", "schema", "protocol_version", "created_at", "expires_at", "course_id", "sub_id", "title"]
     rows = load("jobs").withColumn("expected_hash", row_digest(parts)).withColumn(
         "input_hash", F.when(F.col("digest_ok"), F.col("expected_hash")).otherwise("00"))
-    return jobs.validate_jobs(rows, F.lit(NOW)).select("task_id", "sub_id", "error")
+    rows = rows.withColumn("document", F.expr("""
+        concat('{"payload":', CASE WHEN CAST(sub_id AS BIGINT) % 61 = 0 THEN '[1]' WHEN CAST(sub_id AS BIGINT) % 73 = 0 THEN 'null'
+            ELSE concat('{"media":', CASE CAST(sub_id AS BIGINT) % 71 WHEN 0 THEN '"x"' WHEN 1 THEN 'false' WHEN 2 THEN 'null' ELSE '{}' END, '}') END,
+            ',"requested_outputs":', CASE CAST(sub_id AS BIGINT) % 67 WHEN 0 THEN '"ocr"' WHEN 1 THEN '["ocr",5]' WHEN 2 THEN 'null' WHEN 3 THEN '[]' ELSE '["ocr"]' END, '}')"""))
+    return jobs.validate_jobs(rows, F.lit(NOW), "document").select("task_id", "sub_id", "error")
 
 
 @query("job_source", """
