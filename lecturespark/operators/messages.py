@@ -138,11 +138,11 @@ def _fold_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[keep]
 
 
-def progress_throttle(messages: DataFrame, keys: list[str], **options) -> DataFrame:
+def progress_throttle(messages: DataFrame, keys: list[str], force: str | None = None, **options) -> DataFrame:
     """The progress messages that are sent on.
 
     One is sent if it is the first, changes stage or status, comes 15 s or 2 % of
-    the total after the last one sent. Whether it is sent depends on what was sent
+    the total after the last one sent, or if the column named by ``force`` is true. Whether it is sent depends on what was sent
     before, but not across every row: a message that differs in stage or status
     from the one right before it, or comes 15 s after it, is sent in any case. These
     rows cut a task into runs that no longer depend on each other, and the runs,
@@ -155,6 +155,8 @@ def progress_throttle(messages: DataFrame, keys: list[str], **options) -> DataFr
     prev = F.col("_prev")
     first = prev.isNull() | (prev["stage"] != F.col("stage")) | (prev["status"] != F.col("status")) | (
         F.col("at_us") - prev["at_us"] >= SEND_EVERY_US)
+    if force:
+        first = first | F.coalesce(F.col(force), F.lit(False))
     rows = rows.derive(_first=first)
     rows = rows.running(_run=Running("sum", F.col("_first").cast("bigint")))
     ready = rows.result().drop("_prev").withColumns({

@@ -9,7 +9,7 @@ from ..operators import align, enrich, grids, jobs, messages
 from ..session import materialise, shared_dir
 from ..sources import jobs as job_records
 from . import inputs, q_align  # noqa: F401
-from .registry import define_input, query
+from .registry import INPUTS, define_input, query
 
 NOW = 1700002000
 
@@ -102,9 +102,11 @@ def _(load):
 
 
 # The publisher itself, message by message.
-@query("progress_throttle", f"""
-WITH RECURSIVE {SANITISED},
-n AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY at_us, arrival) AS n FROM clean),
+def _throttled(source: str, forced: str) -> str:
+    return f"""
+WITH RECURSIVE {SANITISED.replace("$progress", source)},
+n AS (SELECT c.*, p.{forced} AS force, row_number() OVER (PARTITION BY c.task_id ORDER BY c.at_us, c.arrival) AS n
+      FROM clean c JOIN (SELECT arrival, {forced} FROM {source}) p ON p.arrival = c.arrival),
 f AS (
   SELECT task_id, n, arrival, true AS send, stage, status, at_us, coalesce(completed, 0) AS done FROM n WHERE n = 1
   UNION ALL
@@ -112,15 +114,26 @@ f AS (
          CASE WHEN go THEN at_us ELSE old_at END, CASE WHEN go THEN done ELSE old_done END
   FROM (SELECT n.task_id, n.n, n.arrival, n.stage, n.status, n.at_us, coalesce(n.completed, 0) AS done,
                f.stage AS old_stage, f.status AS old_status, f.at_us AS old_at, f.done AS old_done,
-               n.stage <> f.stage OR n.status <> f.status OR n.at_us - f.at_us >= 15000000
+               n.force OR n.stage <> f.stage OR n.status <> f.status OR n.at_us - f.at_us >= 15000000
                OR (coalesce(n.total, 0) > 0 AND coalesce(n.completed, 0) - f.done
                    >= greatest(1, CAST(floor(n.total * 0.02e0) AS BIGINT))) AS go
         FROM f JOIN n ON n.task_id = f.task_id AND n.n = f.n + 1))
-SELECT task_id, arrival FROM f WHERE send""")
+SELECT task_id, arrival FROM f WHERE send"""
+
+
+define_input("forced_progress", INPUTS["progress"].replace("AS error_code\nFROM", "AS error_code, event_id % 23 = 0 AS force, false AS never\nFROM"))
+
+
+@query("progress_throttle", _throttled("$forced_progress", "never"))
 def _(load):
     return messages.progress_throttle(load("progress"), ["task_id"]).select("task_id", "arrival")
 
 
+@query("progress_throttle_forced", _throttled("$forced_progress", "force"))
+def _(load):
+    return messages.progress_throttle(load("forced_progress"), ["task_id"], force="force").select("task_id", "arrival")
+
+
 @query("envelope_check", """
 SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'not_base64' WHEN 1 THEN 'checksum_mismatch' WHEN 2 THEN 'not_base64'
        ELSE 'ok' END AS status FROM documents""")

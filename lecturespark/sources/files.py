@@ -35,7 +35,7 @@ def _lister(root: str, pattern: str, skip: tuple[str, ...], deep: bool):
                 for entry in store.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base)):
                     path = entry.path[cut:]
                     if entry.type == fs.FileType.Directory:
-                        if entry.base_name not in skip:
+                        if "/" in path or entry.base_name not in skip:  # only the top level is passed over
                             open_.append(path) if deep else found.append([path, 0, True])
                     elif fnmatch(entry.base_name, pattern):
                         found.append([path, entry.size, False])
