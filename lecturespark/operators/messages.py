@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.model_json import strip
+from ..functions.digests import strict_base64
+from ..functions.model_json import json_value, shape_of, strip
 from .scan import OrderedRows, Running
 
 PART_CHARS = 48 * 1024
@@ -81,6 +82,19 @@ def reassemble_parts(messages: DataFrame, keys: list[str]) -> DataFrame:
     return status.join(payload, keys, "left")
 
 
+def decode_payload(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """Adds ``decode_status`` and ``document``: the JSON text of a base64 payload, which must be an object.
+
+    A null payload, as of an incomplete task, has a null status.
+    """
+    data = strict_base64(F.col(column))
+    read = payloads.withColumn("_bytes", data).withColumn("_text", F.when(F.is_valid_utf8(F.col("_bytes").cast("string")), F.col("_bytes").cast("string")))
+    value = json_value("_text")
+    status = (F.when(F.col(column).isNull(), None).when(F.col("_bytes").isNull(), "not_base64")
+              .when(F.col("_text").isNull() | value.isNull(), "not_json").when(shape_of(value) != "object", "not_object").otherwise("ok"))
+    return read.withColumn("decode_status", status).withColumn("document", F.when(F.col("decode_status") == "ok", F.col("_text"))).drop("_bytes", "_text")
+
+
 def complete_parts(messages: DataFrame, keys: list[str]) -> DataFrame:
     """The ordered pieces of every complete task, of any size."""
     parts = part_rows(messages, keys)

@@ -72,6 +72,18 @@ def _(load):
     return messages.reassemble_parts(load("part_messages"), ["task_id"])
 
 
+@query("decode_payload", """
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'not_object' WHEN 2 THEN 'not_json' WHEN 3 THEN 'not_base64' WHEN 4 THEN 'not_json' END AS decode_status,
+       CASE WHEN page_id % 6 = 0 THEN '{"page":' || CAST(page_id AS VARCHAR) || ',"url":"' || url || '"}' END AS document FROM pages""")
+def _(load):
+    text = F.concat(F.lit('{"page":'), F.col("page_id").cast("string"), F.lit(',"url":"'), F.col("url"), F.lit('"}'))
+    coded = lambda value: F.regexp_replace(F.base64(value), r"\s", "")
+    kind = F.col("page_id") % 6
+    payload = (F.when(kind == 0, coded(F.encode(text, "UTF-8"))).when(kind == 1, coded(F.lit(b"[1]"))).when(kind == 2, coded(F.encode("url", "UTF-8")))
+               .when(kind == 3, F.lit("*")).when(kind == 4, coded(F.lit(bytes([0xC3, 0x28])))))
+    return messages.decode_payload(load("pages").select("page_id", payload.alias("payload"))).select("page_id", "decode_status", "document")
+
+
 @query("complete_parts", f"""
 WITH {PARTS} SELECT task_id, part, piece FROM d WHERE task_id IN (SELECT task_id FROM s WHERE status = 'complete')""")
 def _(load):
