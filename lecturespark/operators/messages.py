@@ -14,8 +14,6 @@ from .scan import OrderedRows, Running
 
 PART_CHARS = 48 * 1024
 SMALLEST_PART = 1024
-# Payloads up to this many characters are joined into one value.
-WHOLE_CHARS = 96 * 1024 * 1024
 # Form of a message part, its first line and its second.
 PART_HEAD = r"\A(?:job )?part (\d+)/(\d+)\z"
 PART_PIECE = r"\A[A-Za-z0-9+/=]+\z"
@@ -65,21 +63,14 @@ def part_status(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def reassemble_parts(messages: DataFrame, keys: list[str]) -> DataFrame:
-    """Status of each task's message parts, and its payload once complete.
+    """Status of each task's message parts; ``complete_parts`` has the pieces, of any size."""
+    return part_status(part_rows(messages, keys), keys)
 
-    Sizes are known before anything is joined: a payload over ``WHOLE_CHARS`` stays
-    in its parts (``payload`` is null, see ``complete_parts``), the others are put
-    together, so no group is collected whose size was not measured.
-    """
-    parts = part_rows(messages, keys)
-    status = part_status(parts, keys)
-    whole = status.where((F.col("status") == "complete") & (F.col("chars") <= WHOLE_CHARS)).select(*keys)
+
+def join_parts(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """The pieces of ``complete_parts`` as one ``payload`` per task, for payloads that the caller knows to fit a value."""
     ordered = F.array_sort(F.collect_list(F.struct("part", "piece")))
-    # Complete parts agree on their number; asking for it keeps both uses of ``parts`` one scan.
-    agreed = parts.where("low = high").join(whole, keys, "left_semi")
-    payload = agreed.groupBy(*keys).agg(
-        F.concat_ws("", F.transform(ordered, lambda x: x["piece"])).alias("payload"))
-    return status.join(payload, keys, "left")
+    return pieces.groupBy(*keys).agg(F.concat_ws("", F.transform(ordered, lambda x: x["piece"])).alias("payload"))
 
 
 def decode_payload(payloads: DataFrame, column: str = "payload") -> DataFrame:

@@ -69,7 +69,9 @@ s AS (SELECT task_id, max(high) AS total, count(*) AS received, CAST(sum(length(
 @query("reassemble_parts", f"""
 WITH {PARTS} SELECT task_id, total, received, chars, status, CASE WHEN status = 'complete' THEN payload END AS payload FROM s""")
 def _(load):
-    return messages.reassemble_parts(load("part_messages"), ["task_id"])
+    parts = load("part_messages")
+    whole = messages.join_parts(messages.complete_parts(parts, ["task_id"]), ["task_id"])
+    return messages.reassemble_parts(parts, ["task_id"]).join(whole, "task_id", "left")
 
 
 @query("decode_payload", """

@@ -243,18 +243,18 @@ def test_parts_go_there_and_back(spark):
                         F.concat(F.lit("part "), "part", F.lit("/"), "total", F.lit("\n"), "piece").alias("body"))
     extra = spark.createDataFrame([(3, 0, "part 2/14\nAAAA"), (3, 0, "hello"), (2, 99, "part 1/9\nAAAA"), (9, 0, "part 0/0\nAAAA")],
                                   "task_id INT, ord BIGINT, body STRING")
-    got = {r["task_id"]: r for r in messages.reassemble_parts(sent.union(extra).repartition(5), ["task_id"]).collect()}
-    assert got[2]["status"] == "part_count_mismatch" and got[9]["status"] == "incomplete"
+    every = sent.union(extra).repartition(5)
+    got = {r["task_id"]: r["status"] for r in messages.reassemble_parts(every, ["task_id"]).collect()}
+    assert got == {1: "complete", 2: "part_count_mismatch", 3: "complete", 9: "incomplete"}
     import base64
-    assert base64.b64decode(got[1]["payload"]).decode() == "é" and base64.b64decode(got[3]["payload"]).decode() == "é" * 5000
+    whole = {r["task_id"]: r["payload"] for r in messages.join_parts(messages.complete_parts(every, ["task_id"]), ["task_id"]).collect()}
+    assert {k: base64.b64decode(v).decode() for k, v in whole.items()} == {1: "é", 3: "é" * 5000}
     with pytest.raises(ValueError):
         messages.split_parts(sent, ["task_id"], "body", size=100)
 
 
-def test_large_payloads_stay_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(messages, "WHOLE_CHARS", 5)
-    df = spark.createDataFrame([(1, 1, "part 1/2\nAAAA"), (1, 2, "part 2/2\nBBBB")], "task_id INT, ord INT, body STRING")
-    assert messages.reassemble_parts(df, ["task_id"]).first()["payload"] is None
+def test_pieces_of_complete_tasks(spark):
+    df = spark.createDataFrame([(1, 1, "part 1/2\nAAAA"), (1, 2, "part 2/2\nBBBB"), (2, 1, "part 1/2\nAAAA")], "task_id INT, ord INT, body STRING")
     assert values(messages.complete_parts(df, ["task_id"])) == [(1, 1, "AAAA"), (1, 2, "BBBB")]
 
 
