@@ -120,61 +120,83 @@ def _likely_pairs(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFram
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(kept, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similar: float, size: int) -> DataFrame:
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
+def _linked(x: np.ndarray, y: np.ndarray, hundredths: int) -> bool:
+    """Whether the similarity of two full sets is at least ``hundredths`` of 1."""
+    both = _shared(x, y)
+    return both > 0 and 100 * both >= hundredths * (len(x) + len(y) - both)
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, hashes): the sorted shingles of the documents that are candidates at all."""
+
+    def made(batches):
+        for whole in batches:
+            for batch in slices(whole, 1):
+                offsets, hashes = shingle_sets(batch.column(1), size)
+                sets = [hashes[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # The ids grow with the documents, so they are never broadcast.
+    return texts.join(ids.hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(made, "id long, hashes binary")
+
+
+def _verified(pairs: DataFrame, full: DataFrame, similar: float) -> DataFrame:
     """The pairs whose full shingle sets have at least the similarity."""
-    pairs = stored(pairs.distinct())
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id").dropDuplicates())
     hundredths = round(100 * similar)
 
     def kept(batches):
-        for whole in batches:
-            for batch in slices(whole, 2):
-                # A text that stands in many pairs of the batch is cut into shingles once.
-                texts = pa.chunked_array([batch.column("text_a"), batch.column("text_b")]).dictionary_encode().unify_dictionaries()
-                codes = texts.combine_chunks().indices.to_numpy()
-                offsets, hashes = shingle_sets(texts.chunk(0).dictionary, size)
-                good = []
-                for a, b in zip(codes[:batch.num_rows], codes[batch.num_rows:]):
-                    x, y = hashes[offsets[a]:offsets[a + 1]], hashes[offsets[b]:offsets[b + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(100 * both >= hundredths * (len(x) + len(y) - both) and both > 0)
-                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return stored(joined.mapInArrow(kept, "a long, b long").distinct())
-
-
-def _cross_pairs(members: DataFrame, similar: float) -> DataFrame:
-    """Likely pairs of members of a band group that are in different components so far.
-
-    Groups are compared in blocks of about ``BLOCK`` members; only likely pairs come out.
-    ``members``: key, id, component, n_shingles, sketch, blocks (of its group).
+        for batch in batches:
+            good = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), hundredths)
+                    for x, y in zip(batch.column("hashes_a").to_pylist(), batch.column("hashes_b").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda x: full.select(F.col("id").alias(x), F.col("hashes").alias(f"hashes_{x}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "hashes_a", "hashes_b")
+    return joined.mapInArrow(kept, "a long, b long").distinct()
+
+
+def _cross_links(members: DataFrame, similar: float) -> DataFrame:
+    """Links between members of a candidate group that are in different components so far.
+
+    Groups are compared in blocks of about ``BLOCK`` members, on sketches first and on the
+    full sets of likely pairs. A task gives one link for any two components that it joins.
+    ``members``: group, blocks (of its group), id, component, n_shingles, sketch, hashes.
     """
+    hundredths = round(100 * similar)
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    placed = placed.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "id", "component", "n_shingles", "sketch")
-    placed = placed.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+    placed = placed.select("group", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id", "component", "n_shingles", "sketch", "hashes")
+    placed = placed.repartition("group", "one", "two").sortWithinPartitions("group", "one", "two", "id")
 
     def compared(batches):
         for rows in runs(batches, 3):
-            keys = np.stack([rows.column(c).to_numpy() for c in ("key", "one", "two")])
+            if rows.num_rows == 0:
+                continue
+            keys = np.stack([rows.column(c).to_numpy() for c in ("group", "one", "two")])
             cuts = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
-            ids, parts, n = (rows.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
-            registers, own, one, two = _registers(rows.column("sketch")), rows.column("own").to_numpy(), keys[1], keys[2]
+            ids, n = rows.column("id").to_numpy(), rows.column("n_shingles").to_numpy().astype(float)
+            registers, sets = _registers(rows.column("sketch")), rows.column("hashes").to_pylist()
+            part = rows.column("component").to_numpy().copy()
             found = []
-            for a, b in zip([0, *cuts], [*cuts, rows.num_rows]):
-                left = np.arange(a, b)[own[a:b] == one[a]]
-                right = np.arange(a, b)[own[a:b] == two[a]]
-                for i in left:
-                    js = right[(parts[right] != parts[i]) & (ids[right] > ids[i] if one[a] == two[a] else ids[right] != ids[i])]
-                    if len(js):
-                        good = likely(np.full(len(js), float(n[i])), n[js].astype(float), (registers[i] > registers[js]).sum(axis=1),
-                                      (registers[i] < registers[js]).sum(axis=1), similar)
-                        found += [(ids[i], ids[j]) for j in js[good]]
+            for start, end in zip([0, *cuts], [*cuts, rows.num_rows]):
+                for i in range(start, end):
+                    js = np.arange(i + 1, end)[part[i + 1:end] != part[i]]
+                    if len(js) == 0:
+                        continue
+                    good = likely(np.full(len(js), n[i]), n[js], (registers[i] > registers[js]).sum(axis=1), (registers[i] < registers[js]).sum(axis=1), similar)
+                    own = np.frombuffer(sets[i], np.uint64)
+                    for j in js[good]:
+                        if part[j] != part[i] and _linked(own, np.frombuffer(sets[j], np.uint64), hundredths):
+                            found.append((ids[i], ids[j]))
+                            block = part[start:end]
+                            block[block == part[j]] = part[i]
             pairs = np.array(found, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1, initial=2**63 - 1)), pa.array(pairs.max(axis=1, initial=-2**63))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return placed.mapInArrow(compared, "a long, b long").distinct()
 
@@ -182,32 +204,39 @@ def _cross_pairs(members: DataFrame, similar: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, size: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row: classes of documents linked at ``similar`` Jaccard or more.
 
-    Documents with equal sets are one representative. In every band group the most
-    popular member is compared with all others, which links a group of copies with as
+    Documents with equal sets are one representative. Every representative is first compared
+    with one popular member of its band groups, which links a group of copies with as
     many pairs as it has members; members that are then still in different components
     are compared in blocks, so no candidate is left out. Texts without words, nulls and
     rows with a null id link with nothing; the latter have a null class and are kept. Rows
     that share an id are one document with several texts: a link of one holds for all.
     """
     made = stored(sketches(docs, id_col, text_col, size))
-    sets = made.filter("id IS NOT NULL AND print IS NOT NULL").groupBy("print").agg(
-        F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    sets = stored(sets)
+    sets = stored(made.filter("id IS NOT NULL AND print IS NOT NULL").groupBy("print").agg(
+        F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     width = 2 * ROWS
     bands = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {width} + 1, {width})))")
     grouped = sets.select("id", F.explode(bands).alias("key"))
     shared = grouped.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     members = stored(grouped.join(shared.select("key", "n"), "key").distinct())
+    full = stored(_full_sets(docs, members.select("id").distinct(), id_col, text_col, size))
+
     popular = members.groupBy("id").agg(F.sum("n").alias("popularity"))
     centres = members.join(popular, "id").groupBy("key").agg(F.max_by("id", F.struct("popularity", -F.col("id"))).alias("centre"))
-    stars = members.join(centres, "key").filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    links = _verified(_likely_pairs(stars, sets, similar), docs, id_col, text_col, similar, size)
-
-    placed = members.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    unsettled = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                          F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("low < high").select("key", "blocks")
-    open_members = placed.join(unsettled, "key").join(sets.select("id", "n_shingles", "sketch"), "id")
-    more = _verified(_cross_pairs(open_members, similar), docs, id_col, text_col, similar, size)
+    stars = members.join(centres, "key").filter("id <> centre").groupBy("id", "centre").agg(F.count("*").alias("n"))
+    stars = stars.groupBy("id").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre"))
+    stars = stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    links = stored(_verified(_likely_pairs(stars, sets, similar), full, similar))
+
+    placed = stored(members.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    unsettled = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("first")).filter("low < high")
+    open_members = stored(placed.join(unsettled.select("key", "first"), "key").select("id", "component", "first").distinct())
+    # Members that share a band group, directly or through others, make a candidate group.
+    groups = components(open_members.select(F.col("id").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "group")
+    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    candidates = (open_members.select("id", "component").distinct().join(groups.withColumnRenamed("node", "id"), "id").join(sizes, "group")
+                  .join(sets.select("id", "n_shingles", "sketch"), "id").join(full, "id"))
+    more = stored(_cross_links(candidates, similar))
 
     classes = components(links.union(more))
     by_print = sets.select("print", F.col("id").alias("node")).join(classes, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
