@@ -23,7 +23,7 @@ def stored(df: DataFrame) -> DataFrame:
     that ``spark.checkpoint.dir`` names and go with that folder.
     """
     path = f"{shared_dir(df.sparkSession)}/llm/{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -55,17 +55,25 @@ def running_totals(df: DataFrame, order: list, totals: dict[str, str]) -> DataFr
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b): each linked node with the smallest node it reaches: (node, component).
 
-    Every round gives a node the smallest label among itself and its neighbours, then
-    follows that label once more, so the rounds grow with the logarithm of the longest
-    chain. Labels and links stay distributed; the driver sees one count per round.
+    Every round moves a node to the smallest node next to it, follows that move once more,
+    and contracts the links, so that a round's work shrinks with the links that are still
+    open. Labels and links stay distributed; the driver sees one test for emptiness per round.
     """
-    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    ordered = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links, classes = stored(ordered.distinct()), None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        seen = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        after = stored(seen.join(jump, "next").select("node", F.col("label").alias("old"), F.least("next", "far").alias("label")))
-        if after.filter("old <> label").limit(1).count() == 0:
-            return after.select("node", F.col("label").alias("component"))
-        labels = after.select("node", "label")
+        lowest = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("low"))
+        ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+        moves = ends.join(lowest, "node", "left").withColumn("low", F.coalesce("low", "node"))
+        far = lowest.select(F.col("node").alias("low"), F.col("low").alias("lower"))
+        moves = stored(moves.join(far, "low", "left").select("node", F.coalesce("lower", "low").alias("to")))
+        if classes is None:
+            classes = moves.withColumnRenamed("to", "component")
+        else:
+            step = moves.select(F.col("node").alias("component"), "to")
+            classes = stored(classes.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        contracted = (links.join(moves.select(F.col("node").alias("a"), F.col("to").alias("to_a")), "a")
+                      .join(moves.select(F.col("node").alias("b"), F.col("to").alias("to_b")), "b").filter("to_a <> to_b"))
+        links = stored(contracted.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        if links.isEmpty():
+            return classes
