@@ -89,13 +89,11 @@ def _(load):
 WITH RECURSIVE {duck_normalised()},
 cues AS (SELECT lecture_id, n, {duck_clock('start_ms', '.')} || ' --> '
                 || {duck_clock('end_ms', '.')} || chr(10) || text AS cue FROM norm),
-docs AS (SELECT lecture_id, string_agg(cue, chr(10) || chr(10) ORDER BY n) AS body FROM cues GROUP BY ALL)
-SELECT l.lecture_id, CAST(0 AS BIGINT) AS part,
-       CASE WHEN body IS NULL THEN 'WEBVTT' || chr(10)
-            ELSE 'WEBVTT' || chr(10) || chr(10) || body || chr(10) END AS text
-FROM (SELECT DISTINCT lecture_id FROM $segments_a) l LEFT JOIN docs USING (lecture_id)""")
+docs AS (SELECT lecture_id, (n - 1) // 50 AS part, string_agg(chr(10) || cue || chr(10), '' ORDER BY n) AS body FROM cues GROUP BY ALL)
+SELECT lecture_id, part, CASE WHEN part = 0 THEN 'WEBVTT' || chr(10) ELSE '' END || coalesce(body, '') AS text
+FROM (SELECT lecture_id, part FROM docs UNION SELECT lecture_id, 0 FROM $segments_a) LEFT JOIN docs USING (lecture_id, part)""")
 def _(load):
-    return captions.captions_vtt(load("segments_a"), per_part=1_000_000)
+    return captions.captions_vtt(load("segments_a"), per_part=50)
 
 
 @query("smoke_stats", """
