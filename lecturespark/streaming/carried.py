@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import health, messages
@@ -81,7 +81,7 @@ def guard_control(stream: DataFrame, expected: DataFrame, folder: str, forget_af
 def watch_circuit(stream: DataFrame, folder: str, **options) -> DataFrame:
     """State of a key's circuit after each attempt.
 
-    Carried: each key's failures since its last restart, at most five.
+    Carried: each key's failures since its last restart that a day has not passed since.
     """
     kept = ["key_id", "event_id", "at_us", "outcome"]
 
@@ -91,14 +91,13 @@ def watch_circuit(stream: DataFrame, folder: str, **options) -> DataFrame:
 
     def memory(results, before):
         rows = _of_both(results, before, kept)
-        latest = Window.partitionBy("key_id").orderBy(F.desc("at_us"), F.desc("event_id"))
-        # The last five rows hold all failures that can still count and any restart among them.
-        recent = rows.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= health.RECENT)
-        stops = recent.groupBy("key_id").agg(
-            F.min(F.when(F.col("outcome") == "ok", F.col("_n"))).alias("_ok"),
-            F.min(F.when(F.col("outcome") == "auth_failed", F.col("_n"))).alias("_auth"))
-        open_ = (F.col("_n") < F.coalesce("_ok", F.lit(99))) & (F.col("_n") <= F.coalesce("_auth", F.lit(99)))
-        return recent.join(stops, "key_id").where(open_).select(kept)
+        place = F.struct("at_us", "event_id")
+        stops = rows.groupBy("key_id").agg(
+            F.max("at_us").alias("_newest"), F.max(F.when(F.col("outcome") == "ok", place)).alias("_ok"),
+            F.max(F.when(F.col("outcome") == "auth_failed", place)).alias("_auth"))
+        open_ = ((F.col("outcome") != "ok") & (F.col("_ok").isNull() | (place > F.col("_ok"))) & (F.col("_auth").isNull() | (place >= F.col("_auth")))
+                 & (F.col("at_us") > F.col("_newest") - F.lit(health.DAY_US)))
+        return rows.join(stops, "key_id").where(open_).select(kept)
 
     return drain_carried(stream, folder, step, memory)
 

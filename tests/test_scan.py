@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lecturespark.operators import admission, captions, health, integrity, messages, scan, segments, slides
 
-PLANS = [{"blocked": False}, {"rows_per_task": 1}]
+PLANS = [{"blocked": False}, {"rows_per_task": 40}]
 
 
 def rows_of(df):
@@ -59,7 +59,7 @@ def test_captions_in_parts_join_to_the_whole(spark):
     df = spark.createDataFrame(lectures(3), SEGMENTS)
     for make in (captions.captions_srt, captions.captions_vtt):
         whole = {r["lecture_id"]: r["text"] for r in make(df, per_part=10**6, blocked=False).collect()}
-        parts = make(df, per_part=7, rows_per_task=1).orderBy("lecture_id", "part").collect()
+        parts = make(df, per_part=7, rows_per_task=40).orderBy("lecture_id", "part").collect()
         joined = {}
         for r in parts:
             joined[r["lecture_id"]] = joined.get(r["lecture_id"], "") + r["text"]
@@ -86,15 +86,15 @@ def test_written_captions_keep_part_order(spark, tmp_path):
 def test_carry_stays_small(spark):
     df = spark.range(20_000).select((F.col("id") % 2000 * 0).alias("k"), F.col("id").alias("o")).union(
         spark.range(5000).select(F.col("id") + 1, F.lit(0)))
-    rows = scan.OrderedRows(df, ["k"], ["o"], rows_per_task=10)
+    rows = scan.OrderedRows(df, ["k"], ["o"], rows_per_task=2000)
     assert rows.blocked
     assert rows.df.where(f"k = 0 AND {scan.BLOCK} < 0").count() == 0
     assert rows.df.where(f"k <> 0 AND {scan.BLOCK} >= 0").count() == 0
     blocks = rows.df.groupBy("k", scan.BLOCK).count()
     cut = blocks.groupBy("k").agg(F.count("*").alias("n"), F.max("count").alias("most")).where("n > 1")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert cut.agg(F.sum("n")).first()[0] <= 2 * partitions
-    assert cut.agg(F.max("most")).first()[0] < 20_000
+    # 20 000 rows in blocks of about 2000, whatever the session's number of partitions; ranges are sampled.
+    assert cut.agg(F.sum("n")).first()[0] <= 10
+    assert cut.agg(F.max("most")).first()[0] < 3000
 
 
 def test_positions_and_null_keys(spark):
@@ -130,7 +130,6 @@ def loop_circuit(rows):
             failures = [f for f in failures if at - f < 86_400_000_000] + [at]
             name = "open" if len(failures) >= 5 else "degraded"
             retry = at + 6 * 3600 * 1_000_000 if name == "open" else 0
-            failures = failures[-5:]
         state[key] = failures
         out.append((event, key, name, len(failures), retry))
     return sorted(out)

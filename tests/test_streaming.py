@@ -25,7 +25,7 @@ def in_batches(spark, df, order, path, batches=4):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-PLANS = [{"blocked": False}, {"rows_per_task": 1}]
+PLANS = [{"blocked": False}, {"rows_per_task": 10}]
 
 
 @pytest.mark.parametrize("plan", PLANS)
