@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_asr_text, clean_text, clock
+from ..functions.text import clean_asr_text, clock
 from ..operators import captions, segments
 from . import inputs  # noqa: F401
 from .registry import query
