@@ -80,7 +80,8 @@ def first_words(text: Column, n: Column) -> Column:
 def apply_mix(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mixed corpus: each document once per whole epoch, then its cut copy; ``copy`` counts from 0.
 
-    Rows that share an id and a text are taken alike, by the amounts of all of them.
+    Rows that share an id and a text are taken alike, by the amounts of all of them. A column
+    ``copy`` of the documents is replaced.
     """
     marks = mix.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.min("epochs").alias("_epochs"), F.max("last_words").alias("_last"), F.max("size").alias("_size"))
@@ -88,7 +89,7 @@ def apply_mix(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col:
     joined = docs.join(marks, same)
     copies = joined.withColumn("copy", F.explode(F.expr("sequence(0L, _epochs)"))).filter("copy < _epochs OR _last > 0")
     cut = (F.col("copy") == F.col("_epochs")) & (F.col("_last") < F.col("_size"))
-    return copies.withColumn(text_col, F.when(cut, first_words(F.col(text_col), F.col("_last").cast("int"))).otherwise(F.col(text_col))).select(*docs.columns, "copy")
+    return copies.withColumn(text_col, F.when(cut, first_words(F.col(text_col), F.col("_last").cast("int"))).otherwise(F.col(text_col))).select(*[c for c in docs.columns if c != "copy"], "copy")
 
 
 @query("op2_mix_sources", rf"""

@@ -44,6 +44,7 @@ def test_mixed_corpus(spark):
     amounts = {r.doc_id: r.taken for r in mixed.collect()}
     corpus = m.apply_mix(docs, mixed)
     assert corpus.columns == [*docs.columns, "copy"]
+    assert m.apply_mix(docs.withColumnRenamed("taken", "copy"), mixed).columns == ["doc_id", "text", "source", "size", "copy"]
     counts = {}
     for r in corpus.collect():
         assert rows[r.doc_id][1].startswith(r.text)
