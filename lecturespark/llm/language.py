@@ -46,6 +46,7 @@ def held_out(id_col: Column) -> Column:
 def _letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(code points of all words' letters in lower case, first position of each word)."""
     plain = pc.utf8_lower(pc.replace_substring_regex(words, r"[^\p{L}\p{M}]+", ""))
+    plain = pc.if_else(pc.match_substring_regex(plain, r"\p{L}"), plain, "")  # marks alone are no letters
     sizes = pc.utf8_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
     points = np.frombuffer("".join(plain.to_pylist()).encode("utf-32-le"), np.uint32)
     return points, np.concatenate([[0], np.cumsum(sizes)])

@@ -51,7 +51,7 @@ def test_scripts_and_spans(spark):
 
 
 def test_odd_texts(spark):
-    rows = [(1, None), (2, ""), (3, "123 !? \t"), (None, "the house"), (4, "the house"), (4, "the house"), (5, "das haus und " * 20_000)]
+    rows = [(1, None), (2, ""), (3, "123 !? \t \u0301"), (None, "the house"), (4, "the house"), (4, "the house"), (5, "das haus und " * 20_000)]
     docs = spark.createDataFrame([(*r, "x", "clash") for r in rows], "doc_id long, text string, lang string, score string")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.lang_pred, r.score) for r in g.identify(docs, model(spark)).collect())
     assert got == [(False, 1, "und", 0.0), (False, 2, "und", 0.0), (False, 3, "und", 0.0), (False, 4, "en", 1.0), (False, 4, "en", 1.0),
