@@ -89,6 +89,26 @@ def _hash_parts(keys: list[str]):
     return run
 
 
+def _tree_parts(entries: DataFrame, keys: list[str], per_part: int, **options) -> DataFrame:
+    """The canonical JSON list of each manifest's entries, in parts of ``per_part`` entries."""
+    numbered = list_positions(entries, keys, ["ord"], **options)
+    entry = canonical_json(["mode", "path", "sha256", "size"])
+    pieces = numbered.select(*keys, F.col("idx").alias("ord"),
+                             F.concat(F.when(F.col("idx") > 0, ",").otherwise("["), entry).alias("piece"))
+    ends = entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("ord")).withColumn("piece", F.lit("]"))
+    return document_parts(pieces.unionByName(ends), keys, "ord", "piece", per_part)
+
+
+def tree_digest_levels(entries: DataFrame, keys: list[str], per_part: int = ENTRIES_PER_PART, **options) -> DataFrame:
+    """A digest of each manifest that no single task computes: the SHA-256 of the digests of its parts, in order.
+
+    Parts hold ``per_part`` entries of the text that ``tree_digest`` hashes whole.
+    """
+    parts = _tree_parts(entries, keys, per_part, **options).select(*keys, "part", F.sha2("text", 256).alias("digest"))
+    ordered = F.array_sort(F.collect_list(F.struct("part", "digest")))
+    return parts.groupBy(*keys).agg(F.sha2(F.concat_ws("", F.transform(ordered, lambda p: p["digest"])), 256).alias("tree_sha256"))
+
+
 def tree_digest(entries: DataFrame, keys: list[str], **options) -> DataFrame:
     """SHA-256 of each manifest's entries as one canonical JSON list.
 
@@ -96,11 +116,6 @@ def tree_digest(entries: DataFrame, keys: list[str], **options) -> DataFrame:
     the whole text in order, so it takes the parts of a manifest one after the other
     and keeps only its state; a manifest is never held as a whole.
     """
-    numbered = list_positions(entries, keys, ["ord"], **options)
-    entry = canonical_json(["mode", "path", "sha256", "size"])
-    pieces = numbered.select(*keys, F.col("idx").alias("ord"),
-                             F.concat(F.when(F.col("idx") > 0, ",").otherwise("["), entry).alias("piece"))
-    ends = entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("ord")).withColumn("piece", F.lit("]"))
-    parts = document_parts(pieces.unionByName(ends), keys, "ord", "piece", ENTRIES_PER_PART)
+    parts = _tree_parts(entries, keys, ENTRIES_PER_PART, **options)
     schema = ", ".join([f"`{k}` {entries.schema[k].dataType.simpleString()}" for k in keys] + ["tree_sha256 STRING"])
     return parts.repartition(*keys).sortWithinPartitions(*keys, "part").mapInPandas(_hash_parts(keys), schema)

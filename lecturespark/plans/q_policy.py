@@ -349,6 +349,17 @@ def _(load):
     return integrity.tree_digest(load("manifest"), ["release_id"])
 
 
+@query("tree_digest_levels", """
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY release_id ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY release_id) AS c FROM $manifest),
+e AS (SELECT release_id, i // 100 AS part, i, CASE WHEN i = 0 THEN '[' ELSE ',' END
+        || to_json({'mode': mode, 'path': path, 'sha256': sha256, 'size': size})::VARCHAR AS piece FROM n
+      UNION ALL SELECT DISTINCT release_id, c // 100, c, ']' FROM n),
+p AS (SELECT release_id, part, sha256(string_agg(piece, '' ORDER BY i)) AS digest FROM e GROUP BY ALL)
+SELECT release_id, sha256(string_agg(digest, '' ORDER BY part)) AS tree_sha256 FROM p GROUP BY release_id""")
+def _(load):
+    return integrity.tree_digest_levels(load("manifest"), ["release_id"], per_part=100)
+
+
 # The table files themselves, hashed.
 @query("file_inventory", None)
 def _(load):
