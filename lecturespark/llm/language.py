@@ -23,7 +23,7 @@ BINS, GRAMS = 1 << 15, (1, 2, 3, 4)
 SWITCH = 12.0  # price of a change of language, in nats
 NARROWED = -60.0  # score of a language that does not use a word's script
 SCRIPT_SHARE = 0.01  # a language uses a script that has this share of its letters
-SLICE_SCORES = 64_000_000  # characters times languages that one step holds
+SLICE_SCORES = 24_000_000  # characters times languages that one step holds
 
 # First code points of letter ranges and their scripts; ranges end where the next one starts.
 SCRIPTS = (
