@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lecturespark.llm import decontaminate, language, line_dedup, mixing, near_dedup
 from lecturespark.llm.shared import stored
 
-MIN_SHARE = 0.4  # a document stays if one language has this share of its letters
+MIN_SHARE = 0.25  # a document stays if one language has this share of its letters; mixed texts do
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
