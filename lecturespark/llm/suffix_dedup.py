@@ -223,13 +223,23 @@ def _table(schema: str) -> list[str]:
     return [c.strip().split(" ")[0] for c in schema.split(",")]
 
 
+def _ranges(row: np.ndarray, start: np.ndarray, rows: int) -> list[pa.Array]:
+    """Runs of consecutive starts per row, as lists of first and of last starts; rows and starts rise."""
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])[:len(row)]
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(row)]])[:len(first)] - 1
+    sizes = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=rows))]).astype(np.int32)
+    return [pa.ListArray.from_arrays(pa.array(sizes), pa.array(start[at].astype(np.int32))) for at in (first, last)]
+
+
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
     """Which bytes of each distinct text go, judged over all rows of ``docs``.
 
-    Two tables: (digest, n_rows) for every distinct text, and (digest, data, starts, ends) for texts in
-    which something goes although they occur in one row only, or are judged so: a text that
-    several rows hold goes as a whole if it has ``length`` bytes, and is left to the first table.
-    Null texts are empty; shorter texts lose nothing; matches never cross rows.
+    Two tables: (digest, n_rows) for every distinct text, and (digest, data, spans) for texts of
+    which some part occurs in another text, or twice in themselves; the spans are sorted
+    and may overlap. A text that several rows hold goes as a whole if it has ``length``
+    bytes, whatever its spans. Null texts are empty; shorter texts lose nothing; matches
+    never cross rows.
     """
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     texts = docs.select(data.alias("data")).withColumn("digest", F.sha2("data", 256))
@@ -273,7 +283,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     # Equal strings meet before the buckets do: of a common passage one string is left but for its edges.
     distinct = stored(strings.groupBy("hash", "string_id").agg(F.count("*").alias("n"), F.first("offset").alias("offset"), F.first("string").alias("string")))
     crowded = distinct.groupBy("hash").agg(F.count("*").alias("size")).filter(F.col("size") > large)
-    out = "hash long, string_id binary, covered array<int>"
+    out = "hash long, string_id binary, starts array<int>, ends array<int>"
 
     def judged(batches):
         for rows in runs(batches, 1):
@@ -284,12 +294,10 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
             bucket = Bucket(rows.column("string").to_pylist(), offsets, groups)
             found = bucket.repeated(length, rows.column("n").to_numpy() > 1)
             some = np.flatnonzero(found.any(axis=1))
-            which, starts = np.nonzero(found[some])
-            # Windows as starts in the string instead of bytes left of the anchor.
-            starts = offsets[some][which] - starts
-            sizes = np.bincount(which, minlength=len(some))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(starts.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[some]), rows.column("string_id").combine_chunks().take(pa.array(some)), lists], _table(out))
+            # Windows as rising starts in the string instead of bytes left of the anchor.
+            which, back = np.nonzero(found[some][:, ::-1])
+            starts = offsets[some][which] - (found.shape[1] - 1 - back)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[some]), rows.column("string_id").combine_chunks().take(pa.array(some)), *_ranges(which, starts, len(some))], _table(out))
 
     usual = distinct.join(crowded, "hash", "left_anti").repartition("hash").sortWithinPartitions("hash", "string_id").mapInArrow(judged, out)
 
@@ -308,28 +316,20 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     spread = stored(distinct.join(crowded, "hash").select("hash", "string_id", "n", "offset", "string").mapInArrow(
         _gathered(windows), "hash long, string_id binary, n long, start int, window binary"))
     equal = spread.groupBy("hash", "window").agg(F.sum("n").alias("n_window")).filter("n_window > 1").select("hash", "window")
-    split = spread.join(equal, ["hash", "window"]).groupBy("hash", "string_id").agg(F.collect_list("start").alias("covered"))
+    split = spread.join(equal, ["hash", "window"]).groupBy("hash", "string_id").agg(F.sort_array(F.collect_set("start")).alias("windows"))
 
-    covered = usual.union(split)
-    starts = strings.select("hash", "string_id", "text_id", "first").join(covered, ["hash", "string_id"]).select(
-        "text_id", F.explode("covered").alias("start"), "first").select("text_id", (F.col("first") + F.col("start")).alias("start"))
-    windows_of = starts.groupBy("text_id").agg(F.sort_array(F.collect_set("start")).alias("windows"))
-    marked = touched.select("text_id", "data").join(windows_of, "text_id")
-
-    def merged(batches):
+    def listed(batches):
         for batch in batches:
-            firsts, lasts = [], []
-            for starts in batch.column("windows"):
-                w = starts.values.to_numpy()
-                new = np.concatenate([[True], w[1:] > w[:-1] + length])
-                firsts.append(w[new].tolist())
-                lasts.append((w[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(w) - 1]])] + length).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("data"), pa.array(firsts, pa.list_(pa.int64())), pa.array(lasts, pa.list_(pa.int64()))],
-                                             ["digest", "data", "starts", "ends"])
+            windows = batch.column("windows")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(windows.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("string_id"), *_ranges(row, windows.flatten().to_numpy().astype(np.int64), batch.num_rows)], _table(out))
 
-    spans = marked.withColumn("digest", F.sha2("data", 256)).select("digest", "data", "windows").mapInArrow(
-        merged, "digest string, data binary, starts array<long>, ends array<long>")
-    return held, spans
+    covered = usual.union(split.mapInArrow(listed, out))
+    found = strings.select("hash", "string_id", "text_id", "first").join(covered, ["hash", "string_id"])
+    found = found.select("text_id", "first", F.explode(F.arrays_zip("starts", "ends")).alias("range"))
+    found = found.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct(
+        (F.col("first") + F.col("range.starts")).alias("start"), (F.col("first") + F.col("range.ends") + length).alias("end")))).alias("spans"))
+    return held, touched.select("text_id", "data").join(found, "text_id").select(F.sha2("data", 256).alias("digest"), "data", "spans")
 
 
 def _gathered(step, most: int = 50_000):
@@ -349,28 +349,38 @@ def _gathered(step, most: int = 50_000):
 
 
 def without_repeats(spans: DataFrame) -> DataFrame:
-    """(digest, kept, n_removed, n_spans) of the texts of ``repeated_spans``: their bytes without the spans."""
+    """(digest, kept, starts, ends, n_removed) of the texts of ``repeated_spans``: what stays, and the maximal spans that go."""
 
     def cut(batches):
         for batch in batches:
-            kept, removed = [], []
-            for data, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("data", "starts", "ends"))):
-                kept.append(b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)])))
-                removed.append(sum(ends) - sum(starts))
-            n_spans = [len(s) for s in batch.column("starts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64())],
-                                             ["digest", "kept", "n_removed", "n_spans"])
-
-    return spans.mapInArrow(cut, "digest string, kept binary, n_removed long, n_spans long")
+            for part in slices(batch, 1):
+                kept, firsts, lasts, removed = [], [], [], []
+                for data, spans in zip(part.column("data").to_pylist(), part.column("spans").to_pylist()):
+                    runs_of: list[list[int]] = []
+                    for span in spans:
+                        if runs_of and span["start"] <= runs_of[-1][1]:
+                            runs_of[-1][1] = max(runs_of[-1][1], span["end"])
+                        else:
+                            runs_of.append([span["start"], span["end"]])
+                    firsts.append([a for a, _ in runs_of])
+                    lasts.append([b for _, b in runs_of])
+                    removed.append(sum(b - a for a, b in runs_of))
+                    kept.append(b"".join(data[a:b] for a, b in zip([0, *lasts[-1]], [*firsts[-1], len(data)])))
+                long = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(kept, pa.binary()), pa.array(firsts, long), pa.array(lasts, long), pa.array(removed, pa.int64())],
+                                                 ["digest", "kept", "starts", "ends", "n_removed"])
+
+    return spans.mapInArrow(cut, "digest string, kept binary, starts array<long>, ends array<long>, n_removed long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, large: int = LARGE) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of ``docs``; ``kept`` is null where nothing or all goes.
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends, kept) per row of ``docs``.
 
+    ``kept`` and the spans are null where nothing goes, and where a whole text goes.
     Repeated rows are each other's repeats. Null ids stay null.
     """
     held, spans = repeated_spans(docs, text_col, length, large=large)
-    cut = without_repeats(spans).withColumn("cut_sha256", F.sha2("kept", 256))
+    cut = without_repeats(spans).withColumn("cut_sha256", F.sha2("kept", 256)).withColumn("n_spans", F.size("starts"))
     per_text = held.join(cut, "digest", "left")
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("digest"))
@@ -379,9 +389,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         id_col, "n_bytes", F.when(copies, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copies, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copies, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("cut_sha256", "digest")).alias("kept_sha256"),
-        F.when(~copies, F.col("kept")).alias("kept"))
+        *[F.when(~copies, F.col(c)).alias(c) for c in ("starts", "ends", "kept")])
 
 
 @query("op6_suffix_dedup")
 def suffix_query(spark: SparkSession, folder: str) -> DataFrame:
-    return remove_repeats(table(spark, folder, "documents")).drop("kept")
+    return remove_repeats(table(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
