@@ -192,6 +192,8 @@ class Bucket:
 
     def _verified(self, x: np.ndarray, y: np.ndarray, a: np.ndarray, length: int) -> bool:
         """Whether the bytes of all matches are equal; a pair's matches are compared once, over all they cover."""
+        if len(x) == 0:
+            return True
         code = x * np.int64(len(self.groups)) + y
         by = np.argsort(code, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], code[by][1:] != code[by][:-1]]))
@@ -258,7 +260,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     every = stored(every)
     # Copies of a text give equal keys, so an anchor counts once per distinct text and place.
     key = F.xxhash64("text_id", "place")
-    twice = every.groupBy("hash").agg(F.min(key).alias("low"), F.max(key).alias("high")).filter("low <> high").select("hash")
+    # Stored, so that the join has two plain sides and a common anchor can be split.
+    twice = stored(every.groupBy("hash").agg(F.min(key).alias("low"), F.max(key).alias("high")).filter("low <> high").select("hash"))
     places = stored(every.join(twice, "hash").select("text_id", "place").distinct().groupBy("text_id").agg(F.collect_list("place").alias("places")))
     single = long.groupBy("text_id").agg(F.first("data").alias("data"))
     touched = stored(single.join(places, "text_id"))

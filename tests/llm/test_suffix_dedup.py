@@ -64,6 +64,13 @@ def test_way_out_of_a_hash_collision(monkeypatch):
     assert (s.Bucket(strings, offsets, groups).repeated(12, many) == right).all()
 
 
+def test_equal_suffixes_without_a_common_window():
+    # The right sides agree over the whole window, what stands left of the anchors never does.
+    strings = [bytes([97 + i]) * 6 + b"z" * 9 for i in range(4)]
+    bucket = s.Bucket(strings, np.full(4, 6), np.zeros(4, np.int64))
+    assert not bucket.repeated(12, np.zeros(4, bool)).any()
+
+
 def test_long_text_in_chunks(monkeypatch):
     rng = random.Random(5)
     data = bytes(rng.choice(b"abcd") for _ in range(5000))
