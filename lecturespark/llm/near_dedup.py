@@ -20,7 +20,7 @@ from .registry import query, table
 from .shared import components, stored
 from .words import SHINGLE, mixed, runs, shingle_sets, slices
 
-# 48 bands of 4 registers find a pair at similarity 0.75 but for one in 10^7.
+# By theory 48 bands of 4 registers miss a pair at similarity 0.75 once in 10^8 cases.
 BANDS, ROWS = 48, 4
 REGISTERS, BASE, SHIFT, TOP = BANDS * ROWS, 1.001, 36_000, 65_535
 SIMILAR = 0.75
