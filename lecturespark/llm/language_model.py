@@ -2,16 +2,17 @@
 
 The probability of a word is that of its class times that of the word in its class, both
 softmaxes over hashed features of the words before: the last one, the one before it
-(a skip) and, for the class, the pair. Frequent words have slots in classes; all others share one
-class, inside which counts with an absolute discount decide. Every task improves the
-weights by gradient updates over its documents, and rows of weights are averaged by
-the number of updates they saw.
+(a skip) and the pair. Frequent words have slots in classes. All others share one class
+with a tree below it that grows with the vocabulary: a word's hash is its path, every
+node is a softmax over the same features, and its starting point is the discounted
+counts below each branch. Every task improves the weights by gradient updates over its
+documents, and rows of weights are averaged by the number of updates they saw.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,14 @@ from pyspark.sql import functions as F
 
 from .registry import query, table
 from .shared import stored
-from .words import mixed, runs, slices, word_codes, word_hashes
+from .words import mixed, slices, word_codes, word_hashes
 
 CLASSES, SLOTS = 32, 32  # class 0 is that of all words without a slot
-CLASS_ROWS, SLOT_ROWS = 1 << 14, 1 << 15
+WAYS, WAY_BITS = 8, 3  # branches of a node of the tree
+DEEPEST = 8  # levels of the tree: up to 16.8 million leaves, about one a word
+# Bits of the row numbers of classes, slots and nodes: the vocabulary's, less so many, at least and at most.
+ROW_BITS = ((6, 14, 16), (5, 15, 16), (4, 15, 18))
+BLOCK = 8192  # weights that a task sends in one row
 RATE, BATCH = 0.25, 4096
 DISCOUNT = 0.5
 FREQUENT = 1 << 16  # words whose counts every task holds; the others are joined
@@ -45,6 +50,9 @@ class Counts:
     n_distinct: int
     words: list[str]  # by falling count; at most FREQUENT
     counts: np.ndarray
+    depth: int = 0  # levels of the tree of words without a slot
+    leaves: np.ndarray | None = None  # its leaves with words, rising
+    masses: np.ndarray | None = None  # their counts, less the discounts
 
     @property
     def n_slotted(self) -> int:
@@ -54,11 +62,29 @@ class Counts:
         """(tokens, distinct words) without a slot."""
         return self.n - int(self.counts[:self.n_slotted].sum()), self.n_distinct - self.n_slotted
 
+    def shapes(self) -> list[tuple[int, int]]:
+        """Rows and width of the weights of classes, slots and nodes; they follow the vocabulary."""
+        bits = max(self.n_distinct, 1).bit_length()
+        return [(1 << min(max(bits - less, least), most), width) for (less, least, most), width in zip(ROW_BITS, (CLASSES, SLOTS, WAYS))]
+
+    def priors(self) -> np.ndarray:
+        """The share of every branch in its node's mass, nodes level by level from the root."""
+        if self.depth == 0:
+            return np.zeros((0, WAYS), np.float32)
+        mass, levels = np.zeros(WAYS ** self.depth, np.float32), []
+        mass[self.leaves] = self.masses
+        for _ in range(self.depth):
+            split = mass.reshape(-1, WAYS)
+            mass = split.sum(axis=1)
+            levels.append(split / np.maximum(mass, 1e-9)[:, None])
+        return np.concatenate(levels[::-1])
+
 
 @dataclass(frozen=True)
 class Weights:
     class_rows: np.ndarray
     slot_rows: np.ndarray
+    node_rows: np.ndarray
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -90,7 +116,31 @@ def summary(vocabulary: DataFrame, frequent: int = FREQUENT) -> Counts:
         least = bar
     rows = vocabulary.filter(level >= least).collect() if least is not None else []
     rows.sort(key=lambda r: (-r.c, r.word))
-    return Counts(sum(b[2] for b in bars), sum(b[1] for b in bars), [r.word for r in rows], np.array([r.c for r in rows], np.int64))
+    counts = Counts(sum(b[2] for b in bars), sum(b[1] for b in bars), [r.word for r in rows], np.array([r.c for r in rows], np.int64))
+    depth = 0
+    while depth < DEEPEST and WAYS ** depth < counts.others()[1]:
+        depth += 1
+    if depth == 0:
+        return counts
+    slotted = counts.words[:counts.n_slotted]
+
+    def placed(batches: Iterator[pa.RecordBatch]):
+        known = pa.array(slotted, pa.string())
+        for batch in batches:
+            words, c = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            rare = pc.is_null(pc.index_in(words, known)).to_numpy(zero_copy_only=False)
+            hashes = np.where(pc.equal(words, END).to_numpy(zero_copy_only=False), END_HASH, word_hashes(words))
+            yield pa.RecordBatch.from_arrays([pa.array(paths(hashes[rare], depth).astype(np.int32)), pa.array(c[rare] - DISCOUNT)], ["leaf", "mass"])
+
+    leaves = vocabulary.select("word", "c").mapInArrow(placed, "leaf int, mass double").groupBy("leaf").agg(F.sum("mass").cast("float").alias("mass")).toArrow()
+    at, masses = leaves.column("leaf").to_numpy(), leaves.column("mass").to_numpy()
+    order = np.argsort(at)
+    return replace(counts, depth=depth, leaves=at[order], masses=masses[order])
+
+
+def paths(hashes: np.ndarray, depth: int) -> np.ndarray:
+    """The leaf of every hash, from its top bits."""
+    return (hashes >> np.uint64(64 - WAY_BITS * depth)).astype(np.int64) if depth else np.zeros(len(hashes), np.int64)
 
 
 class Model:
@@ -106,16 +156,22 @@ class Model:
             # The starting point is the unigram model; slots and classes without words never win.
             self.class_bias = np.maximum(np.log(total / total.sum()), -1e4).astype(np.float32)
             self.slot_bias = np.maximum(np.nan_to_num(np.log(mass / total[:, None]), nan=-1e4), -1e4).astype(np.float32)
-        self.class_rows = np.zeros((CLASS_ROWS, CLASSES), np.float32) if weights is None else weights.class_rows
-        self.slot_rows = np.zeros((SLOT_ROWS, SLOTS), np.float32) if weights is None else weights.slot_rows
+        self.weights = ([np.zeros(shape, np.float32) for shape in counts.shapes()] if weights is None
+                        else [weights.class_rows, weights.slot_rows, weights.node_rows])
         self.slotted = pa.array(counts.words[:k], pa.string())
+        self.depth, self.priors = counts.depth, counts.priors()
+        self.firsts = np.array([(WAYS ** d - 1) // (WAYS - 1) for d in range(self.depth)], np.int64)  # node numbers
+        self.shifts = WAY_BITS * np.arange(self.depth - 1, -1, -1, dtype=np.int64)
 
     def start_updates(self) -> None:
-        self.squares = np.full(CLASS_ROWS, 1e-6), np.full(SLOT_ROWS, 1e-6)
-        self.seen = np.zeros(CLASS_ROWS, np.int64), np.zeros(SLOT_ROWS, np.int64)
+        self.squares = [np.full(len(w), 1e-6) for w in self.weights]
+        self.seen = [np.zeros(len(w), np.int64) for w in self.weights]
 
     def tokens(self, texts: pa.Array):
-        """(document, class, slot, features) of every token, and (offsets, codes, words) of the texts' words."""
+        """(document, class, slot, features) of every token, and (offsets, codes, words) of the texts' words.
+
+        The slot of a word of class 0 is its leaf in the tree.
+        """
         offsets, codes, words = word_codes(texts)
         counts = np.diff(offsets)
         document = np.repeat(np.arange(len(counts)), counts + 1)
@@ -137,7 +193,7 @@ class Model:
         skip[place < 2] = START_HASH
         features = np.stack([mixed(last + np.uint64(1)), mixed(skip + np.uint64(2)), mixed(mixed(last) * np.uint64(3) + skip)])
         group = np.where(rank < 0, 0, 1 + rank // SLOTS)
-        return (document, group, np.where(rank < 0, 0, rank % SLOTS), features), (offsets, codes, words)
+        return (document, group, np.where(rank < 0, paths(own, self.depth), rank % SLOTS), features), (offsets, codes, words)
 
     @staticmethod
     def softmax(logits: np.ndarray) -> np.ndarray:
@@ -146,27 +202,55 @@ class Model:
         logits /= logits.sum(axis=1, keepdims=True)
         return logits
 
+    def logits(self, which: int, bias: np.ndarray | None, features: np.ndarray):
+        """Row numbers of the features, and the sums of these rows."""
+        weights = self.weights[which]
+        rows = (features & np.uint64(len(weights) - 1)).astype(np.int64)
+        sums = weights[rows[0]] if bias is None else bias + weights[rows[0]]
+        for r in rows[1:]:
+            sums += weights[r]
+        return rows, sums
+
     def chances(self, group: np.ndarray, slot: np.ndarray, features: np.ndarray):
         """Probabilities of all classes, and of all slots for the tokens that have one."""
-        rows = (features & np.uint64(CLASS_ROWS - 1)).astype(np.int64)
-        classes = self.class_bias + self.class_rows[rows[0]]
-        for r in rows[1:]:
-            classes += self.class_rows[r]
+        rows, classes = self.logits(0, self.class_bias, features)
         some = np.flatnonzero(group)
-        inner = (mixed(features[:2, some] + group[some].astype(np.uint64)) & np.uint64(SLOT_ROWS - 1)).astype(np.int64)
-        slots = self.slot_bias[group[some]] + self.slot_rows[inner[0]]
-        for r in inner[1:]:
-            slots += self.slot_rows[r]
+        inner, slots = self.logits(1, self.slot_bias[group[some]], mixed(features[:, some] + group[some].astype(np.uint64)))
         return rows, self.softmax(classes), some, inner, self.softmax(slots)
 
-    def log10(self, group: np.ndarray, slot: np.ndarray, features: np.ndarray) -> np.ndarray:
-        out = np.empty(len(group))
+    def branches(self, group: np.ndarray, slot: np.ndarray, features: np.ndarray):
+        """(token, branch, row numbers, odds of all branches over their priors, priors) of every node on the way to a leaf.
+
+        Nodes that have one branch only are left out: its probability is one.
+        """
+        token = np.repeat(np.flatnonzero(group == 0), self.depth)
+        down = (slot[group == 0][:, None] >> self.shifts).reshape(-1)
+        node, branch = (down >> WAY_BITS) + np.tile(self.firsts, len(token) // max(self.depth, 1)), down & (WAYS - 1)
+        split = np.flatnonzero(self.priors[node, branch] < 1)
+        token, node, branch = token[split], node[split], branch[split]
+        rows, sums = self.logits(2, None, mixed(features[:, token] + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        priors = self.priors[node]
+        sums -= sums.max(axis=1, keepdims=True)
+        np.exp(sums, out=sums)
+        sums /= np.maximum(np.einsum("ij,ij->i", sums, priors), 1e-30)[:, None]
+        return token, branch, rows, sums, priors
+
+    def parts(self, group: np.ndarray, slot: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each token's class and slot, and of what its context makes of the prior of its leaf."""
+        out, leaf = np.empty(len(group)), np.zeros(len(group))
         for a in range(0, len(group), BATCH):
             part = slice(a, a + BATCH)
             _, classes, some, _, slots = self.chances(group[part], slot[part], features[:, part])
             out[part] = np.log10(np.maximum(classes[np.arange(len(classes)), group[part]], 1e-30))
             out[a + some] += np.log10(np.maximum(slots[np.arange(len(slots)), slot[part][some]], 1e-30))
-        return out
+            if self.depth:
+                token, branch, _, odds, _ = self.branches(group[part], slot[part], features[:, part])
+                gains = np.log10(np.maximum(odds[np.arange(len(odds)), branch], 1e-30))
+                leaf[part] = np.bincount(token, gains, len(classes))
+        return out, leaf
+
+    def log10(self, group: np.ndarray, slot: np.ndarray, features: np.ndarray) -> np.ndarray:
+        return sum(self.parts(group, slot, features))
 
     def update(self, group: np.ndarray, slot: np.ndarray, features: np.ndarray) -> None:
         for a in range(0, len(group), BATCH):
@@ -174,14 +258,21 @@ class Model:
             rows, classes, some, inner, slots = self.chances(group[part], slot[part], features[:, part])
             classes[np.arange(len(classes)), group[part]] -= 1
             slots[np.arange(len(slots)), slot[part][some]] -= 1
-            self._descend(0, self.class_rows, rows, classes)
-            self._descend(1, self.slot_rows, inner, slots)
-
-    def _descend(self, which: int, weights: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> None:
+            self._descend(0, rows, classes)
+            self._descend(1, inner, slots)
+            if self.depth:
+                _, branch, rows, odds, priors = self.branches(group[part], slot[part], features[:, part])
+                odds *= priors
+                odds[np.arange(len(odds)), branch] -= 1
+                self._descend(2, rows, odds)
+
+    def _descend(self, which: int, rows: np.ndarray, slope: np.ndarray) -> None:
         """Adaptive steps: a row moves by its summed slope over the root of its squares so far."""
         if len(slope) == 0:
             return
-        flat = rows.reshape(-1).astype(np.uint16)  # sorts in linear time
+        weights, flat = self.weights[which], rows.reshape(-1)
+        if len(weights) <= 1 << 16:
+            flat = flat.astype(np.uint16)  # sorts in linear time
         order = np.argsort(flat, kind="stable")
         flat, order = flat[order], order % len(slope)
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
@@ -202,11 +293,12 @@ class Model:
 def train(docs: DataFrame, counts: Counts, text_col: str = "text") -> Weights:
     """Weights after one pass over all documents, each task starting from the unigram model.
 
-    A task sends the rows that it has changed with the number of updates; equal rows meet
-    after a shuffle and only their averages, a fixed number, reach the driver.
+    A task sends the blocks of rows that it has changed with the number of updates of each row,
+    weights in half precision; equal blocks meet after a shuffle and only their averages, at
+    most 25 MB, reach the driver.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    out = "row int, n long, weights binary"
+    shared, shapes = docs.sparkSession.sparkContext.broadcast(counts), counts.shapes()
+    out = "of int, block int, n binary, weights binary"
 
     def improved(batches):
         model = Model(shared.value)
@@ -215,30 +307,34 @@ def train(docs: DataFrame, counts: Counts, text_col: str = "text") -> Weights:
             for batch in slices(whole, 0, SLICE_BYTES):
                 (_, group, slot, features), _ = model.tokens(batch.column(0))
                 model.update(group, slot, features)
-        for first, rows, seen in ((0, model.class_rows, model.seen[0]), (CLASS_ROWS, model.slot_rows, model.seen[1])):
-            changed = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(changed + first, pa.int32()), pa.array(seen[changed]),
-                                              pa.array([r.tobytes() for r in rows[changed]], pa.binary())], ["row", "n", "weights"])
+        for of, (weights, seen) in enumerate(zip(model.weights, model.seen)):
+            seen, weights = seen.astype(np.int32).reshape(-1, BLOCK // weights.shape[1]), weights.astype(np.float16).reshape(-1, BLOCK)
+            changed = np.flatnonzero(seen.any(axis=1))
+            for some in np.array_split(changed, len(changed) // 64 + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), of, np.int32)), pa.array(some.astype(np.int32)), pa.array([n.tobytes() for n in seen[some]], pa.binary()),
+                                                  pa.array([w.tobytes() for w in weights[some]], pa.binary())], ["of", "block", "n", "weights"])
 
     def averaged(batches):
-        for rows in runs(batches, 1):
-            if rows.num_rows == 0:
-                continue
-            row, n = rows.column("row").to_numpy(), rows.column("n").to_numpy()
-            values = np.frombuffer(b"".join(rows.column("weights").to_pylist()), np.float32).reshape(len(row), -1)
-            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            total = np.add.reduceat(n, first)
-            means = (np.add.reduceat(values * n[:, None], first, axis=0) / total[:, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(row[first]), pa.array(total), pa.array([m.tobytes() for m in means], pa.binary())], ["row", "n", "weights"])
+        sums = {}
+        for batch in batches:
+            for of, block, n, weights in zip(*[c.to_pylist() for c in batch.columns]):
+                n = np.frombuffer(n, np.int32)
+                weighted = np.frombuffer(weights, np.float16).reshape(len(n), -1).astype(np.float32) * n[:, None].astype(np.float32)
+                if (of, block) in sums:
+                    sums[of, block][0] += n
+                    sums[of, block][1] += weighted
+                else:
+                    sums[of, block] = [n.astype(np.int64), weighted]
+        for (of, block), (n, weighted) in sums.items():
+            mean = (weighted / np.maximum(n, 1)[:, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), pa.array([block], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())],
+                                             ["of", "block", "n", "weights"])
 
     parts = docs.select(text_col).mapInArrow(improved, out)
-    class_rows, slot_rows = np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((SLOT_ROWS, SLOTS), np.float32)
-    for r in parts.repartition("row").sortWithinPartitions("row").mapInArrow(averaged, out).collect():
-        if r.row < CLASS_ROWS:
-            class_rows[r.row] = np.frombuffer(r.weights, np.float32)
-        else:
-            slot_rows[r.row - CLASS_ROWS] = np.frombuffer(r.weights, np.float32)
-    return Weights(class_rows, slot_rows)
+    means = [np.zeros(shape, np.float32) for shape in shapes]
+    for r in parts.repartition("of", "block").mapInArrow(averaged, out).select("of", "block", "weights").collect():
+        means[r.of].reshape(-1, BLOCK)[r.block] = np.frombuffer(r.weights, np.float32)
+    return Weights(*means)
 
 
 def _other_chance(counts: Counts) -> tuple[float, float]:
@@ -269,26 +365,24 @@ def score_texts(docs: DataFrame, vocabulary: DataFrame, counts: Counts, weights:
         for whole in batches:
             for batch in slices(whole, 1, SLICE_BYTES):
                 (document, group, slot, features), (offsets, codes, words) = model.tokens(batch.column(1))
-                score = np.bincount(document, model.log10(group, slot, features), batch.num_rows)
+                sure, leaf = model.parts(group, slot, features)
                 at = pc.fill_null(pc.index_in(pa.concat_arrays([words.cast(pa.string()), pa.array([END])]), frequent), -1).to_numpy(zero_copy_only=False).astype(np.int64)
                 c = np.where(at >= 0, np.append(counts.counts, 0)[at], 0)
                 base = np.log10(c + 0.5) - log_total
                 inner = np.where((at >= counts.n_slotted) & (c > 0), np.log10(np.maximum(c - DISCOUNT, DISCOUNT) / max(n_other, 1)), 0.0)
                 held = at >= 0
-                row_of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-                known = held[codes]
-                size = batch.num_rows
-                total = np.bincount(row_of[known], base[codes[known]], size)
-                score = score + np.bincount(row_of[known], inner[codes[known]], size)
-                n_known = np.bincount(row_of[known], minlength=size)
-                if held[-1]:
-                    total, score, n_known = total + base[-1], score + inner[-1], n_known + 1
-                # Words that are not frequent, and the end if it is not, are looked up by a join.
+                size, code = batch.num_rows, np.full(len(document), len(words))
+                is_word = np.ones(len(document), bool)
+                is_word[np.cumsum(np.diff(offsets) + 1) - 1] = False
+                code[is_word] = codes
+                known = held[code]
+                n_known = np.bincount(document[known], minlength=size)
+                total = np.bincount(document[known], base[code[known]], size)
+                score = np.bincount(document, np.where(known, sure + leaf + inner[code], sure), size)
+                # Words that are not frequent, and the end if it is not, are looked up by a join; unseen ones have no leaf.
                 rare = np.flatnonzero(~known)
-                pairs = row_of[rare] * (len(words) + 1) + codes[rare]
-                if not held[-1]:
-                    pairs = np.concatenate([pairs, np.arange(size) * (len(words) + 1) + len(words)])
-                pairs, times = np.unique(pairs, return_counts=True)
+                pairs, of, times = np.unique(document[rare] * (len(words) + 1) + code[rare], return_inverse=True, return_counts=True)
+                leaf = np.bincount(of, leaf[rare], len(pairs))
                 texts = pa.concat_arrays([words.cast(pa.string()), pa.array([END])]).take(pa.array(pairs % (len(words) + 1)))
                 ids = row + np.arange(size)
                 row += size
@@ -297,16 +391,16 @@ def score_texts(docs: DataFrame, vocabulary: DataFrame, counts: Counts, weights:
                     [pa.array(ids), batch.column(0), none, pa.array(np.diff(offsets) + 1), pa.array(n_known), pa.array(total, pa.float64()), pa.array(score, pa.float64())], names)
                 blank = pa.nulls(len(pairs), pa.float64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[pairs // (len(words) + 1)]), pa.nulls(len(pairs), batch.column(0).type), texts, pa.array(times), pa.nulls(len(pairs), pa.int64()), blank, blank], names)
+                    [pa.array(ids[pairs // (len(words) + 1)]), pa.nulls(len(pairs), batch.column(0).type), texts, pa.array(times), pa.nulls(len(pairs), pa.int64()), blank, pa.array(leaf, pa.float64())], names)
 
     names = ["row", "id", "word", "n", "known", "base", "score"]
     made = stored(docs.select(id_col, text_col).mapInArrow(scored, f"row long, id {kind.simpleString()}, word string, n long, known long, base double, score double"))
-    joined = made.filter("word IS NOT NULL").select("row", "word", "n").join(vocabulary, "word", "left")
+    joined = made.filter("word IS NOT NULL").select("row", "word", "n", F.col("score").alias("leaf")).join(vocabulary, "word", "left")
     c = F.coalesce("c", F.lit(0))
     chance = F.when(F.col("c").isNull(), F.lit(unseen)).otherwise((F.col("c") - DISCOUNT) / F.lit(max(n_other, 1.0)))
     late = joined.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"),
                                      F.sum(F.col("n") * (F.log10(c + 0.5) - log_total)).alias("base_more"),
-                                     F.sum(F.col("n") * F.log10(chance)).alias("score_more"))
+                                     F.sum(F.col("n") * F.log10(chance) + F.when(F.col("c").isNotNull(), F.col("leaf")).otherwise(0.0)).alias("score_more"))
     zero = F.lit(0.0)
     return made.filter("word IS NULL").drop("word").join(late, "row", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),

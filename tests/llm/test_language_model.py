@@ -103,3 +103,25 @@ def test_updates_follow_the_gradient():
     for _ in range(20):
         model.update(group, slot, features)
     assert model.log10(group, slot, features).sum() > before
+
+
+def test_rare_words_learn_their_context(spark):
+    # 3000 words of equal count, so two thirds have no slot; each is followed by its own next word.
+    rng = np.random.default_rng(4)
+    starts = np.concatenate([rng.permutation(3000) for _ in range(30)])
+    vocabulary, counts, weights = fitted(spark, [" ".join(f"a{i} b{i}" for i in part) for part in np.array_split(starts, 60)])
+    assert counts.n_slotted < 1000 and counts.others()[1] > 5000
+    rare = [i for i in range(3000) if not {f"a{i}", f"b{i}"} & set(counts.words[:counts.n_slotted])][:400]
+    docs = spark.createDataFrame([(0, " ".join(f"a{i} b{i}" for i in rare)), (1, " ".join(f"a{i} b{j}" for i, j in zip(rare, rare[1:] + rare[:1])))], "doc_id long, text string")
+    right, wrong = (r.score for r in sorted(m.score_texts(docs, vocabulary, counts, weights).collect()))
+    assert right - wrong > 0.3 * len(rare)
+
+
+def test_rows_and_depth_follow_the_vocabulary(spark):
+    sizes = []
+    for n in (50, 1200, 40_000):
+        vocabulary, counts, _ = fitted(spark, [" ".join(f"w{i}" for i in range(n))])
+        sizes.append(counts.depth)
+        assert counts.depth == 0 or counts.masses.sum() == pytest.approx(counts.others()[0] - m.DISCOUNT * counts.others()[1], rel=1e-5)
+        assert counts.depth == 0 or np.allclose(counts.priors().sum(axis=1)[0], 1, atol=1e-5)
+    assert sizes == [0, 3, 6] and m.Counts(1, 1 << 22, [], np.array([])).shapes() > m.Counts(1, 1000, [], np.array([])).shapes()
