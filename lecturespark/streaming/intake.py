@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import present
+from ..operators.admission import daily_ledger
 from ..sources.jobs import write_results
 from .sinks import drain
 
@@ -21,19 +22,13 @@ def discover_stream(lectures: DataFrame, seen: DataFrame) -> DataFrame:
     return fresh.dropDuplicates(["course_id", "sub_id"])
 
 
-def ledger_stream(usage: DataFrame, keys: list[str], late: str = "2 days") -> DataFrame:
-    """Use per key and Shanghai day (update mode); midnight there is 16:00 UTC.
+def ledger_stream(usage: DataFrame, keys: list[str]) -> DataFrame:
+    """Use per key and Shanghai day (update mode).
 
-    The watermark is ours: it lets finished days leave the state.
+    Use counts however late it comes, so there is no watermark: the state keeps one row per
+    key and day, as the ledger itself does, spread over the cluster by both.
     """
-    timed = usage.withColumn("at", F.timestamp_micros("at_us")).withWatermark("at", late)
-    day = F.window("at", "1 day", startTime="16 hours")
-    totals = timed.groupBy(day.alias("w"), *keys).agg(
-        F.sum("lectures").cast("bigint").alias("lectures"), F.sum("cost_ms").cast("bigint").alias("cost_ms"),
-        F.sum(F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0))).cast("bigint").alias("tokens"))
-    start = F.unix_micros(F.col("w.start")) + F.lit(8 * 3600 * 1_000_000)
-    name = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(start / (86_400 * 1_000_000)).cast("int"))
-    return totals.select(*keys, name.cast("string").alias("day"), "lectures", "cost_ms", "tokens")
+    return daily_ledger(usage, keys)
 
 
 def resume_results(results: DataFrame, path: str, checkpoint: str, order: str) -> None:

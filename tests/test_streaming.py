@@ -81,6 +81,16 @@ def test_ledger_over_batches(spark, tmp_path):
     assert values(got) == values(admission.daily_ledger(rows, ["key_id"]))
 
 
+def test_ledger_counts_late_use(spark, tmp_path):
+    day = 86_400_000_000
+    rows = spark.createDataFrame([(0, 1, 10 * day, 1, 5, 7), (1, 1, 14 * day, 1, 6, -2), (2, 1, 10 * day + 1, 1, 8, None), (3, 2, 6 * day, 1, 9, 1), (4, 1, None, 1, 4, 3)],
+                                 "n INT, key_id INT, at_us BIGINT, lectures INT, cost_ms BIGINT, tokens BIGINT")
+    stream = in_batches(spark, rows, "n", str(tmp_path / "in"), batches=5)
+    got = sinks.drain_updates(intake.ledger_stream(stream, ["key_id"]), str(tmp_path / "out"), ["key_id", "day"])
+    text = lambda df: sorted(map(str, df.collect()))
+    assert text(got) == text(admission.daily_ledger(rows, ["key_id"]))
+
+
 def test_discovery_over_a_restart(spark, tmp_path):
     rows = load(spark, FOLDER, "lectures").withColumn("n", F.col("sub_id"))
     seen = load(spark, FOLDER, "seen")
