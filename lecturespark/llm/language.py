@@ -23,6 +23,8 @@ BINS, GRAMS = 1 << 15, (1, 2, 3, 4)
 SWITCH = 12.0  # price of a change of language, in nats
 NARROWED = -60.0  # score of a language that does not use a word's script
 SCRIPT_SHARE = 0.01  # a language uses a script that has this share of its letters
+ERRORS = 3.0  # standard errors that a text may fit worse than its floor, so that short texts stay
+LABELLED = 0.5  # share of the letters that must be in scripts of learned languages
 SLICE_SCORES = 24_000_000  # characters times languages that one step holds
 
 # First code points of letter ranges and their scripts; ranges end where the next one starts.
@@ -89,6 +91,25 @@ class LanguageModel:
     languages: list[str]  # by code point
     scores: np.ndarray  # BINS x languages, log probabilities
     uses: np.ndarray  # scripts x languages, whether a language is a candidate
+    learned: np.ndarray  # whether any language uses a script
+    floors: np.ndarray  # per language, the least log probability per n-gram of its own texts
+    spreads: np.ndarray  # per language, the standard deviation of that of one n-gram
+
+
+def _floors(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(floors, spreads) from the counts of all labelled texts.
+
+    The floor lies half-way between what an n-gram of the language's own texts has on
+    average and what one of the other languages' texts has under its model; and at least an
+    eighth of the way to a bin drawn at random, for languages that are alone or alike.
+    """
+    chance = grams / grams.sum(axis=0)
+    logs = np.log(chance)
+    cross = logs.T @ chance  # [model, texts]
+    own, n = np.diag(cross), len(cross)
+    others = (cross.sum(axis=1) - own) / (n - 1) if n > 1 else own
+    spreads = np.sqrt(np.maximum((chance * logs ** 2).sum(axis=0) - own ** 2, 0))
+    return own - np.maximum((own - others) / 2, (own - logs.mean(axis=0)) / 8), spreads
 
 
 def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
@@ -130,8 +151,9 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     grams, letters = sums[:BINS] + 0.5, sums[BINS:]
     scores = np.log(grams / grams.sum(axis=0)) / len(GRAMS)  # n-grams of several lengths tell of the same letters
     uses = letters >= SCRIPT_SHARE * np.maximum(letters.sum(axis=0), 1)
-    uses[~uses.any(axis=1)] = True  # a script that no language uses tells nothing
-    return LanguageModel(languages, scores.astype(np.float32), uses)
+    learned = uses.any(axis=1)
+    uses[~learned] = True  # a script that no language uses tells nothing
+    return LanguageModel(languages, scores.astype(np.float32), uses, learned, *_floors(grams))
 
 
 def _word_scores(model: LanguageModel, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -226,10 +248,39 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return docs.select(id_col, text_col).mapInArrow(labelled, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang", min_share: float = 0.0) -> DataFrame:
+def _fits(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The language of most letters and its share as ``_predictions``, and whether the text fits its path.
+
+    Words in scripts that no learned language uses have no language. The rest must have, per
+    n-gram, the log probability of its languages' floors, less the error that its length allows.
+    """
+    rows, n_lang = len(texts), len(model.languages)
+    if n_lang == 0:
+        return ["und"] * rows, np.zeros(rows), np.zeros(rows, bool)
+    offsets, codes, words = word_codes(texts)
+    scores, letters = _word_scores(model, words)
+    states = best_paths(scores[codes], offsets)
+    scripts = _word_scripts(*_letters(words))
+    row_of = np.repeat(np.arange(rows), np.diff(offsets))
+    total = np.bincount(row_of, letters[codes], rows)
+    own = np.where((scripts >= 0) & model.learned[scripts], letters, 0)[codes]
+    sums = np.bincount(row_of * n_lang + states, own, rows * n_lang).reshape(-1, n_lang)
+    grams = np.where(own > 0, len(GRAMS) * own + 2, 0)  # the n-grams of a word with its two marks
+    fit = np.bincount(row_of, np.where(own > 0, scores[codes, states] * len(GRAMS), 0) - grams * model.floors[states], rows)
+    # N-grams of several lengths tell of the same letters, so a letter counts as one draw.
+    n = np.maximum(sums.sum(axis=1), 1)
+    spread = (sums @ model.spreads) / n
+    fits = fit / np.maximum(np.bincount(row_of, grams, rows), 1) >= -ERRORS * spread / np.sqrt(n)
+    best = sums.argmax(axis=1)
+    return ([model.languages[b] if t > 0 else "und" for b, t in zip(best, sums.sum(axis=1))],
+            np.where(total > 0, sums.max(axis=1, initial=0) / np.maximum(total, 1), 0.0), fits & (sums.sum(axis=1) >= LABELLED * total))
+
+
+def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang", min_share: float = 0.0,
+                  fitting: bool = False) -> DataFrame:
     """The documents with letters whose main language has ``min_share`` of them; a null language becomes the main one.
 
-    No shuffle; all columns stay.
+    With ``fitting``, texts that fit no learned language, nor a mixture of them, go as well. No shuffle; all columns stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
@@ -237,9 +288,13 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text",
     def kept(batches):
         for whole in batches:
             for batch in slices(whole, text_at, SLICE_SCORES // max(4, len(shared.value.languages))):
-                names, share = _predictions(shared.value, batch.column(text_at))
+                if fitting:
+                    names, share, fits = _fits(shared.value, batch.column(text_at))
+                else:
+                    names, share = _predictions(shared.value, batch.column(text_at))
+                    fits = np.ones(len(names), bool)
                 filled = pc.coalesce(batch.column(lang_at), pa.array(names, batch.column(lang_at).type))
-                good = [n != "und" and s >= min_share for n, s in zip(names, share)]
+                good = [n != "und" and s >= min_share and bool(f) for n, s, f in zip(names, share, fits)]
                 yield batch.set_column(lang_at, batch.schema.field(lang_at).name, filled).filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -66,3 +66,18 @@ def test_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     assert [tuple(r) for r in g.identify(docs, none).collect()] == [(1, "und", 0.0)]
     assert g.language_spans(docs, none).count() == 0
+
+
+def test_only_texts_that_fit_stay(spark):
+    rows = [(r.text, r.lang) for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("lang IS NOT NULL AND length(text) > 600").limit(600).collect()]
+    learned = g.fit_languages(spark.createDataFrame([r for r in rows if r[1] != "de"], "text string, lang string"))
+    rng = np.random.default_rng(3)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 900)) for _ in range(20)]
+    parts = {lang: next(t for t, own in rows if own == lang)[:300] for lang in ("en", "fr", "es")}
+    cases = [*[(t, lang) for t, lang in rows], *[(t, "noise") for t in noise], ("漢字 " * 200, "script"), (" ".join(parts.values()), "mixture"), (parts["en"][:12], "short")]
+    docs = spark.createDataFrame([(t, kind, None) for t, kind in cases], "text string, kind string, lang string")
+    kept = g.with_language(docs, learned, fitting=True).groupBy("kind").count()
+    kept = {r["kind"]: r["count"] for r in kept.collect()}
+    count = lambda kind: sum(k == kind for _, k in cases)
+    assert kept.get("de", 0) <= 0.05 * count("de") and "noise" not in kept and "script" not in kept
+    assert all(kept[k] >= 0.99 * count(k) for k in ("en", "fr", "es", "mixture", "short"))
