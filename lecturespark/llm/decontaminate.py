@@ -2,7 +2,7 @@
 
 A test item with an error budget of k is cut into k + 1 pieces. Wherever it occurs with
 at most k edits, one piece occurs unchanged; every such hit is verified with Myers'
-bit-parallel distance. Documents are never shuffled; the pieces go to the tasks in
+bit-parallel distance. Short items are found as they are, between word boundaries. Documents are never shuffled; the pieces go to the tasks in
 blocks of bounded size.
 """
 
@@ -61,13 +61,18 @@ def positions(pattern: str) -> dict[str, int]:
     return dict(bits)
 
 
+def bounded(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit inside a part of the text goes on outside."""
+    return not ((start > 0 and text[start - 1].isalnum() and text[start].isalnum()) or (end < len(text) and text[end - 1].isalnum() and text[end].isalnum()))
+
+
 class Matcher:
     """Finds the items of one block in normalised texts."""
 
-    def __init__(self, items: list[tuple], rate: float):
-        self.items, self.bits, pieces = [], {}, defaultdict(list)
+    def __init__(self, items: list[tuple], rate: float, min_chars: int = MIN_CHARS):
+        self.items, self.bits, self.min_chars, pieces = [], {}, min_chars, defaultdict(list)
         for item_id, text in items:
-            k = int(len(text) * rate)
+            k = int(len(text) * rate) if len(text) >= min_chars else 0
             bounds = [len(text) * i // (k + 1) for i in range(k + 2)]
             for leaf, (a, b) in enumerate(zip(bounds, bounds[1:])):
                 pieces[text[a:b]].append((len(self.items), b, _ancestors(bounds, leaf)))
@@ -90,8 +95,14 @@ class Matcher:
     def find(self, text: str) -> Iterator[tuple]:
         """(item id, distance, start, end) of the best occurrence of each item that occurs."""
         windows: dict[int, list[list[int]]] = {}
+        exact: dict[int, int] = {}
         for end, uses in self.pieces.iter(text) if self.items else ():
             for item, offset, above in uses:
+                own = self.items[item][1]
+                if len(own) < self.min_chars:
+                    if item not in exact and bounded(text, end + 1 - offset, end + 1):
+                        exact[item] = end + 1 - offset
+                    continue
                 if not self.holds(item, text, end + 1 - offset, above):
                     continue
                 _, own, k = self.items[item]
@@ -120,6 +131,9 @@ class Matcher:
                 back = text[max(0, best[1] - len(own) - k):best[1]][::-1]
                 # The start: the shortest piece of the reversed text that gives the same distance from its first character.
                 yield item_id, best[0], best[1] - start_back(own[::-1], back, best[0]), best[1]
+        for item, start in exact.items():
+            item_id, own, _ = self.items[item]
+            yield item_id, 0, start, start + len(own)
 
 
 def _ancestors(bounds: list[int], leaf: int) -> list[tuple]:
@@ -147,7 +161,7 @@ def start_back(pattern: str, text: str, distance: int) -> int:
     return len(text)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, min_chars: int, block_chars: int) -> Iterator[list[tuple]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple]]:
     """The usable items as lists of at most about ``block_chars`` characters, one after the other."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -155,7 +169,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, min_chars: int, bl
     for block in range(n):
         rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == block).orderBy("id", "text").collect()
         found = [(r.id, normal(r.text)) for r in rows]
-        yield [(i, t) for i, t in found if len(t) >= min_chars]
+        yield [(i, t) for i, t in found if t]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -164,8 +178,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     Both sides are normalised (lower case, runs of white space one space); ``start`` and
     ``end`` are positions in the normalised text, of the nearest, then first, occurrence.
-    Items of under ``min_chars`` normalised characters, empty and null ones match nothing, nor
-    do null and empty texts. Items with equal texts each give a row, repeated documents
+    Items of under ``min_chars`` normalised characters must occur unchanged between word
+    boundaries. Empty and null items match nothing, nor do null and empty texts. Items with equal texts each give a row, repeated documents
     repeat their rows, null ids stay null. Larger benchmarks go through the documents in blocks.
     """
     kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
@@ -175,7 +189,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def found(batches):
-            matcher = Matcher(shared.value, rate)
+            matcher = Matcher(shared.value, rate, min_chars)
             for batch in batches:
                 hits = [(at, *hit) for at, text in enumerate(batch.column(1)) for hit in matcher.find(normal(text.as_py()))]
                 at, item, *rest = zip(*hits) if hits else ([],) * 5
@@ -185,18 +199,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
         return docs.select(id_col, text_col).mapInArrow(found, out)
 
-    return reduce(DataFrame.union, [pass_over(items) for items in _blocks(benchmark, item_col, item_text_col, min_chars, block_chars)])
+    return reduce(DataFrame.union, [pass_over(items) for items in _blocks(benchmark, item_col, item_text_col, block_chars)])
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                   rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents in which no test item occurs, in the sense of ``leaks``, with all their columns."""
     column = docs.columns.index(text_col)
-    for items in _blocks(benchmark, item_col, item_text_col, min_chars, block_chars):
+    for items in _blocks(benchmark, item_col, item_text_col, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def clean(batches, shared=shared):
-            matcher = Matcher(shared.value, rate)
+            matcher = Matcher(shared.value, rate, min_chars)
             for batch in batches:
                 yield batch.filter(pa.array([next(matcher.find(normal(t.as_py())), None) is None for t in batch.column(column)], pa.bool_()))
 

@@ -75,3 +75,12 @@ def test_empty_tables(spark):
     assert d.leaks(docs.limit(0), bench).count() == 0
     assert d.leaks(docs, bench.limit(0)).count() == 0
     assert d.without_leaks(docs, bench.limit(0)).count() == 1
+
+
+def test_short_items_are_found_as_they_are(spark):
+    items = [(1, "What is  2+2?", "clash"), (2, "art", "clash"), (3, "art", "clash"), (4, " ", "clash"), (5, "What is 2+3?", "clash")]
+    docs = [(1, "Asked: what is\n2+2? Four.", "clash"), (2, "a party, then ART", "clash"), (3, "party", "clash"), (4, "what is 2+2", "clash"), (5, "", "clash")]
+    bench, table = spark.createDataFrame(items, ITEMS), spark.createDataFrame(docs, DOCS)
+    rows = sorted(tuple(r) for r in d.leaks(table, bench).collect())
+    assert rows == [(1, 1, 0, 7, 19), (2, 2, 0, 14, 17), (2, 3, 0, 14, 17)]
+    assert sorted(r.doc_id for r in d.without_leaks(table, bench).collect()) == [3, 4, 5]
