@@ -33,8 +33,8 @@ def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix to target weights: a row per document and epoch, the last one of a source cut at its budget."""
-    return mixing.apply_mix(docs, mixing.mix_sources(docs))
+    """The mix to target weights: a row per document and epoch, the last one of a source cut at its budget and marked ``cut``."""
+    return mixing.apply_mix(docs, mixing.mix_sources(docs), mark="cut")
 
 
 STAGES = [

@@ -77,11 +77,12 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), n), "")
 
 
-def apply_mix(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def apply_mix(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str | None = None) -> DataFrame:
     """The mixed corpus: each document once per whole epoch, then its cut copy; ``copy`` counts from 0.
 
     Rows that share an id and a text are taken alike, by the amounts of all of them. A column
-    ``copy`` of the documents is replaced.
+    ``copy`` of the documents is replaced. A column named ``mark`` is true where a text is only
+    the first part of its document's.
     """
     marks = mix.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.min("epochs").alias("_epochs"), F.max("last_words").alias("_last"), F.max("size").alias("_size"))
@@ -89,7 +90,9 @@ def apply_mix(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col:
     joined = docs.join(marks, same)
     copies = joined.withColumn("copy", F.explode(F.expr("sequence(0L, _epochs)"))).filter("copy < _epochs OR _last > 0")
     cut = (F.col("copy") == F.col("_epochs")) & (F.col("_last") < F.col("_size"))
-    return copies.withColumn(text_col, F.when(cut, first_words(F.col(text_col), F.col("_last").cast("int"))).otherwise(F.col(text_col))).select(*[c for c in docs.columns if c != "copy"], "copy")
+    text = F.when(cut, first_words(F.col(text_col), F.col("_last").cast("int"))).otherwise(F.col(text_col)).alias(text_col)
+    kept = [text if c == text_col else F.col(c) for c in docs.columns if c not in ("copy", mark)]
+    return copies.select(*kept, "copy", *([cut.alias(mark)] if mark else []))
 
 
 @query("op2_mix_sources", rf"""

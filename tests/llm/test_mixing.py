@@ -55,3 +55,11 @@ def test_mixed_corpus(spark):
 def test_nothing_to_mix(spark):
     check(spark, [(1, None, "a"), (2, "", None)])
     assert m.mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_cut_copy_is_marked(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * (40 + 7 * i), source) for i, source in enumerate("aaabbbbbbbbbcccccccc")], "doc_id long, text string, source string")
+    corpus = m.apply_mix(docs, m.mix_sources(docs), mark="cut")
+    assert corpus.columns == [*docs.columns, "copy", "cut"]
+    rows = corpus.collect()
+    assert any(r.cut for r in rows) and all(r.cut == (len(words(r.text)) < 40 + 7 * r.doc_id) for r in rows)
