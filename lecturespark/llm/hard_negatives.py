@@ -342,8 +342,8 @@ positives AS (
   QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
 SELECT p.anchor_id, positive_id, CAST(row_number() OVER ranks AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
 FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
-QUALIFY row_number() OVER ranks <= 3
-WINDOW ranks AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)""")
+WINDOW ranks AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER ranks <= 3""")
 def hard_negatives_query(spark: SparkSession, folder: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", moved.alias("label"))
