@@ -26,7 +26,9 @@ from .shared import stored
 from .words import runs
 
 SCALE, POSITIVES, NEGATIVES, LOW, HIGH = 256, 5, 3, 50, 95
-SAMPLE, MEMBERS_A_CLUSTER, MOST_CLUSTERS = 4096, 64, 256  # the clusters are fitted to so many anchors at most
+# The clusters are fitted to SAMPLE anchors at most. With fewer anchors a cluster than share a block, a list
+# would be dealt out more often without smaller groups.
+SAMPLE, MEMBERS_A_CLUSTER, MOST_CLUSTERS = 8192, 512, 256
 BLOCK, PIECE, CHUNK, STEP = 512, 8192, 8192, 512
 LONGEST = 2.0 ** 62  # squared lengths below it keep every score in 64 bits
 LEAST, MOST = -(2 ** 62), 2 ** 62
@@ -299,11 +301,11 @@ def hard_negatives(vectors: DataFrame, is_anchor: str, id_col: str = "vec_id", v
     distinct = made.groupBy("key").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.first("norm").alias("norm"))
     nodes = stored(distinct.join(ids, "key").withColumn("node", F.monotonically_increasing_id()))
     anchors = stored(made.filter(is_anchor).select("id", "key").distinct())
-    chosen = nodes.join(anchors.select("key").distinct(), "key", "left_semi")
+    chosen = stored(nodes.join(anchors.select("key").distinct(), "key", "left_semi").select("key", "vec"))
     sample = [r.vec for r in chosen.select("vec", F.xxhash64("key").alias("h")).orderBy("h", "vec").limit(SAMPLE).collect()]
-    clusters = min(MOST_CLUSTERS, max(1, len(sample) // MEMBERS_A_CLUSTER))
+    clusters = min(MOST_CLUSTERS, max(1, chosen.count() // MEMBERS_A_CLUSTER))
     centres = fit_centres(_matrix(pa.array(sample, pa.binary())), clusters)
-    nodes = stored(_celled(nodes, centres))
+    nodes = stored(_celled(nodes, centres).withColumn("all", F.lit("")))
     members = stored(nodes.join(anchors.select("key").distinct(), "key", "left_semi").withColumnRenamed("node", "member").drop("ids"))
     one = lambda value: F.array(F.lit(value).cast("bigint"))
     # Positives: one more than asked for, since an anchor may find itself.
@@ -316,8 +318,8 @@ def hard_negatives(vectors: DataFrame, is_anchor: str, id_col: str = "vec_id", v
     ceiling = F.expr(f"CAST(floor(CAST(p AS DECIMAL(38, 0)) * {high} / 100) AS BIGINT)")
     scores = tops.select("member", F.col("score").alias("p")).distinct().withColumn("floor", floor).withColumn("ceiling", ceiling).filter("floor <= ceiling")
     wanted = scores.groupBy("member").agg(F.array_sort(F.collect_list(F.struct(F.col("p").alias("about"), F.col("floor").alias("floors"), F.col("ceiling").alias("ceilings")))).alias("a"))
-    asking = stored(members.join(wanted, "member").select("member", "label", "vec", "norm", "cluster", "cosine", F.lit("").alias("tag"), "a.about", "a.floors", "a.ceilings"))
-    found = search(asking, nodes.select(F.lit("").alias("tag"), *node_fields), centres, False, negatives)
+    asking = stored(members.join(wanted, "member").select("member", "label", "vec", "norm", "cluster", "cosine", F.col("all").alias("tag"), "a.about", "a.floors", "a.ceilings"))
+    found = search(asking, nodes.select(F.col("all").alias("tag"), *node_fields), centres, False, negatives)
     mined = found.groupBy("member", F.col("about").alias("score")).agg(F.array_sort(F.collect_list(F.struct("rank", "id", F.col("score").alias("negative_score")))).alias("negatives"))
     ranked = (tops.join(mined, ["member", "score"], "left").groupBy("member")
               .agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score", "negatives"))).alias("tops")))
