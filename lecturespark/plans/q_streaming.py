@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import jobs
 from ..streaming import carried, control, intake, sinks
 from . import inputs, q_admission, q_messages  # noqa: F401
 from .registry import ORACLES, define_input, query
@@ -65,4 +66,4 @@ def _(load):
     folder = sinks.new_folder(load.spark, "resume")
     for _ in range(2):  # stopped and started again
         intake.resume_results(rows, f"{folder}/table", f"{folder}/checkpoint", "result_id")
-    return load.spark.read.parquet(f"{folder}/table")
+    return jobs.read_results(load.spark, f"{folder}/table")

@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..session import shared_dir
+from ..sources import generations
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -41,28 +41,30 @@ def drain_to_parquet(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
 
 
-def upsert_to(path: str):
-    """A batch writer that keeps each batch under its own number.
+def upsert_to(path: str, keys: list[str]):
+    """A batch writer that keeps each batch's updates as a generation under its own number.
 
     A batch that runs again after a failure overwrites itself, so updates are stored
-    exactly once; ``latest_rows`` picks the newest version of each key.
+    exactly once. The batch that fills a tier merges it to the newest row of each key, so
+    reading costs the current rows and a few folders, whatever the number of batches.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        generations.append(batch, path, batch_id, keys)
+        generations.merge_tiers(batch.sparkSession, path, batch_id, generations.newest(keys))
+        generations.forget(batch.sparkSession, path, batch_id)
 
     return write
 
 
 def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    versions = spark.read.parquet(path)
-    rest = [c for c in versions.columns if c not in (*keys, "batch")]
-    newest = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_v"))
-    return newest.select(*keys, "_v.*")
+    """The newest version of each key."""
+    rows = generations.read(spark, path, generations.cover(generations.spans(spark, path)))
+    return generations.newest(keys)(rows).drop("bucket", "_batch")
 
 
 def drain_updates(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     """Run an updating aggregation to the end of its input and read its current rows."""
-    drain(stream.sparkSession, stream.writeStream.outputMode("update").foreachBatch(upsert_to(f"{folder}/table")),
+    drain(stream.sparkSession, stream.writeStream.outputMode("update").foreachBatch(upsert_to(f"{folder}/table", keys)),
           f"{folder}/checkpoint")
     return latest_rows(stream.sparkSession, f"{folder}/table", keys)

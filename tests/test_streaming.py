@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lecturespark import session
 from lecturespark.operators import admission, health, messages
 from lecturespark.plans.catalogue import load
+from lecturespark.sources import generations, jobs
 from lecturespark.streaming import carried, control, intake, sinks
 
 FOLDER = "/root/testdata/sf0.001"
@@ -109,7 +110,7 @@ def test_results_over_a_restart(spark, tmp_path):
     for _ in range(2):
         stream = in_batches(spark, rows, "id", str(tmp_path / "in"))
         intake.resume_results(stream, table, mark, "id")
-    assert values(spark.read.parquet(table)) == [(f"h{i}", i) for i in range(10)]
+    assert values(jobs.read_results(spark, table)) == [(f"h{i}", i) for i in range(10)]
 
 
 def test_latest_status_is_replaced(spark, tmp_path):
