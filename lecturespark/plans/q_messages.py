@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import envelope_status, row_digest
 from ..operators import align, enrich, grids, jobs, messages
-from ..session import materialise, shared_dir
+from ..session import shared_dir
 from ..sources import jobs as job_records
 from . import inputs, q_align  # noqa: F401
 from .registry import INPUTS, define_input, query
@@ -347,7 +347,7 @@ def _stub_model():
 
 
 # Requests through a stub model and back: even positions are corrected. The
-# responses are stored before they are used, so every request is asked once.
+# responses are logged before they are used, so every request is asked once.
 @query("enrich_windows", f"""
 WITH RECURSIVE {q_align.PAIRS},
 merged AS (SELECT lecture_id, idx AS ord, start_ms, end_ms, CASE WHEN idx % 2 = 0 THEN 'fixed ' || CAST(idx AS VARCHAR)
@@ -356,6 +356,6 @@ merged AS (SELECT lecture_id, idx AS ord, start_ms, end_ms, CASE WHEN idx % 2 =
 SELECT lecture_id, n - 1 AS ord, start_ms, end_ms, text FROM norm""")
 def _(load):
     pairs = q_align.pairs(load)
-    responses = materialise(enrich.enrich_windows(align.pack_requests(pairs), _stub_model, calls_at_once=4))
+    responses = enrich.enrich_windows(align.pack_requests(pairs), _stub_model)
     corrections = align.parse_corrections(responses).where("status = 'ok'")
     return align.corrected_segments(pairs, corrections, sized_by=q_align.pair_keys(load))

@@ -288,7 +288,10 @@ def test_the_model_is_loaded_per_partition_and_failures_keep_rows(spark):
         return model
 
     requests = spark.createDataFrame([("a",), ("bad",), ("c",)], "request STRING").coalesce(1)
-    assert values(enrich.enrich_windows(requests, make)) == [("a", "a 1", None), ("bad", None, "ValueError"), ("c", "c 3", None)]
+    got = {r: (a, e) for r, a, e in values(enrich.enrich_windows(requests, make))}
+    assert got["bad"] == (None, "ValueError")
+    # One loaded model has answered all three, in any order.
+    assert sorted([int(got["a"][0][2:]), int(got["c"][0][2:])]) in ([1, 2], [1, 3], [2, 3]) and got["a"][0][:2] == "a " and got["c"][0][:2] == "c "
 
 
 def test_files_and_links(spark, tmp_path):
