@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digests import strict_base64
 from ..functions.model_json import json_value, shape_of, strip
-from .scan import OrderedRows, Running
+from ..session import as_table, materialise
+from .chains import first_at_least, walked
+from .scan import OrderedRows, Running, list_positions, rows_of_large_keys
 
 PART_CHARS = 48 * 1024
 SMALLEST_PART = 1024
@@ -23,6 +22,7 @@ PROGRESS_STATES = ("running", "waiting", "failed", "completed")
 SHORT_CHARS = 80
 SEND_EVERY_US = 15 * 1_000_000
 SEND_SHARE = 0.02
+FOLD_ROWS = 1024
 
 
 def split_parts(payloads: DataFrame, keys: list[str], column: str = "payload", size: int = PART_CHARS) -> DataFrame:
@@ -129,30 +129,47 @@ def send_step() -> Column:
     return F.when(F.coalesce("total", F.lit(0)) > 0, F.greatest(F.lit(1).cast("bigint"), share))
 
 
-def _fold_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Mark sent messages; rows come sorted, only the last one sent is remembered."""
-    sent_at = sent_done = 0
-    for batch in batches:
-        keep = []
-        steps = batch["_step"].fillna(-1)
-        for first, at, done, step in zip(batch["_first"], batch["at_us"], batch["_done"], steps):
-            send = first or at - sent_at >= SEND_EVERY_US or (step > 0 and done - sent_done >= step)
-            if send:
-                sent_at, sent_done = at, done
-            keep.append(bool(send))
-        yield batch[keep]
+def _folded(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """The sent messages of runs that fit into one row each; the last one sent is what a step remembers."""
+    columns = runs.columns
+    rest = [c for c in columns if c not in (*keys, "_run", "at_us", "arrival")]
+    whole = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct("at_us", "arrival", *rest))).alias("_m"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("done"), F.filter("_m", lambda m: F.lit(False)).alias("sent"))
+
+    def step(state: Column, m: Column) -> Column:
+        progressed = F.coalesce(m["_done"] - state["done"] >= m["_step"], F.lit(False))
+        send = m["_first"] | (m["at_us"] - state["at"] >= SEND_EVERY_US) | progressed
+        return F.when(send, F.struct(m["at_us"].alias("at"), m["_done"].alias("done"), F.concat(state["sent"], F.array(m)).alias("sent"))).otherwise(state)
+
+    sent = whole.select(*keys, "_run", F.explode(F.aggregate("_m", start, step, lambda state: state["sent"])).alias("_s"))
+    return sent.select(*[F.col(c) if c in (*keys, "_run") else F.col(f"_s.{c}") for c in columns])
+
+
+def _followed(runs: DataFrame, keys: list[str], **options) -> DataFrame:
+    """The sent messages of runs of any length: each row's successor is looked up, and the walk from the first row marked."""
+    # One column, whose parts may be null.
+    group = ["_group"]
+    runs = runs.withColumn("_group", F.struct(*keys, "_run"))
+    rows = materialise(list_positions(runs, group, ["at_us", "arrival"], name="pos", **options))
+    asks = materialise(rows.select(*group, "pos", "at_us", (F.col("at_us") + F.lit(SEND_EVERY_US)).alias("_late"), "_done",
+                                   (F.col("_done") - F.col("_step")).alias("_worth")))
+    later = first_at_least(asks, group, "at_us", "_late").unionByName(first_at_least(asks, group, "_worth", "_done"))
+    steps = later.groupBy(*group, "pos").agg(F.min("next").alias("next"))
+    sent = walked(steps, asks.where("pos = 0"), group)
+    return rows.join(sent, [*group, "pos"], "left_semi").drop("_group", "pos")
 
 
-def progress_throttle(messages: DataFrame, keys: list[str], force: str | None = None, **options) -> DataFrame:
+def progress_throttle(messages: DataFrame, keys: list[str], force: str | None = None, fold_rows: int = FOLD_ROWS, **options) -> DataFrame:
     """The progress messages that are sent on.
 
     One is sent if it is the first, changes stage or status, comes 15 s or 2 % of
     the total after the last one sent, or if the column named by ``force`` is true. Whether it is sent depends on what was sent
     before, but not across every row: a message that differs in stage or status
     from the one right before it, or comes 15 s after it, is sent in any case. These
-    rows cut a task into runs that no longer depend on each other, and the runs,
-    not the tasks, are spread over the cluster; within a run one pass keeps two
-    numbers in memory.
+    rows cut a task into runs that no longer depend on each other. A run of up to
+    ``fold_rows`` rows is folded in one row; in a longer one every message finds the next
+    one that would be sent after it, and the walk from the first message is marked by
+    doubling, so that a run of any length is spread over the cluster. Both give the same rows.
     """
     rows = OrderedRows(sanitise_progress(messages), keys, ["at_us", "arrival"], **{"sized_by": messages, **options})
     here = F.struct("at_us", "arrival", "stage", "status")
@@ -166,5 +183,16 @@ def progress_throttle(messages: DataFrame, keys: list[str], force: str | None =
     rows = rows.running(_run=Running("sum", F.col("_first").cast("bigint")))
     ready = rows.result().drop("_prev").withColumns({
         "_step": send_step(), "_done": F.coalesce("completed", F.lit(0)).cast("bigint")})
-    ready = ready.repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", "at_us", "arrival")
-    return ready.mapInPandas(_fold_runs, ready.schema).drop("_first", "_run", "_step", "_done")
+    # Only a key of so many rows can have such a run.
+    long = None
+    if rows_of_large_keys(messages, keys, fold_rows):
+        ready = as_table(ready)
+        long = materialise(ready.groupBy(*keys, "_run").count().where(F.col("count") > fold_rows).drop("count"))
+        long = None if long.isEmpty() else long
+    if long is None:
+        sent = _folded(ready, keys)
+    else:
+        same = [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in (*keys, "_run")]
+        part = lambda how: ready.alias("r").join(long.alias("l"), same, how)
+        sent = _folded(part("left_anti"), keys).unionByName(_followed(part("left_semi"), keys, **options))
+    return sent.drop("_first", "_run", "_step", "_done")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,3 +51,10 @@ def materialise(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def as_table(df: DataFrame) -> DataFrame:
+    """The rows read back from a table in the shared folder: cuts the lineage as ``materialise`` does, and all that is known of the plan too."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
