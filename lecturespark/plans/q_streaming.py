@@ -18,7 +18,7 @@ FROM {events}""")
 @query("stream_control", ORACLES["sequence_guard"])
 def _(load):
     expected = load("control").select("task_id", F.concat(F.lit("h"), F.col("task_id").cast("string")).alias("expected_hash")).distinct()
-    guarded = carried.guard_control(load.stream("control"), expected, sinks.new_folder(load.spark, "control"))
+    guarded = carried.guard_control(load.stream("control", "arrival"), expected, sinks.new_folder(load.spark, "control"))
     return guarded.select("arrival", "task_id", "sequence", "status")
 
 
@@ -27,7 +27,7 @@ SELECT task_id, max(sequence) AS sequence, arg_max(control_kind, sequence * 1000
 FROM (SELECT *, arrival % 7 AS extra FROM $control) GROUP BY task_id""")
 def _(load):
     # The sequence repeats every 1000 messages, so arrival breaks ties.
-    unique = load.stream("control").withColumn("sequence", F.col("sequence") * 1000000 + F.col("arrival"))
+    unique = load.stream("control", "arrival").withColumn("sequence", F.col("sequence") * 1000000 + F.col("arrival"))
     status = control.latest_status(unique, ["control_kind"])
     rows = sinks.drain_updates(status, sinks.new_folder(load.spark, "status"), ["task_id"])
     return rows.withColumn("sequence", F.floor(F.col("sequence") / 1000000).cast("bigint"))
@@ -35,13 +35,51 @@ def _(load):
 
 @query("stream_throttle", ORACLES["progress_throttle"])
 def _(load):
-    sent = carried.throttle_progress(load.stream("progress"), sinks.new_folder(load.spark, "progress"))
+    sent = carried.throttle_progress(load.stream("progress", "arrival"), sinks.new_folder(load.spark, "progress"))
     return sent.select("task_id", "arrival")
 
 
+# A thousandth of the time between messages, so that silences of seconds to minutes come up.
+HEARTBEATS = """
+WITH RECURSIVE clean AS (
+  SELECT task_id, arrival, at_us // 1000 AS at_us, stage, CASE WHEN status IN ('running', 'waiting', 'failed', 'completed') THEN status ELSE 'running' END AS status,
+         coalesce(greatest(completed, 0), 0) AS done, CASE WHEN coalesce(greatest(total, 0), 0) > 0 THEN greatest(1, CAST(floor(total * 0.02e0) AS BIGINT)) END AS step
+  FROM $progress),
+n AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY at_us, arrival) AS n FROM clean),
+mark AS (SELECT (max(at_us) // 1000 - 60000) * 1000 AS until_us FROM clean),
+f AS (
+  SELECT task_id, n, arrival, at_us, stage, status, done, true AS send, at_us AS s, stage AS s_stage, status AS s_status, done AS s_done,
+         CAST(0 AS BIGINT) AS beats, CAST(NULL AS BIGINT) AS beat_of, CAST(0 AS BIGINT) AS beats_from FROM n WHERE n = 1
+  UNION ALL
+  SELECT task_id, n, arrival, at_us, stage, status, done, go, CASE WHEN go THEN at_us ELSE s1 END, CASE WHEN go THEN stage ELSE stage1 END,
+         CASE WHEN go THEN status ELSE status1 END, CASE WHEN go THEN done ELSE done1 END, k, old_arrival, old_s
+  FROM (SELECT *, at_us - old_at > 120000000 OR stage <> stage1 OR status <> status1 OR at_us - s1 >= 15000000 OR coalesce(done - done1 >= step, false) AS go
+        FROM (SELECT *, old_s + k * 15000000 AS s1, CASE WHEN k > 0 THEN old_stage ELSE s_stage END AS stage1,
+                     CASE WHEN k > 0 THEN old_status ELSE s_status END AS status1, CASE WHEN k > 0 THEN old_done ELSE s_done END AS done1
+              FROM (SELECT n.*, f.arrival AS old_arrival, f.at_us AS old_at, f.stage AS old_stage, f.status AS old_status, f.done AS old_done,
+                           f.s AS old_s, f.s_stage, f.s_status, f.s_done,
+                           greatest(0, (least(n.at_us - 1, f.at_us + 120000000) - f.s) // 15000000) AS k
+                    FROM f JOIN n ON n.task_id = f.task_id AND n.n = f.n + 1)))),
+last AS (
+  SELECT f.task_id, f.arrival AS beat_of, s AS beats_from, greatest(0, (least(until_us - 1, f.at_us + 120000000) - s) // 15000000) AS beats
+  FROM f, mark WHERE n = (SELECT max(n) FROM f g WHERE g.task_id = f.task_id)),
+gaps AS (SELECT task_id, beat_of, beats_from, beats FROM f UNION ALL SELECT task_id, beat_of, beats_from, beats FROM last)
+SELECT task_id, arrival, at_us, false AS beat FROM f WHERE send
+UNION ALL
+SELECT task_id, beat_of, beats_from + i * 15000000, true FROM gaps, unnest(range(1, beats + 1)) AS r(i)"""
+
+
+@query("stream_heartbeat", HEARTBEATS)
+def _(load):
+    progress = load.stream("progress", "arrival").withColumn("at_us", F.floor(F.col("at_us") / 1000).cast("bigint"))
+    sent = control.throttle_live(progress, late="1 minute", lifetime_us=120_000_000)
+    rows = sinks.drain_to_parquet(sent, sinks.new_folder(load.spark, "heartbeat"), timers=True)
+    return rows.select("task_id", "arrival", "at_us", "beat")
+
+
 @query("stream_circuit", "SELECT key_id, event_id, state, failures, retry_after_us FROM (" + ORACLES["ai_circuit"] + ")")
 def _(load):
-    watched = carried.watch_circuit(load.stream("attempts"), sinks.new_folder(load.spark, "circuit"))
+    watched = carried.watch_circuit(load.stream("attempts", "event_id"), sinks.new_folder(load.spark, "circuit"))
     return watched.select("key_id", "event_id", "state", "failures", "retry_after_us")
 
 
@@ -49,13 +87,13 @@ def _(load):
 SELECT course_id, sub_id FROM $lectures l WHERE has_playback AND NOT EXISTS (
   SELECT 1 FROM $seen s WHERE s.course_id = l.course_id AND s.sub_id = l.sub_id)""")
 def _(load):
-    found = intake.discover_stream(load.stream("lectures"), load("seen")).select("course_id", "sub_id")
+    found = intake.discover_stream(load.stream("lectures", "sub_id"), load("seen")).select("course_id", "sub_id")
     return sinks.drain_to_parquet(found, sinks.new_folder(load.spark, "discovery"))
 
 
 @query("stream_ledger", ORACLES["daily_ledger"])
 def _(load):
-    ledger = intake.ledger_stream(load.stream("usage"), ["key_id"])
+    ledger = intake.ledger_stream(load.stream("usage", "at_us"), ["key_id"])
     return sinks.drain_updates(ledger, sinks.new_folder(load.spark, "ledger"), ["key_id", "day"])
 
 

@@ -10,7 +10,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import shared_dir
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -52,6 +57,17 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parquet*")
 
 
+def stream_in_batches(spark: SparkSession, folder: str, name: str, order: str, batches: int) -> DataFrame:
+    """An input as a stream of ``batches`` micro-batches, by equal ranges of ``order``."""
+    rows, path = load(spark, folder, name), f"{shared_dir(spark)}/stream-{name}-{uuid4().hex}"
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    width = -(-(high - low + 1) // batches)
+    for n in range(batches):  # one after the other, as a source sorts its files by time
+        part = rows.where((F.col(order) >= low + n * width) & (F.col(order) < low + (n + 1) * width))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def load(spark: SparkSession, folder: str, name: str, read=table) -> DataFrame:
     """An input table as a DataFrame; scans stay prunable."""
     sql = _b64(INPUTS[name], SPARK_DIALECT["b64"])
@@ -87,7 +103,9 @@ def query(name: str, oracle: str | None = None):
             def read(source: str) -> DataFrame:
                 return load(spark, folder, source) if source in INPUTS else table(spark, folder, source)
 
-            def stream(source: str) -> DataFrame:
+            def stream(source: str, order: str | None = None, batches: int = 4) -> DataFrame:
+                if order is not None:
+                    return stream_in_batches(spark, folder, source, order, batches)
                 if source in INPUTS:
                     return load(spark, folder, source, stream_table)
                 return stream_table(spark, folder, source)

@@ -25,46 +25,68 @@ def latest_status(messages: DataFrame, columns: list[str]) -> DataFrame:
 
 
 _SENT = ["task_id", "arrival", "at_us", "stage", "status", "completed", "total", "error_code"]
+LIFETIME_US = 30 * 60 * 1_000_000  # of a job
 
 
-def _throttle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _throttle(lifetime_us: int):
     # State: last sent stage, status, time and progress; the latest message as sent columns.
-    if state.hasTimedOut:
-        latest = state.get[4:]
-        beat = dict(zip(_SENT[1:], latest))
-        beat["at_us"] = state.get[2] + SEND_EVERY_US
-        state.update((beat["stage"], beat["status"], beat["at_us"], beat["completed"] or 0, *latest))
-        state.setTimeoutDuration(SEND_EVERY_US // 1000)
-        yield pd.DataFrame([{"task_id": key[0], **beat}])[_SENT]
-        return
-    rows = _in_order(frames, ["at_us", "arrival"])
-    sent = list(state.get[:4]) if state.exists else None
-    keep = []
-    steps, done = rows["step"].fillna(-1), rows["completed"].fillna(0)
-    for stage, status, at, done_now, step in zip(rows["stage"], rows["status"], rows["at_us"], done, steps):
-        send = sent is None or [stage, status] != sent[:2] or at - sent[2] >= SEND_EVERY_US or (
-            step > 0 and done_now - sent[3] >= step)
-        if send:
-            sent = [stage, status, int(at), int(done_now)]
-        keep.append(bool(send))
-    last = rows.iloc[-1]
     number = lambda v: None if pd.isna(v) else int(v)
-    state.update((*sent, int(last["arrival"]), int(last["at_us"]), last["stage"], last["status"],
-                  number(last["completed"]), number(last["total"]), last["error_code"]))
-    state.setTimeoutDuration(SEND_EVERY_US // 1000)
-    yield rows[keep][_SENT]
 
+    def beats(sent: list, latest: list, before: int) -> Iterator[tuple]:
+        """The latest message again after each 15 s without one sent, up to a time and the end of the job's life."""
+        while sent[2] + SEND_EVERY_US < before and sent[2] + SEND_EVERY_US <= latest[1] + lifetime_us:
+            sent[:] = [latest[2], latest[3], sent[2] + SEND_EVERY_US, latest[4] or 0]
+            yield (latest[0], sent[2], *latest[2:], True)
 
-def throttle_live(messages: DataFrame) -> DataFrame:
-    """Send on progress that matters, and the latest message again after 15 s of silence.
+    def throttle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        sent, latest = (list(state.get[:4]), list(state.get[4:])) if state.exists else (None, None)
+        watermark = state.getCurrentWatermarkMs()
+        out = []
+        if state.hasTimedOut:
+            out += beats(sent, latest, watermark * 1000)
+        else:
+            rows = _in_order(frames, ["at_us", "arrival"])
+            steps, done = rows["step"].fillna(-1), rows["completed"].fillna(0)
+            for row, step, done_now in zip(rows[_SENT[1:]].itertuples(index=False, name=None), steps, done):
+                arrival, at, stage, status, completed, total, error = row
+                if sent is not None:
+                    out += beats(sent, latest, at)
+                latest_at = latest[1] if latest else at
+                latest = [int(arrival), int(at), stage, status, number(completed), number(total), error]
+                if sent is None or at - latest_at > lifetime_us or [stage, status] != sent[:2] or at - sent[2] >= SEND_EVERY_US or (
+                        step > 0 and done_now - sent[3] >= step):
+                    sent = [stage, status, int(at), int(done_now)]
+                    out.append((*latest, False))
+        due = (sent[2] + SEND_EVERY_US) // 1000
+        if latest[1] + lifetime_us < watermark * 1000:
+            state.remove()  # what comes now is later than the job lives, and a first message again
+        else:
+            state.update((*sent, *latest))
+            state.setTimeoutTimestamp(max(due, watermark + 1))
+        frame = pd.DataFrame(out, columns=[*_SENT[1:], "beat"])
+        frame.insert(0, "task_id", key[0])
+        yield frame
 
-    For live streams, where the timer matters and the source's trigger limit keeps
-    micro-batches small; ``carried.throttle_progress`` takes batches of any size.
+    return throttle
+
+
+def throttle_live(messages: DataFrame, late: str = "10 minutes", lifetime_us: int = LIFETIME_US) -> DataFrame:
+    """Send on progress that matters, and the latest message again after every 15 s of silence.
+
+    Columns of the message, its time or that of the repetition as ``at_us``, and ``beat`` for
+    repetitions. Time is the messages' own: repetitions are due when the watermark has passed
+    them, or when the task's next message shows that they were, so a replay in any batches gives
+    the same rows. Silence ends ``lifetime_us`` after a task's last message, and its state with it.
+    A message more than ``late`` behind the newest of all tasks comes too late to be judged and is
+    dropped by the engine. A task's messages of one micro-batch are sorted in one task, so the
+    source's batch limit bounds them; ``carried.throttle_progress`` takes batches of any size,
+    without repetitions.
     """
-    rows = sanitise_progress(messages).withColumn("step", send_step()).select(*_SENT, "step")
+    rows = sanitise_progress(messages).withColumn("step", send_step()).withColumn("at", F.timestamp_micros("at_us"))
+    rows = rows.withWatermark("at", late).select(*_SENT, "step", "at")
     fields = ("task_id BIGINT, arrival BIGINT, at_us BIGINT, stage STRING, status STRING, completed BIGINT, "
               "total BIGINT, error_code STRING")
     state = ("sent_stage STRING, sent_status STRING, sent_at BIGINT, sent_done BIGINT, arrival BIGINT, at_us BIGINT, "
              "stage STRING, status STRING, completed BIGINT, total BIGINT, error_code STRING")
     return rows.groupBy("task_id").applyInPandasWithState(
-        _throttle, fields, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        _throttle(lifetime_us), f"{fields}, beat BOOLEAN", state, "append", GroupStateTimeout.EventTimeTimeout)

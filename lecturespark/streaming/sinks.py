@@ -18,15 +18,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
-def drain(spark: SparkSession, writer: DataStreamWriter, checkpoint: str) -> None:
+def drain(spark: SparkSession, writer: DataStreamWriter, checkpoint: str, timers: bool = False) -> None:
     """Process all input there is, then stop; a later call goes on from the checkpoint.
 
-    An operator with a processing-time timeout always asks for one more batch, so
-    batches without data are off for a run that is to end. The query takes the
-    setting when it starts.
+    Batches without data are off, unless ``timers`` of event time wait for the last
+    watermark. The query takes the setting when it starts.
     """
     before = spark.conf.get(NO_DATA_BATCHES)
-    spark.conf.set(NO_DATA_BATCHES, "false")
+    spark.conf.set(NO_DATA_BATCHES, str(timers).lower())
     try:
         query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
@@ -34,10 +33,10 @@ def drain(spark: SparkSession, writer: DataStreamWriter, checkpoint: str) -> Non
     query.awaitTermination()
 
 
-def drain_to_parquet(stream: DataFrame, folder: str) -> DataFrame:
+def drain_to_parquet(stream: DataFrame, folder: str, timers: bool = False) -> DataFrame:
     """Append a stream to a table and read it back."""
     drain(stream.sparkSession, stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/table"),
-          f"{folder}/checkpoint")
+          f"{folder}/checkpoint", timers)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
 
 

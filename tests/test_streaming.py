@@ -1,6 +1,7 @@
 """Streams over several micro-batches and restarts equal their batch twins."""
 
-import pandas as pd
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,11 +59,36 @@ def test_throttle_over_batches(spark, tmp_path, plan):
     assert values(got.select("arrival")) == values(want.select("arrival"))
 
 
-def test_live_throttle_over_batches(spark, tmp_path):
-    rows = load(spark, FOLDER, "progress")
-    stream = in_batches(spark, rows, "arrival", str(tmp_path / "in"))
-    got = sinks.drain_to_parquet(control.throttle_live(stream), str(tmp_path / "out"))
-    assert values(got.select("arrival")) == values(messages.progress_throttle(rows, ["task_id"]).select("arrival"))
+def plain_beats(rows, lifetime, until):
+    """(arrival, time, beat) of the publisher: messages (task, arrival, at, stage, status, done, step) and its repetitions."""
+    out, tasks, every = [], {}, 15_000_000
+    for r in sorted(rows, key=lambda r: (r[2], r[1])):
+        tasks.setdefault(r[0], []).append(r)
+    for own in tasks.values():
+        sent = None
+        for n, (_, arrival, at, stage, status, done, step) in enumerate(own):
+            if sent is None or at - own[n - 1][2] > lifetime or (stage, status) != sent[:2] or at - sent[2] >= every or (step and done - sent[3] >= step):
+                sent = (stage, status, at, done)
+                out.append((arrival, at, False))
+            end = min(own[n + 1][2] if n + 1 < len(own) else until, at + lifetime + 1)
+            while sent[2] + every < end:
+                sent = (stage, status, sent[2] + every, done)
+                out.append((arrival, sent[2], True))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("batches", [1, 3, 7])
+def test_heartbeats_replay_in_any_batches(spark, tmp_path, batches):
+    rng = random.Random(2)
+    rows, at = [], 10 ** 15  # the engine takes the year 1970 for late
+    for n in range(200):
+        at += rng.choice([0, 1_000_000, 4_000_000, 15_000_000, 31_000_000] + [200_000_000] * (n % 50 == 7))
+        rows.append((rng.randrange(4), n, at, rng.choice(["asr", "asr", "asr", "ocr"]), "running", n % 40, 100, ""))
+    df = spark.createDataFrame(rows, "task_id BIGINT, arrival BIGINT, at_us BIGINT, stage STRING, status STRING, completed BIGINT, total BIGINT, error_code STRING")
+    stream = in_batches(spark, df, "arrival", str(tmp_path / "in"), batches)
+    got = sinks.drain_to_parquet(control.throttle_live(stream, "20 seconds", 60_000_000), str(tmp_path / "out"), timers=True)
+    want = plain_beats([(*r[:6], 2) for r in rows], 60_000_000, (at // 1000 - 20_000) * 1000)
+    assert values(got.select("arrival", "at_us", "beat")) == want and any(beat for *_, beat in want)
 
 
 @pytest.mark.parametrize("plan", PLANS)
@@ -121,36 +147,6 @@ def test_latest_status_is_replaced(spark, tmp_path):
     assert values(got.select("task_id", "sequence", "stage")) == [(1, 9, "c"), (2, 1, "x")]
 
 
-class FakeState:
-    """What the throttle uses of a group state."""
-
-    def __init__(self):
-        self.value, self.hasTimedOut, self.timeout = None, False, None
-
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
-
-    def update(self, value):
-        self.value = value
-
-    def setTimeoutDuration(self, ms):
-        self.timeout = ms
-
-    def remove(self):
-        self.value = None
-
-
-def test_silence_sends_the_latest_again():
-    state = FakeState()
-    frame = pd.DataFrame({"task_id": [1, 1], "arrival": [0, 1], "at_us": [0, 1], "stage": ["asr"] * 2, "status": ["running"] * 2,
-                          "completed": [0, 1], "total": [1000, 1000], "error_code": [""] * 2, "step": [20, 20]})
-    sent = pd.concat(control._throttle((1,), iter([frame]), state))
-    assert list(sent["arrival"]) == [0] and state.timeout == 15_000
-    state.hasTimedOut = True
-    beat = pd.concat(control._throttle((1,), iter([]), state))
-    assert list(beat["arrival"]) == [1] and state.timeout == 15_000
-
-
 def test_a_cluster_must_name_its_folder(monkeypatch):
     class Conf:
         def get(self, key, default=None):
