@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.model_json import field, shape_of, truthy
+from ..functions.model_json import field, truthy
 from ..functions.text import col, digits, first_present, present
 
 # Limits of one catalogue.
@@ -34,21 +34,21 @@ def flatten_catalog(courses: DataFrame, keys: list[str] | None = None, column: s
     empty ones give none. All explodes stay inside a row: the whole job is one narrow stage.
     """
     keys = keys or ["course_id"]
-    read = courses.select(*keys, F.col(column).alias("_text"), F.try_parse_json(column).alias("_root"))
-    listed = field(F.col("_root"), "sub_list", "variant")
-    broken = F.when((F.col("_text") != "") & (F.coalesce(shape_of(F.col("_root")), F.lit("invalid")) != "object"), "not_json")
-    years = read.select(*keys, F.explode_outer(_children(listed)).alias("y", "_v"), F.coalesce(broken, _bad(listed, _children(listed), "bad_years")).alias("_p"))
-    months = years.select(*keys, "y", F.explode_outer(_children(F.col("_v"))).alias("m", "_w"),
-                          F.coalesce("_p", _bad(F.col("_v"), _children(F.col("_v")), "bad_months")).alias("_p"))
-    days = months.select(*keys, "y", "m", F.explode_outer(_children(F.col("_w"))).alias("d", "_x"),
-                         F.coalesce("_p", _bad(F.col("_w"), _children(F.col("_w")), "bad_days")).alias("_p"))
+    read = courses.select(*keys, F.col(column).alias("_text"), F.try_variant_get(F.try_parse_json(column), "$", "STRUCT<sub_list: VARIANT>").alias("_root"))
+    broken = F.when((F.col("_text") != "") & F.col("_root").isNull(), "not_json")
+    read = read.select(*keys, broken.alias("_p"), F.col("_root.sub_list").alias("_v"))
+    names = []
+    # A level's entries are a column of their own before they are exploded, so that each node is read once.
+    for name, problem in (("y", "bad_years"), ("m", "bad_months"), ("d", "bad_days")):
+        read = read.select(*keys, *names, "_p", "_v", _children(F.col("_v")).alias("_c"))
+        read = read.select(*keys, *names, F.coalesce("_p", _bad(F.col("_v"), F.col("_c"), problem)).alias("_p"), F.explode_outer("_c").alias(name, "_v"))
+        names.append(name)
     # One reading of each item gives all its fields; other values than objects become null.
-    item = ("STRUCT<id: VARIANT, sub_title: STRING, lecturer_name: STRING, playback_status: STRING, "
-            "duration: BIGINT, duration_sec: BIGINT>")
-    items = F.try_variant_get("_x", "$", "array<variant>")
-    objects = F.transform(items, lambda v: F.try_variant_get(v, "$", item))
-    lectures = F.filter(objects, lambda r: r.isNotNull() & truthy(r["id"]))
-    rows = days.select(*keys, "y", "m", "d", F.explode_outer(lectures).alias("_r"), F.coalesce("_p", _bad(F.col("_x"), items, "bad_items")).alias("_p"))
+    item = ("ARRAY<STRUCT<id: VARIANT, sub_title: STRING, lecturer_name: STRING, playback_status: STRING, "
+            "duration: BIGINT, duration_sec: BIGINT>>")
+    days = read.select(*keys, *names, "_p", "_v", F.try_variant_get("_v", "$", item).alias("_c"))
+    lectures = F.filter("_c", lambda r: r.isNotNull() & truthy(r["id"]))
+    rows = days.select(*keys, *names, F.coalesce("_p", _bad(F.col("_v"), F.col("_c"), "bad_items")).alias("_p"), F.explode_outer(lectures).alias("_r"))
     rows = rows.where(F.col("_r").isNotNull() | F.col("_p").isNotNull())
     found = F.col("_r").isNotNull()
     text = lambda name: F.when(found, F.coalesce(F.col(f"_r.{name}"), F.lit("")))
@@ -63,28 +63,24 @@ def flatten_catalog(courses: DataFrame, keys: list[str] | None = None, column: s
     )
 
 
-def _days(document: Column) -> Column:
-    """The days of a month document, none if there is no list."""
-    return F.coalesce(F.try_variant_get(document, "$.list", "array<variant>"), F.array().cast("array<variant>"))
-
-
-def _course_rows(days: Column) -> Column:
-    """The course objects of all days, in order."""
-    courses = F.transform(days, lambda d: F.try_variant_get(d, "$.course", "array<variant>"))
-    rows = F.flatten(F.filter(courses, lambda c: c.isNotNull()))
-    return F.filter(rows, lambda r: shape_of(r) == "object")
+# All that is read of a month document, in one reading; values of other kinds become null.
+COURSE_FIELDS = ("id", "course_id", "title", "realname", "lecturer_name", "kkxy_name", "school_name", "dept_name", "kkxy", "term_name", "term",
+                 "sub_id", "sub_duration")
+MONTH = f"STRUCT<code: DOUBLE, list: ARRAY<STRUCT<course: ARRAY<STRUCT<{', '.join(f'{c}: STRING' for c in COURSE_FIELDS)}>>>>>"
 
 
 def _read_months(schedules: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Every month document with its days, course rows and ``month_status``."""
+    """Every month document with its course rows and ``month_status``."""
     parsed = schedules.select(*keys, F.try_parse_json(column).alias("_v"))
-    read = parsed.select(*keys, "_v", _days(F.col("_v")).alias("_d")).select(*keys, "_v", "_d", _course_rows(F.col("_d")).alias("_rows"))
+    read = parsed.select(*keys, "_v", F.try_variant_get("_v", "$", MONTH).alias("_m"))
+    courses = F.filter(F.transform("_m.list", lambda d: d["course"]), lambda c: c.isNotNull())
+    rows = F.coalesce(F.filter(F.flatten(courses), lambda r: r.isNotNull()), F.array())
+    read = read.select(*keys, "_v", F.col("_m").isNull().alias("_broken"), "_m.code", F.col("_m.list").isNull().alias("_unlisted"), F.size("_m.list").alias("_days"), rows.alias("_rows"))
     listed = field(F.col("_v"), "list", "variant")
-    code = field(F.col("_v"), "code", "double")
-    status = (F.when(F.coalesce(shape_of(F.col("_v")), F.lit("invalid")) != "object", "not_json")
-              .when(~F.coalesce(code.isin(0.0, 200.0), F.lit(False)), "bad_code")
-              .when(truthy(listed) & (shape_of(listed) != "array"), "bad_list")
-              .when(F.size("_d") > MAX_DAYS_PER_MONTH, "too_many_days")
+    status = (F.when(F.col("_broken"), "not_json")
+              .when(~F.coalesce(F.col("code").isin(0.0, 200.0), F.lit(False)), "bad_code")
+              .when(F.col("_unlisted") & truthy(listed), "bad_list")
+              .when(F.col("_days") > MAX_DAYS_PER_MONTH, "too_many_days")
               .when(F.size("_rows") > MAX_ROWS_PER_MONTH, "too_many_rows").otherwise("ok"))
     return read.select(*keys, "_rows", status.alias("month_status"))
 
@@ -99,12 +95,13 @@ def flatten_schedule(schedules: DataFrame, keys: list[str], column: str = "doc")
 
     No row is left out for the verdict on its month; the caller chooses.
     """
-    rows = _read_months(schedules, keys, column).select(*keys, "month_status", F.posexplode("_rows").alias("pos", "_r"))
+    # The outer form: from the inner one the optimizer infers a filter on the array and parses each document again for it.
+    rows = _read_months(schedules, keys, column).select(*keys, "month_status", F.posexplode_outer("_rows").alias("pos", "_r"))
 
     def pick(*options: str):
-        return first_present(*[field(F.col("_r"), o, "string") for o in options], missing="")
+        return first_present(*[F.col(f"_r.{o}") for o in options], missing="")
 
-    return rows.select(
+    return rows.where("pos IS NOT NULL").select(
         *keys, F.col("pos").cast("bigint").alias("pos"),
         F.trim(pick("id", "course_id")).alias("course_id"),
         pick("title").alias("title"), pick("realname", "lecturer_name").alias("teacher"),
