@@ -2,7 +2,7 @@
 
 A test item with an error budget of k is cut into k + 1 pieces. Wherever it occurs with
 at most k edits, one piece occurs unchanged; every such hit is verified with Myers'
-bit-parallel distance. Short items are found as they are, between word boundaries. Documents are never shuffled; the pieces go to the tasks in
+bit-parallel distance. Short items must stand between word boundaries. Documents are never shuffled; the pieces go to the tasks in
 blocks of bounded size.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from uuid import uuid4
 
 import ahocorasick
 import pyarrow as pa
@@ -72,7 +73,7 @@ class Matcher:
     def __init__(self, items: list[tuple], rate: float, min_chars: int = MIN_CHARS):
         self.items, self.bits, self.min_chars, pieces = [], {}, min_chars, defaultdict(list)
         for item_id, text in items:
-            k = int(len(text) * rate) if len(text) >= min_chars else 0
+            k = int(len(text) * rate)
             bounds = [len(text) * i // (k + 1) for i in range(k + 2)]
             for leaf, (a, b) in enumerate(zip(bounds, bounds[1:])):
                 pieces[text[a:b]].append((len(self.items), b, _ancestors(bounds, leaf)))
@@ -95,14 +96,8 @@ class Matcher:
     def find(self, text: str) -> Iterator[tuple]:
         """(item id, distance, start, end) of the best occurrence of each item that occurs."""
         windows: dict[int, list[list[int]]] = {}
-        exact: dict[int, int] = {}
         for end, uses in self.pieces.iter(text) if self.items else ():
             for item, offset, above in uses:
-                own = self.items[item][1]
-                if len(own) < self.min_chars:
-                    if item not in exact and bounded(text, end + 1 - offset, end + 1):
-                        exact[item] = end + 1 - offset
-                    continue
                 if not self.holds(item, text, end + 1 - offset, above):
                     continue
                 _, own, k = self.items[item]
@@ -115,6 +110,11 @@ class Matcher:
                     found.append([start, start + len(own) + 2 * k])
         for item, spans in windows.items():
             item_id, own, k = self.items[item]
+            if len(own) < self.min_chars:
+                best = min((x for a, b in spans for x in standing(own, text, max(0, a), b, k)), default=None)
+                if best is not None:
+                    yield item_id, best[0], best[2], best[1]
+                continue
             at = text.find(own)
             if at >= 0:
                 yield item_id, 0, at, at + len(own)
@@ -131,9 +131,20 @@ class Matcher:
                 back = text[max(0, best[1] - len(own) - k):best[1]][::-1]
                 # The start: the shortest piece of the reversed text that gives the same distance from its first character.
                 yield item_id, best[0], best[1] - start_back(own[::-1], back, best[0]), best[1]
-        for item, start in exact.items():
-            item_id, own, _ = self.items[item]
-            yield item_id, 0, start, start + len(own)
+
+
+def standing(pattern: str, text: str, a: int, b: int, at_most: int) -> Iterator[tuple[int, int, int]]:
+    """(distance, end, start) of the parts of ``text[a:b]`` between word boundaries that are a short pattern with few edits."""
+    for start in range(a, min(b, len(text))):
+        if not (text[start].isalnum() and start > 0 and text[start - 1].isalnum()):
+            row = list(range(len(pattern) + 1))
+            for n, c in enumerate(text[start:min(b, start + len(pattern) + at_most)], start + 1):
+                new = [n - start]
+                for j, p in enumerate(pattern, 1):
+                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != p)))
+                row = new
+                if row[-1] <= at_most and bounded(text, start, n):
+                    yield row[-1], n, start
 
 
 def _ancestors(bounds: list[int], leaf: int) -> list[tuple]:
@@ -161,6 +172,17 @@ def start_back(pattern: str, text: str, distance: int) -> int:
     return len(text)
 
 
+_BUILT: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, shared, rate: float, min_chars: int) -> Matcher:
+    """The matcher of a block, built once a worker; another block takes its place."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Matcher(shared.value, rate, min_chars)
+    return _BUILT[name]
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple]]:
     """The usable items as lists of at most about ``block_chars`` characters, one after the other."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
@@ -178,18 +200,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     Both sides are normalised (lower case, runs of white space one space); ``start`` and
     ``end`` are positions in the normalised text, of the nearest, then first, occurrence.
-    Items of under ``min_chars`` normalised characters must occur unchanged between word
-    boundaries. Empty and null items match nothing, nor do null and empty texts. Items with equal texts each give a row, repeated documents
+    Items of under ``min_chars`` normalised characters must stand between word boundaries;
+    they may have as many edits for their length as others. Empty and null items match nothing, nor do null and empty texts. Items with equal texts each give a row, repeated documents
     repeat their rows, null ids stay null. Larger benchmarks go through the documents in blocks.
     """
     kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
     out = f"`{id_col}` {kind.simpleString()}, `{item_col}` {item_kind.simpleString()}, distance int, start long, end long"
 
     def pass_over(items: list[tuple]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid4().hex
 
         def found(batches):
-            matcher = Matcher(shared.value, rate, min_chars)
+            matcher = _matcher(name, shared, rate, min_chars)
             for batch in batches:
                 hits = [(at, *hit) for at, text in enumerate(batch.column(1)) for hit in matcher.find(normal(text.as_py()))]
                 at, item, *rest = zip(*hits) if hits else ([],) * 5
@@ -207,10 +229,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """The documents in which no test item occurs, in the sense of ``leaks``, with all their columns."""
     column = docs.columns.index(text_col)
     for items in _blocks(benchmark, item_col, item_text_col, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid4().hex
 
-        def clean(batches, shared=shared):
-            matcher = Matcher(shared.value, rate, min_chars)
+        def clean(batches, shared=shared, name=name):
+            matcher = _matcher(name, shared, rate, min_chars)
             for batch in batches:
                 yield batch.filter(pa.array([next(matcher.find(normal(t.as_py())), None) is None for t in batch.column(column)], pa.bool_()))
 

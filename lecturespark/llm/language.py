@@ -255,8 +255,6 @@ def _fits(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarray,
     n-gram, the log probability of its languages' floors, less the error that its length allows.
     """
     rows, n_lang = len(texts), len(model.languages)
-    if n_lang == 0:
-        return ["und"] * rows, np.zeros(rows), np.zeros(rows, bool)
     offsets, codes, words = word_codes(texts)
     scores, letters = _word_scores(model, words)
     states = best_paths(scores[codes], offsets)
@@ -276,11 +274,19 @@ def _fits(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarray,
             np.where(total > 0, sums.max(axis=1, initial=0) / np.maximum(total, 1), 0.0), fits & (sums.sum(axis=1) >= LABELLED * total))
 
 
+def _has_letters(texts: pa.Array) -> np.ndarray:
+    offsets, codes, words = word_codes(texts)
+    letters = np.diff(_letters(words)[1])[codes]
+    return np.bincount(np.repeat(np.arange(len(texts)), np.diff(offsets)), letters, len(texts)) > 0
+
+
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang", min_share: float = 0.0,
                   fitting: bool = False) -> DataFrame:
     """The documents with letters whose main language has ``min_share`` of them; a null language becomes the main one.
 
-    With ``fitting``, texts that fit no learned language, nor a mixture of them, go as well. No shuffle; all columns stay.
+    With ``fitting``, texts that fit no learned language, nor a mixture of them, go as well. Without a
+    learned language nothing can be judged: all texts with letters stay, and null languages stay null.
+    No shuffle; all columns stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
@@ -288,6 +294,9 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text",
     def kept(batches):
         for whole in batches:
             for batch in slices(whole, text_at, SLICE_SCORES // max(4, len(shared.value.languages))):
+                if not shared.value.languages:
+                    yield batch.filter(pa.array(_has_letters(batch.column(text_at)), pa.bool_()))
+                    continue
                 if fitting:
                     names, share, fits = _fits(shared.value, batch.column(text_at))
                 else:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
+import numpy as np
+
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -114,3 +116,19 @@ def repeat_spans(texts, length=200):
                     spans.append([i, i + length])
         out.append(spans)
     return out
+
+
+def nearest_edits(items, text):
+    """The least edit distance between each item and any part of the text: one plain table a text, all items at once."""
+    longest = max(map(len, items))
+    letters = np.array([[ord(c) for c in t.ljust(longest, "\0")] for t in items])
+    at = np.arange(longest + 1)
+    row = np.tile(at, (len(items), 1))
+    ends = np.array([len(t) for t in items])
+    best = row[np.arange(len(items)), ends].copy()
+    for c in text:
+        new = np.minimum(row[:, 1:] + 1, row[:, :-1] + (letters != ord(c)))
+        new = np.concatenate([np.zeros((len(items), 1), int), new], axis=1)
+        row = np.minimum.accumulate(new - at, axis=1) + at  # an inserted letter costs one
+        best = np.minimum(best, row[np.arange(len(items)), ends])
+    return best

@@ -77,10 +77,27 @@ def test_empty_tables(spark):
     assert d.without_leaks(docs, bench.limit(0)).count() == 1
 
 
-def test_short_items_are_found_as_they_are(spark):
-    items = [(1, "What is  2+2?", "clash"), (2, "art", "clash"), (3, "art", "clash"), (4, " ", "clash"), (5, "What is 2+3?", "clash")]
+def plain_standing(item, text, k):
+    """The least distance of a part of the text between word boundaries."""
+    cut = lambda at: at == 0 or at == len(text) or not (text[at - 1].isalnum() and text[at].isalnum())
+    spans = [(a, b) for a in range(len(text)) for b in range(a + 1, min(len(text), a + len(item) + k) + 1) if cut(a) and cut(b) and abs(b - a - len(item)) <= k]
+    return min((distance(item, text[a:b]) for a, b in spans), default=k + 1)
+
+
+def test_short_items_stand_between_word_boundaries(spark):
+    rng = random.Random(9)
+    items = [(1, "What is  2+2?", "clash"), (2, "art", "clash"), (3, "art", "clash"), (4, " ", "clash"), (5, "What is 2+3?", "clash"),
+             (6, "a man of the sea", "clash"), (7, "capital of the land?", "clash")]
     docs = [(1, "Asked: what is\n2+2? Four.", "clash"), (2, "a party, then ART", "clash"), (3, "party", "clash"), (4, "what is 2+2", "clash"), (5, "", "clash")]
+    for n in range(6, 90):
+        own = d.normal(rng.choice([i for i in items if i[1] != " "])[1])
+        body = edited(own, rng.randint(0, min(3, len(own) // 2)), rng)
+        docs.append((n, rng.choice(["", "so ", "so", "1, "]) + body + rng.choice(["", " on", "on", "."]), "clash"))
     bench, table = spark.createDataFrame(items, ITEMS), spark.createDataFrame(docs, DOCS)
-    rows = sorted(tuple(r) for r in d.leaks(table, bench).collect())
-    assert rows == [(1, 1, 0, 7, 19), (2, 2, 0, 14, 17), (2, 3, 0, 14, 17)]
-    assert sorted(r.doc_id for r in d.without_leaks(table, bench).collect()) == [3, 4, 5]
+    rows = d.leaks(table, bench).collect()
+    tests, texts = {i: d.normal(t) for i, t, _ in items}, {i: d.normal(t) for i, t, _ in docs}
+    want = [(i, j, plain_standing(t, x, int(len(t) * d.RATE))) for i, x in texts.items() for j, t in tests.items() if t and x]
+    want = sorted(w for w in want if w[2] <= int(len(tests[w[1]]) * d.RATE))
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in rows) == want and any(w[2] for w in want)
+    assert all(distance(tests[r.item_id], texts[r.doc_id][r.start:r.end]) == r.distance and d.bounded(texts[r.doc_id], r.start, r.end) for r in rows)
+    assert sorted(r.doc_id for r in d.without_leaks(table, bench).collect()) == sorted(set(texts) - {w[0] for w in want})

@@ -81,3 +81,12 @@ def test_only_texts_that_fit_stay(spark):
     count = lambda kind: sum(k == kind for _, k in cases)
     assert kept.get("de", 0) <= 0.05 * count("de") and "noise" not in kept and "script" not in kept
     assert all(kept[k] >= 0.99 * count(k) for k in ("en", "fr", "es", "mixture", "short"))
+
+
+def test_without_labels_all_texts_with_letters_stay(spark):
+    rows = [(1, "one two", None), (2, "", None), (3, None, None), (4, "123 !", None), (5, "ключ", None), (6, "x" * 5000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = g.fit_languages(docs)
+    for fitting in (True, False):
+        kept = g.with_language(docs, model, fitting=fitting)
+        assert sorted((r.doc_id, r.lang) for r in kept.collect()) == [(1, None), (5, None), (6, None)]
