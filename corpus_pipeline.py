@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from lecturespark.llm import decontaminate, language, line_dedup, mixing, near_dedup
 from lecturespark.llm.shared import stored
 
-MIN_SHARE = 0.0  # texts that mix any number of languages stay; how well they fit decides
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or that fit no learned language or mixture, go; a missing language is filled in."""
-    return language.with_language(docs, language.fit_languages(docs), min_share=MIN_SHARE, fitting=True)
+    """Documents without a letter, or that fit no learned language or mixture, go; a missing language is filled in.
+
+    Without a labelled document, all documents with letters stay as they are.
+    """
+    return language.with_language(docs, language.fit_languages(docs), fitting=True)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
