@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import ipaddress
+import re
+from collections.abc import Sequence
+from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +36,13 @@ DOC_RULES = {
     "media download command": r"(?i)\b(?:curl|wget|yt-dlp)\b[^\n]*(?:mp4|m3u8|media|video)",
 }
 CONNECTOR_RULE = ("connector persistence", r"\b(?:write_bytes|NamedTemporaryFile|mkstemp)\b")
+# Lower-case texts of which every match of a rule has one.
+FACTORS = {
+    "course platform module": ("api.icourse", "api.webvpn"), "course URL acquisition": ("get_video_url", "get_sub_info", "sign_video_url"),
+    "original media persistence": ("download_video", "resume_download", "archive_video"), "student credential": ("student_id", "uispsw", "stuid"),
+    "platform host": ("icourse", "webvpn"), "credential example": ("student", "password", "api", "token"), "direct media URL": ("http",),
+    "media download command": ("curl", "wget", "yt-dlp"), "connector persistence": ("write_bytes", "namedtemporaryfile", "mkstemp"),
+}
 CONNECTOR_EXEMPT = ("course platform module", "course URL acquisition", "student credential", "platform host")
 CODE_SUFFIXES = (".py", ".yml", ".yaml", ".sh")
 
@@ -74,32 +85,89 @@ def path_problems(path: str) -> Column:
                                    F.when(suffix(path).isin(*FORBIDDEN_SUFFIXES), F.lit("media or subtitle file"))))
 
 
-def rule_scan(files: DataFrame, *, code_prefixes: tuple[str, ...], doc_prefixes: tuple[str, ...],
-              connectors: tuple[str, ...] = (), path: str = "path", text: str = "text") -> DataFrame:
-    """Each rule broken by each file, one row per pair that breaks.
+@dataclass(frozen=True)
+class ScanRule:
+    """A pattern, where it applies, and its literal factors.
+
+    ``factors``: lower-case texts of which every match has one, upper or lower case; without any,
+    the pattern is tried on every text in scope. ``prefixes``, ``suffixes`` and ``endings`` say
+    which paths are in scope (none: all), ``exempt`` which endings of paths are not.
+    """
+
+    name: str
+    pattern: str
+    factors: tuple[str, ...] = ()
+    prefixes: tuple[str, ...] = ()
+    suffixes: tuple[str, ...] = ()
+    endings: tuple[str, ...] = ()
+    exempt: tuple[str, ...] = ()
+
+
+MAX_RULES = 1000
+
+
+def rules_of(table: DataFrame) -> list[ScanRule]:
+    """The rules of a table with the columns of ``ScanRule`` (arrays; absent ones are empty), at most ``MAX_RULES``."""
+    names = [f.name for f in fields(ScanRule)]
+    rows = table.select(*[c for c in names if c in table.columns]).orderBy("name", "pattern").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"over {MAX_RULES} rules")
+    tuples = lambda value: value if isinstance(value, str) else tuple(value or ())
+    return [ScanRule(**{k: tuples(v) for k, v in row.asDict().items()}) for row in rows]
+
+
+def scan_rules(files: DataFrame, rules: DataFrame | Sequence[ScanRule], path: str = "path", text: str = "text") -> DataFrame:
+    """Each rule broken by each file, one row per pair that breaks; ``files`` without the text, with ``rule``.
 
-    The rules are expressions over the row, so the scan is one pass over the texts
-    without a join, and only broken rules become rows.
+    One pass over a text looks for any factor of any rule. Where there is none, that is all.
+    Elsewhere a rule's pattern runs if one of its own factors occurs. The rules are expressions
+    over the row, so nothing is joined, and only broken rules become rows. Null texts and
+    null paths break nothing that asks for them.
     """
-    def starts(prefixes: tuple[str, ...]) -> Column:
-        found = F.lit(False)
-        for prefix in prefixes:
-            found = found | F.col(path).startswith(prefix)
-        return found
-
-    code = starts(code_prefixes) & suffix(path).isin(*CODE_SUFFIXES)
-    doc = starts(doc_prefixes) & (suffix(path) == ".md")
-    connector = F.lit(False)
-    for end in connectors:
-        connector = connector | F.col(path).endswith(end)
-
-    def hits(scope: Column, rules: dict[str, str], skip: tuple[str, ...] = ()) -> list[Column]:
-        return [F.when((scope & ~connector if name in skip else scope) & F.col(text).rlike(pattern), F.lit(name))
-                for name, pattern in rules.items()]
-
-    broken = [*hits(code, CODE_RULES, CONNECTOR_EXEMPT), *hits(code & connector, dict([CONNECTOR_RULE])),
-              *hits(doc, DOC_RULES)]
-    return files.withColumn("rule", F.explode(F.array_compact(F.array(*broken)))).drop(text)
+    rules = rules_of(rules) if isinstance(rules, DataFrame) else list(rules)
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"over {MAX_RULES} rules")
+
+    def any_of(tests: list[Column]) -> Column:
+        return reduce(lambda x, y: x | y, tests, F.lit(False))
+
+    def scope(rule: ScanRule) -> Column:
+        inside = F.lit(True)
+        if rule.prefixes:
+            inside = inside & any_of([F.col(path).startswith(p) for p in rule.prefixes])
+        if rule.suffixes:
+            inside = inside & F.col("_suffix").isin(*rule.suffixes)
+        if rule.endings:
+            inside = inside & any_of([F.col(path).endswith(e) for e in rule.endings])
+        return inside & ~any_of([F.col(path).endswith(e) for e in rule.exempt]) if rule.exempt else inside
+
+    factors = sorted({f for r in rules for f in r.factors})
+    quoted = "|".join(re.sub(r"([^A-Za-z0-9_])", r"\\\1", f) for f in factors)
+    some = F.col("_lower").rlike(quoted) if factors else F.lit(False)
+    marked = files.withColumn("_lower", F.lower(text)).withColumns({"_some": some, "_suffix": suffix(path)})
+
+    def broken(rule: ScanRule) -> Column:
+        near = F.col("_some") & any_of([F.contains("_lower", F.lit(f)) for f in rule.factors]) if rule.factors else F.lit(True)
+        return F.when(scope(rule) & near & F.col(text).rlike(rule.pattern), F.lit(rule.name))
+
+    found = F.array_compact(F.array(*[broken(r) for r in rules])) if rules else F.array().cast("array<string>")
+    return marked.withColumn("rule", F.explode(found)).drop(text, "_lower", "_some", "_suffix")
+
+
+def default_rules(code_prefixes: tuple[str, ...], doc_prefixes: tuple[str, ...], connectors: tuple[str, ...] = ()) -> list[ScanRule]:
+    """The fixed rules for code, documents and the files that may connect."""
+    code = [ScanRule(name, pattern, FACTORS[name], code_prefixes, CODE_SUFFIXES, (), connectors if name in CONNECTOR_EXEMPT else ())
+            for name, pattern in CODE_RULES.items()]
+    name, pattern = CONNECTOR_RULE
+    connector = [ScanRule(name, pattern, FACTORS[name], code_prefixes, CODE_SUFFIXES, connectors)] if connectors else []
+    return [*code, *connector, *[ScanRule(name, pattern, FACTORS[name], doc_prefixes, (".md",)) for name, pattern in DOC_RULES.items()]]
+
+
+def rule_scan(files: DataFrame, *, code_prefixes: tuple[str, ...], doc_prefixes: tuple[str, ...],
+              connectors: tuple[str, ...] = (), path: str = "path", text: str = "text") -> DataFrame:
+    """``scan_rules`` with the fixed rules; a scope without prefixes has no files."""
+    rules = [r for r in default_rules(code_prefixes, doc_prefixes, connectors) if r.prefixes]
+    return scan_rules(files, rules, path, text)
 
 
 def violation_report(violations: DataFrame, by: list[str]) -> DataFrame:

@@ -264,6 +264,18 @@ def _(load):
     return hits(load)
 
 
+# A rule per nation, as a table: one of its first letters, some letters and an ending.
+@query("rule_table_scan", """
+SELECT doc_id, source AS path, n_name AS rule FROM documents JOIN nation ON regexp_matches(text, lower(substr(n_name, 1, 3)) || '[a-z]+' || lower(substr(n_name, 1, 1)))
+WHERE n_nationkey % 5 <> 4 OR NOT suffix(source, '9')""")
+def _(load):
+    start, first = F.lower(F.substring("n_name", 1, 3)), F.lower(F.substring("n_name", 1, 1))
+    rules = load("nation").select(F.col("n_name").alias("name"), F.concat(start, F.lit("[a-z]+"), first).alias("pattern"),
+                                  F.when(F.col("n_nationkey") % 3 != 0, F.array(start)).alias("factors"),
+                                  F.when(F.col("n_nationkey") % 5 == 4, F.array(F.lit("9"))).alias("exempt"))
+    return policy.scan_rules(load("documents").select("doc_id", F.col("source").alias("path"), "text"), rules)
+
+
 @query("violation_report", f"""
 WITH {_duck_rules()} SELECT string_split(path, '/')[1] AS folder, rule, count(*) AS violations FROM hits GROUP BY ALL""")
 def _(load):

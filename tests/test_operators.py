@@ -338,3 +338,15 @@ def test_recogniser_text_without_silence(spark):
     from lecturespark.functions.text import clean_asr_text
     df = spark.createDataFrame([(1, "a<sil> <sil>b"), (2, "<sil>")], "i INT, text STRING")
     assert values(segments.clean_segments(df, clean_asr_text)) == [(1, "a b")]
+
+
+def test_rules_from_a_table(spark):
+    files = spark.createDataFrame([("a.py", "x TOKEN=1 (a+b)"), ("b.md", "nothing"), ("c/d.py", None), (None, "token=2"), ("z.py", "aab")], "path STRING, text STRING")
+    rules = [policy.ScanRule("token", "(?i)token=", ("token",), suffixes=(".py",)), policy.ScanRule("sum", r"\(a\+b\)", ("(a+b)",)),
+             policy.ScanRule("free", "t.*[23]", ()), policy.ScanRule("overlap", "aab", ("aab", "ab")), policy.ScanRule("not here", "nothing", ("nothing",), exempt=("b.md",))]
+    want = [("None", "free"), ("a.py", "sum"), ("a.py", "token"), ("z.py", "overlap")]
+    assert sorted((str(r["path"]), r["rule"]) for r in policy.scan_rules(files, rules).collect()) == want
+    table = spark.createDataFrame([(r.name, r.pattern, list(r.factors), list(r.suffixes), list(r.exempt) or None) for r in rules],
+                                  "name STRING, pattern STRING, factors ARRAY<STRING>, suffixes ARRAY<STRING>, exempt ARRAY<STRING>")
+    assert sorted((str(r["path"]), r["rule"]) for r in policy.scan_rules(files, table).collect()) == want
+    assert policy.scan_rules(files, []).count() == 0
