@@ -63,10 +63,18 @@ def apply_rules(courses: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def playable(lectures: DataFrame) -> DataFrame:
+    """Lectures with a recording and an id."""
+    return lectures.where(F.col("has_playback") & present(F.col("sub_id").cast("string"), "").isNotNull())
+
+
 def discover_new(lectures: DataFrame, seen: DataFrame) -> DataFrame:
-    """Playable lectures with an id that no earlier run has seen."""
-    playable = lectures.where(F.col("has_playback") & present(F.col("sub_id").cast("string"), "").isNotNull())
-    return playable.join(seen_state(seen), ["course_id", "sub_id"], "left_anti")
+    """Playable lectures with an id that no earlier run has seen.
+
+    ``seen`` may name a pair more than once. As ``sources.seen.known`` it stays where it is, and
+    only the lectures are shuffled, to its buckets.
+    """
+    return playable(lectures).join(seen.select("course_id", "sub_id"), ["course_id", "sub_id"], "left_anti")
 
 
 def seen_state(seen: DataFrame) -> DataFrame:

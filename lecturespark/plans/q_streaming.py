@@ -87,8 +87,8 @@ def _(load):
 SELECT course_id, sub_id FROM $lectures l WHERE has_playback AND NOT EXISTS (
   SELECT 1 FROM $seen s WHERE s.course_id = l.course_id AND s.sub_id = l.sub_id)""")
 def _(load):
-    found = intake.discover_stream(load.stream("lectures", "sub_id"), load("seen")).select("course_id", "sub_id")
-    return sinks.drain_to_parquet(found, sinks.new_folder(load.spark, "discovery"))
+    found = intake.drain_discovery(load.stream("lectures", "sub_id"), load("seen"), sinks.new_folder(load.spark, "discovery"), buckets=16)
+    return found.select("course_id", "sub_id")
 
 
 @query("stream_ledger", ORACLES["daily_ledger"])

@@ -3,23 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.text import present
 from ..operators.admission import daily_ledger
+from ..operators.courses import discover_new
+from ..sources import seen as known_pairs
 from ..sources.jobs import write_results
 from .sinks import drain
 
 
-def discover_stream(lectures: DataFrame, seen: DataFrame) -> DataFrame:
-    """New playable lectures, each once.
+def drain_discovery(lectures: DataFrame, seen: DataFrame, folder: str, buckets: int | None = None) -> DataFrame:
+    """New playable lectures, each (course, lecture) pair once: runs to the end of the input and reads all that were found.
 
-    A lecture stays known for ever, so the state keeps every (course, lecture) pair;
-    it is spread over the cluster by key and has no watermark.
+    A pair stays known for ever. Known pairs are rows of a bucketed table, not state: a
+    micro-batch is compared with them bucket by bucket and adds its own, so memory follows
+    the batch. ``seen`` is added once, before the first batch. Results and pairs carry the batch's number, and a batch
+    looks at pairs of earlier ones only, so it repeats exactly if it runs again. A lecture without
+    a course is found in every batch that names it.
     """
-    playable = lectures.where(F.col("has_playback") & present(F.col("sub_id").cast("string"), "").isNotNull())
-    fresh = playable.join(seen.select("course_id", "sub_id").distinct(), ["course_id", "sub_id"], "left_anti")
-    return fresh.dropDuplicates(["course_id", "sub_id"])
+    spark = lectures.sparkSession
+    table = known_pairs.seen_table(spark, f"{folder}/seen", lectures, buckets)
+    if spark.table(table).isEmpty():
+        known_pairs.remember(seen.select(*known_pairs.KEYS).distinct(), table, -1)
+
+    def find(batch: DataFrame, batch_id: int) -> None:
+        session, results = batch.sparkSession, f"{folder}/table/batch={batch_id}"
+        fresh = discover_new(batch, known_pairs.known(session, table, before=batch_id))
+        fresh.dropDuplicates(known_pairs.KEYS).write.mode("overwrite").parquet(results)
+        known_pairs.remember(session.read.schema(batch.schema).parquet(results), table, batch_id)
+
+    drain(spark, lectures.writeStream.foreachBatch(find), f"{folder}/checkpoint")
+    return spark.read.schema(lectures.schema).parquet(f"{folder}/table")
 
 
 def ledger_stream(usage: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lecturespark import session
-from lecturespark.operators import admission, health, messages
+from lecturespark.operators import admission, courses, health, messages
 from lecturespark.plans.catalogue import load
-from lecturespark.sources import generations, jobs
+from lecturespark.sources import jobs
+from lecturespark.sources import seen as known_pairs
 from lecturespark.streaming import carried, control, intake, sinks
 
 FOLDER = "/root/testdata/sf0.001"
@@ -124,8 +125,7 @@ def test_discovery_over_a_restart(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     for _ in range(2):  # the same catalogue is dropped twice, the stream stops in between
         stream = in_batches(spark, rows, "n", source, batches=2)
-        found = intake.discover_stream(stream, seen).select("course_id", "sub_id")
-        got = sinks.drain_to_parquet(found, out)
+        got = intake.drain_discovery(stream, seen, out).select("course_id", "sub_id")
     want = rows.where("has_playback").join(seen, ["course_id", "sub_id"], "left_anti").select("course_id", "sub_id")
     assert values(got) == values(want)
 
@@ -163,3 +163,20 @@ def test_a_cluster_must_name_its_folder(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_known_pairs_stay_where_they_are(spark, tmp_path):
+    rows = spark.range(300).select((F.col("id") % 7).alias("course_id"), F.col("id").alias("sub_id"), F.lit(True).alias("has_playback"))
+    table = known_pairs.seen_table(spark, str(tmp_path / "seen"), rows, buckets=8)
+    known_pairs.remember(rows.where("sub_id < 200"), table, 0)
+    known_pairs.remember(rows.where("sub_id BETWEEN 150 AND 249"), table, 1)
+    assert values(courses.discover_new(rows, known_pairs.known(spark, table)).select("sub_id")) == [(i,) for i in range(250, 300)]
+    assert courses.discover_new(rows, known_pairs.known(spark, table, before=1)).count() == 100
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = courses.discover_new(rows, known_pairs.known(spark, table))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # One exchange, that of the lectures; the pairs are scanned in buckets.
+    assert plan.count("Exchange") == 1 and "SelectedBucketsCount: 8 out of 8" in plan
