@@ -1,12 +1,13 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-The probability of a word is that of its class times that of the word in its class, both
-softmaxes over hashed features of the words before: the last one, the one before it
-(a skip) and the pair. Frequent words have slots in classes. All others share one class
-with a tree below it that grows with the vocabulary: a word's hash is its path, every
-node is a softmax over the same features, and its starting point is the discounted
-counts below each branch. Every task improves the weights by gradient updates over its
-documents, and rows of weights are averaged by the number of updates they saw.
+The classes of words are nested by counts: a tree of 32-way nodes in which frequent words
+sit near the root and the average word passes hardly more nodes than its entropy asks for.
+Every node is a softmax over hashed features of the words before: the last one, near the
+root also the one before it (a skip), and at the root the pair. A leaf is a frequent word, or a hash bucket of rarer ones,
+which divide the bucket by their counts. Every task improves the weights by gradient
+updates over its documents, and rows of weights are averaged by the number of updates they
+saw; a fixed number of rounds over disjoint shares of the documents start from the last
+average each.
 """
 
 from __future__ import annotations
@@ -25,15 +26,20 @@ from .registry import query, table
 from .shared import stored
 from .words import mixed, slices, word_codes, word_hashes
 
-CLASSES, SLOTS = 32, 32  # class 0 is that of all words without a slot
-WAYS, WAY_BITS = 8, 3  # branches of a node of the tree
-DEEPEST = 8  # levels of the tree: up to 16.8 million leaves, about one a word
-# Bits of the row numbers of classes, slots and nodes: the vocabulary's, less so many, at least and at most.
-ROW_BITS = ((6, 14, 16), (5, 15, 16), (4, 15, 18))
+WAYS = 32  # branches of a node
+TABLES = 3  # tables of weights: for the root, the nodes below it, and all others
+# Features of each table's rows, of (last, skip, pair). Rows of deeper nodes meet so few tokens that more features
+# mostly add collisions: on held-out texts they gained 5 % for a third of all work.
+USED = (3, 2, 1)
+ROW_BITS = (4, 14, 16)  # bits of a table's row numbers: the vocabulary's, less 4, at least and at most
 BLOCK = 8192  # weights that a task sends in one row
-RATE, BATCH = 0.25, 4096
+RATE, BATCH, CHUNK = 0.25, 32768, 2048
+LIMIT = 20  # of a weight's size, so that no sum of three can leave the range of exp
+LAYERS = 32  # slopes of a row that are added for all rows at once
+ROUNDS = 2  # passes over disjoint shares of the documents
 DISCOUNT = 0.5
-FREQUENT = 1 << 16  # words whose counts every task holds; the others are joined
+FREQUENT = 1 << 18  # words whose counts every task holds; the others are joined
+BUCKETS = 1 << 16  # leaves that the other words share
 SLICE_BYTES = 4_000_000
 END = ""  # no word is empty
 END_HASH, START_HASH = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
@@ -43,48 +49,95 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 1, F.lit(False))
 
 
+@dataclass(frozen=True)
+class Tree:
+    """Nodes (0 is the root) and branches on the way to every leaf, level by level; -1 beyond the leaf."""
+    nodes: np.ndarray
+    branches: np.ndarray
+    bias: np.ndarray  # the log share of every branch in its node's mass
+
+    @classmethod
+    def of(cls, masses: np.ndarray) -> Tree:
+        """The tree of least average depth: the lightest nodes or leaves are joined, as many as a node has branches."""
+        size = len(masses)
+        if size == 0:
+            return cls(np.empty((0, 0), np.int32), np.empty((0, 0), np.int8), np.empty((0, WAYS), np.float32))
+        spare = -(size - 1) % (WAYS - 1)  # leaves without mass that fill the deepest node
+        order = np.argsort(masses, kind="stable")
+        leaves, items = np.concatenate([np.zeros(spare), masses[order]]), np.concatenate([np.full(spare, -1), order])
+        n_nodes = (len(leaves) - 1) // (WAYS - 1)
+        # Joined nodes come out by rising mass, so both queues stay sorted.
+        joined, parent, way, share = np.zeros(n_nodes), np.full(size + n_nodes, -1), np.zeros(size + n_nodes, np.int8), np.zeros((n_nodes, WAYS))
+        a = b = 0
+        for made in range(n_nodes):
+            light, nodes = leaves[a:a + WAYS], joined[b:min(b + WAYS, made)]
+            both = np.concatenate([light, nodes])
+            chosen = np.argsort(both, kind="stable")[:WAYS]
+            of_leaf = chosen < len(light)
+            members = np.where(of_leaf, items[np.minimum(a + chosen, len(items) - 1)], size + b + chosen - len(light))
+            share[made] = both[chosen]
+            joined[made] = share[made].sum()
+            real = members >= 0
+            parent[members[real]], way[members[real]] = made, np.flatnonzero(real)
+            a, b = a + int(of_leaf.sum()), b + int((~of_leaf).sum())
+        at, steps = np.arange(size), []
+        while (inside := parent[at] >= 0).any():
+            steps.append((np.where(inside, parent[at], -1), way[at]))
+            at = np.where(inside, size + parent[at], at)
+        depth = sum((up >= 0).astype(np.int64) for up, _ in steps) if steps else np.zeros(size, np.int64)
+        nodes, branches = np.full((len(steps), size), -1, np.int32), np.full((len(steps), size), -1, np.int8)
+        for back, (up, branch) in enumerate(steps):
+            real = np.flatnonzero(up >= 0)
+            nodes[depth[real] - 1 - back, real] = n_nodes - 1 - up[real]
+            branches[depth[real] - 1 - back, real] = branch[real]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bias = np.where(share > 0, np.log(share / share.sum(axis=1, keepdims=True)), -1e4)
+        return cls(nodes, branches, bias[::-1].astype(np.float32))
+
+
 @dataclass(frozen=True)
 class Counts:
-    """What the driver keeps of the training counts: totals and the most frequent words."""
+    """What every task holds of the training counts: totals, the most frequent words, the buckets of all others."""
     n: int
     n_distinct: int
-    words: list[str]  # by falling count; at most FREQUENT
+    words: pa.Array  # by falling count; at most FREQUENT
     counts: np.ndarray
-    depth: int = 0  # levels of the tree of words without a slot
-    leaves: np.ndarray | None = None  # its leaves with words, rising
-    masses: np.ndarray | None = None  # their counts, less the discounts
+    buckets: np.ndarray  # the mass of each bucket: its words' counts, less the discounts
+    tree: Tree
 
-    @property
-    def n_slotted(self) -> int:
-        return min(len(self.words), (CLASSES - 1) * SLOTS)
+    @classmethod
+    def of(cls, n: int, n_distinct: int, words, counts: np.ndarray, buckets: np.ndarray | None = None) -> Counts:
+        buckets = np.zeros(0) if buckets is None else buckets
+        return cls(n, n_distinct, pa.array(words, pa.string()) if isinstance(words, list) else words, counts, buckets,
+                   Tree.of(np.concatenate([counts, buckets[buckets > 0]])))
 
     def others(self) -> tuple[int, int]:
-        """(tokens, distinct words) without a slot."""
-        return self.n - int(self.counts[:self.n_slotted].sum()), self.n_distinct - self.n_slotted
-
-    def shapes(self) -> list[tuple[int, int]]:
-        """Rows and width of the weights of classes, slots and nodes; they follow the vocabulary."""
-        bits = max(self.n_distinct, 1).bit_length()
-        return [(1 << min(max(bits - less, least), most), width) for (less, least, most), width in zip(ROW_BITS, (CLASSES, SLOTS, WAYS))]
-
-    def priors(self) -> np.ndarray:
-        """The share of every branch in its node's mass, nodes level by level from the root."""
-        if self.depth == 0:
-            return np.zeros((0, WAYS), np.float32)
-        mass, levels = np.zeros(WAYS ** self.depth, np.float32), []
-        mass[self.leaves] = self.masses
-        for _ in range(self.depth):
-            split = mass.reshape(-1, WAYS)
-            mass = split.sum(axis=1)
-            levels.append(split / np.maximum(mass, 1e-9)[:, None])
-        return np.concatenate(levels[::-1])
+        """(tokens, distinct words) in buckets."""
+        return self.n - int(self.counts.sum()), self.n_distinct - len(self.words)
+
+    def unseen(self) -> float:
+        """The probability of the one event of all unseen words: what the discounts took, half a count at least."""
+        taken = DISCOUNT * self.others()[1]
+        return max(taken, 0.5) / (self.n - taken + max(taken, 0.5))
+
+    def bucket_of(self, hashes: np.ndarray) -> np.ndarray:
+        bits = max(len(self.buckets), 1).bit_length() - 1
+        return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+
+    def rows(self) -> int:
+        """Rows of each table of weights; they follow the vocabulary."""
+        less, least, most = ROW_BITS
+        return 1 << min(max(max(self.n_distinct, 1).bit_length() - less, least), most)
 
 
 @dataclass(frozen=True)
 class Weights:
-    class_rows: np.ndarray
-    slot_rows: np.ndarray
-    node_rows: np.ndarray
+    rows: np.ndarray  # (table, row, branch)
+    squares: np.ndarray  # (table, row): what the next round's steps divide by
+
+    @classmethod
+    def start(cls, counts: Counts) -> Weights:
+        return cls(np.zeros((TABLES, counts.rows(), WAYS), np.float32), np.full((TABLES, counts.rows()), 1e-6, np.float32))
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -101,7 +154,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def summary(vocabulary: DataFrame, frequent: int = FREQUENT) -> Counts:
-    """Totals, and every word above a count that at most ``frequent`` words reach.
+    """Totals, every word above a count that at most ``frequent`` words reach, and the masses of the other words' buckets.
 
     The count is found from a histogram of count magnitudes, so no task sorts all words.
     """
@@ -110,237 +163,201 @@ def summary(vocabulary: DataFrame, frequent: int = FREQUENT) -> Counts:
         F.count("*").alias("words"), F.sum("c").alias("tokens")).collect()), reverse=True)
     least, held = None, 0
     for bar, words, _ in bars:
-        held += words
-        if held > frequent:
+        if held + words > frequent:
             break
+        held += words
         least = bar
-    rows = vocabulary.filter(level >= least).collect() if least is not None else []
-    rows.sort(key=lambda r: (-r.c, r.word))
-    counts = Counts(sum(b[2] for b in bars), sum(b[1] for b in bars), [r.word for r in rows], np.array([r.c for r in rows], np.int64))
-    depth = 0
-    while depth < DEEPEST and WAYS ** depth < counts.others()[1]:
-        depth += 1
-    if depth == 0:
-        return counts
-    slotted = counts.words[:counts.n_slotted]
+    n, n_distinct = sum(b[2] for b in bars), sum(b[1] for b in bars)
+    words, c = pa.array([], pa.string()), np.zeros(0, np.int64)
+    if least is not None:
+        rows = vocabulary.filter(level >= least).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+        words, c = pa.concat_arrays(rows.column("word").chunks).cast(pa.string()), rows.column("c").to_numpy()
+    if held == n_distinct:
+        return Counts.of(n, n_distinct, words, c)
+    empty = replace(Counts.of(n, n_distinct, [], np.zeros(0)), buckets=np.zeros(1 << min((n_distinct - held - 1).bit_length(), BUCKETS.bit_length() - 1)))
 
     def placed(batches: Iterator[pa.RecordBatch]):
-        known = pa.array(slotted, pa.string())
         for batch in batches:
-            words, c = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
-            rare = pc.is_null(pc.index_in(words, known)).to_numpy(zero_copy_only=False)
-            hashes = np.where(pc.equal(words, END).to_numpy(zero_copy_only=False), END_HASH, word_hashes(words))
-            yield pa.RecordBatch.from_arrays([pa.array(paths(hashes[rare], depth).astype(np.int32)), pa.array(c[rare] - DISCOUNT)], ["leaf", "mass"])
+            own = batch.column(0)
+            hashes = np.where(pc.equal(own, END).to_numpy(zero_copy_only=False), END_HASH, word_hashes(own))
+            buckets = empty.bucket_of(hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(batch.column(1).to_numpy(zero_copy_only=False) - DISCOUNT)], ["bucket", "mass"])
 
-    leaves = vocabulary.select("word", "c").mapInArrow(placed, "leaf int, mass double").groupBy("leaf").agg(F.sum("mass").cast("float").alias("mass")).toArrow()
-    at, masses = leaves.column("leaf").to_numpy(), leaves.column("mass").to_numpy()
-    order = np.argsort(at)
-    return replace(counts, depth=depth, leaves=at[order], masses=masses[order])
-
-
-def paths(hashes: np.ndarray, depth: int) -> np.ndarray:
-    """The leaf of every hash, from its top bits."""
-    return (hashes >> np.uint64(64 - WAY_BITS * depth)).astype(np.int64) if depth else np.zeros(len(hashes), np.int64)
+    rare = vocabulary if least is None else vocabulary.filter(level < least)
+    found = rare.select("word", "c").mapInArrow(placed, "bucket long, mass double").groupBy("bucket").agg(F.sum("mass").alias("mass")).toArrow()
+    buckets = empty.buckets.copy()
+    buckets[found.column("bucket").to_numpy()] = found.column("mass").to_numpy()
+    return Counts.of(n, n_distinct, words, c, buckets)
 
 
 class Model:
     """Forward and update steps on batches of tokens."""
 
     def __init__(self, counts: Counts, weights: Weights | None = None):
-        k = counts.n_slotted
-        mass = np.zeros((CLASSES, SLOTS))
-        mass[1:].reshape(-1)[:k] = counts.counts[:k]
-        mass[0, 0] = max(counts.others()[0], 0.5)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            total = mass.sum(axis=1)
-            # The starting point is the unigram model; slots and classes without words never win.
-            self.class_bias = np.maximum(np.log(total / total.sum()), -1e4).astype(np.float32)
-            self.slot_bias = np.maximum(np.nan_to_num(np.log(mass / total[:, None]), nan=-1e4), -1e4).astype(np.float32)
-        self.weights = ([np.zeros(shape, np.float32) for shape in counts.shapes()] if weights is None
-                        else [weights.class_rows, weights.slot_rows, weights.node_rows])
-        self.slotted = pa.array(counts.words[:k], pa.string())
-        self.depth, self.priors = counts.depth, counts.priors()
-        self.firsts = np.array([(WAYS ** d - 1) // (WAYS - 1) for d in range(self.depth)], np.int64)  # node numbers
-        self.shifts = WAY_BITS * np.arange(self.depth - 1, -1, -1, dtype=np.int64)
-
-    def start_updates(self) -> None:
-        self.squares = [np.full(len(w), 1e-6) for w in self.weights]
+        weights = weights or Weights.start(counts)
+        self.counts, self.tree = counts, counts.tree
+        self.weights = list(weights.rows.astype(np.float32))
+        self.squares = list(weights.squares.astype(np.float64))
+        self.shift = np.uint32(33 - len(self.weights[0]).bit_length())
+        self.salts = (mixed(np.arange(1, len(self.tree.bias) + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+        self.leaf_of_bucket = np.where(counts.buckets > 0, len(counts.words) + np.cumsum(counts.buckets > 0) - 1, -1)
         self.seen = [np.zeros(len(w), np.int64) for w in self.weights]
+        self.slopes, self.ones = np.empty((BATCH, WAYS), np.float32), np.ones(WAYS, np.float32)
+        self.chunks = [np.empty((CHUNK, WAYS), np.float32) for _ in range(2)]  # stay in the cache
 
     def tokens(self, texts: pa.Array):
-        """(document, class, slot, features) of every token, and (offsets, codes, words) of the texts' words.
+        """(document, leaf, features) of every token, and (offsets, codes, words, leaf and bucket of each word and the end).
 
-        The slot of a word of class 0 is its leaf in the tree.
+        A word that no training text has may have the leaf -1; the bucket of a frequent word is -1.
         """
         offsets, codes, words = word_codes(texts)
         counts = np.diff(offsets)
         document = np.repeat(np.arange(len(counts)), counts + 1)
         ends = np.cumsum(counts + 1) - 1
+        code = np.full(len(document), len(words))
         is_word = np.ones(len(document), bool)
         is_word[ends] = False
-
-        def ranks(values: pa.Array) -> np.ndarray:
-            return pc.fill_null(pc.index_in(values.cast(pa.string()), self.slotted), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-
-        rank = np.empty(len(document), np.int64)
-        rank[is_word], rank[ends] = ranks(words)[codes], ranks(pa.array([END]))[0]
-        own = np.empty(len(document), np.uint64)
-        own[is_word], own[ends] = word_hashes(words)[codes], END_HASH
+        code[is_word] = codes
+        hashes = np.append(word_hashes(words), END_HASH)
+        every = pa.concat_arrays([words.cast(pa.string()), pa.array([END])])
+        leaf = pc.fill_null(pc.index_in(every, self.counts.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        bucket = np.full(len(leaf), -1)
+        if len(self.counts.buckets):
+            rare = np.flatnonzero(leaf < 0)
+            bucket[rare] = self.counts.bucket_of(hashes[rare])
+            leaf[rare] = self.leaf_of_bucket[bucket[rare]]
+        own = hashes[code]
         place = np.arange(len(document)) - np.concatenate([[0], ends[:-1] + 1])[document] if len(document) else document
         last, skip = np.full(len(own), START_HASH), np.full(len(own), START_HASH)
         last[1:], skip[2:] = own[:-1], own[:-2]
         last[place < 1] = START_HASH
         skip[place < 2] = START_HASH
-        features = np.stack([mixed(last + np.uint64(1)), mixed(skip + np.uint64(2)), mixed(mixed(last) * np.uint64(3) + skip)])
-        group = np.where(rank < 0, 0, 1 + rank // SLOTS)
-        return (document, group, np.where(rank < 0, paths(own, self.depth), rank % SLOTS), features), (offsets, codes, words)
-
-    @staticmethod
-    def softmax(logits: np.ndarray) -> np.ndarray:
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        return logits
-
-    def logits(self, which: int, bias: np.ndarray | None, features: np.ndarray):
-        """Row numbers of the features, and the sums of these rows."""
-        weights = self.weights[which]
-        rows = (features & np.uint64(len(weights) - 1)).astype(np.int64)
-        sums = weights[rows[0]] if bias is None else bias + weights[rows[0]]
-        for r in rows[1:]:
-            sums += weights[r]
-        return rows, sums
-
-    def chances(self, group: np.ndarray, slot: np.ndarray, features: np.ndarray):
-        """Probabilities of all classes, and of all slots for the tokens that have one."""
-        rows, classes = self.logits(0, self.class_bias, features)
-        some = np.flatnonzero(group)
-        inner, slots = self.logits(1, self.slot_bias[group[some]], mixed(features[:, some] + group[some].astype(np.uint64)))
-        return rows, self.softmax(classes), some, inner, self.softmax(slots)
-
-    def branches(self, group: np.ndarray, slot: np.ndarray, features: np.ndarray):
-        """(token, branch, row numbers, odds of all branches over their priors, priors) of every node on the way to a leaf.
-
-        Nodes that have one branch only are left out: its probability is one.
+        pair = mixed(last * np.uint64(3) + (skip ^ (skip >> np.uint64(29))))
+        features = np.stack([(x >> np.uint64(32)).astype(np.uint32) for x in (last * np.uint64(0x9E3779B97F4A7C15), skip * np.uint64(0xC2B2AE3D27D4EB4F), pair)])
+        return (document, leaf[code], features), (code, every, leaf, bucket)
+
+    def levels(self, leaf: np.ndarray, features: np.ndarray, slopes: bool):
+        """(table, tokens, row numbers, log of the taken branch's chance, slopes of all branches) of each level that tokens reach.
+
+        The slopes are overwritten by the next level.
         """
-        token = np.repeat(np.flatnonzero(group == 0), self.depth)
-        down = (slot[group == 0][:, None] >> self.shifts).reshape(-1)
-        node, branch = (down >> WAY_BITS) + np.tile(self.firsts, len(token) // max(self.depth, 1)), down & (WAYS - 1)
-        split = np.flatnonzero(self.priors[node, branch] < 1)
-        token, node, branch = token[split], node[split], branch[split]
-        rows, sums = self.logits(2, None, mixed(features[:, token] + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        priors = self.priors[node]
-        sums -= sums.max(axis=1, keepdims=True)
-        np.exp(sums, out=sums)
-        sums /= np.maximum(np.einsum("ij,ij->i", sums, priors), 1e-30)[:, None]
-        return token, branch, rows, sums, priors
-
-    def parts(self, group: np.ndarray, slot: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each token's class and slot, and of what its context makes of the prior of its leaf."""
-        out, leaf = np.empty(len(group)), np.zeros(len(group))
-        for a in range(0, len(group), BATCH):
-            part = slice(a, a + BATCH)
-            _, classes, some, _, slots = self.chances(group[part], slot[part], features[:, part])
-            out[part] = np.log10(np.maximum(classes[np.arange(len(classes)), group[part]], 1e-30))
-            out[a + some] += np.log10(np.maximum(slots[np.arange(len(slots)), slot[part][some]], 1e-30))
-            if self.depth:
-                token, branch, _, odds, _ = self.branches(group[part], slot[part], features[:, part])
-                gains = np.log10(np.maximum(odds[np.arange(len(odds)), branch], 1e-30))
-                leaf[part] = np.bincount(token, gains, len(classes))
-        return out, leaf
-
-    def log10(self, group: np.ndarray, slot: np.ndarray, features: np.ndarray) -> np.ndarray:
-        return sum(self.parts(group, slot, features))
-
-    def update(self, group: np.ndarray, slot: np.ndarray, features: np.ndarray) -> None:
-        for a in range(0, len(group), BATCH):
-            part = slice(a, a + BATCH)
-            rows, classes, some, inner, slots = self.chances(group[part], slot[part], features[:, part])
-            classes[np.arange(len(classes)), group[part]] -= 1
-            slots[np.arange(len(slots)), slot[part][some]] -= 1
-            self._descend(0, rows, classes)
-            self._descend(1, inner, slots)
-            if self.depth:
-                _, branch, rows, odds, priors = self.branches(group[part], slot[part], features[:, part])
-                odds *= priors
-                odds[np.arange(len(odds)), branch] -= 1
-                self._descend(2, rows, odds)
+        at, chunk = np.flatnonzero(leaf >= 0), self.chunks[0]
+        for level in range(len(self.tree.nodes)):
+            if level:
+                at = at[self.tree.nodes[level][leaf[at]] >= 0]
+            if len(at) == 0:
+                return
+            node, branch = self.tree.nodes[level][leaf[at]], self.tree.branches[level][leaf[at]].astype(np.int64)
+            which = min(level, TABLES - 1)
+            rows = (((features[:USED[which], at] ^ self.salts[node]) * np.uint32(0x9E3779B1)) >> self.shift).astype(np.int64)
+            gains, every = np.empty(len(at)), self.slopes[:len(at)]
+            for a in range(0, len(at), CHUNK):
+                part = slice(a, a + CHUNK)
+                logits, taken = every[part], branch[part]
+                added, own = chunk[:len(taken)], np.arange(len(taken))
+                np.take(self.tree.bias, node[part], axis=0, out=logits, mode="clip")
+                for r in rows:
+                    logits += np.take(self.weights[which], r[part], axis=0, out=added, mode="clip")
+                gains[part] = logits[own, taken]
+                total = np.exp(logits, out=logits) @ self.ones
+                gains[part] -= np.log(total)
+                if slopes:
+                    logits /= total[:, None]
+                    logits[own, taken] -= 1
+            yield which, at, rows, gains, every
+
+    def log10(self, leaf: np.ndarray, features: np.ndarray) -> np.ndarray:
+        """log10 of each token's leaf; 0 without a leaf."""
+        out = np.zeros(len(leaf))
+        for a in range(0, len(leaf), BATCH):
+            for _, at, _, gains, _ in self.levels(leaf[a:a + BATCH], features[:, a:a + BATCH], False):
+                out[a + at] += gains / np.log(10)
+        return out
+
+    def update(self, leaf: np.ndarray, features: np.ndarray) -> None:
+        for a in range(0, len(leaf), BATCH):
+            for which, _, rows, _, slopes in self.levels(leaf[a:a + BATCH], features[:, a:a + BATCH], True):
+                self._descend(which, rows, slopes)
 
     def _descend(self, which: int, rows: np.ndarray, slope: np.ndarray) -> None:
         """Adaptive steps: a row moves by its summed slope over the root of its squares so far."""
-        if len(slope) == 0:
-            return
-        weights, flat = self.weights[which], rows.reshape(-1)
-        if len(weights) <= 1 << 16:
-            flat = flat.astype(np.uint16)  # sorts in linear time
+        weights, flat = self.weights[which], rows.reshape(-1).astype(np.uint16)  # sorts in linear time
         order = np.argsort(flat, kind="stable")
         flat, order = flat[order], order % len(slope)
-        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        times = np.diff(first, append=len(flat))
-        sums = slope[order[first]]
-        # Most pairs of words are alone in their batch; only rows that are not need a sum.
-        many = np.flatnonzero(times > 1)
-        if len(many):
-            inner = np.repeat(times > 1, times)
-            starts = np.concatenate([[0], np.cumsum(times[many])[:-1]])
-            sums[many] = np.add.reduceat(slope[order[inner]], starts, axis=0)
-        touched = flat[first].astype(np.int64)
-        self.squares[which][touched] += np.einsum("ij,ij->i", sums, sums)
-        self.seen[which][touched] += times
-        weights[touched] -= (RATE / np.sqrt(self.squares[which][touched])).astype(np.float32)[:, None] * sums
-
-
-def train(docs: DataFrame, counts: Counts, text_col: str = "text") -> Weights:
-    """Weights after one pass over all documents, each task starting from the unigram model.
-
-    A task sends the blocks of rows that it has changed with the number of updates of each row,
+        firsts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        counts = np.diff(firsts, append=len(flat))
+        # The rows by falling number of slopes: those with a further slope come first, so their sums grow in place.
+        falling = np.argsort((LAYERS + 1 - np.minimum(counts, LAYERS + 1)).astype(np.uint16), kind="stable")
+        firsts, counts = firsts[falling], counts[falling]
+        for a in range(0, len(firsts), CHUNK):
+            first, times = firsts[a:a + CHUNK], counts[a:a + CHUNK]
+            touched = flat[first].astype(np.int64)
+            sums, other = (c[:len(first)] for c in self.chunks)
+            np.take(slope, order[first], axis=0, out=sums, mode="clip")
+            most = int((times > LAYERS).sum())
+            for i in range(most):
+                sums[i] = np.take(slope, order[first[i]:first[i] + times[i]], axis=0).sum(axis=0)
+            for layer in range(1, int(times[most:].max(initial=1))):
+                end = most + int((times[most:] > layer).sum())
+                sums[most:end] += np.take(slope, order[first[most:end] + layer], axis=0, out=other[most:end], mode="clip")
+            squares = self.squares[which][touched] + np.square(sums, out=other) @ self.ones
+            self.squares[which][touched] = squares
+            self.seen[which][touched] += times
+            sums *= (-RATE / np.sqrt(squares)).astype(np.float32)[:, None]
+            sums += np.take(weights, touched, axis=0, out=other, mode="clip")
+            weights[touched] = np.clip(sums, -LIMIT, LIMIT, out=sums)
+
+
+def train(docs: DataFrame, counts: Counts, text_col: str = "text", rounds: int = ROUNDS) -> Weights:
+    """Weights after one pass over all documents, in ``rounds`` shares by the hash of the text.
+
+    Each round starts from the average of the one before, the first from the unigram model. A
+    task sends the blocks of rows that it has changed with the number of updates of each row,
     weights in half precision; equal blocks meet after a shuffle and only their averages, at
-    most 25 MB, reach the driver.
+    most 26 MB, reach the driver.
     """
-    shared, shapes = docs.sparkSession.sparkContext.broadcast(counts), counts.shapes()
-    out = "of int, block int, n binary, weights binary"
+    context, weights = docs.sparkSession.sparkContext, Weights.start(counts)
+    names = ["of", "block", "n", "squares", "weights"]
+    out, per = "of int, block int, n binary, squares binary, weights binary", BLOCK // WAYS
 
-    def improved(batches):
-        model = Model(shared.value)
-        model.start_updates()
-        for whole in batches:
-            for batch in slices(whole, 0, SLICE_BYTES):
-                (_, group, slot, features), _ = model.tokens(batch.column(0))
-                model.update(group, slot, features)
-        for of, (weights, seen) in enumerate(zip(model.weights, model.seen)):
-            seen, weights = seen.astype(np.int32).reshape(-1, BLOCK // weights.shape[1]), weights.astype(np.float16).reshape(-1, BLOCK)
-            changed = np.flatnonzero(seen.any(axis=1))
-            for some in np.array_split(changed, len(changed) // 64 + 1):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), of, np.int32)), pa.array(some.astype(np.int32)), pa.array([n.tobytes() for n in seen[some]], pa.binary()),
-                                                  pa.array([w.tobytes() for w in weights[some]], pa.binary())], ["of", "block", "n", "weights"])
+    def rows(of, block, n, squares, weights):
+        binary = [pa.array([x.tobytes() for x in column], pa.binary()) for column in (n, squares, weights)]
+        return pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(block, pa.int32()), *binary], names)
 
     def averaged(batches):
         sums = {}
         for batch in batches:
-            for of, block, n, weights in zip(*[c.to_pylist() for c in batch.columns]):
-                n = np.frombuffer(n, np.int32)
-                weighted = np.frombuffer(weights, np.float16).reshape(len(n), -1).astype(np.float32) * n[:, None].astype(np.float32)
-                if (of, block) in sums:
-                    sums[of, block][0] += n
-                    sums[of, block][1] += weighted
-                else:
-                    sums[of, block] = [n.astype(np.int64), weighted]
-        for (of, block), (n, weighted) in sums.items():
-            mean = (weighted / np.maximum(n, 1)[:, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), pa.array([block], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())],
-                                             ["of", "block", "n", "weights"])
-
-    parts = docs.select(text_col).mapInArrow(improved, out)
-    means = [np.zeros(shape, np.float32) for shape in shapes]
-    for r in parts.repartition("of", "block").mapInArrow(averaged, out).select("of", "block", "weights").collect():
-        means[r.of].reshape(-1, BLOCK)[r.block] = np.frombuffer(r.weights, np.float32)
-    return Weights(*means)
-
-
-def _other_chance(counts: Counts) -> tuple[float, float]:
-    """(tokens, chance of an unseen word) in the class of words without a slot."""
-    n, distinct = counts.others()
-    return float(n), (DISCOUNT * distinct / n if n > 0 and distinct > 0 else 1.0)
+            for of, block, n, squares, weights in zip(*[c.to_pylist() for c in batch.columns]):
+                n = np.frombuffer(n, np.int32).astype(np.int64)
+                new = [n, np.frombuffer(squares, np.float32) * n, np.frombuffer(weights, np.float16).reshape(per, WAYS).astype(np.float32) * n[:, None].astype(np.float32)]
+                sums[of, block] = [x + y for x, y in zip(sums[of, block], new)] if (of, block) in sums else new
+        for (of, block), (n, squares, weights) in sums.items():
+            yield rows([of], [block], [n], [(squares / np.maximum(n, 1)).astype(np.float32)], [(weights / np.maximum(n, 1)[:, None]).astype(np.float32)])
+
+    for turn in range(rounds):
+        shared = context.broadcast((counts, weights))
+
+        def improved(batches, shared=shared):
+            model = Model(*shared.value)
+            for whole in batches:
+                for batch in slices(whole, 0, SLICE_BYTES):
+                    (_, leaf, features), _ = model.tokens(batch.column(0))
+                    model.update(leaf, features)
+            for of, (own, squares, seen) in enumerate(zip(model.weights, model.squares, model.seen)):
+                seen, squares, own = seen.astype(np.int32).reshape(-1, per), squares.astype(np.float32).reshape(-1, per), own.astype(np.float16).reshape(-1, BLOCK)
+                changed = np.flatnonzero(seen.any(axis=1))
+                for some in np.array_split(changed, len(changed) // 64 + 1):
+                    yield rows(np.full(len(some), of), some, seen[some], squares[some], own[some])
+
+        share = docs.select(text_col).filter(F.pmod(F.xxhash64(text_col), F.lit(rounds)) == turn)
+        means, squares = weights.rows.copy(), weights.squares.copy()
+        for r in share.mapInArrow(improved, out).repartition("of", "block").mapInArrow(averaged, out).collect():
+            here, changed = slice(r.block * per, (r.block + 1) * per), np.frombuffer(r.n, np.int64) > 0
+            means[r.of, here][changed] = np.frombuffer(r.weights, np.float32).reshape(per, WAYS)[changed]
+            squares[r.of, here][changed] = np.frombuffer(r.squares, np.float32)[changed]
+        weights = Weights(means, squares)
+        shared.unpersist()
+    return weights
 
 
 def score_texts(docs: DataFrame, vocabulary: DataFrame, counts: Counts, weights: Weights,
@@ -354,53 +371,47 @@ def score_texts(docs: DataFrame, vocabulary: DataFrame, counts: Counts, weights:
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((counts, weights))
-    n_other, unseen = _other_chance(counts)
-    log_total = float(np.log10(counts.n + 0.5 * (counts.n_distinct + 1)))
+    unseen = counts.unseen()
+    log_total, log_seen, log_unseen = (float(np.log10(x)) if x > 0 else 0.0 for x in (counts.n + 0.5 * (counts.n_distinct + 1), 1 - unseen, unseen))
     kind = docs.schema[id_col].dataType
 
     def scored(batches):
-        counts, weights = shared.value
-        model, frequent = Model(counts, weights), pa.array(counts.words, pa.string())
-        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        model = Model(*shared.value)
+        base = np.log10(model.counts.counts + 0.5) - log_total
+        log_mass = np.log10(np.where(model.counts.buckets > 0, model.counts.buckets, 1))
+        n_frequent, row = len(model.counts.words), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for whole in batches:
             for batch in slices(whole, 1, SLICE_BYTES):
-                (document, group, slot, features), (offsets, codes, words) = model.tokens(batch.column(1))
-                sure, leaf = model.parts(group, slot, features)
-                at = pc.fill_null(pc.index_in(pa.concat_arrays([words.cast(pa.string()), pa.array([END])]), frequent), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                c = np.where(at >= 0, np.append(counts.counts, 0)[at], 0)
-                base = np.log10(c + 0.5) - log_total
-                inner = np.where((at >= counts.n_slotted) & (c > 0), np.log10(np.maximum(c - DISCOUNT, DISCOUNT) / max(n_other, 1)), 0.0)
-                held = at >= 0
-                size, code = batch.num_rows, np.full(len(document), len(words))
-                is_word = np.ones(len(document), bool)
-                is_word[np.cumsum(np.diff(offsets) + 1) - 1] = False
-                code[is_word] = codes
-                known = held[code]
+                (document, leaf, features), (code, words, leaves, bucket) = model.tokens(batch.column(1))
+                size, chance = batch.num_rows, model.log10(leaf, features) + log_seen
+                n_tokens = np.bincount(document, minlength=size)
+                known = (leaf >= 0) & (leaf < n_frequent)
                 n_known = np.bincount(document[known], minlength=size)
-                total = np.bincount(document[known], base[code[known]], size)
-                score = np.bincount(document, np.where(known, sure + leaf + inner[code], sure), size)
+                total = np.bincount(document[known], base[leaf[known]], size) if n_frequent else np.zeros(size)
+                score = np.bincount(document[known], chance[known], size)
                 # Words that are not frequent, and the end if it is not, are looked up by a join; unseen ones have no leaf.
                 rare = np.flatnonzero(~known)
-                pairs, of, times = np.unique(document[rare] * (len(words) + 1) + code[rare], return_inverse=True, return_counts=True)
-                leaf = np.bincount(of, leaf[rare], len(pairs))
-                texts = pa.concat_arrays([words.cast(pa.string()), pa.array([END])]).take(pa.array(pairs % (len(words) + 1)))
+                pairs, of, times = np.unique(document[rare] * len(words) + code[rare], return_inverse=True, return_counts=True)
+                shares = chance[rare] - log_mass[bucket[code[rare]]] if len(log_mass) else np.zeros(len(rare))
+                late = np.bincount(of, shares, len(pairs))
+                texts = words.take(pa.array(pairs % len(words)))
                 ids = row + np.arange(size)
                 row += size
                 none = pa.nulls(size, pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), batch.column(0), none, pa.array(np.diff(offsets) + 1), pa.array(n_known), pa.array(total, pa.float64()), pa.array(score, pa.float64())], names)
+                    [pa.array(ids), batch.column(0), none, pa.array(n_tokens), pa.array(n_known), pa.array(total, pa.float64()), pa.array(score, pa.float64())], names)
                 blank = pa.nulls(len(pairs), pa.float64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[pairs // (len(words) + 1)]), pa.nulls(len(pairs), batch.column(0).type), texts, pa.array(times), pa.nulls(len(pairs), pa.int64()), blank, pa.array(leaf, pa.float64())], names)
+                    [pa.array(ids[pairs // len(words)]), pa.nulls(len(pairs), batch.column(0).type), texts, pa.array(times), pa.nulls(len(pairs), pa.int64()), blank, pa.array(late, pa.float64())], names)
 
     names = ["row", "id", "word", "n", "known", "base", "score"]
     made = stored(docs.select(id_col, text_col).mapInArrow(scored, f"row long, id {kind.simpleString()}, word string, n long, known long, base double, score double"))
     joined = made.filter("word IS NOT NULL").select("row", "word", "n", F.col("score").alias("leaf")).join(vocabulary, "word", "left")
     c = F.coalesce("c", F.lit(0))
-    chance = F.when(F.col("c").isNull(), F.lit(unseen)).otherwise((F.col("c") - DISCOUNT) / F.lit(max(n_other, 1.0)))
     late = joined.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"),
                                      F.sum(F.col("n") * (F.log10(c + 0.5) - log_total)).alias("base_more"),
-                                     F.sum(F.col("n") * F.log10(chance) + F.when(F.col("c").isNotNull(), F.col("leaf")).otherwise(0.0)).alias("score_more"))
+                                     F.sum(F.when(F.col("c").isNotNull(), F.col("leaf") + F.col("n") * F.log10(F.col("c") - DISCOUNT))
+                                           .otherwise(F.col("n") * log_unseen)).alias("score_more"))
     zero = F.lit(0.0)
     return made.filter("word IS NULL").drop("word").join(late, "row", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
