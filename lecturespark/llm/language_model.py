@@ -102,23 +102,22 @@ class Counts:
     n_distinct: int
     words: pa.Array  # by falling count; at most FREQUENT
     counts: np.ndarray
-    buckets: np.ndarray  # the mass of each bucket: its words' counts, less the discounts
+    buckets: np.ndarray  # the mass of each bucket: its words' counts, each less the discount, as every leaf's
     tree: Tree
 
     @classmethod
     def of(cls, n: int, n_distinct: int, words, counts: np.ndarray, buckets: np.ndarray | None = None) -> Counts:
         buckets = np.zeros(0) if buckets is None else buckets
         return cls(n, n_distinct, pa.array(words, pa.string()) if isinstance(words, list) else words, counts, buckets,
-                   Tree.of(np.concatenate([counts, buckets[buckets > 0]])))
+                   Tree.of(np.concatenate([counts - DISCOUNT, buckets[buckets > 0]])))
 
     def others(self) -> tuple[int, int]:
         """(tokens, distinct words) in buckets."""
         return self.n - int(self.counts.sum()), self.n_distinct - len(self.words)
 
     def unseen(self) -> float:
-        """The probability of the one event of all unseen words: what the discounts took, half a count at least."""
-        taken = DISCOUNT * self.others()[1]
-        return max(taken, 0.5) / (self.n - taken + max(taken, 0.5))
+        """The probability of the one event of all unseen words: what the discounts of all words took."""
+        return DISCOUNT * self.n_distinct / self.n if self.n else 1.0
 
     def bucket_of(self, hashes: np.ndarray) -> np.ndarray:
         bits = max(len(self.buckets), 1).bit_length() - 1
