@@ -1,20 +1,24 @@
 """Embedding near-dedup by dual traversal of cover trees.
 
-Vectors of a label are dealt to the nearest of a few pivots and cut into blocks. Pairs
-of blocks whose covering balls come near each other go to one task, which builds a
-cover tree of each, with radii that halve from level to level, and walks both trees
-together: a pair of nodes too far apart is dropped, one that lies together entirely is
-counted whole, any other is opened. The result is every pair at the threshold, counted
-and not listed.
+Vectors of a label are dealt to the nearest of a few pivots, and so again inside every
+cell that is still larger than a block: the upper levels of the tree, each with its
+covering ball, spread over all tasks. Pairs of cells are walked down these levels as
+rows. Pairs of blocks whose balls come near each other then go to one task, which builds
+a cover tree of each, with radii that halve from level to level, and walks both trees
+together. Everywhere a pair of nodes too far apart is dropped, and in a task one that lies
+together entirely is counted whole. The result is every pair at the threshold, counted and
+not listed.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,7 @@ from .words import runs
 COSINE, BLOCK, PIVOTS, CHUNK = 0.98, 2048, 64, 4096
 LEAF = 48
 SLACK = 1e-6  # above the rounding of distances near 0
+TIED = 1e-12  # cosines closer than this are ties
 
 
 @dataclass
@@ -113,15 +118,19 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: st
     def made(batches):
         for batch in batches:
             prints, units, groups = [], [], []
-            for vector, label in zip(batch.column(1), batch.column(2).to_pylist()):
-                values = vector.as_py()
-                good = label is not None and values is not None and len(values) > 0 and None not in values
-                point = np.array(values, np.float64) + 0.0 if good else np.zeros(0)
+            lists = batch.column(1)
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends, flat = np.cumsum(lengths), pc.list_flatten(lists)
+            nulls = np.concatenate([[0], np.cumsum(pc.is_null(flat).to_numpy(zero_copy_only=False))])
+            values = pc.fill_null(flat.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False) + 0.0
+            for end, n, label in zip(ends, lengths, batch.column(2).to_pylist()):
+                point = values[end - n:end]
+                good = label is not None and n > 0 and nulls[end] == nulls[end - n]
                 with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
                     scaled = point / np.abs(point).max() if good else point
                     unit = scaled / np.sqrt(scaled @ scaled) if good else point
                 good = good and bool(np.isfinite(unit).all())
-                groups.append(f"{len(point)}:{label}" if good else None)
+                groups.append(f"{n}:{label}" if good else None)
                 prints.append(hashlib.blake2b(point.tobytes(), digest_size=16).digest() if good else None)
                 units.append(unit.tobytes() if good else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(groups, pa.string()), pa.array(prints, pa.binary()), pa.array(units, pa.binary())],
@@ -144,38 +153,103 @@ def _groups(rows: pa.Table, keys: list[str]):
     return zip([0, *cuts], [*cuts, rows.num_rows])
 
 
-def _dealt(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``nodes`` with the cell of their nearest pivot, the pivot and the distance to it.
+POINT = ["node", "rep", "copies", "unit"]
 
-    A group has a few hash-chosen pivots, in proportion to its size and ``PIVOTS`` at most on
-    average; they are sent to every chunk of the group's points.
+
+def _dealt(points: DataFrame, large: DataFrame, level: int) -> DataFrame:
+    """The points of ``large`` cells with the cell of their nearest pivot, its centre and the distance to it.
+
+    A cell has a few hash-chosen pivots, in proportion to its size and ``PIVOTS`` at most on
+    average; they are sent to every chunk of the cell's points. Ties are broken by hash, so
+    that vectors of one direction are split as well. A cell that happens to have no pivot stays
+    as it is until the next level, which chooses anew.
     """
-    placed = nodes.join(sizes, "group").withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK)).cast("int"))
-    wanted = F.least(F.ceil(F.col("size") / BLOCK), F.lit(PIVOTS))
-    pivots = placed.filter((F.col("size") > BLOCK) & (F.pmod(F.xxhash64(F.lit("pivot"), "node"), F.col("size")) < wanted))
+    placed = points.join(large, "cell").withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK)).cast("int"))
+    wanted = F.least(F.greatest(F.ceil(2 * F.col("size") / BLOCK), F.lit(4)), F.lit(PIVOTS))
+    pivots = placed.filter(F.pmod(F.xxhash64(F.lit("pivot"), F.lit(level), "node"), F.col("size")) < wanted)
     sent = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / CHUNK).cast("int") - 1)))
-    fields = ["group", "chunk", "kind", "node", "rep", "copies", "unit"]
-    rows = sent.withColumn("kind", F.lit(0)).select(*fields).union(placed.withColumn("kind", F.lit(1)).select(*fields))
+    fields = ["cell", "chunk", "kind", "tie", *POINT]
+    tie = F.pmod(F.xxhash64(F.lit("tie"), F.lit(level), "node"), F.lit(1 << 30))
+    rows = sent.withColumns({"kind": F.lit(0), "tie": tie}).select(*fields).union(placed.withColumns({"kind": F.lit(1), "tie": tie}).select(*fields))
 
     def nearest(batches):
         for rows in runs(batches, 2):
-            for a, b in _groups(rows, ["group", "chunk"]) if rows.num_rows else ():
+            for a, b in _groups(rows, ["cell", "chunk"]) if rows.num_rows else ():
                 part = rows.slice(a, b - a)
                 n_pivots = int((part.column("kind").to_numpy() == 0).sum())
+                own = part.slice(n_pivots)
+                parent = own.column("cell")
                 units = _matrix(part.column("unit"))
-                points, pivots = units[n_pivots:], units[:n_pivots] if n_pivots else units[:1]
+                points, pivots = units[n_pivots:], units[:n_pivots]
+                own = own.select(POINT).append_column("parent", parent)
+                if n_pivots == 0:
+                    none = pa.nulls(len(own))
+                    yield from (own.append_column("cell", parent).append_column("centre", none.cast(pa.binary()))
+                                .append_column("away", none.cast(pa.float64())).to_batches())
+                    continue
                 cosines = points @ pivots.T
-                cell = cosines.argmax(axis=1)
-                away = np.sqrt(np.maximum(0, 2 - 2 * cosines[np.arange(len(cell)), cell]))
-                own = part.slice(n_pivots).select(["group", "node", "rep", "copies", "unit"])
-                # Without a pivot, chunks keep cells of their own, because their centres differ.
-                number = cell if n_pivots else np.full(len(cell), -1 - part.column("chunk")[0].as_py())
-                own = own.append_column("cell", pa.array(number.astype(np.int32)))
-                own = own.append_column("centre", pa.array([p.tobytes() for p in pivots], pa.binary()).take(pa.array(cell)))
-                yield from own.append_column("away", pa.array(away)).to_batches()
+                tied = cosines >= cosines.max(axis=1, keepdims=True) - TIED
+                turn = part.column("tie").to_numpy()[n_pivots:] % tied.sum(axis=1)
+                to = (np.cumsum(tied, axis=1) > turn[:, None]).argmax(axis=1)
+                away = np.sqrt(np.maximum(0, 2 - 2 * cosines[np.arange(len(to)), to]))
+                names = pa.array([f"{level}:{node}" for node in part.column("node").to_numpy()[:n_pivots]])
+                yield from (own.append_column("cell", names.take(pa.array(to)))
+                            .append_column("centre", pa.array([p.tobytes() for p in pivots], pa.binary()).take(pa.array(to)))
+                            .append_column("away", pa.array(away)).to_batches())
+
+    return rows.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "kind", "node").mapInArrow(
+        nearest, "node long, rep long, copies long, unit binary, parent string, cell string, centre binary, away double")
+
+
+def upper_tree(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """(points with their block, edges, levels) of the tree above the blocks; its roots are the groups.
+
+    Every level deals the cells that hold over ``BLOCK`` points, until none does. An edge is
+    (parent, cell, centre, radius) with the ball that covers the cell.
+    """
+    points = nodes.select(F.concat(F.lit("g"), "group").alias("cell"), *POINT)
+    blocks, edges, level = [], [], 0
+    while True:
+        sizes = stored(points.groupBy("cell").agg(F.count("*").alias("size")))
+        large = sizes.filter(F.col("size") > BLOCK)
+        if large.isEmpty():
+            blocks.append(points)
+            break
+        blocks.append(points.join(sizes.filter(F.col("size") <= BLOCK), "cell", "left_semi"))
+        level += 1
+        dealt = stored(_dealt(points, large, level))
+        edges.append(dealt.filter("cell <> parent").groupBy("parent", "cell").agg(F.first("centre").alias("centre"), F.max("away").alias("radius")))
+        points = dealt.select("cell", *POINT)
+    return stored(reduce(DataFrame.union, blocks)), stored(reduce(DataFrame.union, edges)) if edges else None, level
+
+
+def block_pairs(roots: DataFrame, edges: DataFrame | None, levels: int, reach: float) -> DataFrame:
+    """(x, y): the pairs of blocks, each with itself too, whose points may be within ``reach``.
+
+    Pairs of cells start at the roots (a column ``cell``) and open level by level; a pair whose balls
+    are further apart is dropped with all that is below.
+    """
+    pairs = roots.select(F.col("cell").alias("x"), F.col("cell").alias("y"))
+    if edges is None:
+        return pairs
+
+    def near(batches):
+        for batch in batches:
+            if batch.num_rows:
+                apart = np.sqrt(np.maximum(0, 2 - 2 * _dots(batch)))
+                balls = batch.column("x_radius").to_numpy() + batch.column("y_radius").to_numpy()
+                yield batch.filter(pa.array(apart <= reach + balls)).select(["x", "y"])
 
-    return rows.repartition("group", "chunk").sortWithinPartitions("group", "chunk", "kind", "node").mapInArrow(
-        nearest, "`group` string, node long, rep long, copies long, unit binary, cell int, centre binary, away double")
+    below = lambda at: edges.select(F.col("parent").alias(at), F.col("cell").alias(f"{at}_cell"))
+    ball = lambda at: edges.select(F.col("cell").alias(at), F.col("centre").alias(f"{at}_centre"), F.col("radius").alias(f"{at}_radius"))
+    for _ in range(levels):
+        opened = pairs.join(below("x"), "x", "left").join(below("y"), "y", "left")
+        opened = opened.withColumn("same", F.col("x") == F.col("y")).select("same", F.coalesce("x_cell", "x").alias("x"), F.coalesce("y_cell", "y").alias("y"))
+        opened = opened.filter("NOT same OR x <= y")
+        # A cell meets itself in any case; different cells are below a root and have balls.
+        apart = opened.filter("x <> y").join(ball("x"), "x").join(ball("y"), "y").select("x", "y", "x_radius", "y_radius", "x_centre", "y_centre")
+        pairs = stored(opened.filter("x = y").select("x", "y").union(apart.mapInArrow(near, "x string, y string")))
+    return pairs
 
 
 def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -191,27 +265,12 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     usable = made.filter("id IS NOT NULL AND `print` IS NOT NULL")
     nodes = stored(usable.groupBy("group", "print").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
                    .withColumn("node", F.monotonically_increasing_id()))
-    sizes = nodes.groupBy("group").agg(F.count("*").alias("size"))
-    dealt = stored(_dealt(nodes, sizes))
-    cells = dealt.groupBy("group", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    dealt = dealt.join(cells, ["group", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    blocks = stored(dealt.groupBy("group", "cell", "part").agg(F.max("away").alias("radius"), F.first("centre").alias("centre"))
-                    .withColumn("block", F.monotonically_increasing_id()))
-    reach = float(np.sqrt(2 - 2 * cosine)) + SLACK
-
-    def meeting(batches):
-        for batch in batches:
-            if batch.num_rows:
-                apart = np.sqrt(np.maximum(0, 2 - 2 * _dots(batch)))
-                balls = batch.column("radius").to_numpy() + batch.column("radius_y").to_numpy()
-                yield batch.filter(pa.array(apart <= reach + balls)).select(["x", "y"])
-
-    left = blocks.select("group", F.col("block").alias("x"), "radius", "centre")
-    right = blocks.select("group", F.col("block").alias("y"), F.col("radius").alias("radius_y"), F.col("centre").alias("centre_y"))
-    pairs = stored(left.join(right, "group").filter("x <= y").select("x", "y", "radius", "radius_y", "centre", "centre_y").mapInArrow(meeting, "x long, y long"))
-    points = stored(dealt.join(blocks.select("group", "cell", "part", "block"), ["group", "cell", "part"]).select("block", "node", "rep", "copies", "unit"))
+    points, edges, levels = upper_tree(nodes)
+    points = points.withColumnRenamed("cell", "block")
+    roots = nodes.select(F.concat(F.lit("g"), "group").alias("cell")).distinct()
+    pairs = block_pairs(roots, edges, levels, float(np.sqrt(2 - 2 * cosine)) + SLACK)
     tasks = (points.join(pairs, F.col("block") == F.col("x")).withColumn("side", F.lit(0))
-             .union(points.join(pairs, F.col("block") == F.col("y")).filter("x < y").withColumn("side", F.lit(1))))
+             .union(points.join(pairs, F.col("block") == F.col("y")).filter("x <> y").withColumn("side", F.lit(1))))
 
     def counted(batches):
         for rows in runs(batches, 2):
@@ -258,7 +317,7 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
 
 def _dots(batch: pa.RecordBatch) -> np.ndarray:
     return np.array([np.frombuffer(x, np.float64) @ np.frombuffer(y, np.float64)
-                     for x, y in zip(batch.column("centre").to_pylist(), batch.column("centre_y").to_pylist())])
+                     for x, y in zip(batch.column("x_centre").to_pylist(), batch.column("y_centre").to_pylist())])
 
 
 @query("op10_embedding_dedup")

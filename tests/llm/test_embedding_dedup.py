@@ -64,5 +64,39 @@ def test_trees_cover_and_whole_sets_link():
     assert whole and found == set(zip(*[x.tolist() for x in np.nonzero(points @ points.T >= 0.98)]))
 
 
+def test_one_label_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(e, "BLOCK", 8)
+    monkeypatch.setattr(e, "CHUNK", 100)
+    monkeypatch.setattr(e, "LEAF", 2)
+    rows = [(i, v, 0) for i, v in enumerate(vectors(2, 320, 12))]
+    assert len(rows) > 64 * 8
+    got = sorted((tuple(r) for r in e.embedding_duplicates(spark.createDataFrame([(*r, "") for r in rows], SCHEMA).repartition(4)).collect()), key=repr)
+    assert got == expected(rows)
+
+
+def test_one_direction_is_split(spark, monkeypatch):
+    monkeypatch.setattr(e, "BLOCK", 8)
+    rows = [(i, [0.5 + i, 0.0], 0) for i in range(100)]
+    got = e.embedding_duplicates(spark.createDataFrame([(*r, "") for r in rows], SCHEMA)).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(99, 0)}
+
+
+def test_pairs_of_blocks_follow_the_clusters(spark, monkeypatch):
+    monkeypatch.setattr(e, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    units = np.concatenate([c + rng.normal(size=(40, 32)) * 0.002 for c in rng.normal(size=(30, 32))])
+    units /= np.sqrt((units ** 2).sum(axis=1))[:, None]
+    nodes = spark.createDataFrame([("g", i, i, 1, bytearray(u.tobytes())) for i, u in enumerate(units)], "`group` string, node long, rep long, copies long, unit binary")
+    points, edges, levels = e.upper_tree(nodes)
+    sizes = {r.cell: r["count"] for r in points.groupBy("cell").count().collect()}
+    assert levels >= 1 and sum(sizes.values()) == len(units) and max(sizes.values()) <= 16
+    roots = nodes.select(e.F.lit("gg").alias("cell")).distinct()
+    pairs = [tuple(r) for r in e.block_pairs(roots, edges, levels, 0.2).collect()]
+    assert len({frozenset(p) for p in pairs}) == len(pairs) < len(sizes) ** 2 / 8
+    place = dict(points.select("node", "cell").collect())
+    met = {frozenset(p) for p in pairs}
+    assert all(frozenset((place[i], place[j])) in met for i, j in zip(*np.nonzero(units @ units.T >= 0.98)))
+
+
 def test_empty_table(spark):
     assert e.embedding_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
