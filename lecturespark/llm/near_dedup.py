@@ -160,45 +160,70 @@ def _verified(pairs: DataFrame, full: DataFrame, similar: float) -> DataFrame:
     return joined.mapInArrow(kept, "a long, b long").distinct()
 
 
-def _cross_links(members: DataFrame, similar: float) -> DataFrame:
+def _block_cuts(rows: pa.Table) -> list[tuple[int, int]]:
+    """(start, end) of each pair of blocks in rows sorted by (group, one, two)."""
+    keys = np.stack([rows.column(c).to_numpy() for c in ("group", "one", "two")])
+    cuts = (np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, rows.num_rows]))
+
+
+def _cross_links(members: DataFrame, full: DataFrame, similar: float) -> DataFrame:
     """Links between members of a candidate group that are in different components so far.
 
-    Groups are compared in blocks of about ``BLOCK`` members, on sketches first and on the
-    full sets of likely pairs. A task gives one link for any two components that it joins.
-    ``members``: group, blocks (of its group), id, component, n_shingles, sketch, hashes.
+    Groups are compared in blocks of about ``BLOCK`` members: on sketches alone, then the members that have a
+    likely partner in a pair of blocks meet there again with their full sets, which are sent
+    nowhere else. A task gives one link for any two components that it joins.
+    ``members``: group, blocks (of its group), id, component, n_shingles, sketch; ``full``: id, hashes.
     """
     hundredths = round(100 * similar)
+    keys = ["group", "one", "two"]
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    placed = placed.select("group", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id", "component", "n_shingles", "sketch", "hashes")
-    placed = placed.repartition("group", "one", "two").sortWithinPartitions("group", "one", "two", "id")
+    placed = placed.select("group", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id", "component", "n_shingles", "sketch")
+    sorted_blocks = lambda df: df.repartition(*keys).sortWithinPartitions(*keys, "id")
+
+    def partners(i, end, part, n, registers):
+        """The later rows of the block that are likely similar to row i and in another component."""
+        js = np.arange(i + 1, end)[part[i + 1:end] != part[i]]
+        if len(js) == 0:
+            return js
+        return js[likely(np.full(len(js), n[i]), n[js], (registers[i] > registers[js]).sum(axis=1), (registers[i] < registers[js]).sum(axis=1), similar)]
+
+    def sketched(batches):
+        for rows in runs(batches, 3):
+            if rows.num_rows == 0:
+                continue
+            n, part, registers = rows.column("n_shingles").to_numpy().astype(float), rows.column("component").to_numpy(), _registers(rows.column("sketch"))
+            found = np.zeros(rows.num_rows, bool)
+            for start, end in _block_cuts(rows):
+                for i in range(start, end):
+                    js = partners(i, end, part, n, registers)
+                    found[js] = True
+                    found[i] |= len(js) > 0
+            yield from rows.filter(pa.array(found)).to_batches()
 
     def compared(batches):
         for rows in runs(batches, 3):
             if rows.num_rows == 0:
                 continue
-            keys = np.stack([rows.column(c).to_numpy() for c in ("group", "one", "two")])
-            cuts = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
             ids, n = rows.column("id").to_numpy(), rows.column("n_shingles").to_numpy().astype(float)
             registers, sets = _registers(rows.column("sketch")), rows.column("hashes").to_pylist()
             part = rows.column("component").to_numpy().copy()
             found = []
-            for start, end in zip([0, *cuts], [*cuts, rows.num_rows]):
+            for start, end in _block_cuts(rows):
+                block = part[start:end]
                 for i in range(start, end):
-                    js = np.arange(i + 1, end)[part[i + 1:end] != part[i]]
-                    if len(js) == 0:
-                        continue
-                    good = likely(np.full(len(js), n[i]), n[js], (registers[i] > registers[js]).sum(axis=1), (registers[i] < registers[js]).sum(axis=1), similar)
                     own = np.frombuffer(sets[i], np.uint64)
-                    for j in js[good]:
+                    for j in partners(i, end, part, n, registers):
                         if part[j] != part[i] and _linked(own, np.frombuffer(sets[j], np.uint64), hundredths):
                             found.append((ids[i], ids[j]))
-                            block = part[start:end]
                             block[block == part[j]] = part[i]
             pairs = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return placed.mapInArrow(compared, "a long, b long").distinct()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields)
+    hopeful = stored(sorted_blocks(placed).mapInArrow(sketched, schema))
+    return sorted_blocks(hopeful.join(full, "id").select(*keys, "id", "component", "n_shingles", "sketch", "hashes")).mapInArrow(compared, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, size: int = SHINGLE) -> DataFrame:
@@ -235,8 +260,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(open_members.select(F.col("id").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "group")
     sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     candidates = (open_members.select("id", "component").distinct().join(groups.withColumnRenamed("node", "id"), "id").join(sizes, "group")
-                  .join(sets.select("id", "n_shingles", "sketch"), "id").join(full, "id"))
-    more = stored(_cross_links(candidates, similar))
+                  .join(sets.select("id", "n_shingles", "sketch"), "id"))
+    more = stored(_cross_links(candidates, full, similar))
 
     classes = components(links.union(more))
     by_print = sets.select("print", F.col("id").alias("node")).join(classes, "node", "left").select("print", F.coalesce("component", "node").alias("component"))

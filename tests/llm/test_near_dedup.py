@@ -1,14 +1,18 @@
 """Near-dedup against all pairs, and the sketch against its theory."""
 
 import random
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from lecturespark.llm import line_dedup
 from lecturespark.llm import near_dedup as n
 from lecturespark.llm.words import shingle_sets, slices, word_codes
 
-from .plain import lower, near_classes, shingles, words
+from .plain import classes, lower, near_classes, shingles, words
 
 SCHEMA = "doc_id long, text string, n_shingles string, component_id string"
 ODD = [None, "", " \t", "a\x0bb\x1cc d", "A É\x85x \xa0y", "one two three four", "one two three four five", "One  two\nthree FOUR"]
@@ -46,6 +50,41 @@ def test_group_without_a_centre(spark):
     assert got == near_classes(rows) and {c for _, c in got.values()} == {0}
 
 
+def test_large_group_in_many_blocks(spark, monkeypatch):
+    # Chains that share their words meet in one candidate group, cut into blocks of a few members.
+    monkeypatch.setattr(n, "BLOCK", 4)
+    base = [f"w{i}" for i in range(900)]
+    rows = [(k, " ".join(base[k * 20:k * 20 + 200])) for k in range(30)]
+    rows += [(100 + k, " ".join(base[k * 20:k * 20 + 120] + [f"v{k}x{j}" for j in range(80)])) for k in range(30)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near_classes(rows)
+
+
+def exact_classes(rows):
+    """Classes by counting shared shingles of every pair that shares any."""
+    sets = {i: shingles(t) for i, t in rows}
+    holders, shared, links = defaultdict(list), Counter(), []
+    for i in sorted(sets):
+        for s in sets[i]:
+            holders[s].append(i)
+    for ids in holders.values():
+        if len(ids) > 1:
+            shared.update(combinations(ids, 2))
+    for (a, b), both in shared.items():
+        if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            links.append((a, b))
+    return classes(sets, links)
+
+
+def test_whole_table_against_exact_pairs(spark):
+    # No linked pair of the table is missed, also where lines that documents share are gone.
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs)).select("doc_id", F.col("kept_text").alias("text"))
+    for table in (docs.select("doc_id", "text"), cut):
+        got = {r.doc_id: r.component_id for r in n.near_duplicates(table).collect()}
+        assert got == exact_classes([tuple(r) for r in table.collect()])
+
+
 def test_null_and_repeated_ids(spark):
     text = "one two three four five six seven"
     rows = [(None, text), (3, text), (3, text), (4, text), (3, "other words that stand alone in here"), (9, "other words that stand alone in here")]
