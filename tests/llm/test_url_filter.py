@@ -53,6 +53,19 @@ def test_hosts_not_seen_in_training(spark):
     assert got == {**dict.fromkeys(bad, "block"), **dict.fromkeys(good, "allow")}
 
 
+def test_held_out_labels_and_threshold(spark):
+    scores = u.held_out_scores(u.labelled_urls(spark))
+    rows = [(r.unwanted, r.unwanted_probability) for r in scores.collect()]
+    assert len(rows) == 4 * len(u.WANTED) + 4 * len(u.UNWANTED)
+    cost = lambda t: sum(u.WRONGLY_BLOCKED if k == 0 else 0 for k, p in rows if p >= t) + sum(k for k, p in rows if p < t)
+    cut = u.threshold_of(scores)
+    assert cost(cut) == min(cost(p) for _, p in [*rows, (1, 2.0)])
+    caught, blocked = (sum(k == kind and p >= cut for k, p in rows) for kind in (1, 0))
+    print("held out: threshold", cut, "unwanted caught", caught, "wanted blocked", blocked, "of", len(rows))
+    assert caught >= 0.8 * 4 * len(u.UNWANTED) and blocked <= 0.1 * 4 * len(u.WANTED)
+    assert u.threshold_of(scores.filter("unwanted = 1")) == u.threshold_of(scores.limit(0)) == u.BLOCK_FROM
+
+
 def test_labelled_table(spark):
     assert set(u.fit_url_model(u.labelled_urls(spark).limit(0)).weights) == {0.0}
     with pytest.raises(ValueError):
