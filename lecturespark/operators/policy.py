@@ -213,13 +213,23 @@ def dangling_links(docs: DataFrame, paths: DataFrame, path: str = "path", text:
     return found.select(path, "target", problem.alias("problem")).where("problem IS NOT NULL")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once and not written out at each place that names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ipv4_number(address: str | Column) -> Column:
     """A dotted quad as a number, or null."""
     text = F.col(address) if isinstance(address, str) else address
     quad = r"(?:0|[1-9]\d{0,2})"
+
+    def number(parts: Column) -> Column:
+        whole = F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, p: acc * 256 + p)
+        return F.when(~F.exists(parts, lambda p: p > 255), whole)
+
+    # The cast is inside: parts of other texts are no numbers.
     parts = F.transform(F.split(text, r"\."), lambda p: p.cast("bigint"))
-    number = F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, p: acc * 256 + p)
-    return F.when(text.rlike(rf"\A{quad}(?:\.{quad}){{3}}\z"), F.when(~F.exists(parts, lambda p: p > 255), number))
+    return F.when(text.rlike(rf"\A{quad}(?:\.{quad}){{3}}\z"), _once(parts, number))
 
 
 def _quad(text: str) -> int:
@@ -231,19 +241,28 @@ def _quad(text: str) -> int:
 
 def ipv6_digits(address: str | Column) -> Column:
     """The 32 hexadecimal digits of an IPv6 address, or null; the last four bytes may be a dotted quad."""
-    text = F.lower(F.col(address) if isinstance(address, str) else address)
-    quad = F.regexp_extract(text, r":(\d+(?:\.\d+){3})\z", 1)
-    number = ipv4_number(quad)
-    tail = F.concat(F.hex(F.shiftright(number, 16)), F.lit(":"), F.hex(number.bitwiseAND(F.lit(65535))))
-    plain = F.when(quad == "", text).otherwise(F.lower(F.concat(F.regexp_extract(text, r"\A(.*:)[^:]*\z", 1), tail)))
-    halves = F.split(plain, "::")
-    groups = lambda half: F.filter(F.split(F.coalesce(half, F.lit("")), ":"), lambda g: (half != ""))
-    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
-    missing = 8 - F.size(left) - F.coalesce(F.size(right), F.lit(0))
-    full = F.when((F.size(halves) == 1) & (missing == 0), left).when(
-        (F.size(halves) == 2) & (missing > 0), F.concat(left, F.array_repeat(F.lit("0"), missing), right))
-    good = F.forall(full, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z"))
-    return F.when(good, F.concat_ws("", F.transform(full, lambda g: F.lpad(g, 4, "0"))))
+    def plain(text: Column, quad: Column) -> Column:
+        tail = _once(ipv4_number(quad), lambda n: F.concat(F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(F.lit(65535)))))
+        return F.when(quad == "", text).otherwise(F.lower(F.concat(F.regexp_extract(text, r"\A(.*:)[^:]*\z", 1), tail)))
+
+    def groups(halves: Column, n: int) -> Column:
+        half = F.get(halves, F.lit(n))
+        return F.filter(F.split(F.coalesce(half, F.lit("")), ":"), lambda g: (half != ""))
+
+    def full(halves: Column, left: Column, right: Column) -> Column:
+        missing = 8 - F.size(left) - F.coalesce(F.size(right), F.lit(0))
+        return F.when((F.size(halves) == 1) & (missing == 0), left).when(
+            (F.size(halves) == 2) & (missing > 0), F.concat(left, F.array_repeat(F.lit("0"), missing), right))
+
+    def padded(groups: Column) -> Column:
+        good = F.forall(groups, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z"))
+        return F.when(good, F.concat_ws("", F.transform(groups, lambda g: F.lpad(g, 4, "0"))))
+
+    def digits(halves: Column) -> Column:
+        return _once(groups(halves, 0), lambda left: _once(groups(halves, 1), lambda right: _once(full(halves, left, right), padded)))
+
+    lowered = F.lower(F.col(address) if isinstance(address, str) else address)
+    return _once(lowered, lambda text: _once(F.regexp_extract(text, r":(\d+(?:\.\d+){3})\z", 1), lambda quad: _once(F.split(plain(text, quad), "::"), digits)))
 
 
 def _any_between(value: Column, ranges) -> Column:
@@ -260,13 +279,17 @@ def _digit_ranges(networks: tuple[str, ...]) -> list[tuple[str, str]]:
 
 def address_status(address: str) -> Column:
     """``public``, ``non_public`` or ``unreadable``; an IPv4 address inside an IPv6 one counts as itself."""
-    digits = ipv6_digits(address)
-    inner = F.when(digits.startswith(MAPPED_IPV4), F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint"))
-    number = F.coalesce(ipv4_number(address), inner)
-    reserved4 = _any_between(number, [(_quad(low), _quad(high)) for low, high in RESERVED_IPV4])
-    reserved6 = _any_between(digits, _digit_ranges(RESERVED_IPV6)) & ~_any_between(digits, _digit_ranges(PUBLIC_IPV6))
-    return (F.when(number.isNotNull(), F.when(reserved4, "non_public").otherwise("public"))
-            .when(digits.isNull(), "unreadable").when(reserved6, "non_public").otherwise("public"))
+    def status(digits: Column, number: Column) -> Column:
+        reserved4 = _any_between(number, [(_quad(low), _quad(high)) for low, high in RESERVED_IPV4])
+        reserved6 = _any_between(digits, _digit_ranges(RESERVED_IPV6)) & ~_any_between(digits, _digit_ranges(PUBLIC_IPV6))
+        return (F.when(number.isNotNull(), F.when(reserved4, "non_public").otherwise("public"))
+                .when(digits.isNull(), "unreadable").when(reserved6, "non_public").otherwise("public"))
+
+    def numbered(digits: Column) -> Column:
+        inner = F.when(digits.startswith(MAPPED_IPV4), F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint"))
+        return _once(F.coalesce(ipv4_number(address), inner), lambda number: status(digits, number))
+
+    return _once(ipv6_digits(address), numbered)
 
 
 def host_addresses(addresses: DataFrame, keys: list[str]) -> DataFrame:

@@ -206,6 +206,14 @@ def test_addresses(spark):
                                                         (5, refused, None), (6, "ok", "2606:4700::1")]
 
 
+def test_address_expression_stays_small(spark):
+    # Each step of the reading is named many times; written out at each place, the plan takes the driver's memory.
+    assert len(str(policy.address_status("ip"))) < 20_000
+    cases = {"1:2:3:4:5:6:7.8.9.10": "public", "::ffff:8.8.8.8": "public", "2A00::10.0.0.1": "public", "::ffff:8.8.8.256": "unreadable",
+             "1:2:3:4:5:6:7:8:9": "unreadable", "": "unreadable", "8.8.8.256": "unreadable", "100::1": "non_public", None: "unreadable"}
+    assert one(spark, "ip STRING", list(cases), policy.address_status("ip")) == list(cases.values())
+
+
 def test_manifest_diff_with_nulls(spark):
     schema = "k INT, path STRING, size BIGINT, sha256 STRING"
     listed = spark.createDataFrame([(1, "a", None, "x"), (1, "b", 3, None), (1, "c", None, None), (1, "d", 1, "x"), (1, "e", 1, "x")], schema)
