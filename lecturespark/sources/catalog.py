@@ -95,8 +95,11 @@ def flatten_schedule(schedules: DataFrame, keys: list[str], column: str = "doc")
 
     No row is left out for the verdict on its month; the caller chooses.
     """
+    # Verdict and rows come out of a generator: a caller's filter on the verdict is moved below the second one, so that refused months are not
+    # exploded, but not below this one, where each place that names a document would parse it again.
+    months = _read_months(schedules, keys, column).select(*keys, F.inline_outer(F.array(F.struct("month_status", "_rows"))))
     # The outer form: from the inner one the optimizer infers a filter on the array and parses each document again for it.
-    rows = _read_months(schedules, keys, column).select(*keys, "month_status", F.posexplode_outer("_rows").alias("pos", "_r"))
+    rows = months.select(*keys, "month_status", F.posexplode_outer("_rows").alias("pos", "_r"))
 
     def pick(*options: str):
         return first_present(*[F.col(f"_r.{o}") for o in options], missing="")

@@ -206,6 +206,20 @@ def test_addresses(spark):
                                                         (5, refused, None), (6, "ok", "2606:4700::1")]
 
 
+def test_month_documents_are_parsed_once(spark):
+    course = '{"course":[{"id":"a","title":"T"}]}'
+    docs = [(1, f'{{"code":0,"list":[{course},{course}]}}'), (2, f'{{"code":500,"list":[{course}]}}'), (3, "garbage"), (4, None),
+            (5, f'{{"code":200,"list":[{",".join([course] * 32)}]}}'), (6, '{"code":0,"list":[{"course":[' + ",".join(['{"id":1}'] * 1001) + "]}]}"),
+            (7, '{"code":200,"list":"x"}'), (8, '{"code":0,"list":[{"course":[{"course_id":" b "}]}]}')]
+    rows = catalog.flatten_schedule(spark.createDataFrame(docs, "m INT, doc STRING"), ["m"])
+    accepted = rows.where("month_status = 'ok'").select("m", "pos", "course_id")
+    # A filter on the verdict that is moved below the reading parses each document again at every place that names it.
+    assert accepted._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert values(accepted) == [(1, 0, "a"), (1, 1, "a"), (8, 0, "b")]
+    assert values(rows.groupBy("m", "month_status").count()) == [
+        (1, "ok", 2), (2, "bad_code", 1), (5, "too_many_days", 32), (6, "too_many_rows", 1001), (8, "ok", 1)]
+
+
 def test_address_expression_stays_small(spark):
     # Each step of the reading is named many times; written out at each place, the plan takes the driver's memory.
     assert len(str(policy.address_status("ip"))) < 20_000
