@@ -33,7 +33,7 @@ SELECT c_nationkey AS account_id, c_custkey AS month_id,
               '","term":"2024","sub_id":"s', CAST(c_custkey % 7 AS STRING), '","sub_duration":"',
               CASE WHEN c_custkey % 5 = 0 THEN 'bad' ELSE CAST(c_custkey AS STRING) END,
               '"}]},{"course":[{"course_id":"c', CAST(c_custkey % 9 AS STRING), '","title":null},{"title":"none"},3]}]}') END AS doc
-FROM {customer}""")
+FROM {customer}""", spread=True)
 
 define_input("media_json", """
 SELECT page_id,

@@ -23,6 +23,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 INPUTS: dict[str, str] = {}
+# Inputs whose rows take far more work than their bytes in the tables suggest.
+SPREAD: set[str] = set()
 
 SPARK_DIALECT = {
     "ts_us": "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)",
@@ -40,8 +42,10 @@ DUCK_DIALECT = {
 }
 
 
-def define_input(name: str, sql: str) -> None:
+def define_input(name: str, sql: str, spread: bool = False) -> None:
     INPUTS[name] = sql
+    if spread:
+        SPREAD.add(name)
 
 
 def _b64(sql: str, template: str) -> str:
@@ -52,6 +56,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table dealt out evenly, for a table of few bytes is read in a few large tasks."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return table(spark, folder, name).repartition(parts)
+
+
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     # A pattern, because a stream reads a single file only by one.
     return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parquet*")
@@ -71,6 +81,8 @@ def stream_in_batches(spark: SparkSession, folder: str, name: str, order: str, b
 def load(spark: SparkSession, folder: str, name: str, read=table) -> DataFrame:
     """An input table as a DataFrame; scans stay prunable."""
     sql = _b64(INPUTS[name], SPARK_DIALECT["b64"])
+    if name in SPREAD and read is table:
+        read = spread_table
     used = {t: read(spark, folder, t) for t in TABLES if "{" + t + "}" in sql}
     fixed = {k: v for k, v in SPARK_DIALECT.items() if k != "b64"}
     for key, value in fixed.items():

@@ -11,6 +11,7 @@ from lecturespark.functions.model_json import json_value, shape_of, strip, unfen
 from lecturespark.functions.text import clean_text, clock
 from lecturespark.operators import (align, enrich, grids, grounding, integrity, intervals, jobs, messages, policy,
                                     redirects, segments, slides)
+from lecturespark.plans import q_catalog, registry  # noqa: F401
 from lecturespark.sources import catalog
 from lecturespark.sources import files as file_source
 from lecturespark.sources import jobs as job_records
@@ -220,6 +221,16 @@ def test_month_documents_are_parsed_once(spark):
         (1, "ok", 2), (2, "bad_code", 1), (5, "too_many_days", 32), (6, "too_many_rows", 1001), (8, "ok", 1)]
 
 
+def test_schedule_documents_are_dealt_out(spark, tmp_path):
+    # One small file, whose documents are much larger: its rows must not all be one task.
+    customers = spark.range(400).selectExpr("id AS c_custkey", "concat('c', id) AS c_name", "CAST(id % 25 AS INT) AS c_nationkey", "'M' AS c_mktsegment")
+    customers.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    docs = registry.load(spark, str(tmp_path), "schedule_json")
+    sizes = docs.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 4 and max(n for _, n in sizes) <= 200
+    assert sorted(r.month_id for r in docs.select("month_id").collect()) == list(range(400))
+
+
 def test_address_expression_stays_small(spark):
     # Each step of the reading is named many times; written out at each place, the plan takes the driver's memory.
     assert len(str(policy.address_status("ip"))) < 20_000
